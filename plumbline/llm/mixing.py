@@ -48,7 +48,8 @@ def source_targets(totals: DataFrame, epochs: int = EPOCHS) -> DataFrame:
 
 
 def _finish(epoch: Column) -> Column:
-    return (epoch * F.col("source_size") + F.col("sent")) / F.col("target")
+    """Null where the source's target is 0."""
+    return F.try_divide(epoch * F.col("source_size") + F.col("sent"), F.col("target"))
 
 
 def _cut(queue: DataFrame, budget: int, epochs: int) -> tuple:
