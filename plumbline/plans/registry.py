@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import compare_queries, profile_queries
+
+PARTS = (compare_queries, profile_queries)
+
 
 def queries() -> dict:
-    return {}
+    return {k: f for p in PARTS for k, f in p.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: f for p in PARTS for k, f in p.SQL.items()}
