@@ -309,7 +309,7 @@ def brute_lines(rows, least):
     import re
 
     def mask(line):
-        return " ".join("<*>" if re.search("[0-9]", t) else t for t in re.sub(linededup.TOKENS, " ", line).strip(" ").split(" "))
+        return " ".join("<*>" if re.search("[0-9]", t) else t for t in re.sub(linededup.BLANKS + "+", " ", line).strip(" ").split(" "))
 
     lines = [(d, i, mask(raw)) for d, text in rows if text is not None for i, raw in enumerate(text.split("\n"))]
     lines = [x for x in lines if x[2].count(" ") + 1 >= linededup.MIN_TOKENS]
