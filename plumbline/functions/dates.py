@@ -15,9 +15,15 @@ FALLBACK = [
     "%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S", "%d/%m/%Y %H:%M:%S", "%d/%m/%y %H:%M:%S", "%d-%m-%Y %H:%M:%S",
 ]
 
+# Directives without anything between them have all their digits.
+TIGHT = {"Y": "yyyy", "m": "MM", "d": "dd", "H": "HH", "M": "mm", "S": "ss"}
 _SHAPES = {"Y": r"\d{4}", "y": r"\d{2}", "m": r"\d{1,2}", "d": r"\d{1,2}", "b": "[A-Za-z]{3}", "B": "[A-Za-z]+", "H": r"\d{1,2}", "I": r"\d{1,2}", "M": r"\d{1,2}", "S": r"\d{1,2}", "p": "[AaPp][Mm]", "f": r"\d{1,6}", "g": r"\d{1,3}", "n": r"\d{1,9}"}
 
 
+def _tight(fmt: str) -> bool:
+    return bool(re.search("%[YymdHMS]%[YymdHMS]", fmt))
+
+
 def java_pattern(fmt: str) -> str:
     """``%d/%m/%Y`` -> ``d/M/y``; letters outside of directives are quoted."""
     out = []
@@ -25,7 +31,7 @@ def java_pattern(fmt: str) -> str:
         if part[0] == "%" and len(part) == 2:
             if part[1] not in LETTERS:
                 raise ValueError(f"format {fmt!r}: %{part[1]} is not known")
-            out.append(LETTERS[part[1]])
+            out.append((LETTERS | TIGHT if _tight(fmt) else LETTERS)[part[1]])
         else:
             out.append(f"'{part}'" if part.isalpha() else part)
     return "".join(out)
@@ -33,7 +39,8 @@ def java_pattern(fmt: str) -> str:
 
 def shape(fmt: str) -> str:
     """A regular expression for texts of this format: Spark reads some texts that strptime doesn't."""
-    return "^" + "".join(_SHAPES[p[1]] if p[0] == "%" and len(p) == 2 else re.escape(p) for p in re.findall("%.|[^%]+|%", fmt)) + "$"
+    digits = _SHAPES | {k: rf"\d{{{len(v)}}}" for k, v in TIGHT.items()} if _tight(fmt) else _SHAPES
+    return "^" + "".join(digits[p[1]] if p[0] == "%" and len(p) == 2 else re.escape(p) for p in re.findall("%.|[^%]+|%", fmt)) + "$"
 
 
 def parse(text: Column, fmt: str) -> Column:
