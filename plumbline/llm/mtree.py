@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import settle
 from .vectors import distinct_vectors, finite, members_of, nearest, numbered, own_answers, search
 
-PAGE, FANOUT, SHARD_ROWS, BLOCK_ROWS = 256, 16, 8192, 2048
+PAGE, FANOUT, SHARD_ROWS, BLOCK_ROWS = 1024, 16, 16_384, 1024
 PAGE_SCHEMA = "dim int, shard int, page int, leaf boolean, kind string, vectors binary, parent_distance binary, radius binary, child binary, members array<struct<vec_id:long,rid:long>>, sizes binary, top double"
 FOUND = "query_id long, rid long, vec_id long, other long, score long"
 
@@ -77,12 +77,19 @@ class Tree:
             if r.leaf:
                 ids, rids, _ = members_of([r.members])
             self.pages.append((bool(r.leaf), x.astype(np.float64), x, radius, parent, child, _lengths(x.astype(np.float64)), ids, rids, np.concatenate([[0], np.cumsum(sizes)])))
+        self.most = max((float(np.abs(p[2]).max(initial=0)) for p in self.pages), default=0.0)
+        if self.most**2 * dim < 2.0**24:  # single precision holds these integers and their sums exactly
+            self.pages = [(p[0], p[1].astype(np.float32), *p[2:]) for p in self.pages]
         self.computed = 0
 
     def _scores(self, x: np.ndarray, exact: np.ndarray, q: np.ndarray, q_exact: np.ndarray) -> np.ndarray:
-        """Inner products; in integers where doubles could round."""
-        big = np.abs(exact).max(initial=0).astype(float) * np.abs(q_exact).max(initial=0) * max(1, len(q)) >= 2.0**52
-        return exact.astype(np.int64) @ q_exact if big else x @ q
+        """Inner products, exact: in integers where x's precision could round."""
+        bound = self.most * float(np.abs(q_exact).max(initial=0)) * max(1, len(q))
+        if bound >= 2.0**52:
+            return exact.astype(np.int64) @ q_exact
+        if x.dtype == np.float32 and bound >= 2.0**24:
+            return exact.astype(np.float64) @ q
+        return (x @ q.astype(x.dtype)).astype(np.float64)
 
     def query(self, q_exact: np.ndarray, k: int, rid: int) -> list[tuple]:
         """(vec_id, rid, score): at least the k best rows other than ``rid``, with all ties at the last place."""
@@ -101,8 +108,10 @@ class Tree:
             if not len(some):
                 continue
             self.computed += len(some)
-            whole = len(some) == len(x)
-            s = self._scores(x if whole else x[some], exact if whole else exact[some], q, q_exact)
+            if 2 * len(some) > len(x):  # one product over the page costs less than gathering most of its rows
+                s = self._scores(x, exact, q, q_exact)[some]
+            else:
+                s = self._scores(x[some], exact[some], q, q_exact)
             if leaf:
                 good = s >= best
                 some = some[good]

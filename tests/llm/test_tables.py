@@ -113,7 +113,8 @@ def brute_vectors(rows, score, k, every):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_op3_equals_brute_force(spark, seed):
+def test_op3_equals_brute_force(spark, seed, monkeypatch):
+    monkeypatch.setattr(mtree, "SHARD_ROWS", 300)
     rng = np.random.default_rng(seed)
     base = np.round(rng.normal(0, 0.4, (700, 6)), 2)
     base[100:200] = base[5]
@@ -126,11 +127,22 @@ def test_op3_equals_brute_force(spark, seed):
     assert mtree.top_inner(df.limit(0)).count() == 0
 
 
-def test_op3_prunes():
+def test_op3_prunes(monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(mtree, "PAGE", 64)
     rng = np.random.default_rng(0)
     x = np.floor(64 * np.concatenate([rng.normal(c, 0.05, (1500, 8)) for c in rng.normal(0, 1, (4, 8))])).astype(np.int64)
     pages, top = mtree.build(x)
     assert sum(len(p["rows"]) for p in pages if p["leaf"]) == len(x) and len(pages) > 10
+    frame = pd.DataFrame({"v": x.tolist(), "dim": 8, "shard": 0, "members": [[{"vec_id": i, "rid": i}] for i in range(len(x))]})
+    tree = mtree.Tree(mtree._pages(frame))
+    for i in range(0, len(x), 500):
+        got = sorted(tree.query(x[i], 20, i), key=lambda r: (-r[2], r[0]))[:20]
+        s = x @ x[i]
+        want = sorted((-int(s[j]), j) for j in range(len(x)) if j != i)[:20]
+        assert [(-int(v), int(j)) for j, _, v in got] == want
+    assert tree.computed < 12 * len(x) / 2
 
 
 def test_op4_held_out_accuracy(spark, docs):
