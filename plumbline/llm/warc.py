@@ -50,7 +50,7 @@ def records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
     member = bytearray()
     while True:
         if not raw:
-            raw = stream.read(1 << 20)
+            raw = stream.read(1 << 16)  # what follows a member is copied, so pieces are small
             if not raw:
                 break
         member += chunk.decompress(raw)
@@ -71,7 +71,7 @@ def one_line(value: object) -> str:
 def plain_text(page: str) -> str:
     """Text between tags; comments, scripts and styles go, block tags end a line, entities are resolved."""
     text = _TAG.sub(lambda m: "\n" if m[3] and m[3].lower() in _BLOCKS else " " if m[1] or not m[3] else "", page)
-    lines = (_SPACES.sub(" ", line).strip() for line in html.unescape(text).split("\n"))
+    lines = (" ".join(line.split()) for line in html.unescape(text).split("\n"))
     return "\n".join(line for line in lines if line)
 
 
