@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 WINDOW, WIDTHS, FILTERS = 512, (2, 3, 4), 16
 SAMPLE_PER_LANG, EPOCHS, BATCH, RATE = 800, 5, 64, 0.01
+#: So many times the sample may be candidates for it, so that documents without letters leave enough of them.
+SPARE = 4
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -120,11 +122,18 @@ def held_out(id_col: str = "doc_id"):
 def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Net | None:
     """Fit on a bounded sample: for each language ``per_lang`` documents that aren't held out, one window of each.
 
-    The sample is chosen by a hash of the identifier; a window starts at a hashed place.  None if nothing is labelled."""
-    text, n = F.col(text_col), F.lit(WINDOW)
-    start = F.pmod(F.xxhash64(id_col, F.lit("window")), F.greatest(F.length(text) - n, F.lit(0)) + 1) + 1
-    rows = docs.filter(~held_out(id_col) & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & text.rlike("\\p{L}"))
-    rows = rows.select(F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"), F.substring(text, start.cast("int"), n).alias("part"))
+    The sample is those of least hash of the identifier; a window starts at a hashed place.  Labelled documents are
+    counted first (without reading texts), so that only the share of hashes that holds about ``SPARE`` times the sample
+    is ever sorted, however many rows there are; a language where over three in four texts have no letter may get a
+    smaller sample.  None if nothing is labelled."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"))
+    rows = rows.filter(~held_out("id") & F.col("id").isNotNull() & F.col("lang").isNotNull())
+    # a row for each language, as many as the net has classes
+    share = F.least(F.lit(1.0), SPARE * per_lang / F.count("*"))
+    bound = rows.groupBy("lang").agg((share * 2.0**64 - 2.0**63).alias("bound"))
+    rows = rows.join(F.broadcast(bound), "lang").filter((F.col("h").cast("double") <= F.col("bound")) & F.col("text").rlike("\\p{L}"))
+    start = F.pmod(F.xxhash64("id", F.lit("window")), F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1) + 1
+    rows = rows.select("lang", "h", F.substring("text", start.cast("int"), F.lit(WINDOW)).alias("part"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "part"))
     sample = rows.withColumn("rank", rank).filter(F.col("rank") <= per_lang).select("lang", "h", "part").toPandas().sort_values(["lang", "h", "part"])
     if not len(sample):
