@@ -162,6 +162,7 @@ def test_op4_edges(spark):
     got = {r["doc_id"]: r["guess"] for r in langid.identify(df, net).collect()}
     assert got[201]["lang"] == got[202]["lang"] == got[203]["lang"] == "und" and got[204]["lang"] == "en"
     assert all(got[i]["lang"] == "en" and got[100 + i]["lang"] == "fr" for i in range(40))
+    assert langid.train(df, per_lang=2).langs == ["en", "fr"]  # a share of the hashes, as on large tables
     assert langid.train(df.limit(0)) is None and langid.identify(df.limit(0), None).count() == 0
 
 
