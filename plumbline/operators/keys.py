@@ -195,11 +195,20 @@ def order_in_file(df: DataFrame, value: Column, row: str, bucket: int = 100_000)
 
 
 def beyond_largest_run(df: DataFrame, number: Column, columns: Sequence[str]) -> DataFrame:
-    """Of rows past the largest run: their number and, by column, whether it is constant there alone."""
-    top = islands(df, number).orderBy(F.desc("size"), "low").limit(1).select(F.col("high").alias("edge"))
-    rows = df.withColumn("__x", number.cast("long")).join(F.broadcast(top), how="cross").withColumn("__past", F.col("__x") > F.col("edge"))
+    """Of rows past the largest run: their number and, by column, how many values it has there and throughout."""
+    edge = islands(df, number).orderBy(F.desc("size"), "low").limit(1).select("high").scalar()
+    rows = df.withColumn("__past", number.cast("long") > edge)
     long = rows.select("__past", F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")) for c in columns])))
-    return long.groupBy("column_name").agg(F.count_if("__past").alias("rows_past"), F.count_distinct(F.when(F.col("__past"), F.col("v"))).alias("distinct_past"), F.count_distinct("v").alias("distinct_all"))
+    values = long.groupBy("column_name", "v").agg(F.count_if("__past").alias("past"))
+    return values.groupBy("column_name").agg(F.sum("past").alias("rows_past"), F.count(F.when(F.col("past") > 0, F.col("v"))).alias("distinct_past"), F.count("v").alias("distinct_all"))
+
+
+def span(df: DataFrame, key: str) -> DataFrame:
+    """rows, filled, lowest and highest key: by the last run of digits in it, else, where no key has one, as text."""
+    v = df.select(F.col(key).cast("string").alias("v"))
+    number = F.regexp_extract("v", "([0-9]+)[^0-9]*$", 1).try_cast("decimal(38,0)")
+    v = v.withColumn("x", F.when(number.isNotNull(), F.struct(number.alias("number"), F.col("v"))))
+    return v.agg(F.count("*").alias("rows"), F.count("v").alias("filled"), F.coalesce(F.min("x")["v"], F.min("v")).alias("lowest"), F.coalesce(F.max("x")["v"], F.max("v")).alias("highest"))
 
 
 # Simple repairs of key spellings, tried in this order.

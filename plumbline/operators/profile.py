@@ -147,12 +147,29 @@ def true_rates(df: DataFrame, flag: Column, group: Column) -> DataFrame:
     return out.withColumn("rate", F.round(F.try_divide(100.0 * F.col("true_n"), F.col("n")), 2))
 
 
+RANGES = 256
+
+
 def number_bands(df: DataFrame, value: Column, flag: Column, bands: int = 5, order: Sequence[str] = ()) -> DataFrame:
     """Bands of equal row counts by value: band, low, high, n, true_n, rate.
 
-    Each distinct value's rows are counted first; a running sum over the distinct values places the bands, so equal
-    values can be split between two bands, as equal counts ask for."""
+    Equal values are split between two bands where equal counts ask for it, by ``order`` and then by the flag, so that
+    rows equal in all of these are interchangeable.  They are counted before anything is sorted; running sums go over
+    ranges of values, cut at approximate quantiles, and over the totals of the ranges."""
     v = df.select(value.alias("x"), flag.alias("f"), *order).filter("x is not null")
-    band = F.ntile(bands).over(Window.orderBy("x", *order))
-    out = v.withColumn("band", band).groupBy("band").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count("f").alias("n"), F.count_if("f").alias("true_n"))
+    v = v.groupBy("x", *order, "f").agg(F.count("*").alias("k"))
+    cuts = v.agg(F.percentile_approx("x", [i / RANGES for i in range(1, RANGES)]).alias("cuts")).select(F.array_distinct("cuts")).scalar()
+    v = v.withColumn("cuts", cuts).withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("x")))).drop("cuts")
+    totals = v.groupBy("range").agg(F.sum("k").alias("size"))  # RANGES rows at most
+    by_range = Window.orderBy("range")
+    totals = totals.select("range", (F.sum("size").over(by_range) - F.col("size")).alias("ahead"), F.sum("size").over(Window.partitionBy()).alias("rows"))
+    inside = Window.partitionBy("range").orderBy("x", *order, F.asc_nulls_first("f")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    v = v.withColumn("end", F.sum("k").over(inside)).join(F.broadcast(totals), "range").withColumn("end", F.col("end") + F.col("ahead"))
+    # band b holds the ranks over ends[b - 2] up to ends[b - 1]; the first rows % bands of them hold one more
+    ends = F.array(*[(F.floor(F.col("rows") / bands) * b + F.least(F.lit(b), F.col("rows") % bands)).cast("long") for b in range(bands + 1)])
+    v = v.withColumn("ends", ends).withColumn("band", F.explode(F.sequence(F.lit(1), F.lit(bands))))
+    share = F.least("end", F.element_at("ends", F.col("band") + 1)) - F.greatest(F.col("end") - F.col("k"), F.element_at("ends", F.col("band")))
+    v = v.withColumn("share", share).filter("share > 0")
+    n = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("share"))), F.lit(0))
+    out = v.groupBy("band").agg(F.min("x").alias("low"), F.max("x").alias("high"), n(F.col("f").isNotNull()).alias("n"), n(F.col("f")).alias("true_n"))
     return out.withColumn("rate", F.round(F.try_divide(100.0 * F.col("true_n"), F.col("n")), 2))

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.values import to_double
 from .diff import Options, with_differences
 from .match import LEFT, OCC, RIGHT
 
@@ -107,3 +108,11 @@ def paired_rows(matched: DataFrame, keys: Sequence[str], columns: Sequence[str])
     """Pairs side by side: keys, then a_ and b_ columns."""
     both = matched.filter(F.col(LEFT).isNotNull() & F.col(RIGHT).isNotNull())
     return both.select(*keys, OCC, *[F.col(f"{s}.{c}").alias(f"{p}{c}") for c in columns for s, p in ((LEFT, "a_"), (RIGHT, "b_"))])
+
+
+def medians(matched: DataFrame, column: str) -> DataFrame:
+    """side, filled, median of a number column over each side's rows; values are counted first, so it is exact."""
+    x = lambda side: F.struct(F.lit(side).alias("side"), to_double(F.col(f"{side}.{column}").cast("string")).alias("x"))
+    long = matched.select(F.inline(F.array(x(LEFT), x(RIGHT)))).filter(F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") < float("inf")))
+    counts = long.groupBy("side", "x").agg(F.count("*").alias("n"))
+    return counts.groupBy("side").agg(F.sum("n").alias("filled"), F.round(F.percentile("x", F.lit(0.5), F.col("n")), 6).alias("median"))

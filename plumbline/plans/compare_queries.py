@@ -252,3 +252,8 @@ def filter_patterns(s, d):
 @query(D.SIDES + " SELECT * FROM l WHERE lower(o_orderpriority) LIKE '%low%' AND o_totalprice::DOUBLE > 100000")
 def filter_quick(s, d):
     return D.left(s, d).filter(P.quick("o_orderpriority", "contains", "LOW") & P.quick("o_totalprice", ">", 100000))
+
+
+@query(D.SIDES + " SELECT 'l' AS side, count(o_totalprice) AS filled, round(quantile_cont(o_totalprice::DOUBLE, 0.5), 6) AS median FROM l UNION ALL SELECT 'r', count(o_totalprice), round(quantile_cont(o_totalprice::DOUBLE, 0.5), 6) FROM r")
+def cmp_medians(s, d):
+    return readback.medians(pairs(s, d), "o_totalprice")

@@ -279,3 +279,65 @@ def sniff_counts(s, d):
 @query("SELECT o_orderpriority AS value, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, value LIMIT 3")
 def column_values(s, d):
     return spelling.counts(D.table(s, d, "orders"), "o_orderpriority").orderBy(F.desc("n"), "value").limit(3)
+
+
+@query(_RUNS + ", t AS (SELECT *, o_orderkey > (SELECT high FROM runs ORDER BY size DESC, low LIMIT 1) AS past FROM orders WHERE o_orderkey % 1000 > 30 AND o_custkey % 50 <> 7) " + " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER (past) AS rows_past, count(DISTINCT {c}) FILTER (past) AS distinct_past, count(DISTINCT {c}) AS distinct_all FROM t" for c in ("o_orderstatus", "o_orderdate")))
+def key_beyond(s, d):
+    return keys.beyond_largest_run(_holes(s, d), F.col("o_orderkey"), ["o_orderstatus", "o_orderdate"])
+
+
+@query("SELECT count(*) AS rows, count(c_name) AS filled, arg_min(c_name, c_custkey) AS lowest, arg_max(c_name, c_custkey) AS highest FROM customer WHERE c_custkey % 7 = 3")
+def key_span(s, d):
+    return keys.span(D.table(s, d, "customer").filter("c_custkey % 7 = 3"), "c_name")
+
+
+@query("SELECT 'Customer#' || lpad((max(c_custkey) + 1)::VARCHAR, 9, '0') AS next FROM customer")
+def key_next(s, d):
+    return s.createDataFrame([(keys.next_key(D.table(s, d, "customer"), "c_name"),)], "next string")
+
+
+@query("SELECT l_returnflag = 'R' AS flag, count(*) AS n FROM lineitem GROUP BY 1")
+def prof_flag_counts(s, d):
+    return profile.flag_counts(D.table(s, d, "lineitem"), F.col("l_returnflag") == "R")
+
+
+@query("WITH c AS (SELECT p_name AS value, count(*) AS n FROM part GROUP BY 1) SELECT lower(left(value, 6)) AS prefix, count(*) AS forms, sum(n)::BIGINT AS n FROM c GROUP BY 1 HAVING count(*) > 1")
+def spell_prefix(s, d):
+    return spelling.prefix_groups(D.table(s, d, "part"), "p_name")
+
+
+@query("""WITH v AS (SELECT CASE p_partkey % 3 WHEN 0 THEN upper(p_type) WHEN 1 THEN lower(p_type) ELSE p_type END AS v FROM part), c AS (SELECT v, count(*) AS n FROM v GROUP BY 1)
+SELECT lower(v) AS low, count(*) AS forms, sum(n)::BIGINT AS n, string_agg(v, '|' ORDER BY n DESC, encode(v)) AS spellings FROM c GROUP BY 1 HAVING count(*) > 1 ORDER BY 2 DESC, 3 DESC, 1 LIMIT 1""")
+def obs_worst_case(s, d):
+    k, t = F.col("p_partkey") % 3, F.col("p_type")
+    out = observe.worst_case_group(D.table(s, d, "part").select(F.when(k == 0, F.upper(t)).when(k == 1, F.lower(t)).otherwise(t).alias("v")), "v")
+    return out.withColumn("spellings", F.array_join("spellings", "|"))
+
+
+_DM = ("c_nationkey", "fifth", "c_mktsegment")
+_DM_SQL = "t AS (SELECT *, c_nationkey % 5 AS fifth FROM customer)"
+
+
+@query(f"WITH {_DM_SQL}, p AS (" + " UNION ALL ".join(f"SELECT '{x}' AS a, '{y}' AS b, count(*)::DOUBLE AS n, count(DISTINCT {x})::DOUBLE AS dx, count(DISTINCT {y})::DOUBLE AS dy, count(DISTINCT ({x}, {y}))::DOUBLE AS dxy FROM t" for x in _DM for y in _DM if x != y) + """),
+c AS (SELECT *, 1 / (dy * (1 - pow(1 - 1 / dy, n / dx))) AS chance FROM p) SELECT a, b, CASE WHEN chance >= 1 THEN 0 ELSE round(100 * greatest(0, (dx / dxy - chance) / (1 - chance)), 2) END::DOUBLE AS score FROM c""")
+def obs_dependency_matrix(s, d):
+    t = D.table(s, d, "customer").withColumn("fifth", F.col("c_nationkey") % 5)
+    return s.createDataFrame(observe.dependency_matrix(t, _DM), "a string, b string, score double")
+
+
+@query(f"WITH {_DM_SQL}, g AS (SELECT c_nationkey, count(DISTINCT fifth) = 1 AS one FROM t GROUP BY 1) SELECT 'c_nationkey' AS a, 'fifth' AS b FROM g HAVING bool_and(one)")
+def obs_dependencies(s, d):
+    t = D.table(s, d, "customer").withColumn("fifth", F.col("c_nationkey") % 5)
+    return s.createDataFrame(observe.dependencies(t, _DM), "a string, b string")
+
+
+@query("SELECT '%d/%m/%Y' AS format, count(*) FILTER (o_orderkey % 2 = 0) AS n, round(count(*) FILTER (o_orderkey % 2 = 0)::DOUBLE / count(*), 4) AS share FROM orders UNION ALL SELECT '%Y-%m-%d', count(*) FILTER (o_orderkey % 2 <> 0), round(count(*) FILTER (o_orderkey % 2 <> 0)::DOUBLE / count(*), 4) FROM orders")
+def sniff_formats(s, d):
+    x = F.col("o_orderdate")
+    t = D.table(s, d, "orders").select(F.when(F.col("o_orderkey") % 2 == 0, F.date_format(x, "dd/MM/yyyy")).otherwise(F.date_format(x, "yyyy-MM-dd")).alias("day"))
+    return sniff.formats_that_read(t, "day")
+
+
+@query("SELECT 'text' AS kind, NULL::VARCHAR AS format UNION ALL SELECT 'timestamp', '%d/%m/%Y %H:%M:%S'")
+def sniff_possible(s, d):
+    return sniff.possible_kinds(D.table(s, d, "orders").select(F.date_format("o_orderdate", "dd/MM/yyyy HH:mm:ss").alias("at")), "at")
