@@ -6,11 +6,13 @@ first with first; null keys meet null keys.  One exchange serves the numbering a
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 LEFT, RIGHT, OCC = "l", "r", "__occ__"
+#: Rows of one key from which they are numbered in ranges, each a task's work; sampled places and places between cuts.
+HOT, PLACES, STEP = 1_000_000, 10_000, 40
 
 
 class DuplicateKeys(ValueError):
@@ -28,6 +30,39 @@ def numbered(df: DataFrame, name: str = "__rn__") -> DataFrame:
     return df.sparkSession.createDataFrame(rows, schema)
 
 
+def occurrences(df: DataFrame, keys: Sequence[str], order: Sequence[str], into: str = OCC, together: Sequence[str] = (), hot: int = HOT) -> DataFrame:
+    """Adds the row's number among the rows equal in ``keys``, nulls included, in the order ``order``, from 1.
+
+    A key of over ``hot`` rows is split into ranges of ``order`` at sampled places, and a range's numbers start after
+    the sizes of those before it; only rows equal in all of ``order`` stay in one range.  Keys are counted first; if
+    none is hot, rows are dealt by ``together`` (by default ``keys``) and numbered in one step."""
+    large = df.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > hot)
+    n_large = large.count()
+    if not n_large:
+        dealt = df.repartition(*together) if together else df
+        return dealt.withColumn(into, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+    def joined(rows: DataFrame, other: DataFrame, extra: Sequence[str], on: Sequence[str], how: str) -> DataFrame:
+        other = other.select(*[F.col(k).alias(f"__h{i}") for i, k in enumerate(on)], *extra)
+        if "__size" not in extra and n_large <= 10_000:
+            other = F.broadcast(other)
+        match = reduce(Column.__and__, [same(F.col(k), F.col(f"__h{i}")) for i, k in enumerate(on)])
+        return rows.join(other, match, how).drop(*[f"__h{i}" for i in range(len(on))])
+
+    rows = df.withColumn("__place", F.struct(*order))
+    places = joined(rows.select(*keys, "__place"), large, ["__n"], keys, "inner").distinct()
+    # of distinct places a share that leaves about PLACES for each key, whatever its size
+    some = places.filter(F.pmod(F.xxhash64("__place"), F.col("__n")) < PLACES).groupBy(*keys).agg(F.array_sort(F.collect_list("__place")).alias("__cuts"))
+    cuts = some.withColumn("__cuts", F.filter("__cuts", lambda _, i: i % STEP == 0))
+    rows = joined(rows, cuts, ["__cuts"], keys, "left")
+    rows = rows.withColumn("__range", F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col("__place"))), F.lit(0)))
+    sizes = rows.filter("__cuts is not null").groupBy(*keys, "__range").agg(F.count("*").alias("__size"))
+    sizes = sizes.withColumn("__size", F.sum("__size").over(Window.partitionBy(*keys).orderBy("__range")) - F.col("__size"))
+    rows = joined(rows, sizes, ["__size"], [*keys, "__range"], "left")
+    own = F.row_number().over(Window.partitionBy(*keys, "__range").orderBy(*order))
+    return rows.withColumn(into, own + F.coalesce("__size", F.lit(0))).select(*df.columns, into)
+
+
 def keyed(left: DataFrame, right: DataFrame, keys: Sequence[str], order: Sequence[str], duplicates: str = "index") -> DataFrame:
     """A row per pair or one-sided row: keys, __occ__, l and r (structs of the side's columns; null if absent).
 
@@ -46,8 +81,7 @@ def keyed(left: DataFrame, right: DataFrame, keys: Sequence[str], order: Sequenc
     if duplicates == "unique":
         both = both.withColumn(OCC, F.lit(1))
     else:
-        occ = F.row_number().over(Window.partitionBy(*names, "__side").orderBy("__ol", "__or"))
-        both = both.repartition(*names).withColumn(OCC, occ)
+        both = occurrences(both, [*names, "__side"], ["__ol", "__or"], together=names)
         if duplicates == "first":
             both = both.filter(F.col(OCC) == 1)
     out = both.groupBy(*names, OCC).agg(F.first(LEFT, ignorenulls=True).alias(LEFT), F.first(RIGHT, ignorenulls=True).alias(RIGHT))
@@ -80,10 +114,9 @@ def whole_row(left: DataFrame, right: DataFrame, columns: Sequence[str], order:
     Rows are compared by their columns themselves, so no hash can collide."""
 
     def left_over(own: DataFrame, other: DataFrame) -> DataFrame:
-        rank = F.row_number().over(Window.partitionBy(*columns).orderBy(*order))
         counts = other.groupBy(*[F.col(c).alias(f"__{c}") for c in columns]).agg(F.count("*").alias("__n"))
         on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in columns]
-        return own.withColumn("__rank", rank).join(counts, on, "left").filter(F.col("__rank") > F.coalesce("__n", F.lit(0))).select(*own.columns)
+        return occurrences(own, columns, order, "__rank").join(counts, on, "left").filter(F.col("__rank") > F.coalesce("__n", F.lit(0))).select(*own.columns)
 
     return left_over(left, right), left_over(right, left)
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import dates, predicates as P, values as V
-from plumbline.operators import auto, diff, keys, match, observe, pairing, readback, sniff, spelling
+from plumbline.operators import auto, diff, keys, match, observe, pairing, profile, readback, sniff, spelling
 from plumbline.plans import cli, outputs
 from plumbline.sources import guard, load, strict
 
@@ -147,3 +147,31 @@ def test_config_run(spark, tmp_path):
     assert (got["matched"], got["only_right"], got["cell_diffs"], got["verdict"]) == (2, 1, 1, "Differences")
     assert cli.run(spark, config | {"pairs": [{"keys": ["no"]}]}) == 2
     assert cli.run(spark, config | {"right": config["left"]}) == 0
+
+
+def test_hot_keys_are_numbered_in_ranges(spark, monkeypatch):
+    rows = [(None if i % 3 == 0 else "a" if i % 3 == 1 else f"k{i % 40}", (i * 37) % 211 if i % 7 else None, str(i)) for i in range(600)]
+    df = spark.createDataFrame(rows, "k string, v int, w string")
+    monkeypatch.setattr(match, "STEP", 10)
+    got = {(r["k"], r["v"], r["w"]): r["n"] for r in match.occurrences(df, ["k"], ["v", "w"], "n", hot=50).collect()}
+    assert got == {(r["k"], r["v"], r["w"]): r["n"] for r in match.occurrences(df, ["k"], ["v", "w"], "n").collect()} and len(got) == 600
+    same = spark.createDataFrame([("a", 1)] * 30, "k string, v int")
+    assert sorted(r["n"] for r in match.occurrences(same, ["k"], ["v"], "n", hot=5).collect()) == list(range(1, 31))
+
+
+def test_number_bands_split_ties(spark):
+    values = [5.0] * 40 + [1.0] * 11 + [7.5, 9.0, 9.0, 11.0]
+    df = spark.createDataFrame([(v, None if i % 9 == 0 else i % 2 == 0) for i, v in enumerate(values)] + [(None, True)], "x double, f boolean")
+    got = [tuple(r) for r in profile.number_bands(df, F.col("x"), F.col("f")).orderBy("band").collect()]
+    ranked = sorted(((v, -1 if i % 9 == 0 else int(i % 2 == 0)) for i, v in enumerate(values)))
+    for b in range(5):
+        part = ranked[b * 11 : b * 11 + 11]
+        known = [f for _, f in part if f >= 0]
+        assert got[b][:5] == (b + 1, part[0][0], part[-1][0], len(known), sum(known))
+    assert profile.number_bands(df.limit(0), F.col("x"), F.col("f")).count() == 0
+
+
+def test_possible_kinds_and_span(spark):
+    df = spark.createDataFrame([("01/02/24", "A9"), ("05/06/24", "A10"), (None, None)], "d string, k string")
+    assert {tuple(r) for r in sniff.possible_kinds(df, "d").collect()} == {("text", None), ("date", "%d/%m/%y")}
+    assert tuple(keys.span(df, "k").first()) == (3, 2, "A9", "A10") and tuple(keys.span(df.limit(0), "k").first()) == (0, 0, None, None)
