@@ -34,10 +34,12 @@ def occurrences(df: DataFrame, keys: Sequence[str], order: Sequence[str], into:
     """Adds the row's number among the rows equal in ``keys``, nulls included, in the order ``order``, from 1.
 
     A key of over ``hot`` rows is split into ranges of ``order`` at sampled places, and a range's numbers start after
-    the sizes of those before it; only rows equal in all of ``order`` stay in one range.  Keys are counted first; if
-    none is hot, rows are dealt by ``together`` (by default ``keys``) and numbered in one step."""
+    the sizes of those before it; only rows equal in all of ``order`` stay in one range.  Keys are counted first, unless
+    counts of their hashes' low bits, which hardly shuffle, show that none can be hot; if none is, rows are dealt by
+    ``together`` (by default ``keys``) and numbered in one step."""
     large = df.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > hot)
-    n_large = large.count()
+    most = df.groupBy(F.pmod(F.xxhash64(*keys), F.lit(1 << 14))).count().agg(F.max("count")).first()[0] or 0
+    n_large = large.count() if most > hot else 0
     if not n_large:
         dealt = df.repartition(*together) if together else df
         return dealt.withColumn(into, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
