@@ -9,13 +9,15 @@ dropped everywhere but at their first occurrence, so that no content is lost alt
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import settle
 
-LEAD, ALIKE, MIN_DOCS, MIN_TOKENS, LEAF_LINES = 3, 0.7, 5, 3, 20_000
+LEAD, ALIKE, MIN_DOCS, MIN_TOKENS, INDEXED, PIECE = 3, 0.7, 5, 3, 256, 10_000
 VARIABLE = "<*>"
 BLANKS = "[ \\t\\r\\x0B\\f]"
 
@@ -34,56 +36,120 @@ def _leaf(line: Column, lead: int) -> Column:
 
 
 class Leaf:
-    """The templates of one leaf: a matrix of token numbers, 0 for variable places."""
+    """The templates of one leaf: a matrix of token numbers, 0 for variable places.
+
+    A line that joins a template differs from it in at most ``spare`` places.  So of ``spare`` + 1 groups of places after
+    the lead, one agrees throughout: over ``INDEXED`` templates only those found by a group are compared.  The outcome is
+    that of comparing all."""
 
     def __init__(self, width: int):
-        self.codes, self.rows, self.n, self.names = {VARIABLE: 0}, np.zeros((16, width), np.int32), 0, []
+        self.codes, self.rows, self.n = {VARIABLE: 0}, np.zeros((16, width), np.int32), 0
+        spare = sum(k >= ALIKE * width for k in range(width))
+        self.groups = [g.tolist() for g in np.array_split(np.arange(LEAD, width), spare + 1)]
+        #: for each group, by its variable places, by its tokens: templates; entries of earlier states stay
+        self.found = None
+
+    def _enter(self, at: int, before: list[int] | None = None) -> None:
+        row = self.rows[at].tolist()
+        for places, by_kind in zip(self.groups, self.found):
+            key = tuple([row[p] for p in places])
+            if before is None or key != tuple([before[p] for p in places]):
+                by_kind.setdefault(tuple([v != 0 for v in key]), {}).setdefault(key, []).append(at)
+
+    def _candidates(self, row: list[int]) -> np.ndarray | None:
+        """Numbers, ascending, of all templates that the line may join; None: too many to be worth picking."""
+        if self.n <= INDEXED or not all(self.groups):
+            return None
+        if self.found is None:
+            self.found = [{} for _ in self.groups]
+            for at in range(self.n):
+                self._enter(at)
+        lists, n = [], 0
+        for places, by_kind in zip(self.groups, self.found):
+            tokens = [row[p] for p in places]
+            for kind, by_key in by_kind.items():
+                some = by_key.get(tuple([v if fixed else 0 for v, fixed in zip(tokens, kind)]))
+                if some:
+                    lists.append(some)
+                    n += len(some)
+                    if n > self.n // 4:
+                        return None
+        return np.array(sorted(set().union(*lists)), np.int64)
 
     def place(self, line: str) -> int:
         tokens = line.split(" ")
-        row = np.array([self.codes.setdefault(t, len(self.codes)) for t in tokens], np.int32)
+        codes = [self.codes.setdefault(t, len(self.codes)) for t in tokens]
+        row = np.array(codes, np.int32)
         if self.n:
-            known = self.rows[: self.n]
-            same = ((known == row) | (known == 0)).sum(axis=1)
-            best = int(same.argmax())
-            if same[best] >= ALIKE * len(row):
-                self.rows[best][self.rows[best] != row] = 0
-                return best
+            some = self._candidates(codes)
+            known = self.rows[: self.n] if some is None else self.rows[some]
+            if len(known):
+                same = ((known == row) | (known == 0)).sum(axis=1)
+                best = int(same.argmax())
+                if same[best] >= ALIKE * len(row):
+                    best = best if some is None else int(some[best])
+                    before = self.rows[best].tolist() if self.found is not None else None
+                    self.rows[best][self.rows[best] != row] = 0
+                    if before is not None:
+                        self._enter(best, before)
+                    return best
         if self.n == len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
         self.rows[self.n] = row
         self.n += 1
-        self.names.append(line)
+        if self.found is not None:
+            self._enter(self.n - 1)
         return self.n - 1
 
 
 def _templates(least: int):
     """Lines sorted by (leaf, count descending, line) to (line hash, template) where a template occurs often enough."""
 
-    def close(lines: list[tuple[str, int, int]]) -> list[tuple]:
-        if sum(n for _, n, _ in lines) < least:
-            return []
-        leaf, placed, total = Leaf(lines[0][0].count(" ") + 1), [], {}
-        for line, n, h in lines:
-            at = leaf.place(line)
-            placed.append((h, at))
-            total[at] = total.get(at, 0) + n
-        # the leaf's first line tells its templates from those of other leaves
-        return [(h, lines[0][2], at) for h, at in placed if total[at] >= least]
+    def close(first: int, hashes: array, places: array, total: list[int]):
+        """A leaf's lines in pieces; the first line's hash tells its templates from those of other leaves."""
+        if max(total) < least:
+            return
+        h, at = np.frombuffer(hashes, np.int64), np.frombuffer(places, np.int32)
+        often = np.array(total)[at] >= least
+        h, at = h[often], at[often]
+        for i in range(0, len(h), PIECE):
+            yield h[i : i + PIECE], np.full(len(h[i : i + PIECE]), first, np.int64), at[i : i + PIECE]
+
+    def leaves(batches):
+        """Pieces leaf by leaf.  Lines are held only until their counts show that a template can occur often enough."""
+        at, held, n_held, leaf = None, [], 0, None
+        for pdf in batches:
+            for key, line, n, h in zip(pdf["leaf"].tolist(), pdf["line"].tolist(), pdf["n"].tolist(), pdf["h"].tolist()):
+                if key != at:
+                    if leaf:
+                        yield from close(first, hashes, places, total)
+                    at, held, n_held, leaf = key, [], 0, None
+                n_held += n
+                held.append((line, n, h))
+                if n_held < least:
+                    continue
+                if leaf is None:
+                    leaf, first, hashes, places, total = Leaf(line.count(" ") + 1), held[0][2], array("q"), array("i"), []
+                for line, n, h in held:
+                    template = leaf.place(line)
+                    hashes.append(h)
+                    places.append(template)
+                    if template == len(total):
+                        total.append(0)
+                    total[template] += n
+                held = []
+        if leaf:
+            yield from close(first, hashes, places, total)
 
     def run(batches):
-        leaf, lines, out = None, [], []
-        for pdf in batches:
-            for at, line, n, h in zip(pdf["leaf"].tolist(), pdf["line"].tolist(), pdf["n"].tolist(), pdf["h"].tolist()):
-                if at != leaf:
-                    out += close(lines) if lines else []
-                    leaf, lines = at, []
-                lines.append((line, n, h))
-            if len(out) > 10_000:
-                yield pd.DataFrame(out, columns=["h", "leaf", "template"])
-                out = []
-        out += close(lines) if lines else []
-        yield pd.DataFrame(out, columns=["h", "leaf", "template"])
+        names, out, n = ["h", "leaf", "template"], [], 0
+        for piece in leaves(batches):
+            out.append(piece)
+            n += len(piece[0])
+            if n > PIECE:
+                yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*out)))))
+                out, n = [], 0
+        yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*out))))) if out else pd.DataFrame(columns=names)
 
     return run
 
@@ -92,16 +158,10 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_
     """doc_id, text_hash, drop (positions, ascending): a row for each document that loses a line.
 
     Identical lines are counted before anything is compared, so a line on a third of all rows is one row of the tree.
-    A leaf of over ``LEAF_LINES`` different lines goes down by further leading tokens."""
+    A leaf is one task's work whatever its size, as each line's template depends on the lines before it."""
     lines = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.posexplode(masked_lines(F.col(text_col))).alias("at", "line"))
     lines = lines.filter(F.col("line").rlike("^[^ ]+" + " [^ ]+" * (MIN_TOKENS - 1))).withColumn("h", F.xxhash64("line"))
     counted = settle(lines.groupBy("line").agg(F.count("*").alias("n")).withColumn("h", F.xxhash64("line")).withColumn("leaf", _leaf(F.col("line"), LEAD)), "lines")
-    over = settle(counted.groupBy("leaf").agg(F.count("*").alias("own")).filter(F.col("own") > LEAF_LINES).select("leaf"), "over")
-    n_over = over.count()
-    if n_over:  # at most a row for each LEAF_LINES lines
-        flag = over.withColumn("deep", F.lit(True))
-        counted = counted.join(F.broadcast(flag) if n_over <= 10_000 else flag, "leaf", "left")
-        counted = counted.withColumn("leaf", F.when(F.col("deep"), _leaf(F.col("line"), LEAD + 5)).otherwise(F.col("leaf"))).drop("deep")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = counted.repartition(parts, "leaf").sortWithinPartitions("leaf", F.col("n").desc(), "line")
     named = settle(dealt.mapInPandas(_templates(min_docs), "h long, leaf long, template int"), "templates")

@@ -2,6 +2,7 @@
 
 import collections
 import math
+import random
 import zlib
 
 import duckdb
@@ -358,6 +359,28 @@ def test_op10_equals_brute_force(spark):
     assert linededup.drop_recurring(df.limit(0)).count() == 0
 
 
+def test_op10_large_leaf_keeps_its_rule(spark):
+    def word(i):
+        return "".join(chr(97 + i // 26**k % 26) for k in range(4))
+
+    # over 20,000 different lines of one lead and width, each in one document
+    rows = [(d, "own\n" + "\n".join(f"User logged in as {word(i)} from {word(3 * i + 1)}" for i in range(21 * d, 21 * d + 21))) for d in range(1000)]
+    got = {r["doc_id"]: r["text"] for r in linededup.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: "own" if d else "\n".join(text.split("\n")[:2]) for d, text in rows}
+
+
+@pytest.mark.parametrize("width,vocab,n", [(4, 50, 400), (5, 200, 1500), (7, 60, 1500), (10, 60, 1500), (20, 40, 800)])
+def test_op10_index_finds_what_comparing_all_finds(monkeypatch, width, vocab, n):
+    rng = random.Random(width)
+    lines = ["in the end " + " ".join(rng.choice(["<*>", f"t{int(vocab * rng.random() ** 3)}"]) if k % 3 == 0 else f"t{int(vocab * rng.random() ** 3)}" for k in range(width - 3)) for _ in range(n)]
+    places = []
+    for least in (10**9, 2):
+        monkeypatch.setattr(linededup, "INDEXED", least)
+        leaf = linededup.Leaf(width)
+        places.append([leaf.place(line) for line in lines])
+    assert places[0] == places[1]
+
+
 def test_op10_null_and_repeated_ids(spark):
     rows = [(None, "same old line again\nmine"), (None, "same old line again\nyours"), (1, "same old line again\na"), (1, "same old line again\na"), (2, "same old line again"), (3, "same old line again\nz")]
     out = linededup.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()
