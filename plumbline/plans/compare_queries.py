@@ -95,6 +95,15 @@ def cmp_position(s, d):
     return out.filter(~F.col("left_status").eqNullSafe(F.col("right_status")))
 
 
+@query(D.SIDES + """, ln AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS pos FROM l), rn AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS pos FROM r)
+SELECT coalesce(ln.pos, rn.pos) AS pos, ln.o_orderstatus AS left_status, rn.o_orderstatus AS right_status FROM ln FULL JOIN rn ON ln.pos = rn.pos WHERE ln.o_orderstatus IS DISTINCT FROM rn.o_orderstatus""")
+def cmp_position_whole(s, d):
+    n = lambda df: match.numbered(df.select("o_orderkey", "o_orderstatus").orderBy("o_orderkey"), "pos")
+    m = match.positional(n(D.left(s, d)), n(D.right(s, d)), "pos")
+    out = m.select("pos", F.col("l.o_orderstatus").alias("left_status"), F.col("r.o_orderstatus").alias("right_status"))
+    return out.filter(~F.col("left_status").eqNullSafe(F.col("right_status")))
+
+
 _MS = ["o_orderstatus", "o_orderpriority", "o_orderdate"]
 _MSQL = D.SIDES + f""", m AS (SELECT {', '.join(_MS)}, sum(a)::BIGINT AS left_count, sum(b)::BIGINT AS right_count FROM (SELECT {', '.join(_MS)}, 1 AS a, 0 AS b FROM l UNION ALL SELECT {', '.join(_MS)}, 0, 1 FROM r) GROUP BY {', '.join(_MS)})"""
 

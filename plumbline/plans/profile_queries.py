@@ -215,6 +215,12 @@ def key_overlap(s, d):
     return match.overlap(D.table(s, d, "customer"), o, ["c_custkey"])
 
 
+@query("WITH o AS (SELECT DISTINCT CASE WHEN o_orderkey % 3 = 0 THEN o_custkey ELSE o_custkey + 10000000 END AS k FROM orders) SELECT count(DISTINCT c_custkey) AS left_keys, count(DISTINCT c_custkey) FILTER (c_custkey IN (SELECT k FROM o)) AS found, round(100.0::DOUBLE * count(DISTINCT c_custkey) FILTER (c_custkey IN (SELECT k FROM o)) / count(DISTINCT c_custkey), 2) AS share FROM customer")
+def key_overlap_whole(s, d):
+    k = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_custkey")).otherwise(F.col("o_custkey") + 10_000_000)
+    return match.overlap(D.table(s, d, "customer"), D.table(s, d, "orders").select(k.alias("c_custkey")), ["c_custkey"])
+
+
 _RUNS = "WITH v AS (SELECT DISTINCT o_orderkey AS x FROM orders WHERE o_orderkey % 1000 > 30 AND o_custkey % 50 <> 7), g AS (SELECT x, x - row_number() OVER (ORDER BY x) AS g FROM v), runs AS (SELECT min(x) AS low, max(x) AS high, count(*) AS size FROM g GROUP BY g)"
 _holes = lambda s, d: D.table(s, d, "orders").filter("o_orderkey % 1000 > 30 and o_custkey % 50 <> 7")
 
@@ -291,6 +297,11 @@ def key_span(s, d):
     return keys.span(D.table(s, d, "customer").filter("c_custkey % 7 = 3"), "c_name")
 
 
+@query("SELECT count(*) AS rows, count(c_name) AS filled, arg_min(c_name, c_custkey) AS lowest, arg_max(c_name, c_custkey) AS highest FROM customer")
+def key_span_whole(s, d):
+    return keys.span(D.table(s, d, "customer"), "c_name")
+
+
 @query("SELECT 'Customer#' || lpad((max(c_custkey) + 1)::VARCHAR, 9, '0') AS next FROM customer")
 def key_next(s, d):
     return s.createDataFrame([(keys.next_key(D.table(s, d, "customer"), "c_name"),)], "next string")

@@ -175,3 +175,15 @@ def test_possible_kinds_and_span(spark):
     df = spark.createDataFrame([("01/02/24", "A9"), ("05/06/24", "A10"), (None, None)], "d string, k string")
     assert {tuple(r) for r in sniff.possible_kinds(df, "d").collect()} == {("text", None), ("date", "%d/%m/%y")}
     assert tuple(keys.span(df, "k").first()) == (3, 2, "A9", "A10") and tuple(keys.span(df.limit(0), "k").first()) == (0, 0, None, None)
+
+
+def test_whole_tables_are_read(spark):
+    from plumbline.plans import derive, registry
+
+    sf, run = "/root/testdata/sf0.001", registry.queries()
+    assert run["key_span_whole"](spark, sf).first()["rows"] == derive.table(spark, sf, "customer").count()
+    l, r = ([x["o_orderstatus"] for x in side(spark, sf).orderBy("o_orderkey").collect()] for side in (derive.left, derive.right))
+    l, r = (x + [None] * (max(len(l), len(r)) - len(x)) for x in (l, r))
+    got = {x["pos"]: (x["left_status"], x["right_status"]) for x in run["cmp_position_whole"](spark, sf).collect()}
+    assert got == {i: (a, b) for i, (a, b) in enumerate(zip(l, r), 1) if a != b}
+    assert 0 < run["key_overlap_whole"](spark, sf).first()["found"] < derive.table(spark, sf, "customer").count()
