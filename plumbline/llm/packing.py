@@ -3,19 +3,20 @@
 Documents are cut into full windows and one remainder.  The remainders of a task form a multiset of lengths.  Each
 window takes the longest remainder and then, by subset-sum dynamic programming over a bit set, the multiset of other
 lengths that comes closest to its capacity; the counts are found by tracking the bit sets back.  Where no multiset
-fills a window, one more remainder is cut to close it.  Only the last window of a task holds padding.
+fills a window, one more remainder is cut to close it.  What a task has left at its end, less than a window, goes into
+sequences whose lengths are powers of two, which need no padding.
 """
 
 from __future__ import annotations
 
+import struct
 import zlib
 from bisect import bisect_right, insort
 from collections import deque
 
-import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import rows_frame
 from .tokens import encoder
 
 COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
@@ -68,8 +69,10 @@ class Pool:
         return piece
 
     def window(self, capacity: int) -> list[tuple]:
-        out = [self.take(self.lengths[-1])]
-        room = capacity - out[0][2]
+        out, room = [], capacity
+        if self.lengths[-1] <= capacity:
+            out.append(self.take(self.lengths[-1]))
+            room -= out[0][2]
         for length, n in best_fill(self.lengths, self.count, room).items():
             for _ in range(n):
                 out.append(self.take(length))
@@ -87,45 +90,52 @@ class Pool:
 def pack(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = 2048, hold: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Each partition of the scan packs its own documents, so nothing is shuffled; ``hold`` bounds the ids that a task
-    keeps, and what does not fill a window then waits for the next documents.  Null and empty texts have the end id
-    alone; repeated rows are packed as often as they occur; null identifiers stay null; an empty input gives no row."""
+    Each partition of the scan packs its own documents, so nothing is shuffled.  A task keeps at most ``hold`` waiting
+    ids and those of the document at hand; beyond that windows are closed until few are left, and what does not fill a
+    window waits for the next documents.  Null and empty texts have the end id alone; repeated rows are packed as often
+    as they occur; null identifiers stay null; an empty input gives no row."""
+    schema = pa.schema([(c, pa.int64()) for c in COLUMNS])
 
     def run(batches):
         from pyspark import TaskContext
 
-        enc, end, first = encoder(vocabulary), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId() << 32
-        pool, made, held = Pool(), 0, 0
+        enc, end, first = encoder(vocabulary), struct.pack("<I", end_id), TaskContext.get().partitionId() << 32
+        pool, made = Pool(), 0
 
         def emit(window):
             nonlocal made
             offset, rows = 0, []
-            for (doc_id, ids), start, length in window:
-                rows.append((doc_id, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), len(ids) // 4, first + made, offset))
+            for (doc_id, total, cut, ids), start, length in window:
+                own = ids[4 * (start - cut) : 4 * (start - cut + length)]
+                rows.append((doc_id, start, length, zlib.crc32(own), total, first + made, offset))
                 offset += length
             made += 1
             return rows
 
+        def out(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=schema)
+
         rows: list[tuple] = []
-        for pdf in batches:
-            for doc_id, text in zip(pdf["k"], pdf["t"]):
-                ids = enc.encode(text) + end
-                doc, n, start = (None if doc_id is None or doc_id != doc_id else int(doc_id), ids), len(ids) // 4, 0
+        for batch in batches:
+            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1))):
+                ids += end
+                n, start = len(ids) // 4, 0
                 while n - start >= capacity:
-                    rows += emit([(doc, start, capacity)])
+                    rows += emit([((doc_id, n, 0, ids), start, capacity)])
                     start += capacity
-                if start < n:
-                    pool.add((doc, start, n - start))
-                    held += n
-                if held >= hold:
+                if start < n:  # only the tail's ids wait
+                    pool.add(((doc_id, n, start, ids[4 * start :]), start, n - start))
+                if pool.total >= hold:
                     while pool.total >= 32 * capacity:
                         rows += emit(pool.window(capacity))
-                    held = pool.total
                 if len(rows) >= 20_000:
-                    yield rows_frame(rows, COLUMNS, {"doc_id": "Int64"})
+                    yield out(rows)
                     rows = []
-        while pool.total:
+        while pool.total >= capacity:
             rows += emit(pool.window(capacity))
-        yield rows_frame(rows, COLUMNS, {"doc_id": "Int64"})
+        while pool.total:
+            rows += emit(pool.window(1 << pool.total.bit_length() - 1))
+        if rows:
+            yield out(rows)
 
-    return docs.select(F.col(id_col).cast("decimal(20,0)").alias("k"), F.col(text_col).alias("t")).mapInPandas(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).mapInArrow(run, SCHEMA)

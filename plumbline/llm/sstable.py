@@ -15,6 +15,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import open_store, rows_frame, scratch, settle
@@ -169,7 +170,12 @@ class Table:
 
 
 def _pack(ids: bytes, wide: bool) -> bytes:
-    return ids if wide else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
+    if wide:
+        return ids
+    values = np.frombuffer(ids, "<u4")
+    if values.max(initial=0) >> 16:
+        raise ValueError("ids over 65,535 need wide=True")
+    return values.astype("<u2").tobytes()
 
 
 def write_tables(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", wide: bool = False) -> DataFrame:
@@ -184,34 +190,35 @@ def write_tables(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_
     def write(batches):
         from pyspark import TaskContext
 
-        shard, enc, end = TaskContext.get().partitionId(), encoder(vocabulary), np.array([end_id], "<u4").tobytes()
+        shard, enc, end = TaskContext.get().partitionId(), encoder(vocabulary), struct.pack("<I", end_id)
         writer = path = None
-        for pdf in batches:
-            for doc_id, text in zip(pdf["k"], pdf["t"]):
+        for batch in batches:
+            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1))):
                 if writer is None:
                     store, base = open_store(folder)
                     store.create_dir(base)
                     path = f"{shard:06d}-{uuid.uuid4().hex}.sst"
                     stream = store.open_output_stream(f"{base}/{path}")
                     writer = Writer(stream)
-                ids = enc.encode(text) + end
-                writer.add(key_of(None if doc_id is None or doc_id != doc_id else int(doc_id)), _pack(ids, wide), len(ids) // 4)
+                ids += end
+                writer.add(key_of(doc_id), _pack(ids, wide), len(ids) // 4)
         if writer:
             writer.close()
             stream.close()
-            yield rows_frame([(shard, path, writer.n_docs, writer.n_tokens)], ["shard", "path", "n_docs", "n_tokens"])
+            made = [pa.array([shard], pa.int32()), pa.array([path]), pa.array([writer.n_docs]), pa.array([writer.n_tokens])]
+            yield pa.RecordBatch.from_arrays(made, names=["shard", "path", "n_docs", "n_tokens"])
 
-    rows = docs.select(F.col(id_col).cast("decimal(20,0)").alias("k"), F.col(text_col).alias("t"))
+    rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t"))
     rows = rows.withColumn("h", F.xxhash64("t")).withColumn("r", F.monotonically_increasing_id())
     ranged = rows.repartitionByRange(F.col("k").asc_nulls_first(), "h", "r").sortWithinPartitions(F.col("k").asc_nulls_first(), "h", "r")
-    return settle(ranged.select("k", "t").mapInPandas(write, "shard int, path string, n_docs long, n_tokens long"), "manifest")
+    return settle(ranged.select("k", "t").mapInArrow(write, "shard int, path string, n_docs long, n_tokens long"), "manifest")
 
 
 def read_tables(manifest: DataFrame, folder: str, wide: bool = False) -> DataFrame:
     """Per stored document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, shard."""
     before = F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))  # a row a shard
     parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    listed = manifest.withColumn("base", F.coalesce(before, F.lit(0))).repartition(parts, "shard")
+    listed = manifest.withColumn("base", F.coalesce(before, F.lit(0))).repartitionByRange(parts, "shard")  # dealt evenly
 
     def read(batches):
         columns = ["doc_id", "start", "n_tokens", "ids_crc32", "shard"]

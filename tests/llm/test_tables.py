@@ -7,6 +7,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from plumbline.llm import graph, langid, licenses, linededup, mixing, mtree, packing, queries, simhash, sstable, tokens, vectors, warc
@@ -24,8 +25,9 @@ def docs():
 def ids_of(name, text, end):
     from tokenizers import Tokenizer
 
-    tok = ids_of.__dict__.setdefault(name, Tokenizer.from_file(tokens.vocabulary(name)))
-    tok.encode_special_tokens = True
+    if name not in ids_of.__dict__:
+        ids_of.__dict__[name] = Tokenizer.from_file(tokens.vocabulary(name))
+    tok = ids_of.__dict__[name]
     return np.array([*tok.encode(text or "", add_special_tokens=False).ids, end], "<u4").tobytes()
 
 
@@ -33,8 +35,13 @@ def ids_of(name, text, end):
 def test_encoder_equals_the_library(name, docs):
     enc = tokens.encoder(tokens.vocabulary(name))
     odd = ["", " ", "a", "  a  b ", "a\n b", "x\t\ty", "It's we'll'd", "naïve ÇA ŒUVRE İstanbul ß", "é ́a", "日本語 のテキスト", "1,234.50 % $$$", "<|endoftext|> x <|startoftext|>", "a b  c", "end. ", "\x1c a\x85b", "word" * 50, "A.B.C, d", "👍🏽 ok", "tab\x0bvt \x0cff", "don't CAN'T"]
-    for text in [*odd, *[r[1] for r in docs]]:
-        assert enc.encode(text) + np.array([7], "<u4").tobytes() == ids_of(name, text, 7), text[:80]
+    rng = random.Random(5)
+    parts = ["a", "Word", "é", "´", "\u0301", " ", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\0", "\x85", "\u3000", ".", ",", "'s", "'", "$$", "12", "²", "日本", "👍🏽", "<|endoftext|>", "<|startoftext|>", "<|", "×", "ÿ"]
+    odd += ["a <|endoftext|> b", "<|", *["".join(rng.choices(parts, k=rng.randint(1, 9))) for _ in range(3000)]]
+    texts = [*odd, None, *[r[1] for r in docs]]
+    for text, ids in zip(texts, enc.encode_all(pa.array(texts)), strict=True):
+        assert ids + np.array([7], "<u4").tobytes() == ids_of(name, text, 7), text[:80]
+        assert enc.encode(text) == ids
 
 
 def test_op1_round_trip(spark, docs):
@@ -61,6 +68,8 @@ def test_op1_edges_and_lookup(spark):
             found += t.get(sstable.key_of(5))
             assert t.get(sstable.key_of(6)) == []
     assert len(found) == 3
+    with pytest.raises(ValueError):
+        sstable._pack(np.array([70_000], "<u4").tobytes(), wide=False)
     empty = sstable.tokenised_tables(df.limit(0), tokens.vocabulary(tokens.WORD_BPE), 2)
     assert empty.count() == 0
 
@@ -275,7 +284,7 @@ def test_op8_edges_and_large_blocks(spark, monkeypatch):
     assert [r["component_id"] for r in simhash.near_duplicates(twice).collect()] == [5] * 4
 
 
-def check_packing(out, rows, capacity=2048):
+def check_packing(out, rows, capacity=2048, whole=True):
     pieces, seqs = collections.defaultdict(list), collections.defaultdict(list)
     for r in out:
         pieces[r["doc_id"]].append(r)
@@ -290,7 +299,7 @@ def check_packing(out, rows, capacity=2048):
     for s in seqs.values():
         at = 0
         for r in sorted(s, key=lambda r: r["offset"]):
-            assert r["offset"] == at
+            assert r["offset"] == at or not whole
             at += r["length"]
         assert at <= capacity
     return [sum(r["length"] for r in s) for s in seqs.values()]
@@ -298,11 +307,19 @@ def check_packing(out, rows, capacity=2048):
 
 def test_op9_covers_every_id(spark, docs):
     sizes = check_packing(queries.op9_pack_sequences(spark, SF).collect(), [r[:2] for r in docs])
-    assert sum(2048 - s for s in sizes) <= 2048 * 2
-    rows = [(1, None), (2, ""), (3, "word " * 30_000), (-9, "x")]
+    assert all(s == 2048 or s.bit_count() == 1 for s in sizes)  # no padding
+    rows = [(1, None), (2, ""), (3, "word " * 30_000), (-9, "x"), (4, "a <|endoftext|> b")]
     df = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, start int")
     check_packing(packing.pack(df, tokens.vocabulary(tokens.BYTE_BPE), 1).collect(), rows)
     assert packing.pack(df.limit(0), tokens.vocabulary(tokens.BYTE_BPE), 1).count() == 0
+    # null and repeated identifiers, and a pool that must be emptied on the way
+    rows = [(None, "a b"), (None, "a b"), (7, "c " * 3000), (7, "c " * 3000)] + [(100 + i, "d e " * (i % 90)) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    out = packing.pack(df, tokens.vocabulary(tokens.BYTE_BPE), 1, hold=90_000).collect()
+    check_packing([r for r in out if r["doc_id"] and r["doc_id"] >= 100], rows[4:], whole=False)
+    got = collections.Counter((r["doc_id"], r["start"]) for r in out if r["doc_id"] in (None, 7))
+    assert got[None, 0] == got[7, 0] == 2 and sum(r["length"] for r in out if r["doc_id"] is None) == 2 * 3
+    assert sum(r["length"] for r in out) == sum(len(ids_of(tokens.BYTE_BPE, t, 1)) // 4 for _, t in rows)
 
 
 def test_op9_best_fill_is_best():
