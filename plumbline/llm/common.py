@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,14 +15,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder name in the shared folder of ``spark.checkpoint.dir``.
+    """A new folder name under this application's folder in the shared folder of ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (a single machine, as in tests) a temporary folder is chosen and set."""
+    Only where that setting is absent and the master is local, as in tests, a temporary folder is chosen and set; a
+    cluster without the setting is refused, as its executors share no local folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/plumbline-{uuid.uuid4().hex}/{label}"
+    return f"{base.rstrip('/')}/plumbline-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{label}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application, once its results are written elsewhere."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(scratch(spark, "x")).getParent().getParent()
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def free(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:

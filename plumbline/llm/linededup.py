@@ -1,191 +1,119 @@
 """Operator 10: line dedup with a log-template tree.
 
 A line's tokens are its runs of non-blanks; tokens with a digit are variable.  The tree has a fixed depth: a line goes
-to the leaf of its token count and first ``LEAD`` tokens.  In a leaf a line joins the template that agrees with it in
-the most places, at least ``ALIKE`` of them, and tokens that differ become variable; else it founds a template.  Lines
-are taken in a fixed order, the most frequent first.  Templates that recur in at least ``MIN_DOCS`` documents are
-dropped everywhere but at their first occurrence, so that no content is lost altogether.
+to the leaf of its token count and first ``LEAD`` tokens.  Within a leaf, a token behind the lead is fixed at its place
+if at least ``MIN_DOCS`` of the leaf's lines, and at least a share of them, have it there; other places become variable.
+Each share of ``SHARES`` gives a line one template; the one with the fewest fixed places counts that keeps enough of
+them and recurs in at least ``MIN_DOCS`` documents, down to the line itself.  So a template depends on the counts of a
+leaf, not on an order of its lines: a leaf of any size spreads over tasks.  Recurring templates are dropped everywhere
+but at their first occurrence, so that no content is lost altogether.  All of it is DataFrame functions.
 """
 
 from __future__ import annotations
 
-from array import array
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import settle
+from .common import free, settle
 
-LEAD, ALIKE, MIN_DOCS, MIN_TOKENS, INDEXED, PIECE = 3, 0.7, 5, 3, 256, 10_000
+LEAD, ALIKE, MIN_DOCS = 3, 0.7, 5
+SHARES = (4, 16, 64)  # a fixed token is held by at least one in so many lines of its leaf; fewest fixed places first
 VARIABLE = "<*>"
-BLANKS = "[ \\t\\r\\x0B\\f]"
+
+
+def needed(width: Column) -> Column:
+    """Fixed places that a generalised template keeps: ``ALIKE`` of all, half of those behind the lead."""
+    return F.greatest(F.ceil(width * ALIKE), LEAD + F.ceil((width - LEAD) / 2)).cast("int")
 
 
 def masked_lines(text: Column) -> Column:
-    """All lines of a text, their tokens one blank apart and variable ones masked.
-
-    The whole text is rewritten before it is split, so that nothing is worked out again for each use of a line."""
-    plain = F.btrim(F.regexp_replace(text, f"{BLANKS}{{2,}}|[\\t\\r\\x0B\\f]", " "))
-    return F.split(F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, "[^ \\n0-9]*+[0-9][^ \\n]*+", VARIABLE)).otherwise(plain), " ?\n ?")
-
-
-def _leaf(line: Column, lead: int) -> Column:
-    n = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
-    return F.xxhash64(n, F.substring_index(line, " ", lead))
-
-
-class Leaf:
-    """The templates of one leaf: a matrix of token numbers, 0 for variable places.
-
-    A line that joins a template differs from it in at most ``spare`` places.  So of ``spare`` + 1 groups of places after
-    the lead, one agrees throughout: over ``INDEXED`` templates only those found by a group are compared.  The outcome is
-    that of comparing all."""
-
-    def __init__(self, width: int):
-        self.codes, self.rows, self.n = {VARIABLE: 0}, np.zeros((16, width), np.int32), 0
-        spare = sum(k >= ALIKE * width for k in range(width))
-        self.groups = [g.tolist() for g in np.array_split(np.arange(LEAD, width), spare + 1)]
-        #: for each group, by its variable places, by its tokens: templates; entries of earlier states stay
-        self.found = None
-
-    def _enter(self, at: int, before: list[int] | None = None) -> None:
-        row = self.rows[at].tolist()
-        for places, by_kind in zip(self.groups, self.found):
-            key = tuple([row[p] for p in places])
-            if before is None or key != tuple([before[p] for p in places]):
-                by_kind.setdefault(tuple([v != 0 for v in key]), {}).setdefault(key, []).append(at)
-
-    def _candidates(self, row: list[int]) -> np.ndarray | None:
-        """Numbers, ascending, of all templates that the line may join; None: too many to be worth picking."""
-        if self.n <= INDEXED or not all(self.groups):
-            return None
-        if self.found is None:
-            self.found = [{} for _ in self.groups]
-            for at in range(self.n):
-                self._enter(at)
-        lists, n = [], 0
-        for places, by_kind in zip(self.groups, self.found):
-            tokens = [row[p] for p in places]
-            for kind, by_key in by_kind.items():
-                some = by_key.get(tuple([v if fixed else 0 for v, fixed in zip(tokens, kind)]))
-                if some:
-                    lists.append(some)
-                    n += len(some)
-                    if n > self.n // 4:
-                        return None
-        return np.array(sorted(set().union(*lists)), np.int64)
-
-    def place(self, line: str) -> int:
-        tokens = line.split(" ")
-        codes = [self.codes.setdefault(t, len(self.codes)) for t in tokens]
-        row = np.array(codes, np.int32)
-        if self.n:
-            some = self._candidates(codes)
-            known = self.rows[: self.n] if some is None else self.rows[some]
-            if len(known):
-                same = ((known == row) | (known == 0)).sum(axis=1)
-                best = int(same.argmax())
-                if same[best] >= ALIKE * len(row):
-                    best = best if some is None else int(some[best])
-                    before = self.rows[best].tolist() if self.found is not None else None
-                    self.rows[best][self.rows[best] != row] = 0
-                    if before is not None:
-                        self._enter(best, before)
-                    return best
-        if self.n == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[self.n] = row
-        self.n += 1
-        if self.found is not None:
-            self._enter(self.n - 1)
-        return self.n - 1
-
-
-def _templates(least: int):
-    """Lines sorted by (leaf, count descending, line) to (line hash, template) where a template occurs often enough."""
-
-    def close(first: int, hashes: array, places: array, total: list[int]):
-        """A leaf's lines in pieces; the first line's hash tells its templates from those of other leaves."""
-        if max(total) < least:
-            return
-        h, at = np.frombuffer(hashes, np.int64), np.frombuffer(places, np.int32)
-        often = np.array(total)[at] >= least
-        h, at = h[often], at[often]
-        for i in range(0, len(h), PIECE):
-            yield h[i : i + PIECE], np.full(len(h[i : i + PIECE]), first, np.int64), at[i : i + PIECE]
-
-    def leaves(batches):
-        """Pieces leaf by leaf.  Lines are held only until their counts show that a template can occur often enough."""
-        at, held, n_held, leaf = None, [], 0, None
-        for pdf in batches:
-            for key, line, n, h in zip(pdf["leaf"].tolist(), pdf["line"].tolist(), pdf["n"].tolist(), pdf["h"].tolist()):
-                if key != at:
-                    if leaf:
-                        yield from close(first, hashes, places, total)
-                    at, held, n_held, leaf = key, [], 0, None
-                n_held += n
-                held.append((line, n, h))
-                if n_held < least:
-                    continue
-                if leaf is None:
-                    leaf, first, hashes, places, total = Leaf(line.count(" ") + 1), held[0][2], array("q"), array("i"), []
-                for line, n, h in held:
-                    template = leaf.place(line)
-                    hashes.append(h)
-                    places.append(template)
-                    if template == len(total):
-                        total.append(0)
-                    total[template] += n
-                held = []
-        if leaf:
-            yield from close(first, hashes, places, total)
-
-    def run(batches):
-        names, out, n = ["h", "leaf", "template"], [], 0
-        for piece in leaves(batches):
-            out.append(piece)
-            n += len(piece[0])
-            if n > PIECE:
-                yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*out)))))
-                out, n = [], 0
-        yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*out))))) if out else pd.DataFrame(columns=names)
-
-    return run
+    """All lines of a text with their tokens one blank apart, variable ones still to be masked."""
+    plain = F.translate(text, "\t\r\x0b\f", "    ")
+    return F.split(F.when(plain.contains("  "), F.regexp_replace(plain, " {2,}", " ")).otherwise(plain), "\n")
+
+
+def _mask(line: Column) -> Column:
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^ 0-9]*+[0-9][^ ]*+", VARIABLE)).otherwise(line)
+
+
+def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text_hash, at, line: the masked lines with a constant token, a written table."""
+    cut = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.posexplode(masked_lines(F.col(text_col))).alias("at", "raw"))
+    cut = cut.withColumn("line", _mask(F.btrim("raw"))).drop("raw")
+    return settle(cut.filter((F.col("line") != "") & ~F.col("line").rlike("^(<\\*> ?)+$")), "lines")
+
+
+def _leaf() -> list[Column]:
+    width = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
+    return [width.alias("width"), F.substring_index("line", " ", LEAD).alias("lead")]
+
+
+def _names(value: Column, *more: Column) -> Column:
+    """128 bits that tell texts apart."""
+    return F.struct(F.xxhash64(*more, value).alias("a"), F.xxhash64(F.lit("b"), *more, value).alias("b"))
+
+
+def _templates(lines: DataFrame, least: int) -> DataFrame:
+    """line, tier, template of all lines that might recur; the line itself is the last tier.
+
+    A leaf with under ``least`` lines can't hold a recurring template.  A place has at most the greatest of ``SHARES``
+    fixed tokens, so what is known of a leaf is bounded by its width."""
+    leaf = ["width", "lead"]
+    counted = lines.groupBy(*_leaf(), "line").agg(F.count("*").alias("n"))
+    totals = counted.groupBy(leaf).agg(F.sum("n").alias("total"), F.count("*").alias("different"))
+    busy = settle(counted.join(totals.filter(F.col("total") >= least), leaf), "busy")
+    tokens = busy.filter((F.col("different") > 1) & (F.col("width") > LEAD)).select(*leaf, "total", "n", F.posexplode(F.split("line", " ")).alias("at", "token")).filter(F.col("at") >= LEAD)
+    held = tokens.groupBy(*leaf, "at", "token").agg(F.sum("n").alias("held"), F.max("total").alias("total"))
+    held = held.filter((F.col("held") >= least) & (F.col("held") * SHARES[-1] >= F.col("total")))
+    fixed = settle(held.groupBy(leaf).agg(F.collect_list(F.struct("at", "token", "held")).alias("fixed")), "fixed")
+    # by place, so that a token is looked for among those of its place alone
+    places = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.filter("fixed", lambda f: f["at"] == i))
+    fixed = fixed.select(*leaf, places.alias("fixed"))
+    general = busy.filter((F.col("different") > 1) & (F.col("width") > LEAD)).join(fixed, leaf).withColumn("tokens", F.split("line", " "))
+
+    def generalised(tier: int) -> Column:
+        keeps = lambda t, i: (i < LEAD) | F.exists(F.get("fixed", i), lambda f: (f["token"] == t) & (f["held"] * SHARES[tier] >= F.col("total")))
+        kept = F.transform("tokens", lambda t, i: F.when(keeps(t, i), t))
+        return F.struct(F.lit(tier).alias("tier"), kept.alias("kept"))
+
+    tried = general.select("line", "n", "width", F.explode(F.array(*map(generalised, range(len(SHARES))))).alias("made"))
+    enough = F.size(F.array_compact("made.kept")) >= needed(F.col("width"))
+    masked = F.array_join(F.transform("made.kept", lambda t: F.coalesce(t, F.lit(VARIABLE))), " ")
+    tried = tried.filter(enough).select("line", "n", F.col("made.tier").alias("tier"), masked.alias("template"))
+    itself = busy.filter(F.col("n") >= least).select("line", "n", F.lit(len(SHARES)).alias("tier"), F.col("line").alias("template"))
+    both = settle(tried.union(itself).select("line", "n", "tier", _names(F.col("template"), F.col("tier")).alias("template")), "tried")
+    some = both.groupBy("template").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("template")
+    return both.join(some, "template").select(_names(F.col("line")).alias("line"), "tier", "template")
 
 
 def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, drop (positions, ascending): a row for each document that loses a line.
 
-    Identical lines are counted before anything is compared, so a line on a third of all rows is one row of the tree.
-    A leaf is one task's work whatever its size, as each line's template depends on the lines before it."""
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.posexplode(masked_lines(F.col(text_col))).alias("at", "line"))
-    lines = lines.filter(F.col("line").rlike("^[^ ]+" + " [^ ]+" * (MIN_TOKENS - 1))).withColumn("h", F.xxhash64("line"))
-    counted = settle(lines.groupBy("line").agg(F.count("*").alias("n")).withColumn("h", F.xxhash64("line")).withColumn("leaf", _leaf(F.col("line"), LEAD)), "lines")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = counted.repartition(parts, "leaf").sortWithinPartitions("leaf", F.col("n").desc(), "line")
-    named = settle(dealt.mapInPandas(_templates(min_docs), "h long, leaf long, template int"), "templates")
-    seen = settle(lines.select("doc_id", "text_hash", "at", "h").join(named, "h").select("doc_id", "text_hash", "at", "leaf", "template"), "seen")
-    per_doc = seen.groupBy("leaf", "template", "doc_id", "text_hash").agg(F.min("at").alias("at"))
+    Identical lines are counted before anything is compared, so a line on a third of all rows is one row of the tree,
+    and lines, leaves and templates meet again in joins whose large partitions Spark splits."""
+    lines = _lines(docs, id_col, text_col)
+    named = settle(_templates(lines, min_docs), "templates")
+    # what may recur is few against all lines, so it thins them out before anything else is done with them
+    seen = settle(lines.select("doc_id", "text_hash", "at", _names(F.col("line")).alias("line")).join(named, "line").select("doc_id", "text_hash", "at", "tier", "template"), "seen")
+    per_doc = seen.groupBy("template", "doc_id", "text_hash").agg(F.min("at").alias("at"))
     first = F.min(F.struct("doc_id", "text_hash", "at"))
-    often = settle(per_doc.groupBy("leaf", "template").agg(F.count("*").alias("docs"), first.alias("first")).filter(F.col("docs") >= min_docs), "often")
-    # a template on a third of all lines is no hot task: few templates are broadcast, many are joined with splits
-    often = F.broadcast(often) if often.count() <= 20_000 else often
-    lost = seen.join(often, ["leaf", "template"]).filter(~F.struct("doc_id", "text_hash", "at").eqNullSafe(F.col("first")))
+    often = settle(per_doc.groupBy("template").agg(F.count("*").alias("docs"), first.alias("first")).filter(F.col("docs") >= min_docs).select("template", "first"), "often")
+    # lines of one template agree in all templates with fewer fixed places, so each line goes to the first that recurs
+    own = seen.join(often, "template").groupBy("doc_id", "text_hash", "at").agg(F.min_by("first", "tier").alias("first"))
+    lost = own.filter(~F.struct("doc_id", "text_hash", "at").eqNullSafe(F.col("first")))
     return lost.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list("at")).alias("drop"))
 
 
-def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs``, with recurring lines taken out of the text, and ``__lost``, the number of them.
-
-    Lines of under ``MIN_TOKENS`` tokens, blank lines, null and empty texts stay as they are.  A document keeps its
-    row even if no line is left.  Repeated rows (same identifier and text) count as one document and lose the same
-    lines; a null identifier is a value like any other; an empty input gives no row."""
-    drop = dropped_lines(docs, min_docs, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.array_distinct("drop").alias("__drop"))
-    d = docs.withColumn("__h", F.xxhash64(text_col))
-    # a null identifier must find its row: both key columns are made non-null
-    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
-    joined = d.withColumn("__k", key(id_col)).join(drop.withColumn("__k", key("__id")).drop("__id").withColumnRenamed("__hash", "__h"), ["__k", "__h"], "left")
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(F.col("__drop"), i)), "\n")
-    text = F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(kept)
-    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], F.coalesce(F.size("__drop"), F.lit(0)).alias("__lost"))
+def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text", lost_col: str = "__lost") -> DataFrame:
+    """All columns of ``docs``, with recurring lines taken out of the text, and ``lost_col``, the number of them.
+
+    Blank lines, lines of variable tokens alone, null and empty texts stay as they are.  A document keeps its row even
+    if no line is left.  Repeated rows (same identifier and text) count as one document and lose the same lines; a
+    null identifier is a value like any other; an empty input gives no row; a column ``lost_col`` of the input is
+    replaced, any other keeps its values whatever its name."""
+    k, h, drop = (free(docs, c) for c in ("k", "h", "drop"))
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))  # noqa: E731  # a null identifier must find its row
+    gone = dropped_lines(docs, min_docs, id_col, text_col).select(key("doc_id").alias(k), F.col("text_hash").alias(h), F.col("drop").alias(drop))
+    joined = docs.drop(lost_col).withColumn(k, key(id_col)).withColumn(h, F.xxhash64(text_col)).join(gone, [k, h], "left")
+    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(F.col(drop), i)), "\n")
+    text = F.when(F.col(drop).isNull(), F.col(text_col)).otherwise(kept)
+    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns if c != lost_col], F.coalesce(F.size(drop), F.lit(0)).alias(lost_col))
