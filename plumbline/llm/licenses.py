@@ -1,13 +1,15 @@
 """Operator 5: license scans with MinHash bands over overlapping windows, DataFrame functions only.
 
-Five-word shingles are hashed; only those that some template holds can matter, so the others are left out before the
-windows are formed.  Overlapping windows of a few widths get MinHash values; a band is one value, and a window is a
-candidate for each template with an equal value in an equal band.  Candidates are verified exactly: the share of the
-template's shingles that the window holds.
-
-A template of at most half a width's words lies in one of its windows whole.  The least share of a window's shingles
-that a matching template can be is 1/12 (one shingle in 16 words), so the 64 bands find it with probability
-1 - (11/12)^64 > 0.996; longer templates in wider windows have shares over 1/8, hence over 0.9998.
+A text's five-word shingles are hashed and cut into overlapping windows of three sizes.  The bands of a window are its
+least 8, 12 or 16 hashes (bottom-k MinHash: one order of all shingles, drawn without replacement); each band retrieves
+the passages that hold the shingle.  Candidates are verified exactly: the share of the passage's shingles that the
+window holds.  For passages of under eight shingles every shingle is a band, looked for in the window in whose first
+stride it lies.
+
+A window is four strides long and begins at every stride, so a passage of at most three strides and one shingle lies in
+one of them whole.  A passage with ``LEAST`` of its shingles has at least x = 7, 12 or 21 of the w = 16, 32 or 64 there;
+all k bands miss it with probability C(w - x, k) / C(w, k): under 0.0007 for each size; passages of single-shingle
+bands are never missed.
 """
 
 from __future__ import annotations
@@ -16,8 +18,10 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-SHINGLE, BANDS, LEAST = 5, 64, 0.8
-WIDTHS = (16, 40, 128)  # words; a template belongs to the least width of at least twice its words, less a few
+SHINGLE, LEAST, SHORT = 5, 0.8, 7
+BANDS = {4: 8, 8: 12, 16: 16}  # by stride, in shingles; a window has four strides
+STRIDES = tuple(BANDS)
+BROADCAST_ROWS = 100_000  # of passages' shingles; beyond it Spark joins as it sees fit
 
 # The standard wordings of common license notices.
 TEMPLATES = {
@@ -30,7 +34,9 @@ TEMPLATES = {
         "Released under the MIT License.",
         "Licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
+        "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
@@ -44,102 +50,116 @@ TEMPLATES = {
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     ],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
-    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+    ],
+    "Zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution.",
+    ],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "Unlicense": ["This is free and unencumbered software released into the public domain."],
+    "Unlicense": [
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ],
 }
 
 WORD = "[a-z0-9]+"
 
 
+WORD = "[a-z0-9]+"
+
+
 def template_words(text: str) -> list[str]:
     return re.findall(WORD, text.lower())
 
 
 def template_rows(templates: dict[str, list[str]]) -> list[tuple[str, int, int, str]]:
-    """(license, passage, width, shingle); passages over 64 words are cut into pieces of at most 64."""
-    rows = []
+    """(license, passage, stride, shingle); passages of over 49 shingles are cut into pieces.  Stride 0: ``SHORT`` at most."""
+    rows, longest = [], 3 * STRIDES[-1] + 1
     for name, passages in templates.items():
         n = 0
         for passage in passages:
             words = template_words(passage)
-            step = 64 if len(words) > 64 else max(len(words), 1)
-            for at in range(0, len(words), step):
-                part = words[at : at + step]
-                width = next(w for w in WIDTHS if len(part) <= w // 2 or w == WIDTHS[-1])
-                rows += [(name, n, width, " ".join(part[i : i + SHINGLE])) for i in range(len(part) - SHINGLE + 1)]
+            shingles = [" ".join(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)]
+            pieces = -(-len(shingles) // longest)
+            for k in range(pieces):  # pieces of like length
+                part = shingles[len(shingles) * k // pieces : len(shingles) * (k + 1) // pieces]
+                stride = 0 if len(part) <= SHORT else next(s for s in STRIDES if len(part) <= 3 * s + 1)
+                rows += [(name, n, stride, x) for x in part]
                 n += 1
     return rows
 
 
-def _bands(h: Column) -> list[Column]:
-    """The least value of h XOR c for constants c spread over all longs: h is uniform, so each is a random order."""
-    step = (1 << 64) // BANDS
-    as_long = lambda n: n - (1 << 64) if n >= 1 << 63 else n
-    return [F.min(h.bitwiseXOR(F.lit(as_long(i * step + step // 3)).cast("long"))) for i in range(BANDS)]
+def _bound(value: Column, then) -> Column:
+    """``then(value)`` with the value worked out once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _shingles(text: Column) -> Column:
+    """The hashes of a text's shingles, in order."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+
+    def hashed(w: Column) -> Column:
+        at = F.when(F.size(w) >= SHINGLE, F.sequence(F.lit(0), F.size(w) - SHINGLE)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(SHINGLE)]))
+
+    return _bound(words, hashed)
+
+
+def _windows(h: Column, stride: int) -> Column:
+    """(stride, first shingle, the window's shingles) for every window."""
+    starts = F.sequence(F.lit(0), F.floor((F.size(h) - 1) / stride).cast("int"))
+    return F.transform(starts, lambda j: F.struct(F.lit(stride).alias("stride"), (j * stride).alias("at"), F.slice(h, j * stride + 1, 4 * stride).alias("have")))
 
 
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per document and license found: doc_id, license, containment (of the best passage), first_word, windows.
+    """A row per row of ``docs`` and license found: doc_id, license, containment (of the best passage), first_word.
 
     Words are runs of ASCII letters and digits in lower case; a passage counts where a window holds ``least`` of its
-    distinct shingles.  Null and empty texts and those under five words find nothing; repeated rows, which share an
-    identifier, are reported once per identifier; a null identifier is reported as null; an empty input gives no row.
-    The templates' shingles and band values are literals or a table of fixed size, independent of the documents."""
+    distinct shingles; ``first_word`` is the first word of such a passage's first shingle there.  Null and empty texts
+    and those under five words find nothing; repeated rows, also of one or no identifier, are scanned each by itself; an
+    empty input gives no row.  The passages are broadcast up to ``BROADCAST_ROWS`` of their shingles."""
     spark: SparkSession = docs.sparkSession
     rows = template_rows(templates or TEMPLATES)
-    known = spark.createDataFrame(rows, "license string, passage int, width int, shingle string").distinct()
+    known = spark.createDataFrame(rows, "license string, passage int, stride int, shingle string").distinct()
     words5 = F.split("shingle", " ")
-    hashed = known.select("license", "passage", "width", F.xxhash64(*[words5[i] for i in range(SHINGLE)]).alias("h"))
-    values = sorted(r["h"] for r in hashed.select("h").distinct().collect())  # a fixed number
-    templ = hashed.groupBy("license", "passage", "width").agg(F.collect_set("h").alias("template"), F.array(*_bands(F.col("h"))).alias("bands"))
-
-    words = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(WORD), F.lit(0))
-
-    def known_shingles(w: Column) -> Column:
-        """Bound by a lambda, so that a text's words are cut once."""
-        at = F.when(F.size(w) >= SHINGLE, F.sequence(F.lit(0), F.size(w) - SHINGLE)).otherwise(F.array().cast("array<int>"))
-        return F.filter(F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(*[F.get(w, i + j) for j in range(SHINGLE)]).alias("h"))), lambda s: s["h"].isin(values))
-
-    hits = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.get(F.transform(F.array(words), known_shingles), F.lit(0)).alias("hits"))
-    hits = hits.select("doc_id", F.inline("hits"))
-    spans = []
-    for w in WIDTHS:
-        half, last = w // 2, F.floor(F.col("at") / (w // 2))
-        # window k holds the words from k * half on; a shingle must end inside
-        spans.append(F.struct(F.lit(w).alias("width"), last.cast("int").alias("window")))
-        inside = (F.col("at") - (last - 1) * half + SHINGLE <= w) & (last >= 1)
-        spans.append(F.when(inside, F.struct(F.lit(w).alias("width"), (last - 1).cast("int").alias("window"))))
-    windows = hits.select("doc_id", "at", "h", F.explode(F.array(*spans)).alias("s")).filter("s is not null")
-    sketch = windows.groupBy("doc_id", F.col("s.width").alias("width"), F.col("s.window").alias("window")).agg(F.array(*_bands(F.col("h"))).alias("mins"), F.collect_set("h").alias("have"), F.min("at").alias("first_word"))
-    # bands: equal value in an equal band retrieves the template
-    banded = templ.select("license", "passage", "width", "template", F.posexplode("bands").alias("band", "value"))
-    probes = sketch.select("*", F.posexplode("mins").alias("band", "value"))
-    met = probes.join(F.broadcast(banded) if len(rows) * BANDS <= 500_000 else banded, ["width", "band", "value"])
+    hashed = known.select("license", "passage", "stride", F.xxhash64(*[words5[i] for i in range(SHINGLE)]).alias("h"))
+    templ = hashed.groupBy("license", "passage", "stride").agg(F.collect_set("h").alias("template"))
+    lookup = templ.select("license", F.col("stride").alias("kind"), "template", F.explode("template").alias("value"))
+    lookup = F.broadcast(lookup) if len(rows) <= BROADCAST_ROWS else lookup
+
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), _shingles(F.col(text_col)).alias("h")).filter(F.size("h") > 0)
+    windows = texts.select("row", "doc_id", F.explode(F.concat(*[_windows(F.col("h"), s) for s in STRIDES])).alias("w")).select("row", "doc_id", "w.stride", "w.at", "w.have")
+    k = F.when(F.col("stride") == STRIDES[0], BANDS[4]).when(F.col("stride") == STRIDES[1], BANDS[8]).otherwise(BANDS[16])
+    single = F.when(F.col("stride") == STRIDES[0], F.slice("have", 1, STRIDES[0])).otherwise(F.array().cast("array<bigint>"))
+    bands = windows.select("*", F.posexplode(F.concat(single, F.slice(F.sort_array("have"), F.lit(1), k))).alias("band", "value"))
+    first_stride = (F.col("stride") == STRIDES[0]) & (F.col("band") < F.least(F.size("have"), F.lit(STRIDES[0])))
+    met = bands.withColumn("kind", F.when(first_stride, 0).otherwise(F.col("stride"))).join(lookup, ["kind", "value"])
     share = F.size(F.array_intersect("have", "template")) / F.size("template")
-    good = met.withColumn("containment", share).filter(F.col("containment") >= least)
-    good = good.groupBy("doc_id", "license", "width", "window").agg(F.max("containment").alias("containment"), F.min("first_word").alias("first_word"))
-    return good.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.min("first_word").cast("long").alias("first_word"), F.count("*").alias("windows"))
+    first = F.array_min(F.transform("template", lambda t: F.nullif(F.array_position("have", t), F.lit(0)))) + F.col("at") - 1
+    good = met.withColumn("containment", share).filter(F.col("containment") >= least).withColumn("first", first)
+    return good.groupBy("row", "doc_id", "license").agg(F.max("containment").alias("containment"), F.min("first").cast("long").alias("first_word")).drop("row")
 
 
 def oracle(templates: dict[str, list[str]] | None = None) -> str:
     """DuckDB SQL: every window against every passage, by exact containment alone."""
     rows = sorted(set(template_rows(templates or TEMPLATES)))
     values = ", ".join("('{}', {}, {}, '{}')".format(*r) for r in rows)
-    each = " UNION ALL ".join(
-        f"SELECT doc_id, pos, sh, {w} AS width, pos // {w // 2} - k AS win FROM hits, range(2) r(k) WHERE pos // {w // 2} >= k AND pos - (pos // {w // 2} - k) * {w // 2} + {SHINGLE} <= {w}" for w in WIDTHS
-    )
+    wide = " UNION ALL ".join(f"SELECT row, doc_id, sh, pos, {s} AS stride, pos // {s} - k AS win FROM hits, range(4) r(k) WHERE pos // {s} >= k" for s in STRIDES)
     return f"""
-WITH templ(license, passage, width, sh) AS (VALUES {values}),
-sizes AS (SELECT license, passage, width, count(*) AS n FROM templ GROUP BY ALL),
-words AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORD}') AS w FROM documents),
-sh AS (SELECT doc_id, unnest(range(greatest(len(w) - {SHINGLE - 1}, 0))) AS pos, w FROM words),
-grams AS (SELECT doc_id, pos, array_to_string(w[pos + 1:pos + {SHINGLE}], ' ') AS sh FROM sh),
-hits AS (SELECT DISTINCT * FROM grams WHERE sh IN (SELECT sh FROM templ)),
-win AS ({each}),
-firsts AS (SELECT doc_id, width, win, min(pos) AS first_word FROM win GROUP BY ALL),
-met AS (SELECT w.doc_id, w.width, w.win, t.license, t.passage, count(DISTINCT w.sh) AS have FROM win w JOIN templ t USING (width, sh) GROUP BY ALL),
-good AS (SELECT m.doc_id, m.license, m.width, m.win, max(m.have::DOUBLE / s.n) AS containment FROM met m JOIN sizes s USING (license, passage, width) WHERE m.have::DOUBLE / s.n >= {LEAST} GROUP BY ALL)
-SELECT g.doc_id, g.license, max(g.containment) AS containment, min(f.first_word)::BIGINT AS first_word, count(*) AS windows
-FROM good g JOIN firsts f USING (doc_id, width, win) GROUP BY ALL"""
+WITH templ(license, passage, stride, sh) AS (VALUES {values}),
+sizes AS (SELECT license, passage, stride, count(*) AS n FROM templ GROUP BY ALL),
+words AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(lower(text), '{WORD}') AS w FROM documents),
+sh AS (SELECT row, doc_id, unnest(range(greatest(len(w) - {SHINGLE - 1}, 0))) AS pos, w FROM words),
+grams AS (SELECT row, doc_id, pos, array_to_string(w[pos + 1:pos + {SHINGLE}], ' ') AS sh FROM sh),
+hits AS (SELECT * FROM grams WHERE sh IN (SELECT sh FROM templ)),
+met AS (
+  SELECT w.row, w.doc_id, t.license, t.passage, t.stride, w.win, count(DISTINCT w.sh) AS have, min(w.pos) AS first FROM ({wide}) w JOIN templ t USING (stride, sh) GROUP BY ALL
+  UNION ALL
+  SELECT w.row, w.doc_id, t.license, t.passage, t.stride, w.win, count(DISTINCT w.sh), min(w.pos) FROM ({wide}) w JOIN templ t ON t.stride = 0 AND w.stride = {STRIDES[0]} AND t.sh = w.sh
+  GROUP BY ALL HAVING min(w.pos) < {STRIDES[0]} * (w.win + 1))
+SELECT m.doc_id, m.license, max(m.have::DOUBLE / s.n) AS containment, min(m.first)::BIGINT AS first_word
+FROM met m JOIN sizes s USING (license, passage, stride) WHERE m.have::DOUBLE / s.n >= {LEAST} GROUP BY m.row, m.doc_id, m.license"""
