@@ -20,14 +20,14 @@ def _star(pairs: DataFrame, large: bool) -> DataFrame:
     return out.filter("u <> v").distinct()
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (u, v): root is the least node of its component.
 
-    Loops and repeated links are ignored; no links give no row.  Rounds end when a star is all that is left."""
+    Loops and repeated links are ignored; no links give no row.  Rounds end when a star is all that is left, after a
+    number of them that grows with the logarithm of the nodes."""
     pairs, seen = settle(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "pairs"), None
-    for _ in range(rounds):
+    while True:
         now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen or not now[0]:
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).union(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         seen, pairs = now, settle(_star(_star(pairs, True), False), "pairs")
-    raise RuntimeError("components did not settle")

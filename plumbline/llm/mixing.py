@@ -78,7 +78,7 @@ def _cut(queue: DataFrame, budget: int, epochs: int) -> tuple:
         if crossing is None:
             return (high, None, None, None)
         low, high = crossing["low"], crossing["high"]
-        if crossing["n"] <= 100_000 or low == high or len(found) == 1:
+        if crossing["n"] <= 100_000 or low == high:  # least and greatest lie in different bins, so a range always shrinks
             break
     last = copies.filter((F.col("v") >= low) & (F.col("v") <= high))
     order = ["v", "rank", "h", "size"]
@@ -90,11 +90,11 @@ def _cut(queue: DataFrame, budget: int, epochs: int) -> tuple:
 def mix(docs: DataFrame, epochs: int = EPOCHS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
     """A row per document: doc_id, size, source_size, target, taken, copies and the columns ``keep``.
 
-    The order within a source is that of md5(seed, doc_id), then of the size: reruns agree, and rows equal in both
-    are interchangeable.  Null and empty texts have size 0 and take nothing; a null source is a source of its own, the
+    The order within a source is that of md5(seed, doc_id, text): reruns agree, rows of one identifier spread like any
+    others, and rows equal in both are interchangeable.  Null and empty texts have size 0 and take nothing; a null source is a source of its own, the
     last; an empty input gives no row.  A source's rows are summed in buckets of the shuffled order, so a source with
     a third of all rows is no single task."""
-    order = F.md5(F.concat(F.lit(SEED), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
+    order = F.md5(F.concat(F.lit(SEED), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.col(text_col), F.lit(""))))
     rows = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("size"), F.when(F.col(source_col).isNull(), "n").otherwise(F.concat(F.lit("s"), source_col)).alias("key"), order.alias("h"), *keep)
     sized = settle(rows, "sized")
     n = sized.count()
@@ -129,7 +129,7 @@ def oracle() -> str:
     return f"""
 WITH sized AS (
   SELECT doc_id, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size, source,
-         md5('{SEED}' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents),
+         md5('{SEED}' || coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(text, '')) AS h FROM documents),
 totals AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM sized GROUP BY source),
 weighted AS (SELECT *, CASE (rank - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, source_size * {EPOCHS} AS cap FROM totals),
 levels AS (

@@ -22,10 +22,11 @@ from .common import open_store, rows_frame, scratch, settle
 
 SPACE = uuid.UUID("6f2f6a52-7a07-4d0c-9d3e-1c2b7a0f5e11")
 DATE = "1970-01-01T00:00:00Z"  # pages carry no date
-_TAG = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>|<(/?)([a-zA-Z][a-zA-Z0-9]*)[^>]*>|<[!?/][^>]*>", re.S | re.I)
+# what is opened and never closed reaches to the end, so that nothing is read twice
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)[^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
 _BLOCKS = {"p", "div", "br", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "table", "article", "section", "nav", "header", "footer", "title", "head", "body", "html", "blockquote", "pre", "hr", "td", "th", "dd", "dt"}
-_TITLE = re.compile(r"<title[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_TITLE = re.compile(r"<title(?:\s[^<>]*)?>([^<]*)", re.I)
+_LINK = re.compile(r"<a\b[^<>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACES = re.compile(r"[ \t\r\f\v]+")
 
 
@@ -81,7 +82,7 @@ def response(page_id: int | None, url: str | None, page: str | None) -> tuple[li
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(body)
     block = http + body
     return [
-        ("WARC-Type", "response"), ("WARC-Record-ID", record_id("response", page_id, url, digest(body))), ("WARC-Date", DATE), ("WARC-Target-URI", one_line(url or "")),
+        ("WARC-Type", "response"), ("WARC-Record-ID", record_id("response", page_id, url, digest(body))), ("WARC-Date", DATE), *([] if url is None else [("WARC-Target-URI", one_line(url))]),
         ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", digest(body)), ("WARC-Block-Digest", digest(block)), ("X-Page-Id", "" if page_id is None else str(page_id)),
     ], block
 
@@ -95,7 +96,8 @@ def derive(fields: dict[str, str], block: bytes) -> tuple[tuple[list, bytes], tu
     text, title = plain_text(page).encode(), _TITLE.search(page)
     meta = {"title": _SPACES.sub(" ", html.unescape(title[1])).strip() if title else None, "links": [html.unescape(a or b or c) for a, b, c in _LINK.findall(page)], "status": source[0], "headers": source[1:], "html_bytes": len(body), "text_bytes": len(text)}
     meta_block, refers = json.dumps(meta, ensure_ascii=False).encode(), fields["WARC-Record-ID"]
-    shared = [("WARC-Date", fields["WARC-Date"]), ("WARC-Target-URI", fields["WARC-Target-URI"]), ("WARC-Refers-To", refers), ("WARC-Source-Payload-Digest", fields["WARC-Payload-Digest"]), ("X-Page-Id", fields["X-Page-Id"])]
+    uri = [(k, fields[k]) for k in ("WARC-Target-URI",) if k in fields]
+    shared = [("WARC-Date", fields["WARC-Date"]), *uri, ("WARC-Refers-To", refers), ("WARC-Source-Payload-Digest", fields["WARC-Payload-Digest"]), ("X-Page-Id", fields["X-Page-Id"])]
     kind = lambda name, mime, data: ([("WARC-Type", name), ("WARC-Record-ID", record_id(name, refers)), *shared, ("Content-Type", mime), ("WARC-Block-Digest", digest(data))], data)
     return kind("metadata", "application/json", meta_block), kind("conversion", "text/plain", text)
 
@@ -110,7 +112,7 @@ def write_responses(pages: DataFrame, folder: str, id_col: str = "page_id", url_
                 if stream is None:
                     store, base = open_store(folder)
                     store.create_dir(base)
-                    stream = store.open_output_stream(f"{base}/{name}")
+                    stream = store.open_output_stream(f"{base}/{name}", compression=None)
                 stream.write(record(*response(None if page_id is None or page_id != page_id else int(page_id), url, page)))
                 n += 1
         if stream:
@@ -121,6 +123,11 @@ def write_responses(pages: DataFrame, folder: str, id_col: str = "page_id", url_
     return settle(rows.mapInPandas(write, "path string, n long"), "responses")
 
 
+def dealt(manifest: DataFrame, name: str) -> DataFrame:
+    """A manifest's files evenly over the tasks, by ranges of their random names."""
+    return manifest.repartitionByRange(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), name)
+
+
 def write_derivatives(manifest: DataFrame, folder: str) -> DataFrame:
     """For each response file a metadata file and a conversion file; returns (metadata, conversion, n)."""
 
@@ -129,7 +136,7 @@ def write_derivatives(manifest: DataFrame, folder: str) -> DataFrame:
             for path in pdf["path"]:
                 store, base = open_store(folder)
                 names, n = [f"{uuid.uuid4().hex}.{kind}.warc.gz" for kind in ("wat", "wet")], 0
-                with store.open_input_stream(f"{base}/{path}") as source, store.open_output_stream(f"{base}/{names[0]}") as meta, store.open_output_stream(f"{base}/{names[1]}") as text:
+                with store.open_input_stream(f"{base}/{path}", compression=None) as source, store.open_output_stream(f"{base}/{names[0]}", compression=None) as meta, store.open_output_stream(f"{base}/{names[1]}", compression=None) as text:
                     for fields, block in records(source):
                         if fields["WARC-Type"] == "response":
                             a, b = derive(fields, block)
@@ -138,8 +145,7 @@ def write_derivatives(manifest: DataFrame, folder: str) -> DataFrame:
                             n += 1
                 yield rows_frame([(*names, n)], ["metadata", "conversion", "n"])
 
-    parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return settle(manifest.repartition(parts, "path").mapInPandas(write, "metadata string, conversion string, n long"), "derivatives")
+    return settle(dealt(manifest, "path").mapInPandas(write, "metadata string, conversion string, n long"), "derivatives")
 
 
 def read_derivatives(manifest: DataFrame, folder: str) -> DataFrame:
@@ -153,22 +159,21 @@ def read_derivatives(manifest: DataFrame, folder: str) -> DataFrame:
             for meta_path, text_path in zip(pdf["metadata"], pdf["conversion"]):
                 store, base = open_store(folder)
                 out = []
-                with store.open_input_stream(f"{base}/{meta_path}") as meta, store.open_input_stream(f"{base}/{text_path}") as text:
+                with store.open_input_stream(f"{base}/{meta_path}", compression=None) as meta, store.open_input_stream(f"{base}/{text_path}", compression=None) as text:
                     for (a, x), (b, y) in zip(records(meta), records(text), strict=True):
                         if a["WARC-Refers-To"] != b["WARC-Refers-To"] or digest(x) != a["WARC-Block-Digest"] or digest(y) != b["WARC-Block-Digest"]:
                             raise ValueError(f"{a['WARC-Record-ID']} and {b['WARC-Record-ID']} don't belong together or are damaged")
                         facts = json.loads(x)
-                        out.append((int(a["X-Page-Id"]) if a["X-Page-Id"] else None, a["WARC-Target-URI"], a["WARC-Refers-To"], a["WARC-Record-ID"], b["WARC-Record-ID"], b["WARC-Source-Payload-Digest"], facts["title"], len(facts["links"]), len(y), zlib.crc32(y)))
+                        out.append((int(a["X-Page-Id"]) if a["X-Page-Id"] else None, a.get("WARC-Target-URI"), a["WARC-Refers-To"], a["WARC-Record-ID"], b["WARC-Record-ID"], b["WARC-Source-Payload-Digest"], facts["title"], len(facts["links"]), len(y), zlib.crc32(y)))
                 yield rows_frame(out, columns, {"page_id": "Int64"})
 
-    parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.repartition(parts, "metadata").mapInPandas(read, schema)
+    return dealt(manifest, "metadata").mapInPandas(read, schema)
 
 
 def derivatives(pages: DataFrame) -> DataFrame:
     """Write responses, build their derivatives and read those back: a row per page.
 
-    Null pages are empty bodies and null URLs empty; a null page_id stays null; repeated rows repeat their
+    Null pages are empty bodies; a null URL has no header and stays null; a null page_id stays null; repeated rows repeat their
     records, identifiers included; very long pages are one record each; an empty table gives no row."""
     folder = scratch(pages.sparkSession, "warc")
     return read_derivatives(write_derivatives(write_responses(pages, folder), folder), folder)
