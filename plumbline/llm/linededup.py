@@ -18,6 +18,7 @@ from .common import free, settle
 LEAD, ALIKE, MIN_DOCS = 3, 0.7, 5
 SHARES = (4, 16, 64)  # a fixed token is held by at least one in so many lines of its leaf; fewest fixed places first
 VARIABLE = "<*>"
+BROADCAST_LEAVES = 100_000
 
 
 def needed(width: Column) -> Column:
@@ -27,7 +28,8 @@ def needed(width: Column) -> Column:
 
 def masked_lines(text: Column) -> Column:
     """All lines of a text with their tokens one blank apart, variable ones still to be masked."""
-    plain = F.translate(text, "\t\r\x0b\f", "    ")
+    odd = text.contains("\t") | text.contains("\r") | text.contains("\x0b") | text.contains("\f")
+    plain = F.when(odd, F.regexp_replace(text, "[\\t\\r\\x0B\\f]", " ")).otherwise(text)
     return F.split(F.when(plain.contains("  "), F.regexp_replace(plain, " {2,}", " ")).otherwise(plain), "\n")
 
 
@@ -38,8 +40,8 @@ def _mask(line: Column) -> Column:
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, text_hash, at, line: the masked lines with a constant token, a written table."""
     cut = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.posexplode(masked_lines(F.col(text_col))).alias("at", "raw"))
-    cut = cut.withColumn("line", _mask(F.btrim("raw"))).drop("raw")
-    return settle(cut.filter((F.col("line") != "") & ~F.col("line").rlike("^(<\\*> ?)+$")), "lines")
+    constant = F.col("raw").rlike("(?:^| )[^ 0-9]+(?: |$)")  # asked of the raw line, so that masks are made once
+    return settle(cut.filter(constant).withColumn("line", _mask(F.btrim("raw"))).drop("raw"), "lines")
 
 
 def _leaf() -> list[Column]:
@@ -58,17 +60,19 @@ def _templates(lines: DataFrame, least: int) -> DataFrame:
     A leaf with under ``least`` lines can't hold a recurring template.  A place has at most the greatest of ``SHARES``
     fixed tokens, so what is known of a leaf is bounded by its width."""
     leaf = ["width", "lead"]
-    counted = lines.groupBy(*_leaf(), "line").agg(F.count("*").alias("n"))
-    totals = counted.groupBy(leaf).agg(F.sum("n").alias("total"), F.count("*").alias("different"))
-    busy = settle(counted.join(totals.filter(F.col("total") >= least), leaf), "busy")
-    tokens = busy.filter((F.col("different") > 1) & (F.col("width") > LEAD)).select(*leaf, "total", "n", F.posexplode(F.split("line", " ")).alias("at", "token")).filter(F.col("at") >= LEAD)
+    lines = lines.select("line", *_leaf())
+    totals = settle(lines.groupBy(leaf).agg(F.count("*").alias("total")).filter(F.col("total") >= least), "leaves")
+    totals = F.broadcast(totals) if totals.count() <= BROADCAST_LEAVES else totals
+    busy = settle(lines.join(totals, leaf).groupBy(*leaf, "line").agg(F.count("*").alias("n"), F.max("total").alias("total")), "busy")
+    several = busy.filter((F.col("n") < F.col("total")) & (F.col("width") > LEAD))
+    tokens = several.select(*leaf, "total", "n", F.posexplode(F.split("line", " ")).alias("at", "token")).filter(F.col("at") >= LEAD)
     held = tokens.groupBy(*leaf, "at", "token").agg(F.sum("n").alias("held"), F.max("total").alias("total"))
     held = held.filter((F.col("held") >= least) & (F.col("held") * SHARES[-1] >= F.col("total")))
     fixed = settle(held.groupBy(leaf).agg(F.collect_list(F.struct("at", "token", "held")).alias("fixed")), "fixed")
     # by place, so that a token is looked for among those of its place alone
     places = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.filter("fixed", lambda f: f["at"] == i))
     fixed = fixed.select(*leaf, places.alias("fixed"))
-    general = busy.filter((F.col("different") > 1) & (F.col("width") > LEAD)).join(fixed, leaf).withColumn("tokens", F.split("line", " "))
+    general = several.join(fixed, leaf).withColumn("tokens", F.split("line", " "))
 
     def generalised(tier: int) -> Column:
         keeps = lambda t, i: (i < LEAD) | F.exists(F.get("fixed", i), lambda f: (f["token"] == t) & (f["held"] * SHARES[tier] >= F.col("total")))
