@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from plumbline.llm import langid, linededup, mixing, packing, simhash, tokens
-from plumbline.llm.common import scratch
+from plumbline.llm.common import free, scratch
 
 #: Least mean probability of the predicted language; below it a text reads like none of the learned languages.
 MIN_SCORE = 0.4
 
 
-def _key(docs: DataFrame) -> DataFrame:
-    """Adds what tells a document apart in joins: its identifier, null made plain, and its text's hash."""
-    return docs.withColumn("__k", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).withColumn("__h", F.xxhash64("text"))
+def _key(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Adds what tells a row apart in joins, under names that are free: its identifier, null made plain, its text's hash
+    and its number among the rows that agree in both, in the order of a hash of all columns."""
+    k, h, n = free(docs, "doc_key"), free(docs, "doc_hash"), free(docs, "doc_nth")
+    keyed = docs.withColumn(k, F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).withColumn(h, F.xxhash64("text"))
+    return keyed.withColumn(n, F.row_number().over(Window.partitionBy(k, h).orderBy(F.xxhash64(*docs.columns)))), [k, h, n]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,30 +24,34 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     net = langid.train(docs)
     if net is None:  # nothing is labelled: only texts without letters are known to be no language
         return docs.filter(F.col("text").rlike("\\p{L}"))
-    out = langid.identify(docs, net, into="__guess")
-    return out.filter((F.col("__guess.lang") != langid.UNKNOWN) & (F.col("__guess.score") >= MIN_SCORE)).select(*docs.columns)
+    guess = free(docs, "guess")
+    out = langid.identify(docs, net, into=guess)
+    return out.filter((F.col(f"{guess}.lang") != langid.UNKNOWN) & (F.col(f"{guess}.score") >= MIN_SCORE)).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Recurring lines go but for their first occurrence; a document goes if nothing is left of it."""
-    out = linededup.drop_recurring(docs)
-    out = out.filter((F.col("__lost") == 0) | F.col("text").rlike("\\S"))
+    lost = free(docs, "lost")
+    out = linededup.drop_recurring(docs, lost_col=lost)
+    out = out.filter((F.col(lost) == 0) | F.col("text").rlike("\\S"))
     return out.select(*[F.length("text").cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the least doc_id."""
-    first = simhash.near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = first.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("one")).select(F.coalesce(F.col("one.doc_id").cast("string"), F.lit("null")).alias("__k"), F.col("one.text_hash").alias("__h"))
-    return _key(docs).join(first, ["__k", "__h"], "left_semi").dropDuplicates(["__k", "__h"]).select(*docs.columns)
+    """One document of each near-duplicate group stays: the one with the least doc_id, then text hash, then row hash."""
+    keyed, (k, h, n) = _key(docs)
+    first = simhash.near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"))
+    first = first.select(F.coalesce(F.col("one.doc_id").cast("string"), F.lit("null")).alias(k), F.col("one.text_hash").alias(h))
+    return keyed.filter(F.col(n) == 1).join(first, [k, h], "left_semi").select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    keyed = _key(docs)
-    taken = mixing.mix(keyed, keep=("__k", "__h")).groupBy("__k", "__h").agg(F.sum("copies").alias("__n")).filter("__n > 0")
-    out = keyed.join(taken, ["__k", "__h"]).dropDuplicates(["__k", "__h"])
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
+    """Each document as often as the mix takes it; of rows with one identifier and text, each by itself."""
+    keyed, (k, h, n) = _key(docs)
+    taken = mixing.mix(keyed, keep=(k, h)).select(k, h, "copies")
+    taken = taken.withColumn(n, F.row_number().over(Window.partitionBy(k, h).orderBy(F.desc("copies")))).filter("copies > 0").withColumnRenamed("copies", free(keyed, "copies"))
+    out = keyed.join(taken, [k, h, n])
+    return out.withColumn(free(out, "copy"), F.explode(F.sequence(F.lit(1), F.col(free(keyed, "copies"))))).select(*docs.columns)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
