@@ -542,3 +542,19 @@ def test_pipeline_stages(spark):
     assert cp.lines(spark, docs, SF2).columns == docs.columns
     out = cp.run(spark, SF).collect()
     assert out and max(r["offset"] + r["length"] for r in out) <= 2048
+
+
+def test_pipeline_edges(spark):
+    import corpus_pipeline as cp
+
+    text = "one two three four five six seven"
+    rows = [(None, text, None, "a", 1, "p"), (None, text, None, "a", 1, "q"), (3, "other words are here for once in a while", None, "a", 1, "r"), (4, None, None, None, None, "s"), (5, "", None, "b", 0, "t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, key string")
+    assert sorted(r["key"] for r in cp.language(spark, df, SF).collect()) == ["p", "q", "r"]  # nothing is labelled
+    kept = cp.near_copies(spark, df, SF).collect()
+    assert len([r for r in kept if r["text"] == text]) == 1 and len(kept) == 3
+    mixed = cp.mixture(spark, df, SF).collect()
+    assert {r["key"] for r in mixed} == {"p", "q", "r"} and set(mixed[0].asDict()) == set(df.columns)
+    for _, stage in cp.STAGES:
+        assert stage(spark, df.limit(0), SF).count() == 0
+        assert stage(spark, df, SF).count() >= 0
