@@ -9,7 +9,7 @@ from statistics import median
 from plumbline.plans import registry
 from plumbline.session import build
 
-NAMES = ["cmp_key_cells", "cmp_key_summary", "cmp_dup_summary", "cmp_multiset_summary", "cmp_value_gaps", "cmp_near_match", "prof_stats", "prof_hist", "obs_outliers", "obs_shapes", "key_uniqueness", "key_islands", "key_search", "sniff_counts"]
+NAMES = ["cmp_key_cells", "cmp_key_summary", "cmp_dup_summary", "cmp_multiset_summary", "cmp_value_gaps", "cmp_near_match", "prof_stats", "prof_hist", "obs_outliers", "obs_shapes", "key_uniqueness", "key_islands", "key_search", "sniff_counts", "prof_stats_lines", "obs_outliers_lines", "key_search_pair"]
 
 
 def main() -> None:

@@ -11,10 +11,19 @@ LETTERS = {"Y": "y", "y": "yy", "m": "M", "d": "d", "b": "MMM", "B": "MMMM", "H"
 
 # The formats tried, in this order, for a text that no format is given for.
 FALLBACK = [
-    "%Y-%m-%d", "%Y/%m/%d", "%d/%m/%Y", "%d-%m-%Y", "%d.%m.%Y", "%d/%m/%y", "%d-%m-%y", "%d-%b-%Y", "%d %b %Y", "%d %B %Y", "%Y%m%d",
-    "%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S", "%d/%m/%Y %H:%M:%S", "%d/%m/%y %H:%M:%S", "%d-%m-%Y %H:%M:%S",
+    "%Y-%m-%d %H:%M:%S.%f", "%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S", "%d/%m/%y %H:%M:%S.%n", "%d/%m/%y %H:%M:%S", "%d/%m/%y", "%d-%m-%y",
+    "%Y-%m-%d", "%Y/%m/%d", "%d/%m/%Y", "%m/%d/%Y", "%d-%m-%Y", "%Y%m%d", "%d-%b-%Y", "%d %b %Y", "%b %d %Y",
 ]
 
+# What a date or time looks like, and the format that reads it.
+PRESETS = {
+    "2026-08-27": "%Y-%m-%d", "27/08/2026": "%d/%m/%Y", "08/27/2026": "%m/%d/%Y", "20260827": "%Y%m%d", "27-08-2026": "%d-%m-%Y", "27.08.2026": "%d.%m.%Y",
+    "27-Aug-2026": "%d-%b-%Y", "27 August 2026": "%d %B %Y", "Aug 27, 2026": "%b %d, %Y", "27/08/26": "%d/%m/%y", "27/08/26 10:11:12": "%d/%m/%y %H:%M:%S",
+    "27/08/26 10:11:12.123456789": "%d/%m/%y %H:%M:%S.%n", "2026-08-27 10:11:12": "%Y-%m-%d %H:%M:%S", "2026-08-27 10:11:12.123": "%Y-%m-%d %H:%M:%S.%g",
+    "2026-08-27 10:11:12.123456": "%Y-%m-%d %H:%M:%S.%f", "2026-08-27T10:11:12": "%Y-%m-%dT%H:%M:%S", "27/08/2026 10:11": "%d/%m/%Y %H:%M",
+    "27/08/2026 10:11:12 PM": "%d/%m/%Y %I:%M:%S %p", "20260827101112": "%Y%m%d%H%M%S",
+}
+
 # Directives without anything between them have all their digits.
 TIGHT = {"Y": "yyyy", "m": "MM", "d": "dd", "H": "HH", "M": "mm", "S": "ss"}
 _SHAPES = {"Y": r"\d{4}", "y": r"\d{2}", "m": r"\d{1,2}", "d": r"\d{1,2}", "b": "[A-Za-z]{3}", "B": "[A-Za-z]+", "H": r"\d{1,2}", "I": r"\d{1,2}", "M": r"\d{1,2}", "S": r"\d{1,2}", "p": "[AaPp][Mm]", "f": r"\d{1,6}", "g": r"\d{1,3}", "n": r"\d{1,9}"}

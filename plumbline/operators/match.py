@@ -24,10 +24,14 @@ def same(a: Column, b: Column) -> Column:
 
 
 def numbered(df: DataFrame, name: str = "__rn__") -> DataFrame:
-    """Adds the row's number in file order, from 1.  Spark numbers partitions in two steps, without one big task."""
-    schema = df.schema.add(name, "long", False)
-    rows = df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1))
-    return df.sparkSession.createDataFrame(rows, schema)
+    """Adds the row's number in file order, from 1, to rows as a scan gives them.
+
+    Spark numbers rows within their partition; the partitions' sizes, a row each, say where each begins."""
+    own = df.withColumn("__part", F.spark_partition_id()).withColumn(name, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + 1)
+    sizes = df.groupBy(F.spark_partition_id().alias("__part")).agg(F.count("*").alias("__size"))
+    before = F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    begins = sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__begins"))
+    return own.join(F.broadcast(begins), "__part").withColumn(name, F.col(name) + F.col("__begins")).select(*df.columns, name)
 
 
 def occurrences(df: DataFrame, keys: Sequence[str], order: Sequence[str], into: str = OCC, together: Sequence[str] = (), hot: int = HOT) -> DataFrame:
@@ -69,7 +73,8 @@ def keyed(left: DataFrame, right: DataFrame, keys: Sequence[str], order: Sequenc
     """A row per pair or one-sided row: keys, __occ__, l and r (structs of the side's columns; null if absent).
 
     ``duplicates``: ``index`` pairs the n-th with the n-th in ``order``; ``first`` keeps a key's first row; ``unique``
-    states that keys are unique, so rows aren't numbered; ``error`` refuses duplicates."""
+    states that keys are unique, so rows aren't numbered, and fails when a key turns out not to be; ``error`` looks for
+    duplicates first and refuses them."""
     if duplicates not in ("index", "first", "unique", "error"):
         raise ValueError(f"duplicates={duplicates!r}")
     if duplicates == "error":
@@ -86,7 +91,9 @@ def keyed(left: DataFrame, right: DataFrame, keys: Sequence[str], order: Sequenc
         both = occurrences(both, [*names, "__side"], ["__ol", "__or"], together=names)
         if duplicates == "first":
             both = both.filter(F.col(OCC) == 1)
-    out = both.groupBy(*names, OCC).agg(F.first(LEFT, ignorenulls=True).alias(LEFT), F.first(RIGHT, ignorenulls=True).alias(RIGHT))
+    out = both.groupBy(*names, OCC).agg(F.first(LEFT, ignorenulls=True).alias(LEFT), F.first(RIGHT, ignorenulls=True).alias(RIGHT), F.greatest(F.count(LEFT), F.count(RIGHT)).alias("__n"))
+    if duplicates == "unique":  # rather an error than rows merged without a word
+        out = out.withColumns({s: F.when(F.col("__n") > 1, F.raise_error(F.lit("a key occurs more than once on one side"))).otherwise(F.col(s)) for s in (LEFT, RIGHT)})
     return out.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], OCC, LEFT, RIGHT)
 
 

@@ -106,8 +106,9 @@ def shapes(df: DataFrame, columns: Sequence[str], top: int = 3) -> DataFrame:
     s = long_counts(df, columns).filter("value is not null").withColumn("shape", shape(F.col("value")))
     s = s.groupBy("column_name", "shape").agg(F.sum("n").alias("n"), F.min("value").alias("example"))
     by = Window.partitionBy("column_name")
-    s = s.withColumn("percent", F.round(100.0 * F.col("n") / F.sum("n").over(by), 2)).withColumn("rank", F.row_number().over(by.orderBy(F.desc("n"), "shape")))
-    return s.filter(F.col("rank") <= top)
+    best = s.withColumn("rank", F.row_number().over(by.orderBy(F.desc("n"), "shape"))).filter(F.col("rank") <= top)
+    totals = F.broadcast(s.groupBy("column_name").agg(F.sum("n").alias("total")))  # a row for each column
+    return best.join(totals, "column_name").select(*s.columns, F.round(100.0 * F.col("n") / F.col("total"), 2).alias("percent"), "rank")
 
 
 def collapsed(shape_text: Column) -> Column:

@@ -35,8 +35,10 @@ def top_values(df: DataFrame, columns: Sequence[str], n: int = 10, least: bool =
     """For each column its n most (least) frequent values, ties by value, null a value, with percent of all rows."""
     by = Window.partitionBy("column_name")
     rank = F.row_number().over(by.orderBy(F.asc("n") if least else F.desc("n"), F.asc_nulls_last("value")))
-    out = long_counts(df, columns).withColumn("percent", F.round(100.0 * F.col("n") / F.sum("n").over(by), 2)).withColumn("rank", rank)
-    return out.filter(F.col("rank") <= n)
+    counts = long_counts(df, columns)
+    top = counts.withColumn("rank", rank).filter(F.col("rank") <= n)  # cut to n before the exchange
+    total = F.broadcast(df.agg(F.count("*").alias("total")))  # one row
+    return top.join(total, how="cross").select(*counts.columns, F.round(100.0 * F.col("n") / F.col("total"), 2).alias("percent"), "rank")
 
 
 def histogram(df: DataFrame, value: Column, bins: int = 20) -> DataFrame:

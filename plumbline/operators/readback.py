@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.values import to_double
 from .diff import Options, with_differences
-from .match import LEFT, OCC, RIGHT
+from .match import LEFT, OCC, RIGHT, occurrences
 
 BUCKETS = ("matched", "same", "differ", "left", "right")
 
@@ -25,8 +25,10 @@ def bucket(matched: DataFrame, name: str, columns: Sequence[str], options: Optio
 
 def frequencies(df: DataFrame, value: Column, n: int, least: bool = False) -> DataFrame:
     """value, n, percent of all rows: the n most (or least) frequent values; ties by value; null is a value."""
-    counts = df.groupBy(value.alias("value")).agg(F.count("*").alias("n")).withColumn("percent", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))), 2))
-    return counts.orderBy(F.asc("n") if least else F.desc("n"), F.asc_nulls_last("value")).limit(n)
+    counts = df.groupBy(value.alias("value")).agg(F.count("*").alias("n"))
+    some = counts.orderBy(F.asc("n") if least else F.desc("n"), F.asc_nulls_last("value")).limit(n)
+    total = F.broadcast(df.agg(F.count("*").alias("total")))  # one row
+    return some.join(total, how="cross").select("value", "n", F.round(100.0 * F.col("n") / F.col("total"), 2).alias("percent"))
 
 
 def value_pairs(cell_rows: DataFrame, n: int = 10) -> DataFrame:
@@ -34,8 +36,9 @@ def value_pairs(cell_rows: DataFrame, n: int = 10) -> DataFrame:
     pairs = cell_rows.groupBy("column_name", "left_value", "right_value").agg(F.count("*").alias("n"))
     by = Window.partitionBy("column_name")
     order = by.orderBy(F.desc("n"), F.asc_nulls_last("left_value"), F.asc_nulls_last("right_value"))
-    out = pairs.withColumn("percent", F.round(100.0 * F.col("n") / F.sum("n").over(by), 2)).withColumn("rank", F.row_number().over(order))
-    return out.filter(F.col("rank") <= n)
+    top = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)  # cut to n before the exchange
+    totals = F.broadcast(pairs.groupBy("column_name").agg(F.sum("n").alias("total")))  # a row for each column
+    return top.join(totals, "column_name").select(*pairs.columns, F.round(100.0 * F.col("n") / F.col("total"), 2).alias("percent"), "rank")
 
 
 def by_key_value(matched: DataFrame, key: str, columns: Sequence[str], options: Options = Options()) -> DataFrame:
@@ -54,7 +57,7 @@ def value_counts(matched: DataFrame, column: str, side: str = "both", filled_onl
         rows = matched.filter(F.col(LEFT).isNotNull() & F.col(RIGHT).isNotNull()).groupBy(l.alias("value"), r.alias("right_value")).agg(F.count("*").alias("n"))
         if filled_only:
             rows = rows.filter("value is not null and right_value is not null")
-        order = [F.desc("n"), F.asc_nulls_last("value"), F.asc_nulls_last("right_value")]
+        order = ["value", "right_value"]
     else:
         sides = [F.struct(l.alias("value"), F.lit(1).alias("a"), F.lit(0).alias("b"), F.col(LEFT).isNotNull().alias("there"))] * (side in ("left", "both"))
         sides += [F.struct(r.alias("value"), F.lit(0).alias("a"), F.lit(1).alias("b"), F.col(RIGHT).isNotNull().alias("there"))] * (side in ("right", "both"))
@@ -62,9 +65,23 @@ def value_counts(matched: DataFrame, column: str, side: str = "both", filled_onl
         rows = rows.withColumn("n", F.col("left_n") + F.col("right_n"))
         if filled_only:
             rows = rows.filter("value is not null")
-        order = [F.desc("n"), F.asc_nulls_last("value")]
-    w = Window.orderBy(*order)  # over distinct values, which the counts have reduced before
-    return rows.withColumn("rank", F.row_number().over(w)).withColumn("running", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        order = ["value"]
+    return ranked(rows, order)
+
+
+def ranked(rows: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Adds rank and running total by ``n``, the greatest first, ties by ``order`` with null last.
+
+    Values of one count are numbered by :func:`occurrences`, which splits large groups; where each count begins follows
+    from a table of counts, of which N rows have under 2 * sqrt(N) different ones."""
+    nulls = [f"__null{i}" for i in range(len(order))]
+    marked = rows.withColumns({m: F.col(c).isNull() for m, c in zip(nulls, order)})
+    own = occurrences(marked, ["n"], [x for pair in zip(nulls, order) for x in pair], "__own")
+    before = Window.orderBy(F.desc("m")).rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(F.col("n").alias("m")).agg(F.count("*").alias("k"))
+    starts = starts.select("m", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("rows_before"), F.coalesce(F.sum(F.col("m") * F.col("k")).over(before), F.lit(0)).alias("sum_before"))
+    out = own.join(starts, F.col("n") == F.col("m"))
+    return out.select(*rows.columns, (F.col("rows_before") + F.col("__own")).cast("int").alias("rank"), (F.col("sum_before") + F.col("__own") * F.col("n")).alias("running"))
 
 
 def search(counts: DataFrame, text: str) -> DataFrame:

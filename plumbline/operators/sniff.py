@@ -44,7 +44,7 @@ def looks_like(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
     return out
 
 
-def formats_that_read(df: DataFrame, column: str, formats: Sequence[str] = tuple(dates.FALLBACK)) -> DataFrame:
+def formats_that_read(df: DataFrame, column: str, formats: Sequence[str] = tuple(dates.PRESETS.values())) -> DataFrame:
     """format, n, share of filled values it reads, best first."""
     v = df.select(null_fold(F.col(column).cast("string")).alias("v")).filter("v is not null").groupBy("v").agg(F.count("*").alias("n"))
     row = v.agg(F.sum("n").alias("filled"), *[F.coalesce(F.sum(F.when(dates.parse(F.col("v"), f).isNotNull(), F.col("n"))), F.lit(0)).alias(f"f{i}") for i, f in enumerate(formats)])
@@ -52,7 +52,7 @@ def formats_that_read(df: DataFrame, column: str, formats: Sequence[str] = tuple
     return long.filter("n > 0").withColumn("share", F.round(F.col("n") / F.col("filled"), 4)).drop("filled")
 
 
-def possible_kinds(df: DataFrame, column: str, formats: Sequence[str] = tuple(dates.FALLBACK)) -> DataFrame:
+def possible_kinds(df: DataFrame, column: str, formats: Sequence[str] = tuple(dates.PRESETS.values())) -> DataFrame:
     """kind, format: every way to read the column that fits 98 % of its filled values; text always does.
 
     A format with a four-digit year is left out where its two-digit twin fits too."""
@@ -61,5 +61,5 @@ def possible_kinds(df: DataFrame, column: str, formats: Sequence[str] = tuple(da
     plain = plain.filter((F.col("kind") == "text") | ((F.col("filled") > 0) & (F.col("n") >= SHARE * F.col("filled")))).select("kind", F.lit(None).cast("string").alias("format"))
     fits = formats_that_read(df, column, formats).filter(F.col("share") >= SHARE).select("format")
     twins = fits.filter(F.col("format").contains("%y")).select(F.replace("format", F.lit("%y"), F.lit("%Y")).alias("format"))
-    stamp = F.when(F.col("format").contains("%H"), "timestamp").otherwise("date")
+    stamp = F.when(F.col("format").rlike("%[HI]"), "timestamp").otherwise("date")
     return plain.union(fits.join(F.broadcast(twins), "format", "left_anti").select(stamp.alias("kind"), "format"))

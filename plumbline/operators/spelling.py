@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Words that stand for "nothing".
-PLACEHOLDERS = ("n/a", "na", "none", "null", "nil", "unknown", "unk", "tbd", "tba", "test", "dummy", "xxx", "-", "--", ".", "?", "missing", "not available", "not applicable", "undefined", "blank", "empty")
+PLACEHOLDERS = ("n/a", "na", "#n/a", "null", "none", "nil", "unknown", "tbd", "tba", "-", "--", "?", "??", "xx", "xxx", "test", "dummy", "missing", "not set", "not applicable", "undefined", "blank")
 
 
 def fingerprint(text: Column) -> Column:

@@ -28,11 +28,13 @@ class Result:
     keys: list[str]
     columns: list[str]
     options: diff.Options = diff.Options()
+    only_left_columns: tuple[str, ...] = ()
+    only_right_columns: tuple[str, ...] = ()
 
     def summary(self) -> dict:
         row = diff.summary(self.matched, self.columns, self.options).first().asDict()
-        verdict = diff.verdict(row["matched"], row["only_left"], row["only_right"], row["diff_rows"])
-        return {"schema_version": 1, "verdict": verdict, **row, "diff_percent": percent_text(row["diff_rows"], row["matched"])}
+        verdict = diff.verdict(row["matched"], row["only_left"], row["only_right"], row["diff_rows"], len(self.only_left_columns) + len(self.only_right_columns))
+        return {"schema_version": 1, "verdict": verdict, **row, "columns_only_left": list(self.only_left_columns), "columns_only_right": list(self.only_right_columns), "diff_percent": percent_text(row["diff_rows"], row["matched"])}
 
     def write(self, folder: str) -> dict:
         """cells, left_only and right_only as Parquet and CSV, and summary as JSON text; returns the summary."""

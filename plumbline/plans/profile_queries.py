@@ -49,7 +49,7 @@ def canon_date(s, d):
 
 @query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS stamp FROM events")
 def canon_timestamp(s, d):
-    return D.table(s, d, "events").select("event_id", V.canon_timestamp(F.date_format("ts", "dd/MM/yyyy HH:mm:ss")).alias("stamp"))
+    return D.table(s, d, "events").select("event_id", V.canon_timestamp(F.date_format("ts", "dd/MM/yyyy HH:mm:ss"), ["%d/%m/%Y %H:%M:%S"]).alias("stamp"))
 
 
 @query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'true' WHEN 1 THEN 'false' WHEN 2 THEN 'true' ELSE 'maybe' END AS flag FROM orders")
@@ -81,6 +81,15 @@ def prof_stats(s, d):
     return profile.statistics(D.table(s, d, "customer"), _P, ["c_custkey", "c_nationkey"])
 
 
+_LP = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus"]
+_LN = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
+@query(" UNION ALL ".join(_STAT.replace("FROM customer", "FROM (SELECT * REPLACE (l_quantity::DECIMAL(18,2) AS l_quantity) FROM lineitem)").format(c=c, **({"lo": f"min({c})", "hi": f"max({c})", "mean": f"round(avg({c}), 4)"} if c in _LN else {"lo": "NULL", "hi": "NULL", "mean": "NULL"})) for c in _LP))
+def prof_stats_lines(s, d):
+    return profile.statistics(D.table(s, d, "lineitem").withColumn("l_quantity", F.col("l_quantity").cast("decimal(18,2)")), _LP, _LN)
+
+
 def _freq(order: str) -> str:
     return "WITH f AS (" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, {c}::VARCHAR AS value, count(*) AS n FROM customer GROUP BY 2" for c in ("c_nationkey", "c_mktsegment")) + f"), g AS (SELECT *, round(100.0::DOUBLE * n / sum(n) OVER (PARTITION BY column_name), 2) AS percent, row_number() OVER (PARTITION BY column_name ORDER BY n {order}, value NULLS LAST)::INTEGER AS rank FROM f) SELECT * FROM g WHERE rank <= 5"
 
@@ -182,6 +191,15 @@ def obs_outliers(s, d):
     return out.select("column_name", "filled", "lowest", "highest", "zeros", "negatives", *[F.round(f"p{p}", 6).alias(f"p{p}") for p in observe.PERCENTS], F.round("deviation", 4).alias("deviation"), "below", "above", "left_out")
 
 
+_LINE_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount"]
+
+
+@query(" UNION ALL ".join(f"""SELECT q.*, (SELECT count(*) FROM lineitem WHERE {c} < p25 - 1.5 * (p75 - p25)) AS below, (SELECT count(*) FROM lineitem WHERE {c} > p75 + 1.5 * (p75 - p25)) AS above FROM (SELECT '{c}' AS column_name, count(x) AS filled, min(x) AS lowest, max(x) AS highest, {_Q} FROM (SELECT {c} AS x FROM lineitem)) q""" for c in _LINE_NUMBERS))
+def obs_outliers_lines(s, d):
+    out = observe.outliers(D.table(s, d, "lineitem"), _LINE_NUMBERS)
+    return out.select("column_name", "filled", "lowest", "highest", *[F.round(f"p{p}", 6).alias(f"p{p}") for p in observe.PERCENTS], "below", "above")
+
+
 @query("""WITH s AS (SELECT 'p_brand' AS column_name, regexp_replace(regexp_replace(p_brand, '\\p{L}', 'A', 'g'), '[0-9]', '9', 'g') AS shape, count(*) AS n, min(p_brand) AS example FROM part GROUP BY 2 UNION ALL SELECT 'p_name', regexp_replace(regexp_replace(p_name, '\\p{L}', 'A', 'g'), '[0-9]', '9', 'g'), count(*), min(p_name) FROM part GROUP BY 2),
 r AS (SELECT *, round(100.0::DOUBLE * n / sum(n) OVER (PARTITION BY column_name), 2) AS percent, row_number() OVER (PARTITION BY column_name ORDER BY n DESC, shape)::INTEGER AS rank FROM s) SELECT * FROM r WHERE rank <= 3""")
 def obs_shapes(s, d):
@@ -265,9 +283,18 @@ def spell_fingerprint(s, d):
     return spelling.fingerprint_groups(D.table(s, d, "part").select(F.when(k == 0, F.upper(t)).when(k == 1, F.concat(t, F.lit("."))).otherwise(t).alias("v")), "v")
 
 
-@query("""WITH c AS (SELECT n_name AS value, n_regionkey::VARCHAR AS other, count(*) AS n FROM nation GROUP BY 1, 2) SELECT other, count(*) AS forms, sum(n)::BIGINT AS n, arg_max(value, (n, value)) AS top FROM c GROUP BY 1 HAVING count(*) > 1""")
+@query("""WITH t AS (SELECT o_orderkey // 100 AS batch, o_orderkey % 100 AS place, o_orderstatus AS status, o_orderpriority AS urgency FROM orders),
+c AS (SELECT * FROM (VALUES """ + ", ".join(f"('{','.join(c)}', (SELECT count(DISTINCT ({', '.join(c)},)) FROM t))" for c in (("batch",), ("place",), ("status",), ("urgency",), ("batch", "place"), ("batch", "status"), ("batch", "urgency"), ("place", "status"), ("place", "urgency"), ("status", "urgency"))) + """) v(columns, distinct_values))
+SELECT columns, distinct_values FROM c WHERE distinct_values = (SELECT count(*) FROM t)""")
+def key_search_pair(s, d):
+    k = F.col("o_orderkey")
+    t = D.table(s, d, "orders").select(F.floor(k / 100).alias("batch"), (k % 100).alias("place"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("urgency"))
+    return s.createDataFrame([(",".join(c.columns), c.distinct) for c in keys.search(t)], "columns string, distinct_values long")
+
+
+@query("""WITH c AS (SELECT c_name AS value, c_nationkey::VARCHAR AS other, count(*) AS n FROM customer GROUP BY 1, 2) SELECT other, count(*) AS forms, sum(n)::BIGINT AS n, arg_max(value, (n, value)) AS top FROM c GROUP BY 1 HAVING count(*) > 1""")
 def spell_same(s, d):
-    return spelling.same_other(D.table(s, d, "nation"), "n_name", "n_regionkey")
+    return spelling.same_other(D.table(s, d, "customer"), "c_name", "c_nationkey")
 
 
 @query("SELECT 'p_name' AS column_name, word, count(*) AS n FROM (SELECT CASE p_partkey % 4 WHEN 0 THEN 'n/a' WHEN 1 THEN 'unknown' END AS word FROM part) WHERE word IS NOT NULL GROUP BY 2")
@@ -342,13 +369,13 @@ def obs_dependencies(s, d):
     return s.createDataFrame(observe.dependencies(t, _DM), "a string, b string")
 
 
-@query("SELECT '%d/%m/%Y' AS format, count(*) FILTER (o_orderkey % 2 = 0) AS n, round(count(*) FILTER (o_orderkey % 2 = 0)::DOUBLE / count(*), 4) AS share FROM orders UNION ALL SELECT '%Y-%m-%d', count(*) FILTER (o_orderkey % 2 <> 0), round(count(*) FILTER (o_orderkey % 2 <> 0)::DOUBLE / count(*), 4) FROM orders")
+@query("WITH t AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%d/%m/%Y') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS v FROM orders) SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS format, count(try_strptime(v, '{f}')) AS n, round(count(try_strptime(v, '{f}'))::DOUBLE / count(*), 4) AS share FROM t" for f in dates.PRESETS.values()) + ") WHERE n > 0")
 def sniff_formats(s, d):
     x = F.col("o_orderdate")
     t = D.table(s, d, "orders").select(F.when(F.col("o_orderkey") % 2 == 0, F.date_format(x, "dd/MM/yyyy")).otherwise(F.date_format(x, "yyyy-MM-dd")).alias("day"))
     return sniff.formats_that_read(t, "day")
 
 
-@query("SELECT 'text' AS kind, NULL::VARCHAR AS format UNION ALL SELECT 'timestamp', '%d/%m/%Y %H:%M:%S'")
+@query("SELECT 'text' AS kind, NULL::VARCHAR AS format UNION ALL SELECT 'timestamp', '%d/%m/%Y %H:%M'")
 def sniff_possible(s, d):
-    return sniff.possible_kinds(D.table(s, d, "orders").select(F.date_format("o_orderdate", "dd/MM/yyyy HH:mm:ss").alias("at")), "at")
+    return sniff.possible_kinds(D.table(s, d, "orders").select(F.date_format("o_orderdate", "dd/MM/yyyy HH:mm").alias("at")), "at")

@@ -29,7 +29,11 @@ def as_text(df: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Source:
-    """A side: a path, table or query, read options, and the cut of rows (where, order, limit)."""
+    """A side: a path, table or query, read options, and the cut of rows (where, order, limit).
+
+    ``multi_line``: quoted fields of a CSV file may hold line feeds, which makes the file one task; a large file without
+    such fields is read in many with False.  ``jdbc`` takes Spark's own options; with ``partitionColumn``, its bounds and
+    ``numPartitions`` the query is read by several tasks."""
 
     path: str | None = None
     kind: str | None = None
@@ -45,6 +49,7 @@ class Source:
     names: dict = field(default_factory=dict)
     derived: dict = field(default_factory=dict)
     jdbc: dict = field(default_factory=dict)
+    multi_line: bool = True
     query: str | None = None
 
     @classmethod
@@ -57,7 +62,9 @@ class Source:
     def read(self, spark: SparkSession) -> DataFrame:
         if self.query is not None:
             options = {"fetchsize": "50000"} | self.jdbc
-            return as_text(spark.read.format("jdbc").options(**options).option("query", read_only(self.query)).load())
+            reader, query = spark.read.format("jdbc").options(**options), read_only(self.query)
+            # Spark takes a query with a partition column only as a derived table
+            return as_text((reader.option("dbtable", f"({query}) q") if "partitionColumn" in options else reader.option("query", query)).load())
         kind = self.kind or kind_of(self.path or "")
         if kind == "table":
             return as_text(spark.table(self.path))
@@ -66,7 +73,7 @@ class Source:
         if kind in ("json", "jsonl"):
             return as_text(spark.read.option("primitivesAsString", True).option("multiLine", kind == "json").json(self.path))
         reader = spark.read.option("header", self.header).option("sep", self.delimiter).option("quote", self.quote).option("escape", self.quote).option("encoding", self.encoding)
-        df = reader.option("multiLine", True).option("inferSchema", False).option("enforceSchema", True).csv(self.path)
+        df = reader.option("multiLine", self.multi_line).option("inferSchema", False).option("enforceSchema", True).csv(self.path)
         for c in df.columns if self.null_values else []:
             df = df.withColumn(c, F.when(~F.col(c).isin(*self.null_values), F.col(c)))
         return df

@@ -1,15 +1,16 @@
-"""Strict reading of delimited text: rows wider than the header are set aside, shorter ones are filled up.
+"""Strict reading of delimited text: rows wider than expected are set aside, shorter ones are filled up.
 
-Spark reads the lines; rows are cut by its CSV parser with room for more fields than the header has, so a row's width
-is known without a parser of our own."""
+Spark's CSV reader splits the rows and keeps the text of each whose number of fields isn't the header's; that text says
+how wide the row is, so rows of any width are counted and none loses a field."""
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-KEEP = 10_000  # set-aside rows kept for a look; all are counted
+from ..operators.match import numbered
 
 
 @dataclass
@@ -17,20 +18,47 @@ class Strict:
     rows: DataFrame
     set_aside: DataFrame
     widths: DataFrame
+    expected: int
 
+    def page(self, offset: int = 0, n: int = 50) -> DataFrame:
+        """Set-aside rows by record number."""
+        return self.set_aside.orderBy("record").offset(offset).limit(n)
 
-def read_strict(spark: SparkSession, path: str, delimiter: str = ",", quote: str = '"', room: int = 20) -> Strict:
-    """rows: fitting rows under the header's names; set_aside: wider rows (width, raw fields); widths: rows by width.
+    def messages(self, most: int = 10) -> list[str]:
+        """What is wrong with the rows that aren't of the expected width, the most frequent widths first."""
+        odd = self.widths.filter(F.col("width") != self.expected).orderBy(F.desc("n"), "width").limit(most).collect()
+        fate = lambda w: "set aside" if w > self.expected else "filled up with nulls"
+        return [f"{r['n']} rows have {r['width']} fields, {self.expected} are expected: {fate(r['width'])}" for r in odd]
 
-    A missing field reads as null, as does an empty one; a width counts fields up to the last that is present."""
-    head = spark.read.option("sep", delimiter).option("quote", quote).option("escape", quote).option("header", True).csv(path).columns
+
+def _unquoted(raw: Column, quote: str) -> Column:
+    q = re.escape(quote)
+    return F.regexp_replace(raw, f"{q}(?:[^{q}]|{q}{q})*+{q}", "")
+
+
+def modal_width(widths: DataFrame) -> int | None:
+    """The most frequent width, the lesser among equals."""
+    row = widths.orderBy(F.desc("n"), "width").first()
+    return row["width"] if row else None
+
+
+def read_strict(spark: SparkSession, path: str, delimiter: str = ",", quote: str = '"', multi_line: bool = True) -> Strict:
+    """rows: fitting rows under the header's names; set_aside: record (its number in file order, from 1), width, problem
+    and raw text of the others; widths: rows by width.
+
+    Empty and missing fields read as null and count towards the width where their delimiters are written.  A row with
+    an unclosed quote is set aside.  ``multi_line``: quoted fields may hold line feeds; a file is then one task."""
+    reader = spark.read.option("sep", delimiter).option("quote", quote).option("escape", quote).option("header", True)
+    head = reader.csv(path).columns
     n = len(head)
-    schema = ", ".join(f"f{i} string" for i in range(n + room))
-    wide = spark.read.schema(schema).option("sep", delimiter).option("quote", quote).option("escape", quote).option("multiLine", True).option("header", True).option("enforceSchema", True).option("emptyValue", "\u0000").option("nullValue", "\u0001").option("mode", "PERMISSIVE").csv(path)
-    fields = F.array(*[f"f{i}" for i in range(n + room)])
-    width = F.size(F.filter(fields, lambda x: x.isNotNull()))
-    wide = wide.withColumn("width", width)
-    value = lambda i: F.when(F.col(f"f{i}") != "\u0000", F.col(f"f{i}"))
-    rows = wide.filter(F.col("width") <= n).select(*[value(i).alias(c) for i, c in enumerate(head)])
-    aside = wide.filter(F.col("width") > n).select("width", F.array_join(F.filter(fields, lambda x: x.isNotNull()), delimiter).alias("raw"))
-    return Strict(rows, aside.limit(KEEP), wide.groupBy("width").agg(F.count("*").alias("n")))
+    schema = ", ".join(f"f{i} string" for i in range(n)) + ", raw string"
+    read = reader.schema(schema).option("multiLine", multi_line).option("enforceSchema", True).option("columnPruning", False).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "raw").csv(path)
+    bare = _unquoted(F.col("raw"), quote)
+    width = F.when(F.col("raw").isNull(), n).otherwise((F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit("")))) / len(delimiter) + 1)
+    width = F.coalesce(width.cast("int"), F.length("f0"))  # never the latter; Spark refuses to read ``raw`` alone
+    read = numbered(read, "record").withColumn("width", width).withColumn("open", F.coalesce(bare.contains(quote), F.lit(False)))
+    fits = (F.col("width") <= n) & ~F.col("open")
+    rows = read.filter(fits).select(*[F.col(f"f{i}").alias(c) for i, c in enumerate(head)])
+    problem = F.when(F.col("open"), "a quote is not closed").otherwise("more fields than the header")
+    aside = read.filter(~fits).select("record", "width", problem.alias("problem"), "raw")
+    return Strict(rows, aside, read.groupBy("width").agg(F.count("*").alias("n")), n)

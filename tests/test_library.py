@@ -130,11 +130,62 @@ def test_sources(spark, tmp_path):
         load.kind_of("x.doc")
 
 
+def test_strict_keeps_every_field(spark, tmp_path):
+    (tmp_path / "w.csv").write_text('a,b,c\n1,,3,4\n5,"x, ""y""",7\n8\n9,,\n1,2,3,,,\n"open,2,3\n')
+    s = strict.read_strict(spark, str(tmp_path / "w.csv"), multi_line=False)
+    assert sorted(tuple(r) for r in s.rows.collect()) == [("5", 'x, "y"', "7"), ("8", None, None), ("9", None, None)]
+    assert [(r["record"], r["width"], r["raw"]) for r in s.page(0, 2).collect()] == [(1, 4, "1,,3,4"), (5, 6, "1,2,3,,,")]
+    assert [r["problem"] for r in s.page(2, 5).collect()] == ["a quote is not closed"]
+    assert strict.modal_width(s.widths) == 3 and len(s.messages()) == 3
+
+
+def test_unique_match_refuses_repeated_keys(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b")], "id int, v string")
+    with pytest.raises(Exception, match="more than once"):
+        match.keyed(df, df.limit(1), ["id"], ["v"], "unique").collect()
+
+
+def test_fixed_lists():
+    from plumbline.functions import dates
+    from plumbline.operators import keys, spelling
+
+    assert len(dates.FALLBACK) == 16 and dates.FALLBACK[10] == "%m/%d/%Y" and dates.FALLBACK[-1] == "%b %d %Y"
+    assert {"#n/a", "??", "not set"} <= set(spelling.PLACEHOLDERS) and "empty" not in spelling.PLACEHOLDERS
+    assert "isin" in keys.ID_WORDS and "nav" in keys.MEASURE_WORDS and "etag" in keys.HASH_WORDS
+
+
+def test_ranks_and_gaps_over_ranges(spark, monkeypatch):
+    from plumbline.operators import keys, readback
+
+    monkeypatch.setattr(keys, "RANGE", 10)
+    numbers = [x for x in range(-500, 3000) if x % 97 and not 40 < x < 75] + [10**15, 10**15 + 1]
+    df = spark.createDataFrame([(x,) for x in numbers], "x long")
+    runs, want = sorted(tuple(r)[:2] for r in keys.islands(df, df["x"]).collect()), []
+    for x in numbers:
+        if want and want[-1][1] == x - 1:
+            want[-1] = (want[-1][0], x)
+        else:
+            want.append((x, x))
+    assert runs == want
+    gaps = sorted(((b[0] - a[1] - 1, a[1] + 1, b[0] - 1) for a, b in zip(want, want[1:])), key=lambda g: (-g[0], g[1]))[:20]
+    assert [(r["size"], r["low"], r["high"]) for r in keys.gaps(df, df["x"]).collect()] == gaps
+    rows = [(f"v{i}" if i else None, 1 + i % 7) for i in range(200)]
+    got = {r["value"]: (r["rank"], r["running"]) for r in readback.ranked(spark.createDataFrame(rows, "value string, n long"), ["value"]).collect()}
+    total = 0
+    for rank, (value, n) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0] is None, r[0] or "")), 1):
+        total += n
+        assert got[value] == (rank, total)
+
+
 def test_guard():
-    assert guard.read_only("select 'drop' -- x\nfrom t;") == "select 'drop' -- x\nfrom t"
+    assert guard.read_only("select 'drop' -- x\nfrom t;") == "select 'drop'  \nfrom t"
     for bad in ("drop table t", "select 1; select 2", "select * into x from t", "with a as (select 1) delete from t"):
         with pytest.raises(ValueError):
             guard.read_only(bad)
+    for fine in ("SELECT replace(a, 'x', 'y') FROM t", "select [drop], \"a;b\" from t where offset_set = 1"):
+        assert guard.read_only(fine) == fine
+    assert guard.limited("WITH q AS (SELECT 1 a) SELECT * FROM q", 5, "mssql").startswith("WITH q")
+    assert guard.limited("SELECT a FROM t", 5, "mssql") == "SELECT TOP 5 * FROM (SELECT a FROM t) q"
     assert guard.limited("select 1", 5, "oracle").endswith("FETCH FIRST 5 ROWS ONLY") and "***" in guard.redacted("jdbc:x://u:pw@h password=abc")
 
 
@@ -147,6 +198,35 @@ def test_config_run(spark, tmp_path):
     assert (got["matched"], got["only_right"], got["cell_diffs"], got["verdict"]) == (2, 1, 1, "Differences")
     assert cli.run(spark, config | {"pairs": [{"keys": ["no"]}]}) == 2
     assert cli.run(spark, config | {"right": config["left"]}) == 0
+    (tmp_path / "x.csv").write_text("id,v,w\n1,a,1\n2,b,2\n")
+    assert cli.run(spark, config | {"right": {"path": f"{tmp_path}/x.csv"}}) == 1  # a column on one side alone
+    # a side's own filter of a column stands in for the common one
+    keep = {"filters": {"both": ["v in (zz)"], "left": ["v in (a, b)"], "right": ["v in (a, c)"], "sql": {"right": "id < 3"}}}
+    got = cli.compare(spark, config | keep).summary()
+    assert (got["matched"], got["only_left"], got["only_right"]) == (2, 0, 0)
+
+
+def test_folders_and_file_order(spark, tmp_path):
+    for side, name, text in (("a", "One.csv", "id,v\n1,x\n1,b\n"), ("b", "one.csv", "id,v\n1,x\n1,b\n"), ("b", "two.csv", "id,v\n")):
+        (tmp_path / side).mkdir(exist_ok=True)
+        (tmp_path / side / name).write_text(text)
+    config = {"folders": {"left": f"{tmp_path}/a", "right": f"{tmp_path}/b", "pattern": "*.csv"}, "keys": ["id"]}
+    assert cli.run(spark, config) == 1  # two.csv has no counterpart
+    assert cli.run(spark, config | {"folders": config["folders"] | {"pattern": "one*"}}) == 0
+    pairs, alone = cli.folder_pairs(spark, config)
+    assert len(pairs) == 1 and len(alone) == 1
+    # duplicates pair in file order, not in the order of their values
+    (tmp_path / "b" / "one.csv").write_text("id,v\n1,x\n1,c\n")
+    result = cli.compare(spark, {"left": {"path": f"{tmp_path}/a/One.csv"}, "right": {"path": f"{tmp_path}/b/one.csv"}, "keys": ["id"]})
+    assert result.summary()["cell_diffs"] == 1
+
+
+def test_tied_pairs(spark):
+    from plumbline.operators import keys
+
+    df = spark.createDataFrame([(i, f"c{i % 40}", f"C{i % 40}", i // 40) for i in range(400)], "n int, a string, b string, c int")
+    assert frozenset(("a", "b")) in keys.tied_pairs(df, ["a", "b", "c"], 400) and frozenset(("a", "c")) not in keys.tied_pairs(df, ["a", "b", "c"], 400)
+    assert sorted(k.columns for k in keys.search(df, ["a", "b", "c"])) == [("a", "c"), ("b", "c")]
 
 
 def test_hot_keys_are_numbered_in_ranges(spark, monkeypatch):
