@@ -10,6 +10,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .common import settle
+
 WINDOW, WIDTHS, FILTERS = 512, (2, 3, 4), 16
 SAMPLE_PER_LANG, EPOCHS, BATCH, RATE = 800, 5, 64, 0.01
 #: So many times the sample may be candidates for it, so that documents without letters leave enough of them.
@@ -130,6 +132,8 @@ def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, id_col: str = "doc_i
     # a row for each language, as many as the net has classes
     share = F.least(F.lit(1.0), SPARE * per_lang / F.count("*"))
     bound = rows.groupBy("lang").agg((share * 2.0**64 - 2.0**63).alias("bound"))
+    bound = settle(bound, "bounds")
+    bound = F.broadcast(bound) if bound.count() <= 10_000 else bound  # a join by language would move all texts
     rows = rows.join(bound, "lang").filter((F.col("h").cast("double") <= F.col("bound")) & F.col("text").rlike(LETTER))
     start = F.pmod(F.xxhash64("id", F.lit("window")), F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1) + 1
     rows = rows.select("lang", "h", F.substring("text", start.cast("int"), F.lit(WINDOW)).alias("part"))
