@@ -46,12 +46,12 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; of rows with one identifier and text, each by itself."""
-    keyed, (k, h, n) = _key(docs)
-    taken = mixing.mix(keyed, keep=(k, h)).select(k, h, "copies")
-    taken = taken.withColumn(n, F.row_number().over(Window.partitionBy(k, h).orderBy(F.desc("copies")))).filter("copies > 0").withColumnRenamed("copies", free(keyed, "copies"))
-    out = keyed.join(taken, [k, h, n])
-    return out.withColumn(free(out, "copy"), F.explode(F.sequence(F.lit(1), F.col(free(keyed, "copies"))))).select(*docs.columns)
+    """Each document as often as the mix takes it.  Rows that agree in every column are one row, taken as often as all."""
+    k, h, n = free(docs, "doc_key"), free(docs, "doc_hash"), free(docs, "doc_copies")
+    keyed = docs.withColumn(k, F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64("text"))).withColumn(h, F.xxhash64(*docs.columns))
+    taken = mixing.mix(keyed, keep=(k, h)).groupBy(k, h).agg(F.sum("copies").alias(n)).filter(F.col(n) > 0)
+    out = keyed.join(taken, [k, h]).dropDuplicates([k, h])
+    return out.withColumn(free(out, "copy"), F.explode(F.sequence(F.lit(1), F.col(n).cast("int")))).select(*docs.columns)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
