@@ -21,6 +21,12 @@ INDEX = "dim int, shard int, n int, medoid int, vectors binary, edges binary, me
 FOUND = "query_id long, rid long, vec_id long, other long, score double"
 
 
+def narrowed(*arrays: np.ndarray) -> list[np.ndarray]:
+    """The arrays in single precision, times the one power of two that brings the greatest magnitude below 1."""
+    top = max(float(np.abs(a).max(initial=0)) for a in arrays)
+    return [np.ldexp(a, -int(np.frexp(top)[1])).astype(np.float32) for a in arrays]
+
+
 def beam_search(x: np.ndarray, edges: np.ndarray, start: int, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """For each row of q: the ids and squared distances of its beam, nearest first (-1: none)."""
     b, r = len(q), np.arange(len(q))[:, None]
@@ -76,7 +82,7 @@ def robust_prune(x: np.ndarray, points: np.ndarray, cand: np.ndarray, degree: in
 def build(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA, seed: int = 3) -> tuple[np.ndarray, int]:
     """(edges, medoid).  Missing edges are len(x)."""
     n, rng = len(x), np.random.default_rng(seed)
-    x = x.astype(np.float32)
+    [x] = narrowed(x)
     medoid = int(((x - x.mean(axis=0)) ** 2).sum(axis=1).argmin())
     edges = np.full((n + 1, degree), n)
     if n > 1:
@@ -120,9 +126,10 @@ def _answer(k: int, beam: int):
         edges = np.frombuffer(row["edges"], "<i4").reshape(row["n"] + 1, -1)
         ids, rids, _ = members_of([row["members"]])
         members = ids, rids, np.concatenate([[0], np.cumsum(np.frombuffer(row["sizes"], "i4"))])
-        q, narrow = np.array(queries["v"].tolist(), np.float64), x.astype(np.float32)
+        q = np.array(queries["v"].tolist(), np.float64)
+        narrow, narrow_q = narrowed(x, q)
         for i in range(0, len(q), BATCH):
-            found, _ = beam_search(narrow, edges, int(row["medoid"]), q[i : i + BATCH].astype(np.float32), max(beam, 2 * k))
+            found, _ = beam_search(narrow, edges, int(row["medoid"]), narrow_q[i : i + BATCH], max(beam, 2 * k))
             for own, cand in enumerate(found):
                 cand = cand[cand >= 0]
                 d = np.sqrt(((x[cand] - q[i + own]) ** 2).sum(axis=1))

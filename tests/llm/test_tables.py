@@ -336,6 +336,11 @@ def test_op7_recall_and_edges(spark):
     out = sorted(((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in graph.nearest_neighbours(df).collect()), key=lambda r: (r[0], r[1], r[3]))
     assert out == brute_vectors(keep, lambda a, b: math.sqrt(sum((p - q) ** 2 for p, q in zip(a, b))), 10, 100)
     assert graph.nearest_neighbours(df.limit(0)).count() == 0
+    for scale in (1e25, 1e-25):  # beyond what single precision could square
+        small = [(i, [scale * (i % 13), scale * (i % 7), scale]) for i in range(90)]
+        got = sorted(((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in graph.nearest_neighbours(spark.createDataFrame(small, "vec_id long, embedding array<double>")).collect()))
+        want = brute_vectors(small, lambda a, b: math.sqrt(sum((p - q) ** 2 for p, q in zip(a, b))), 10, 100)
+        assert [g[3] for g in got] == pytest.approx([w[3] for w in want], rel=1e-12)
 
 
 def brute_simhash(rows):
