@@ -7,7 +7,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .profile import long_counts
+from .profile import long_counts, quantiles
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
@@ -75,15 +75,17 @@ PERCENTS = (1, 5, 25, 50, 75, 95, 99)
 def outliers(df: DataFrame, numbers: Sequence[str]) -> DataFrame:
     """For each number column: quantiles, fences at 1.5 interquartile ranges, rows outside, zeros, negatives, deviation.
 
-    NaN, infinities and magnitudes from 1e150 on are counted apart.  Quantiles are exact, from counts of values."""
+    NaN, infinities and magnitudes from 1e150 on are counted apart.  Quantiles are exact, from counts of values
+    in ranges, so that no task holds a column."""
     long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("x")) for c in numbers]))).filter("x is not null")
     odd = F.isnan("x") | (F.abs("x") >= 1e150)
     counts = long.groupBy("column_name", "x").agg(F.count("*").alias("n"))
     fine = counts.filter(~odd)
     q = fine.groupBy("column_name").agg(
-        F.percentile("x", F.array(*[F.lit(p / 100) for p in PERCENTS]), F.col("n")).alias("q"), F.sum("n").alias("filled"), F.min("x").alias("lowest"), F.max("x").alias("highest"),
+        F.sum("n").alias("filled"), F.min("x").alias("lowest"), F.max("x").alias("highest"),
         F.coalesce(F.sum(F.when(F.col("x") == 0, F.col("n"))), F.lit(0)).alias("zeros"), F.coalesce(F.sum(F.when(F.col("x") < 0, F.col("n"))), F.lit(0)).alias("negatives"), (F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mean"),
     )
+    q = q.join(F.broadcast(quantiles(fine, "column_name", [p / 100 for p in PERCENTS])), "column_name")  # a row for each column
     q = q.select("*", *[F.col("q")[i].alias(f"p{p}") for i, p in enumerate(PERCENTS)]).drop("q")
     q = q.withColumn("low_fence", F.col("p25") - 1.5 * (F.col("p75") - F.col("p25"))).withColumn("high_fence", F.col("p75") + 1.5 * (F.col("p75") - F.col("p25")))
     joined = fine.join(F.broadcast(q.select("column_name", "low_fence", "high_fence", "mean", "filled")), "column_name")
@@ -95,6 +97,23 @@ def outliers(df: DataFrame, numbers: Sequence[str]) -> DataFrame:
     return q.join(beyond, "column_name").join(apart, "column_name")
 
 
+def date_outliers(df: DataFrame, dates: Sequence[str], today: str | None = None) -> DataFrame:
+    """The same for dates and timestamps, as seconds since 1970 without a time zone, with first and last as text and the
+    rows after ``today`` (by default the current date) and before 1900."""
+    now = F.lit(today).cast("date") if today else F.current_date()
+
+    def seconds(c: str) -> Column:
+        d = F.col(c).cast("timestamp_ntz")
+        return F.date_diff(d.cast("date"), F.lit("1970-01-01").cast("date")) * 86400.0 + F.hour(d) * 3600 + F.minute(d) * 60 + F.extract(F.lit("SECOND"), d).cast("double")
+
+    out = outliers(df.select(*[seconds(c).alias(c) for c in dates]), dates).drop("lowest", "highest", "zeros", "negatives", "deviation", "left_out", "mean")
+    entry = lambda c: F.struct(F.lit(c).alias("column_name"), F.col(c).cast("timestamp_ntz").alias("d"))
+    ends = df.select(F.inline(F.array(*map(entry, dates)))).groupBy("column_name").agg(
+        F.min("d").cast("string").alias("first"), F.max("d").cast("string").alias("last"), F.count_if(F.col("d").cast("date") > now).alias("future"), F.count_if(F.year("d") < 1900).alias("before_1900")
+    )
+    return out.join(F.broadcast(ends), "column_name")  # a row for each column
+
+
 def shape(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, "\\p{L}", "A"), "[0-9]", "9")
 
@@ -111,6 +130,20 @@ def shapes(df: DataFrame, columns: Sequence[str], top: int = 3) -> DataFrame:
     return best.join(totals, "column_name").select(*s.columns, F.round(100.0 * F.col("n") / F.col("total"), 2).alias("percent"), "rank")
 
 
+def odd_shapes(df: DataFrame, columns: Sequence[str], least: float = 90, n: int = 3) -> DataFrame:
+    """For columns of which one shape covers ``least`` percent of the filled rows, but not all: that shape, its percent,
+    the rows of other shapes, the ``n`` least values among them and whether there are more."""
+    v = long_counts(df, columns).filter("value is not null").withColumn("shape", shape(F.col("value")))
+    sizes = v.groupBy("column_name", "shape").agg(F.sum("n").alias("n"))
+    top = sizes.groupBy("column_name").agg(F.min_by("shape", F.struct((-F.col("n")).alias("m"), "shape")).alias("top"), F.max("n").alias("top_n"), F.sum("n").alias("total"))
+    top = top.filter((F.col("top_n") < F.col("total")) & (100 * F.col("top_n") >= least * F.col("total")))  # a row for each column
+    odd = v.join(F.broadcast(top), "column_name").filter(F.col("shape") != F.col("top"))
+    odd = odd.withColumn("rank", F.row_number().over(Window.partitionBy("column_name").orderBy("value"))).filter(F.col("rank") <= n + 1)  # cut before the exchange
+    out = odd.groupBy("column_name", "top", "top_n", "total").agg(F.array_sort(F.collect_list("value")).alias("values"))
+    percent = F.round(100.0 * F.col("top_n") / F.col("total"), 2)
+    return out.select("column_name", F.col("top").alias("shape"), percent.alias("percent"), (F.col("total") - F.col("top_n")).alias("others"), F.slice("values", 1, n).alias("examples"), (F.size("values") > n).alias("more"))
+
+
 def collapsed(shape_text: Column) -> Column:
     """Runs of A and 9 as A+ and 9+."""
     return F.regexp_replace(F.regexp_replace(shape_text, "A{2,}", "A+"), "9{2,}", "9+")

@@ -41,6 +41,26 @@ def top_values(df: DataFrame, columns: Sequence[str], n: int = 10, least: bool =
     return top.join(total, how="cross").select(*counts.columns, F.round(100.0 * F.col("n") / F.col("total"), 2).alias("percent"), "rank")
 
 
+def column_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """For columns that one side alone has: rows, filled, distinct values, the most frequent value (the least among
+    equals, null none) and shares of all rows."""
+    n, there = F.col("n"), F.col("value").isNotNull()
+    c = long_counts(df, columns).groupBy("column_name").agg(
+        F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(there, n)), F.lit(0)).alias("filled"), F.count("value").alias("distinct_values"),
+        F.min_by("value", F.when(there, F.struct((-n).alias("m"), "value"))).alias("top"), F.max(F.when(there, n)).alias("top_n"),
+    )
+    percent = lambda x: F.round(100.0 * F.coalesce(x, F.lit(0)) / F.col("rows"), 2)
+    return c.select("column_name", "rows", "filled", percent(F.col("filled")).alias("filled_percent"), "distinct_values", "top", percent(F.col("top_n")).alias("top_percent"))
+
+
+def both_sides(left: DataFrame, right: DataFrame, columns: Sequence[str], numbers: Sequence[str] = ()) -> DataFrame:
+    """For each paired column the shares of nulls and their gap, distinct values and bounds on either side."""
+    facts = ("null_percent", "distinct_values", *(f"{b}_{k}" for k in ("text", "number") for b in ("min", "max")))
+    side = lambda df, tag: statistics(df, columns, numbers).select("column_name", *[F.col(f).alias(f"{tag}_{f}") for f in facts])
+    both = side(left, "left").join(F.broadcast(side(right, "right")), "column_name")  # a row for each column
+    return both.withColumn("null_gap", F.round(F.abs(F.col("left_null_percent") - F.col("right_null_percent")), 2))
+
+
 def histogram(df: DataFrame, value: Column, bins: int = 20) -> DataFrame:
     """bin, low, high, n over equal widths, the last bin closed; values that aren't finite are left out."""
     x = df.select(value.cast("double").alias("x")).filter(F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") != float("inf")))
@@ -152,6 +172,31 @@ def true_rates(df: DataFrame, flag: Column, group: Column) -> DataFrame:
 RANGES = 256
 
 
+def quantiles(counts: DataFrame, group: str, shares: Sequence[float]) -> DataFrame:
+    """group, q: the exact quantiles of each group at ``shares``, between two values by the share of their distance.
+
+    ``counts`` holds each value x of a group once, with its n.  Values are dealt to ranges cut at approximate quantiles;
+    the totals of the ranges say which hold a wanted rank, and only those are sorted, a task each."""
+    cuts = counts.groupBy(group).agg(F.array_distinct(F.percentile_approx("x", [i / RANGES for i in range(1, RANGES)])).alias("cuts"))
+    v = counts.join(F.broadcast(cuts), group).withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("x")))).drop("cuts")
+    by, total = Window.partitionBy(group), F.col("total")
+    sizes = v.groupBy(group, "range").agg(F.sum("n").alias("size"))  # RANGES rows a group at most
+    sizes = sizes.select(group, "range", "size", (F.sum("size").over(by.orderBy("range")) - F.col("size")).alias("ahead"), F.sum("size").over(by).alias("total"))
+    wanted = F.array_distinct(F.array(*[f((total - 1) * s) for s in shares for f in (F.floor, F.ceil)]))
+    sizes = sizes.withColumn("ranks", F.filter(wanted, lambda r: (r >= F.col("ahead")) & (r < F.col("ahead") + F.col("size")))).filter(F.size("ranks") > 0)
+    held = v.join(F.broadcast(sizes), [group, "range"])
+    held = held.withColumn("end", F.sum("n").over(Window.partitionBy(group, "range").orderBy("x")) + F.col("ahead"))
+    hits = held.select(group, "x", "total", F.explode(F.filter("ranks", lambda r: (r >= F.col("end") - F.col("n")) & (r < F.col("end")))).alias("rank"))
+    found = hits.groupBy(group).agg(F.first("total").alias("total"), F.map_from_entries(F.collect_list(F.struct("rank", "x"))).alias("at"))
+
+    def at(share: float) -> Column:
+        place = (total - 1) * share
+        low, high = F.floor(place), F.ceil(place)
+        return F.when(low == high, F.col("at")[low]).otherwise((high - place) * F.col("at")[low] + (place - low) * F.col("at")[high])
+
+    return found.select(group, F.array(*map(at, shares)).alias("q"))
+
+
 def number_bands(df: DataFrame, value: Column, flag: Column, bands: int = 5, order: Sequence[str] = ()) -> DataFrame:
     """Bands of equal row counts by value: band, low, high, n, true_n, rate.
 

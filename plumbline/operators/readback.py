@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.values import to_double
 from .diff import Options, with_differences
 from .match import LEFT, OCC, RIGHT, occurrences
+from .profile import quantiles
 
 BUCKETS = ("matched", "same", "differ", "left", "right")
 
@@ -127,9 +128,59 @@ def paired_rows(matched: DataFrame, keys: Sequence[str], columns: Sequence[str])
     return both.select(*keys, OCC, *[F.col(f"{s}.{c}").alias(f"{p}{c}") for c in columns for s, p in ((LEFT, "a_"), (RIGHT, "b_"))])
 
 
-def medians(matched: DataFrame, column: str) -> DataFrame:
-    """side, filled, median of a number column over each side's rows; values are counted first, so it is exact."""
+def above_below(matched: DataFrame, keys: Sequence[str], columns: Sequence[str], options: Options = Options()) -> DataFrame:
+    """Differing pairs as two rows, A above B: keys, occurrence, side, columns, and ``marks``, the columns that differ."""
+    row = lambda tag, side: F.struct(F.lit(tag).alias("side"), *[F.col(f"{side}.{c}").alias(c) for c in columns])
+    return bucket(matched, "differ", columns, options).select(*keys, OCC, F.col("diffs").alias("marks"), F.inline(F.array(row("A", LEFT), row("B", RIGHT))))
+
+
+def unmatched_samples(matched: DataFrame, keys: Sequence[str], n: int = 3, least: float = 0.9) -> DataFrame:
+    """side, key: the ``n`` least unmatched keys of either side where under ``least`` of the smaller side's rows match,
+    which mostly means that the sides write their keys differently; otherwise no row."""
+    l, r = F.col(LEFT).isNotNull(), F.col(RIGHT).isNotNull()
+    size = matched.agg(F.count_if(l & r).alias("both"), F.least(F.count_if(l), F.count_if(r)).alias("floor"))
+    poor = F.broadcast(size.filter((F.col("floor") > 0) & (F.col("both") < least * F.col("floor"))))  # one row at most
+    text = F.concat_ws(" | ", *[F.coalesce(F.col(k).cast("string"), F.lit("<null>")) for k in keys])
+    some = lambda side, rows: rows.select(F.lit(side).alias("side"), text.alias("key")).orderBy("key").limit(n)
+    return some("left", matched.filter(l & ~r)).union(some("right", matched.filter(r & ~l))).join(poor, how="cross").select("side", "key")
+
+
+def case_probe(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """column_name, exact, folded, ignore_case: the shares of the smaller side's distinct values that the other side
+    has, as written and in upper case; case is to be ignored where folding lifts the share by 0.3 or more to 0.8 or more.
+    Columns with under 5 distinct values on a side are left out.  All values count, not a sample."""
+    tagged = lambda df, tag: df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")) for c in columns])), F.lit(tag).alias("side"))
+    v = tagged(left, 1).union(tagged(right, 2)).filter("v is not null").groupBy("column_name", "v").agg(F.min("side").alias("a"), F.max("side").alias("b"))
+    up = v.groupBy("column_name", F.upper("v").alias("u")).agg(
+        F.min("a").alias("a"), F.max("b").alias("b"), F.count_if(F.col("a") == 1).alias("l"), F.count_if(F.col("b") == 2).alias("r"), F.count_if(F.col("a") < F.col("b")).alias("both")
+    )
+    one, two = F.col("a") == 1, F.col("b") == 2
+    c = up.groupBy("column_name").agg(F.sum("l").alias("l"), F.sum("r").alias("r"), F.sum("both").alias("both"), F.count_if(one).alias("ul"), F.count_if(two).alias("ur"), F.count_if(one & two).alias("ub"))
+    exact, folded = F.col("both") / F.least("l", "r"), F.col("ub") / F.least("ul", "ur")
+    c = c.filter(F.least("l", "r") >= 5)
+    return c.select("column_name", F.round(exact, 4).alias("exact"), F.round(folded, 4).alias("folded"), ((folded >= 0.8) & (folded - exact >= 0.3)).alias("ignore_case"))
+
+
+def _side_numbers(matched: DataFrame, column: str) -> DataFrame:
+    """side, x, n: the finite numbers of a column on either side, counted."""
     x = lambda side: F.struct(F.lit(side).alias("side"), to_double(F.col(f"{side}.{column}").cast("string")).alias("x"))
     long = matched.select(F.inline(F.array(x(LEFT), x(RIGHT)))).filter(F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") < float("inf")))
-    counts = long.groupBy("side", "x").agg(F.count("*").alias("n"))
-    return counts.groupBy("side").agg(F.sum("n").alias("filled"), F.round(F.percentile("x", F.lit(0.5), F.col("n")), 6).alias("median"))
+    return long.groupBy("side", "x").agg(F.count("*").alias("n"))
+
+
+def side_histogram(matched: DataFrame, column: str, bins: int = 20) -> DataFrame:
+    """side, bin, low, high, n: bins of equal width over each side's numbers, the last one closed."""
+    counts = _side_numbers(matched, column)
+    ends = counts.groupBy("side").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))  # two rows at most
+    width = (F.col("hi") - F.col("lo")) / bins
+    at = F.when(F.col("hi") == F.col("lo"), 0).otherwise(F.least(F.floor(F.try_divide(F.col("x") - F.col("lo"), width)), F.lit(bins - 1)))
+    out = counts.join(F.broadcast(ends), "side").groupBy("side", at.cast("int").alias("bin"), "lo", "hi").agg(F.sum("n").alias("n"))
+    high = F.when(F.col("bin") == bins - 1, F.col("hi")).otherwise(F.col("lo") + (F.col("bin") + 1) * width)
+    return out.select("side", "bin", (F.col("lo") + F.col("bin") * width).alias("low"), high.alias("high"), "n")
+
+
+def medians(matched: DataFrame, column: str) -> DataFrame:
+    """side, filled, median of a number column over each side's rows; values are counted first, so it is exact."""
+    counts = _side_numbers(matched, column)
+    filled = counts.groupBy("side").agg(F.sum("n").alias("filled"))
+    return filled.join(F.broadcast(quantiles(counts, "side", [0.5])), "side").select("side", "filled", F.round(F.col("q")[0], 6).alias("median"))  # two rows

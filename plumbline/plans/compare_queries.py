@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import predicates as P
-from ..operators import diff, match, readback
+from ..operators import diff, match, profile, readback
 from ..operators.diff import Options, Rule
 from . import derive as D
 
@@ -266,3 +266,46 @@ def filter_quick(s, d):
 @query(D.SIDES + " SELECT 'l' AS side, count(o_totalprice) AS filled, round(quantile_cont(o_totalprice::DOUBLE, 0.5), 6) AS median FROM l UNION ALL SELECT 'r', count(o_totalprice), round(quantile_cont(o_totalprice::DOUBLE, 0.5), 6) FROM r")
 def cmp_medians(s, d):
     return readback.medians(pairs(s, d), "o_totalprice")
+
+
+@query(_CELLS + ", d AS (SELECT o_orderkey, array_to_string(list_sort(list(column_name)), ',') AS marks FROM cells GROUP BY 1) SELECT o_orderkey, 'A' AS side, " + ", ".join(f"l.{c}" for c in C) + ", marks FROM l JOIN d USING (o_orderkey) UNION ALL SELECT o_orderkey, 'B', " + ", ".join(f"r.{c}" for c in C) + ", marks FROM r JOIN d USING (o_orderkey)")
+def cmp_above_below(s, d):
+    out = readback.above_below(pairs(s, d), ["o_orderkey"], C)
+    return out.select("o_orderkey", "side", *C, F.array_join(F.array_sort("marks"), ",").alias("marks"))
+
+
+_WRITTEN = D.SIDES + ", w AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN lpad(o_orderkey::VARCHAR, 10, '0') ELSE o_orderkey::VARCHAR END AS k FROM l)"
+
+
+@query(_WRITTEN + """, v AS (SELECT o_orderkey::VARCHAR AS k FROM r), n AS (SELECT (SELECT count(*) FROM w JOIN v USING (k)) < 0.9 * least((SELECT count(*) FROM w), (SELECT count(*) FROM v)) AS poor)
+SELECT side, key FROM (SELECT 'left' AS side, k AS key, row_number() OVER (ORDER BY k) AS i FROM w ANTI JOIN v USING (k) UNION ALL SELECT 'right', k, row_number() OVER (ORDER BY k) FROM v ANTI JOIN w USING (k)), n WHERE poor AND i <= 3""")
+def cmp_unmatched_samples(s, d):
+    k = F.col("o_orderkey").cast("string")
+    l = D.left(s, d).select(F.when(F.col("o_orderkey") % 3 == 0, F.lpad(k, 10, "0")).otherwise(k).alias("k"))
+    return readback.unmatched_samples(match.keyed(l, D.right(s, d).select(k.alias("k")), ["k"], [], "unique"), ["k"])
+
+
+@query("""WITH t AS (SELECT c_name AS name, c_mktsegment AS segment FROM customer), u AS (SELECT upper(c_name) AS name, c_mktsegment AS segment FROM customer),
+l AS (SELECT 'name' AS c, name AS v FROM t UNION SELECT 'segment', segment FROM t), r AS (SELECT 'name' AS c, name AS v FROM u UNION SELECT 'segment', segment FROM u),
+x AS (SELECT c, (SELECT count(*) FROM l WHERE l.c = q.c) AS ln, (SELECT count(*) FROM r WHERE r.c = q.c) AS rn, (SELECT count(*) FROM l JOIN r USING (c, v) WHERE l.c = q.c) AS b,
+ (SELECT count(DISTINCT upper(v)) FROM l WHERE l.c = q.c) AS lu, (SELECT count(DISTINCT upper(v)) FROM r WHERE r.c = q.c) AS ru, (SELECT count(DISTINCT upper(l.v)) FROM l JOIN r ON l.c = r.c AND upper(l.v) = upper(r.v) WHERE l.c = q.c) AS ub FROM (VALUES ('name'), ('segment')) q(c))
+SELECT c AS column_name, round(b / least(ln, rn), 4) AS exact, round(ub / least(lu, ru), 4) AS folded, ub / least(lu, ru) >= 0.8 AND ub / least(lu, ru) - b / least(ln, rn) >= 0.3 AS ignore_case FROM x WHERE least(ln, rn) >= 5""")
+def cmp_case_probe(s, d):
+    t = D.table(s, d, "customer")
+    name = lambda x: t.select(x.alias("name"), F.col("c_mktsegment").alias("segment"))
+    return readback.case_probe(name(F.col("c_name")), name(F.upper("c_name")), ["name", "segment"])
+
+
+@query(D.SIDES + ", v AS (SELECT 'l' AS side, o_totalprice::DOUBLE AS x FROM l UNION ALL SELECT 'r', o_totalprice::DOUBLE FROM r), e AS (SELECT side, min(x) AS lo, max(x) AS hi FROM v GROUP BY 1), b AS (SELECT side, least(floor((x - lo) / ((hi - lo) / 12)), 11)::INTEGER AS bin, lo, hi FROM v JOIN e USING (side) WHERE x IS NOT NULL) "
+       "SELECT side, bin, lo + bin * ((hi - lo) / 12) AS low, CASE WHEN bin = 11 THEN hi ELSE lo + (bin + 1) * ((hi - lo) / 12) END AS high, count(*) AS n FROM b GROUP BY side, bin, lo, hi")
+def cmp_side_histogram(s, d):
+    return readback.side_histogram(pairs(s, d), "o_totalprice", 12)
+
+
+_BOTH = ", ".join(f"{tag}.{f} AS {side}_{f}" for tag, side in (("a", "left"), ("b", "right")) for f in ("null_percent", "distinct_values", "min_text", "max_text", "min_number", "max_number"))
+_SIDE = lambda t: " UNION ALL ".join(f"SELECT '{c}' AS column_name, round(100.0::DOUBLE * (count(*) - count({c})) / count(*), 2) AS null_percent, count(DISTINCT {c}) AS distinct_values, min({c}) AS min_text, max({c}) AS max_text, {f'min({c}::DOUBLE)' if c == 'o_totalprice' else 'NULL::DOUBLE'} AS min_number, {f'max({c}::DOUBLE)' if c == 'o_totalprice' else 'NULL::DOUBLE'} AS max_number FROM {t}" for c in C)
+
+
+@query(D.SIDES + f", a AS ({_SIDE('l')}), b AS ({_SIDE('r')}) SELECT a.column_name, {_BOTH}, round(abs(a.null_percent - b.null_percent), 2) AS null_gap FROM a JOIN b USING (column_name)")
+def cmp_both_sides(s, d):
+    return profile.both_sides(D.left(s, d), D.right(s, d), C, ["o_totalprice"])

@@ -379,3 +379,30 @@ def sniff_formats(s, d):
 @query("SELECT 'text' AS kind, NULL::VARCHAR AS format UNION ALL SELECT 'timestamp', '%d/%m/%Y %H:%M'")
 def sniff_possible(s, d):
     return sniff.possible_kinds(D.table(s, d, "orders").select(F.date_format("o_orderdate", "dd/MM/yyyy HH:mm").alias("at")), "at")
+
+
+_SUM = ["c_name", "c_nationkey", "c_mktsegment"]
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS rows, count({c}) AS filled, round(100.0::DOUBLE * count({c}) / count(*), 2) AS filled_percent, count(DISTINCT {c}) AS distinct_values, any_value(t) AS top, round(100.0::DOUBLE * any_value(n) / count(*), 2) AS top_percent FROM customer, (SELECT {c}::VARCHAR AS t, count(*) AS n FROM customer WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1)" for c in _SUM))
+def prof_column_summary(s, d):
+    return profile.column_summary(D.table(s, d, "customer"), _SUM)
+
+
+_DQ = ", ".join(f"round(quantile_cont(x, {p / 100}), 6) AS p{p}" for p in observe.PERCENTS)
+
+
+@query(" UNION ALL ".join(f"""SELECT q.*, (SELECT count(*) FROM lineitem WHERE epoch({c}::TIMESTAMP) < p25 - 1.5 * (p75 - p25)) AS below, (SELECT count(*) FROM lineitem WHERE epoch({c}::TIMESTAMP) > p75 + 1.5 * (p75 - p25)) AS above FROM (SELECT '{c}' AS column_name, count(x) AS filled, {_DQ}, strftime(min(d), '%Y-%m-%d %H:%M:%S') AS first, strftime(max(d), '%Y-%m-%d %H:%M:%S') AS last,
+ count(*) FILTER (d > TIMESTAMP '1997-06-30') AS future, count(*) FILTER (year(d) < 1900) AS before_1900 FROM (SELECT {c}::TIMESTAMP AS d, epoch({c}::TIMESTAMP) AS x FROM lineitem)) q""" for c in ("l_shipdate",)))
+def obs_date_outliers(s, d):
+    out = observe.date_outliers(D.table(s, d, "lineitem"), ["l_shipdate"], "1997-06-30")
+    return out.select("column_name", "filled", *[F.round(f"p{p}", 6).alias(f"p{p}") for p in observe.PERCENTS], "below", "above", "first", "last", "future", "before_1900")
+
+
+@query("""WITH v AS (SELECT CASE WHEN c_custkey % 31 = 0 THEN c_name || '-' || c_nationkey ELSE c_name END AS v FROM customer), s AS (SELECT v, regexp_replace(regexp_replace(v, '\\p{L}', 'A', 'g'), '[0-9]', '9', 'g') AS shape FROM v),
+g AS (SELECT shape, count(*) AS n FROM s GROUP BY 1), t AS (SELECT shape, n FROM g ORDER BY n DESC, shape LIMIT 1), o AS (SELECT DISTINCT v FROM s WHERE shape <> (SELECT shape FROM t))
+SELECT 'name' AS column_name, shape, round(100.0::DOUBLE * n / (SELECT count(*) FROM s), 2) AS percent, (SELECT count(*) FROM s) - n AS others, (SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT v FROM o ORDER BY v LIMIT 3)) AS examples, (SELECT count(*) FROM o) > 3 AS more FROM t""")
+def obs_odd_shapes(s, d):
+    name = F.when(F.col("c_custkey") % 31 == 0, F.concat_ws("-", "c_name", "c_nationkey")).otherwise(F.col("c_name"))
+    out = observe.odd_shapes(D.table(s, d, "customer").select(name.alias("name"), "c_mktsegment"), ["name", "c_mktsegment"])
+    return out.withColumn("examples", F.array_join("examples", "|"))

@@ -267,3 +267,36 @@ def test_whole_tables_are_read(spark):
     got = {x["pos"]: (x["left_status"], x["right_status"]) for x in run["cmp_position_whole"](spark, sf).collect()}
     assert got == {i: (a, b) for i, (a, b) in enumerate(zip(l, r), 1) if a != b}
     assert 0 < run["key_overlap_whole"](spark, sf).first()["found"] < derive.table(spark, sf, "customer").count()
+
+
+def test_quantiles_over_ranges(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    values = {"a": rng.normal(size=3000).round(2), "b": np.repeat([1.0, 5.0, 5.5], [7, 900, 93]), "c": np.array([4.0])}
+    shares = [0.01, 0.05, 0.25, 0.5, 0.75, 0.99]
+    df = spark.createDataFrame([(g, float(x)) for g, xs in values.items() for x in xs], "g string, x double").groupBy("g", "x").agg(F.count("*").alias("n"))
+    for ranges in (256, 4):
+        monkeypatch.setattr(profile, "RANGES", ranges)
+        got = {r["g"]: r["q"] for r in profile.quantiles(df, "g", shares).collect()}
+        assert got == {g: pytest.approx(np.quantile(xs, shares).tolist()) for g, xs in values.items()}
+    assert profile.quantiles(df.limit(0), "g", shares).count() == 0
+
+
+def test_follow_ups_on_small_sides(spark):
+    l, r = sides(spark)
+    m = match.keyed(l, r, ["id"], ["v"])
+    two = [(x["id"], x["side"], x["v"], x["w"], x["marks"]) for x in readback.above_below(m, ["id"], ["v", "w"]).orderBy("id", "side").collect()]
+    assert two == [("1", "A", "a", "10", ["v", "w"]), ("1", "B", "A", "10.0", ["v", "w"]), ("2", "A", None, "20", ["w"]), ("2", "B", None, "21", ["w"])]
+    assert [tuple(x) for x in readback.unmatched_samples(m, ["id"]).collect()] == [("left", "3"), ("right", "4")]  # 4 of 5 match
+    assert readback.unmatched_samples(m, ["id"], least=0.8).count() == 0 and readback.unmatched_samples(match.keyed(l.limit(0), r, ["id"], ["v"]), ["id"]).count() == 0
+    assert {x["side"]: x["n"] for x in readback.side_histogram(m, "w", 1).collect()} == {"l": 5, "r": 5}
+    top = profile.column_summary(spark.createDataFrame([("b",), ("a",), (None,), ("b",), ("a",)], "v string"), ["v"]).first()
+    assert tuple(top) == ("v", 5, 4, 80.0, 2, "a", 40.0)
+    assert profile.column_summary(spark.createDataFrame([(None,)], "v string"), ["v"]).first()["top"] is None
+    odd = spark.createDataFrame([(f"A{i % 10}",) for i in range(95)] + [("zz",), ("b-1",)], "v string")
+    assert tuple(observe.odd_shapes(odd, ["v"]).first()) == ("v", "A9", 97.94, 2, ["b-1", "zz"], False) and observe.odd_shapes(odd, ["v"], least=99).count() == 0
+    assert readback.case_probe(spark.createDataFrame([("a",)], "v string"), spark.createDataFrame([("A",)], "v string"), ["v"]).count() == 0
+    early = spark.createDataFrame([("1899-12-31",), ("2030-01-01",), (None,)], "d string").select(F.col("d").cast("date").alias("d"))
+    x = observe.date_outliers(early, ["d"], "2026-01-01").first()
+    assert (x["filled"], x["future"], x["before_1900"], x["first"]) == (2, 1, 1, "1899-12-31 00:00:00")
