@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.values import ColSpec, canonicalise
-from . import diff, keys, match, pairing, sniff
+from . import diff, keys, match, pairing, readback, sniff
 
 
 @dataclass
@@ -16,6 +16,7 @@ class Plan:
     kinds: dict[str, str]
     key: tuple[str, ...]
     notes: list[str]
+    folded: tuple[str, ...] = ()  # text columns that agree in upper case alone
 
 
 def plan(left: DataFrame, right: DataFrame) -> Plan:
@@ -26,9 +27,17 @@ def plan(left: DataFrame, right: DataFrame) -> Plan:
         x, y = a[p], b[q]
         kinds[p] = "date" if {x, y} <= {"date", "timestamp"} and "date" in (x, y) else "timestamp" if x == y == "timestamp" else "boolean" if x == y == "boolean" else "number" if "number" in (x, y) else "text"
     l, r = sides(left, right, pairs, kinds)
+    text = [p for p, _, _ in pairs if kinds[p] == "text"]
+    folded = tuple(sorted(x["column_name"] for x in readback.case_probe(l, r, text).filter("ignore_case").collect())) if text else ()  # a row a column
+    l, r = fold(l, folded), fold(r, folded)
     found = keys.search_pair(l, r, [p for p, _, _ in pairs])
     notes = [f"{p} reads as {kinds[p]}" for p, _, _ in pairs if kinds[p] != "text"]
-    return Plan(pairs, kinds, found[0].columns if found else (), notes)
+    notes += [f"{p} agrees in upper case" for p in folded]
+    return Plan(pairs, kinds, found[0].columns if found else (), notes, folded)
+
+
+def fold(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    return df.withColumns({c: F.upper(c) for c in columns}) if columns else df
 
 
 def sides(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str, float]], kinds: dict[str, str]) -> tuple[DataFrame, DataFrame]:
@@ -42,7 +51,7 @@ def sides(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str, float]]
 def compare(left: DataFrame, right: DataFrame, made: Plan | None = None) -> tuple[Plan, DataFrame]:
     """The plan and the matched rows; without a key, rows are matched as a whole (every column is the key)."""
     made = made or plan(left, right)
-    l, r = sides(left, right, made.pairs, made.kinds)
+    l, r = (fold(df, made.folded) for df in sides(left, right, made.pairs, made.kinds))
     key = list(made.key or [p for p, _, _ in made.pairs])
     return made, match.keyed(l, r, key, l.columns)
 

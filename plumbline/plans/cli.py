@@ -2,9 +2,10 @@
 
 The configuration holds ``left`` and ``right`` (settings of a source), ``keys``, and optionally ``columns`` (name: rule),
 ``options``, ``filters`` (texts for both, left, right; a side's filters of a column replace the common ones of it; and
-``sql``, an expression for each of both, left, right), ``mode`` (key, position) and ``out``; or ``pairs``, a list of such
+``sql``, an expression for each of both, left, right), ``mode`` (key, position, multiset) and ``out``; or ``pairs``, a list of such
 blocks, each laid over the common ones; or ``folders`` (left, right, pattern, recursive), whose files of equal name are
-pairs and whose other files count as differences.  A pair that fails doesn't stop the others."""
+pairs and whose other files count as differences.  A pair that fails doesn't stop the others.  Over several pairs the
+summaries are also written together in the common ``out``."""
 
 from __future__ import annotations
 
@@ -20,10 +21,10 @@ from ..operators.diff import Options, Rule
 from ..session import build
 from ..sources.guard import redacted
 from ..sources.load import Source, pair_folders
-from .outputs import Result, exit_code
+from .outputs import Counts, Result, exit_code, roll_up
 
 
-def compare(spark: SparkSession, block: dict) -> Result:
+def compare(spark: SparkSession, block: dict) -> Result | Counts:
     position = block.get("mode") == "position"
     sides = []
     for side in ("left", "right"):
@@ -37,6 +38,9 @@ def compare(spark: SparkSession, block: dict) -> Result:
                     raise ValueError("a filter can't hold ';'")
                 df = df.filter(F.expr(raw))
         sides.append(df)
+    if block.get("mode") == "multiset":
+        both = [c for c in sides[0].columns if c in sides[1].columns and c != "__rn__"]
+        return Counts(match.multiset(*sides, both))
     keys = ["__rn__"] if position else list(block["keys"])
     names = [[c for c in s.columns if c != "__rn__"] for s in sides]
     common = [c for c in names[0] if c in names[1] and c not in keys]
@@ -72,11 +76,14 @@ def run(spark: SparkSession, config: dict) -> int:
         block = shared | block
         try:
             result = compare(spark, block)
-            done.append(result.write(block["out"]) if block.get("out") else result.summary())
+            summary = result.write(block["out"]) if block.get("out") else result.summary()
+            done.append({"left": block["left"].get("path"), "right": block["right"].get("path")} | summary)
             print(json.dumps(done[-1]))
         except Exception as e:  # one pair's failure is reported, the others go on
             errors += 1
             print(redacted(f"{type(e).__name__}: {e}".splitlines()[0]), file=sys.stderr)
+    if config.get("out") and len(done) > 1:
+        roll_up(spark, done, config["out"])
     return exit_code(done, len(alone), errors)
 
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import diff
+from ..operators import diff, readback
 
 
 def percent_text(part: int, whole: int) -> str:
@@ -22,6 +22,35 @@ def percent_text(part: int, whole: int) -> str:
     return text
 
 
+def write_table(df: DataFrame, path: str) -> None:
+    """As Parquet, and from that as CSV, so that nothing is worked out twice."""
+    df.write.mode("overwrite").parquet(f"{path}.parquet")
+    df.sparkSession.read.parquet(f"{path}.parquet").write.mode("overwrite").option("header", True).csv(f"{path}.csv")
+
+
+def write_json(spark: SparkSession, value: dict | list, path: str) -> None:
+    spark.createDataFrame([(json.dumps(value),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+@dataclass
+class Counts:
+    """A comparison of rows as a multiset: columns, left_count and right_count."""
+
+    rows: DataFrame
+
+    def summary(self) -> dict:
+        lacks = lambda a, b: F.coalesce(F.sum(F.greatest(F.col(a) - F.col(b), F.lit(0))), F.lit(0))
+        same = F.coalesce(F.sum(F.least("left_count", "right_count")), F.lit(0))
+        row = self.rows.agg(same.alias("matched"), lacks("left_count", "right_count").alias("only_left"), lacks("right_count", "left_count").alias("only_right")).first().asDict()
+        return {"schema_version": 1, "verdict": diff.verdict(**row, diff_rows=0), **row, "diff_rows": 0, "cell_diffs": 0}
+
+    def write(self, folder: str) -> dict:
+        write_table(self.rows.filter("left_count <> right_count"), f"{folder}/row_count_diffs")
+        out = self.summary()
+        write_json(self.rows.sparkSession, out, f"{folder}/summary.json")
+        return out
+
+
 @dataclass
 class Result:
     matched: DataFrame
@@ -36,17 +65,32 @@ class Result:
         verdict = diff.verdict(row["matched"], row["only_left"], row["only_right"], row["diff_rows"], len(self.only_left_columns) + len(self.only_right_columns))
         return {"schema_version": 1, "verdict": verdict, **row, "columns_only_left": list(self.only_left_columns), "columns_only_right": list(self.only_right_columns), "diff_percent": percent_text(row["diff_rows"], row["matched"])}
 
+    def ledger(self) -> DataFrame:
+        """A row for each column: its role (compared, key, only_left, only_right), matched and mismatched pairs."""
+        spark = self.matched.sparkSession
+        found = readback.ledger(diff.cells(self.matched, self.keys, self.columns, self.options), self.matched, self.columns)
+        others = [(c, role) for role, cs in (("key", self.keys), ("only_left", self.only_left_columns), ("only_right", self.only_right_columns)) for c in cs]
+        return found.withColumn("role", F.lit("compared")).unionByName(spark.createDataFrame(others, "column_name string, role string"), allowMissingColumns=True)
+
     def write(self, folder: str) -> dict:
-        """cells, left_only and right_only as Parquet and CSV, and summary as JSON text; returns the summary."""
-        tables = {"cell_diffs": diff.cells(self.matched, self.keys, self.columns, self.options, occurrence=True), "left_only": diff.one_sided(self.matched, "l"), "right_only": diff.one_sided(self.matched, "r")}
+        """cells, left_only, right_only and columns as Parquet and CSV, and summary as JSON text; returns the summary."""
+        tables = {"cell_diffs": diff.cells(self.matched, self.keys, self.columns, self.options, occurrence=True), "left_only": diff.one_sided(self.matched, "l"), "right_only": diff.one_sided(self.matched, "r"), "columns": self.ledger()}
         for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
-            df.sparkSession.read.parquet(f"{folder}/{name}.parquet").write.mode("overwrite").option("header", True).csv(f"{folder}/{name}.csv")
+            write_table(df, f"{folder}/{name}")
         out = self.summary()
-        self.matched.sparkSession.createDataFrame([(json.dumps(out),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/summary.json")
+        write_json(self.matched.sparkSession, out, f"{folder}/summary.json")
         return out
 
 
+def roll_up(spark: SparkSession, results: list[dict], folder: str) -> None:
+    """The summaries of all pairs, as JSON text and as a CSV table."""
+    write_json(spark, results, f"{folder}/summary.json")
+    flat = [{k: "|".join(v) if isinstance(v, list) else v for k, v in r.items()} for r in results]
+    names = list(dict.fromkeys(k for r in flat for k in r))
+    rows = [tuple(None if r.get(k) is None else str(r[k]) for k in names) for r in flat]
+    spark.createDataFrame(rows, ", ".join(f"{k} string" for k in names)).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/summary.csv")
+
+
 def exit_code(results: list[dict], unpaired_files: int = 0, errors: int = 0) -> int:
     if errors:
         return 2

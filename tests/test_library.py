@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import dates, predicates as P, values as V
 from plumbline.operators import auto, diff, keys, match, observe, pairing, profile, readback, sniff, spelling
-from plumbline.plans import cli, outputs
+from plumbline.plans import cli, outputs, profile_run
 from plumbline.sources import guard, load, strict
 
 
@@ -110,8 +110,9 @@ def test_sniff_pair_auto(spark):
     right = spark.createDataFrame([(f"E{i}", f"{i + (i == 7)}.5", "true" if i % 2 else "false", f"2024-03-{1 + i % 28:02d}") for i in range(5, 65)], "EmployeeId string, Salary string, Active string, Hired string")
     assert sniff.looks_like(left, left.columns) == {"emp_id": "text", "salary": "number", "active": "boolean", "hired": "date"}
     assert pairing.norm("Cost Center") == "cost_center"
-    made, summary = auto.run(left, right)
+    made, summary = auto.run(left, right.withColumn("EmployeeId", F.lower("EmployeeId")))
     row = summary.first()
+    assert made.folded == ("emp_id",) and auto.plan(left, right).folded == ()
     assert made.key == ("emp_id",) and (row["matched"], row["only_left"], row["only_right"], row["cell_diffs"]) == (55, 5, 5, 1)
 
 
@@ -300,3 +301,29 @@ def test_follow_ups_on_small_sides(spark):
     early = spark.createDataFrame([("1899-12-31",), ("2030-01-01",), (None,)], "d string").select(F.col("d").cast("date").alias("d"))
     x = observe.date_outliers(early, ["d"], "2026-01-01").first()
     assert (x["filled"], x["future"], x["before_1900"], x["first"]) == (2, 1, 1, "1899-12-31 00:00:00")
+
+
+def test_multiset_mode_ledger_and_roll_up(spark, tmp_path):
+    (tmp_path / "l.csv").write_text("id,v\n1,a\n1,a\n2,b\n")
+    (tmp_path / "r.csv").write_text("id,v,w\n1,a,0\n2,b,0\n2,c,0\n")
+    base = {"left": {"path": f"{tmp_path}/l.csv"}, "right": {"path": f"{tmp_path}/r.csv"}, "out": f"{tmp_path}/out"}
+    pairs = [{"mode": "multiset", "out": f"{tmp_path}/out/m"}, {"keys": ["id"], "out": f"{tmp_path}/out/k"}]
+    assert cli.run(spark, base | {"pairs": pairs}) == 1
+    rows = spark.read.option("header", True).csv(f"{tmp_path}/out/m/row_count_diffs.csv").collect()
+    assert {tuple(r) for r in rows} == {("1", "a", "2", "1"), ("2", "c", "0", "1")}
+    both = spark.read.option("header", True).csv(f"{tmp_path}/out/summary.csv").collect()
+    assert [(r["matched"], r["only_left"], r["only_right"]) for r in both] == [("2", "1", "1"), ("2", "1", "1")] and both[1]["columns_only_right"] == "w"
+    ledger = {r["column_name"]: (r["role"], r["matched"], r["mismatched"]) for r in spark.read.parquet(f"{tmp_path}/out/k/columns.parquet").collect()}
+    assert ledger == {"id": ("key", None, None), "v": ("compared", 2, 0), "w": ("only_right", None, None)}
+    assert cli.run(spark, {"left": base["left"], "right": base["left"], "mode": "multiset"}) == 0
+
+
+def test_whole_profile(spark, tmp_path):
+    df = spark.createDataFrame([(f"K{i:03d}", f"{i * 1.5}", str(3 * i), f"2024-01-{1 + i % 28:02d}") for i in range(60)], "k string, x string, y string, d string")
+    names = profile_run.write(df, str(tmp_path / "p"), today="2024-01-20")
+    assert names == ["statistics", "most_frequent", "least_frequent", "shapes", "odd_shapes", "raw_checks", "outliers", "correlations", "date_outliers"]
+    table = lambda n: spark.read.parquet(f"{tmp_path}/p/{n}.parquet")
+    assert {r["column_name"]: r["distinct_values"] for r in table("statistics").collect()} == {"k": 60, "x": 60, "y": 60, "d": 28}
+    assert table("outliers").filter("column_name = 'x'").first()["p50"] == 44.25 and table("correlations").first()["r"] == 1.0
+    assert table("date_outliers").first()["future"] == 16
+    assert set(profile_run.tables(df.select("k"))) == {"statistics", "most_frequent", "least_frequent", "shapes", "odd_shapes", "raw_checks"}
