@@ -177,14 +177,17 @@ def quantiles(counts: DataFrame, group: str, shares: Sequence[float]) -> DataFra
 
     ``counts`` holds each value x of a group once, with its n.  Values are dealt to ranges cut at approximate quantiles;
     the totals of the ranges say which hold a wanted rank, and only those are sorted, a task each."""
-    cuts = counts.groupBy(group).agg(F.array_distinct(F.percentile_approx("x", [i / RANGES for i in range(1, RANGES)])).alias("cuts"))
-    v = counts.join(F.broadcast(cuts), group).withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("x")))).drop("cuts")
+    cuts = counts.groupBy(group).agg(F.array_distinct(F.percentile_approx("x", [i / RANGES for i in range(1, RANGES)])).alias("cuts"), F.sum("n").alias("total"))
+    cuts = cuts.withColumn("coarse", F.filter("cuts", lambda _, i: i % 16 == 15))
+    below = lambda places: F.size(F.filter(places, lambda c: c < F.col("x")))
+    v = counts.join(F.broadcast(cuts), group).withColumn("begin", 16 * below("coarse"))  # among 16 and 16, not among all
+    v = v.withColumn("range", F.col("begin") + below(F.slice("cuts", F.col("begin") + 1, 16))).drop("cuts", "coarse", "begin")
     by, total = Window.partitionBy(group), F.col("total")
-    sizes = v.groupBy(group, "range").agg(F.sum("n").alias("size"))  # RANGES rows a group at most
-    sizes = sizes.select(group, "range", "size", (F.sum("size").over(by.orderBy("range")) - F.col("size")).alias("ahead"), F.sum("size").over(by).alias("total"))
+    sizes = v.groupBy(group, "range").agg(F.sum("n").alias("size"), F.first("total").alias("total"))  # RANGES rows a group at most
+    sizes = sizes.withColumn("ahead", F.sum("size").over(by.orderBy("range")) - F.col("size"))
     wanted = F.array_distinct(F.array(*[f((total - 1) * s) for s in shares for f in (F.floor, F.ceil)]))
     sizes = sizes.withColumn("ranks", F.filter(wanted, lambda r: (r >= F.col("ahead")) & (r < F.col("ahead") + F.col("size")))).filter(F.size("ranks") > 0)
-    held = v.join(F.broadcast(sizes), [group, "range"])
+    held = v.drop("total").join(F.broadcast(sizes), [group, "range"])
     held = held.withColumn("end", F.sum("n").over(Window.partitionBy(group, "range").orderBy("x")) + F.col("ahead"))
     hits = held.select(group, "x", "total", F.explode(F.filter("ranks", lambda r: (r >= F.col("end") - F.col("n")) & (r < F.col("end")))).alias("rank"))
     found = hits.groupBy(group).agg(F.first("total").alias("total"), F.map_from_entries(F.collect_list(F.struct("rank", "x"))).alias("at"))
