@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import graph, langid, licenses, linededup, mixing, mtree, packing, simhash, sstable, tokens, warc
+from . import graph, langid, lexical, licenses, linededup, mixing, mtree, packing, simhash, sstable, tokens, warc
 from .common import table
 
 WORD_END, BYTE_END = 2, 1
@@ -54,6 +54,10 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("__lost").alias("lines_dropped"), F.length("text").cast("long").alias("chars_left"), F.crc32("text").alias("text_crc32"))
 
 
+def op11_max_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -61,9 +65,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = [op1_token_tables, op2_source_mix, op3_top_inner, op4_language, op5_license_scan, op6_warc_derivatives, op7_graph_neighbours, op8_simhash_groups, op9_pack_sequences, op10_line_templates, pipeline]
+    named = [op1_token_tables, op2_source_mix, op3_top_inner, op4_language, op5_license_scan, op6_warc_derivatives, op7_graph_neighbours, op8_simhash_groups, op9_pack_sequences, op10_line_templates, op11_max_sketches, pipeline]
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mix": mixing.oracle(), "op3_top_inner": mtree.oracle(), "op5_license_scan": licenses.oracle()}
+    return {"op2_source_mix": mixing.oracle(), "op3_top_inner": mtree.oracle(), "op5_license_scan": licenses.oracle(), "op11_max_sketches": lexical.oracle()}
