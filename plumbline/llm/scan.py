@@ -52,20 +52,25 @@ def parts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, begins
 
 
+def of_kind(kind: np.ndarray):
+    return lambda data, lo, hi: kind[data[lo:hi]]
+
+
 def runs(data: np.ndarray, begins: np.ndarray, inside):
-    """(bytes, first, end, text) of the runs of bytes that ``inside`` marks, piece by piece; places are in the piece."""
+    """(at, bytes, first, end, text) of the runs of bytes that ``inside(data, lo, hi)`` marks, piece by piece: ``at`` is
+    where the piece begins in ``data``, the places of runs are in the piece."""
     at, last = int(begins[0]), int(begins[-1])
     while at < last:
         stop = min(at + PIECE, last)
         while stop < last:  # on to the end of a run
-            ahead = inside(data[stop - 1 : stop + 4096])
+            ahead = inside(data, stop - 1, min(stop + 4096, last))
             gap = np.flatnonzero(~ahead)
             if len(gap):
                 stop += max(int(gap[0]) - 1, 0)
                 break
             stop = min(stop + 4096, last)
         piece = data[at:stop]
-        within = inside(piece)
+        within = inside(data, at, stop)
         before = np.concatenate([[False], within[:-1]])
         lo, hi = np.searchsorted(begins, [at, stop])
         new = begins[lo:hi] - at
@@ -75,7 +80,7 @@ def runs(data: np.ndarray, begins: np.ndarray, inside):
         end = np.flatnonzero(within & ~after) + 1
         # a text's first run, then the text's number as often as it has runs
         of = np.searchsorted(first, new)
-        yield piece, first, end, np.repeat(np.arange(lo - 1, hi), np.diff(np.concatenate([[0], of, [len(first)]])))
+        yield at, piece, first, end, np.repeat(np.arange(lo - 1, hi), np.diff(np.concatenate([[0], of, [len(first)]])))
         at = stop
 
 
@@ -88,7 +93,7 @@ def names(piece: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 def words(texts: pa.Array, kind: np.ndarray = WORD) -> tuple[np.ndarray, np.ndarray]:
     """The names of all words in order, and the number of the text of each."""
-    found = [(names(p, a, b), t) for p, a, b, t in runs(*parts(texts), lambda x: kind[x])]
+    found = [(names(p, a, b), t) for _, p, a, b, t in runs(*parts(texts), of_kind(kind))]
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
