@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import graph, langid, lexical, licenses, linededup, mixing, mtree, packing, simhash, sstable, tokens, variants, warc
+from . import graph, langid, lexical, licenses, linededup, mixing, mtree, packing, pitmanyor, simhash, sstable, tokens, variants, warc
 from .common import table
 
 WORD_END, BYTE_END = 2, 1
@@ -62,6 +62,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op13_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitmanyor.score(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -69,7 +73,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = [op1_token_tables, op2_source_mix, op3_top_inner, op4_language, op5_license_scan, op6_warc_derivatives, op7_graph_neighbours, op8_simhash_groups, op9_pack_sequences, op10_line_templates, op11_max_sketches, op12_spelling_variants, pipeline]
+    named = [op1_token_tables, op2_source_mix, op3_top_inner, op4_language, op5_license_scan, op6_warc_derivatives, op7_graph_neighbours, op8_simhash_groups, op9_pack_sequences, op10_line_templates, op11_max_sketches, op12_spelling_variants, op13_pitman_yor, pipeline]
     return {f.__name__: f for f in named}
 
 
