@@ -58,7 +58,7 @@ def _templates(lines: DataFrame, least: int) -> DataFrame:
     """line, tier, template of all lines that might recur; the line itself is the last tier.
 
     A leaf with under ``least`` lines can't hold a recurring template.  A place has at most the greatest of ``SHARES``
-    fixed tokens, so what is known of a leaf is bounded by its width."""
+    fixed tokens, so what is known of a leaf is bounded by its width; all work on a line is linear in its tokens."""
     leaf = ["width", "lead"]
     lines = lines.select("line", *_leaf())
     totals = settle(lines.groupBy(leaf).agg(F.count("*").alias("total")).filter(F.col("total") >= least), "leaves")
@@ -68,14 +68,17 @@ def _templates(lines: DataFrame, least: int) -> DataFrame:
     tokens = several.select(*leaf, "total", "n", F.posexplode(F.split("line", " ")).alias("at", "token")).filter(F.col("at") >= LEAD)
     held = tokens.groupBy(*leaf, "at", "token").agg(F.sum("n").alias("held"), F.max("total").alias("total"))
     held = held.filter((F.col("held") >= least) & (F.col("held") * SHARES[-1] >= F.col("total")))
-    fixed = settle(held.groupBy(leaf).agg(F.collect_list(F.struct("at", "token", "held")).alias("fixed")), "fixed")
-    # by place, so that a token is looked for among those of its place alone
-    places = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.filter("fixed", lambda f: f["at"] == i))
-    fixed = fixed.select(*leaf, places.alias("fixed"))
+    # a leaf's fixed tokens by place: an array with a gap where a place has none, so that a place is looked up at once
+    by_place = held.groupBy(*leaf, "at").agg(F.collect_list(F.struct("token", "held", "total")).alias("tokens"))
+    places = by_place.groupBy(leaf).agg(F.array_sort(F.collect_list(F.struct("at", "tokens"))).alias("places"))
+    none = F.lit(None).cast(by_place.schema["tokens"].dataType)
+    before = lambda i: F.when(i > 0, F.get("places", i - 1)["at"]).otherwise(-1)
+    filled = F.transform("places", lambda e, i: F.concat(F.array_repeat(none, e["at"] - before(i) - 1), F.array(e["tokens"])))
+    fixed = settle(places.select(*leaf, F.flatten(filled).alias("fixed")), "fixed")
     general = several.join(fixed, leaf).withColumn("tokens", F.split("line", " "))
 
     def generalised(tier: int) -> Column:
-        keeps = lambda t, i: (i < LEAD) | F.exists(F.get("fixed", i), lambda f: (f["token"] == t) & (f["held"] * SHARES[tier] >= F.col("total")))
+        keeps = lambda t, i: (i < LEAD) | F.exists(F.get("fixed", i), lambda f: (f["token"] == t) & (f["held"] * SHARES[tier] >= f["total"]))
         kept = F.transform("tokens", lambda t, i: F.when(keeps(t, i), t))
         return F.struct(F.lit(tier).alias("tier"), kept.alias("kept"))
 
