@@ -1,15 +1,16 @@
 """Operator 5: license scans with MinHash bands over overlapping windows, DataFrame functions only.
 
 A text's five-word shingles are hashed and cut into overlapping windows of three sizes.  The bands of a window are its
-least 8, 12 or 16 hashes (bottom-k MinHash: one order of all shingles, drawn without replacement); each band retrieves
+least 8, 12 or 16 different hashes (bottom-k MinHash: one order of all shingles, drawn without replacement); each band retrieves
 the passages that hold the shingle.  Candidates are verified exactly: the share of the passage's shingles that the
 window holds.  For passages of under eight shingles every shingle is a band, looked for in the window in whose first
 stride it lies.
 
 A window is four strides long and begins at every stride, so a passage of at most three strides and one shingle lies in
-one of them whole.  A passage with ``LEAST`` of its shingles has at least x = 7, 12 or 21 of the w = 16, 32 or 64 there;
-all k bands miss it with probability C(w - x, k) / C(w, k): under 0.0007 for each size; passages of single-shingle
-bands are never missed.
+one of them whole.  A shingle that a window repeats counts once, in bands and in containment.  A passage with ``LEAST`` of
+its shingles has at least x = 7, 12 or 21 of the w different ones there, w being 16, 32 or 64 at most; all k bands miss it
+with probability C(w - x, k) / C(w, k), which is under 0.0007 for each size and less for smaller w; passages of
+single-shingle bands are never missed.  A passage that repeats a shingle is cut before it, so its pieces repeat none.
 """
 
 from __future__ import annotations
@@ -69,13 +70,19 @@ TEMPLATES = {
 WORD = "[a-z0-9]+"
 
 
-WORD = "[a-z0-9]+"
-
-
 def template_words(text: str) -> list[str]:
     return re.findall(WORD, text.lower())
 
 
+def _unrepeated(shingles: list[str]) -> list[list[str]]:
+    out: list[list[str]] = [[]]
+    for x in shingles:
+        if x in out[-1]:
+            out.append([])
+        out[-1].append(x)
+    return [x for x in out if x]
+
+
 def template_rows(templates: dict[str, list[str]]) -> list[tuple[str, int, int, str]]:
     """(license, passage, stride, shingle); passages of over 49 shingles are cut into pieces.  Stride 0: ``SHORT`` at most."""
     rows, longest = [], 3 * STRIDES[-1] + 1
@@ -84,12 +91,13 @@ def template_rows(templates: dict[str, list[str]]) -> list[tuple[str, int, int,
         for passage in passages:
             words = template_words(passage)
             shingles = [" ".join(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)]
-            pieces = -(-len(shingles) // longest)
-            for k in range(pieces):  # pieces of like length
-                part = shingles[len(shingles) * k // pieces : len(shingles) * (k + 1) // pieces]
-                stride = 0 if len(part) <= SHORT else next(s for s in STRIDES if len(part) <= 3 * s + 1)
-                rows += [(name, n, stride, x) for x in part]
-                n += 1
+            for whole in _unrepeated(shingles):
+                pieces = -(-len(whole) // longest)
+                for k in range(pieces):  # pieces of like length
+                    part = whole[len(whole) * k // pieces : len(whole) * (k + 1) // pieces]
+                    stride = 0 if len(part) <= SHORT else next(s for s in STRIDES if len(part) <= 3 * s + 1)
+                    rows += [(name, n, stride, x) for x in part]
+                    n += 1
     return rows
 
 
@@ -135,7 +143,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, least:
     windows = texts.select("row", "doc_id", F.explode(F.concat(*[_windows(F.col("h"), s) for s in STRIDES])).alias("w")).select("row", "doc_id", "w.stride", "w.at", "w.have")
     k = F.when(F.col("stride") == STRIDES[0], BANDS[4]).when(F.col("stride") == STRIDES[1], BANDS[8]).otherwise(BANDS[16])
     single = F.when(F.col("stride") == STRIDES[0], F.slice("have", 1, STRIDES[0])).otherwise(F.array().cast("array<bigint>"))
-    bands = windows.select("*", F.posexplode(F.concat(single, F.slice(F.sort_array("have"), F.lit(1), k))).alias("band", "value"))
+    bands = windows.select("*", F.posexplode(F.concat(single, F.slice(F.sort_array(F.array_distinct("have")), F.lit(1), k))).alias("band", "value"))
     first_stride = (F.col("stride") == STRIDES[0]) & (F.col("band") < F.least(F.size("have"), F.lit(STRIDES[0])))
     met = bands.withColumn("kind", F.when(first_stride, 0).otherwise(F.col("stride"))).join(lookup, ["kind", "value"])
     share = F.size(F.array_intersect("have", "template")) / F.size("template")
