@@ -10,6 +10,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..written import settle
+
 LEFT, RIGHT, OCC = "l", "r", "__occ__"
 #: Rows of one key from which they are numbered in ranges, each a task's work; sampled places and places between cuts.
 HOT, PLACES, STEP = 1_000_000, 10_000, 40
@@ -23,15 +25,20 @@ def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
-def numbered(df: DataFrame, name: str = "__rn__") -> DataFrame:
-    """Adds the row's number in file order, from 1, to rows as a scan gives them.
-
-    Spark numbers rows within their partition; the partitions' sizes, a row each, say where each begins."""
-    own = df.withColumn("__part", F.spark_partition_id()).withColumn(name, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + 1)
-    sizes = df.groupBy(F.spark_partition_id().alias("__part")).agg(F.count("*").alias("__size"))
-    before = F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
-    begins = sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__begins"))
-    return own.join(F.broadcast(begins), "__part").withColumn(name, F.col(name) + F.col("__begins")).select(*df.columns, name)
+def numbered(df: DataFrame, name: str = "__rn__", files: bool = False) -> DataFrame:
+    """Adds the row's number, from 1: the order of ``df``'s partitions and of the rows in them.
+
+    ``files``: ``df`` is the scan of files, and numbers follow the files' names and the places of their pieces, since
+    Spark deals large pieces first.  The rows are written once with their place in the task that read them; numbers and
+    the sizes that they rest on both come from that table, so no second run of the plan can disagree."""
+    piece = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start")] if files else [F.lit("").alias("__file"), F.lit(0).cast("long").alias("__start")]
+    at = F.monotonically_increasing_id()
+    rows = settle(df.select("*", *piece, F.shiftright(at, 33).alias("__part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("__at")), "numbered")
+    own = ["__file", "__start", "__part"]
+    pieces = rows.groupBy(own).agg(F.count("*").alias("__size"), F.min("__at").alias("__first"))  # a row for each piece of a task
+    before = F.sum("__size").over(Window.orderBy(*own).rowsBetween(Window.unboundedPreceding, -1))
+    pieces = pieces.withColumn("__begins", F.coalesce(before, F.lit(0)))
+    return rows.join(F.broadcast(pieces), own).select(*[F.col(c) for c in df.columns], (F.col("__at") - F.col("__first") + F.col("__begins") + 1).alias(name))
 
 
 def occurrences(df: DataFrame, keys: Sequence[str], order: Sequence[str], into: str = OCC, together: Sequence[str] = (), hot: int = HOT) -> DataFrame:

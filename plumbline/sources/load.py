@@ -97,7 +97,7 @@ class Source:
     def load(self, spark: SparkSession, number: bool = False) -> DataFrame:
         """``number``: add __rn__, the row's number in file order, before the cut."""
         df = self.read(spark)
-        return self.cut(numbered(df) if number else df)
+        return self.cut(numbered(df, files=self.query is None and (self.kind or kind_of(self.path or "")) != "table") if number else df)
 
     def with_cut(self, **changes) -> "Source":
         return replace(self, **changes)
