@@ -9,8 +9,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import dates
 from ..functions.values import to_double
+from ..written import scratch
 from .match import LEFT, OCC, RIGHT
 
+BUCKET = "__bucket__"
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -64,16 +67,38 @@ def _differs(c: str, options: Options) -> Column:
 
 
 def with_differences(matched: DataFrame, columns: Sequence[str], options: Options = Options()) -> DataFrame:
-    """Adds ``diffs``, the names of the columns in which a pair differs; one-sided rows have none."""
+    """Adds ``diffs``, the names of the columns in which a pair differs; one-sided rows have none.
+
+    A written match (:func:`snapshot`) has them already, under the options that it was written with."""
     columns = [c for c in columns if not options.rule(c).ignore]
+    if BUCKET in matched.columns:
+        return matched.withColumn("diffs", F.array_intersect("diffs", F.array(*map(F.lit, columns)) if columns else F.array().cast("array<string>")))
     names = F.array_compact(F.array(*[F.when(_differs(c, options), F.lit(c)) for c in columns])) if columns else F.array().cast("array<string>")
     return matched.withColumn("diffs", F.when(F.col(LEFT).isNotNull() & F.col(RIGHT).isNotNull(), names).otherwise(F.array().cast("array<string>")))
 
 
+def snapshot(matched: DataFrame, columns: Sequence[str], options: Options = Options()) -> DataFrame:
+    """The match with ``diffs`` and ``__bucket__`` (same, differ, left, right), written once, a folder a bucket.
+
+    Every follow-up reads it without an exchange, and those about one bucket read that folder alone."""
+    d = with_differences(matched, columns, options)
+    l, r = F.col(LEFT).isNotNull(), F.col(RIGHT).isNotNull()
+    of = F.when(l & r, F.when(F.size("diffs") > 0, "differ").otherwise("same")).when(l, "left").otherwise("right")
+    d = d.withColumn(BUCKET, of)
+    path = scratch(matched.sparkSession, "match")
+    d.write.partitionBy(BUCKET).parquet(path)
+    return matched.sparkSession.read.schema(d.schema).parquet(path)
+
+
+def within(matched: DataFrame, *buckets: str) -> DataFrame:
+    """The rows of some buckets, where the match is a written one; otherwise all rows."""
+    return matched.filter(F.col(BUCKET).isin(*buckets)) if BUCKET in matched.columns else matched
+
+
 def cells(matched: DataFrame, keys: Sequence[str], columns: Sequence[str], options: Options = Options(), occurrence: bool = False) -> DataFrame:
     """keys (and occurrence), column_name, left_value, right_value.  Pairs that agree go before cells are laid out."""
     columns = [c for c in columns if not options.rule(c).ignore]
-    pairs = with_differences(matched, columns, options).filter(F.size("diffs") > 0)
+    pairs = with_differences(within(matched, "differ"), columns, options).filter(F.size("diffs") > 0)
     entry = lambda c: F.when(F.array_contains("diffs", c), F.struct(F.lit(c).alias("column_name"), F.col(f"{LEFT}.{c}").alias("left_value"), F.col(f"{RIGHT}.{c}").alias("right_value")))
     out = pairs.select(*keys, F.col(OCC).alias("occurrence"), F.inline(F.array_compact(F.array(*map(entry, columns)))))
     return out if occurrence else out.drop("occurrence")
@@ -91,7 +116,8 @@ def summary(matched: DataFrame, columns: Sequence[str], options: Options = Optio
 
 def one_sided(matched: DataFrame, side: str) -> DataFrame:
     """The whole rows of ``l`` or ``r`` that have no partner."""
-    return matched.filter(F.col(RIGHT if side == LEFT else LEFT).isNull()).select(f"{side}.*")
+    rows = within(matched, "left" if side == LEFT else "right")
+    return rows.filter(F.col(RIGHT if side == LEFT else LEFT).isNull()).select(f"{side}.*")
 
 
 def by_column(cell_rows: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from ..written import settle
 LEFT, RIGHT, OCC = "l", "r", "__occ__"
 #: Rows of one key from which they are numbered in ranges, each a task's work; sampled places and places between cuts.
 HOT, PLACES, STEP = 1_000_000, 10_000, 40
+SMALL = 256 << 20  # bytes, by Spark's estimate, under which keys aren't counted before they are numbered
 
 
 class DuplicateKeys(ValueError):
@@ -41,6 +42,11 @@ def numbered(df: DataFrame, name: str = "__rn__", files: bool = False) -> DataFr
     return rows.join(F.broadcast(pieces), own).select(*[F.col(c) for c in df.columns], (F.col("__at") - F.col("__first") + F.col("__begins") + 1).alias(name))
 
 
+def size_estimate(df: DataFrame) -> int:
+    """What Spark's optimizer takes for the bytes of ``df``; it multiplies the sides of joins, so it errs upwards."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def occurrences(df: DataFrame, keys: Sequence[str], order: Sequence[str], into: str = OCC, together: Sequence[str] = (), hot: int = HOT) -> DataFrame:
     """Adds the row's number among the rows equal in ``keys``, nulls included, in the order ``order``, from 1.
 
@@ -48,12 +54,15 @@ def occurrences(df: DataFrame, keys: Sequence[str], order: Sequence[str], into:
     the sizes of those before it; only rows equal in all of ``order`` stay in one range.  Keys are counted first, unless
     counts of their hashes' low bits, which hardly shuffle, show that none can be hot; if none is, rows are dealt by
     ``together`` (by default ``keys``) and numbered in one step."""
+    dealt = df.repartition(*together) if together else df
+    in_one_step = dealt.withColumn(into, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    if hot == HOT and size_estimate(df) < SMALL:  # within one task's means whatever its keys
+        return in_one_step
     large = df.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > hot)
     most = df.groupBy(F.pmod(F.xxhash64(*keys), F.lit(1 << 14))).count().agg(F.max("count")).first()[0] or 0
     n_large = large.count() if most > hot else 0
     if not n_large:
-        dealt = df.repartition(*together) if together else df
-        return dealt.withColumn(into, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+        return in_one_step
 
     def joined(rows: DataFrame, other: DataFrame, extra: Sequence[str], on: Sequence[str], how: str) -> DataFrame:
         other = other.select(*[F.col(k).alias(f"__h{i}") for i, k in enumerate(on)], *extra)

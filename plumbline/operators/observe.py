@@ -7,6 +7,8 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..written import settle
+from .keys import SAMPLE, decides as score, distinct_counts, hashed_sample
 from .profile import long_counts, quantiles
 
 
@@ -24,35 +26,42 @@ def decides(df: DataFrame, x: str, ys: Sequence[str]) -> DataFrame:
     return row.select(F.inline(F.array(*[F.struct(F.lit(y).alias("column_name"), F.col(f"g{i}").alias("decided")) for i, y in enumerate(ys)])))
 
 
-def dependencies(df: DataFrame, columns: Sequence[str], most: int = 40) -> list[tuple[str, str]]:
-    """(X, Y) for columns where X decides Y.  Determinants have over one value and aren't (nearly) unique; a column
-    with more values than X isn't tried.  Loops over columns, never over rows."""
-    facts = {r["column_name"]: r for r in long_counts(df, columns).groupBy("column_name").agg(F.count("value").alias("d"), F.sum(F.when(F.col("value").isNotNull(), F.col("n"))).alias("filled")).collect()}
-    able = [c for c in columns if 1 < facts[c]["d"] < 0.99 * (facts[c]["filled"] or 0)]
-    out = []
-    for x in sorted(able, key=lambda c: facts[c]["d"])[:most]:
-        ys = [y for y in columns if y != x and 1 < facts[y]["d"] <= facts[x]["d"]]
-        if ys:
-            out += [(x, r["column_name"]) for r in decides(df, x, ys).collect() if r["decided"]]
-    return out
-
-
-def dependency_score(n: int, dx: int, dy: int, dxy: int) -> float:
-    """How far X decides Y beyond chance, in percent."""
-    if dy <= 1:
-        return 100.0
-    chance = 1 / (dy * (1 - (1 - 1 / dy) ** (n / dx)))
-    return 0.0 if chance >= 1 else round(100 * max(0.0, (dx / dxy - chance) / (1 - chance)), 2)
+def dependencies(df: DataFrame, columns: Sequence[str], most: int | None = 40, sample: int = SAMPLE) -> list[tuple[str, str]]:
+    """(X, Y) for columns where X decides Y: each X goes with one value of Y, null a value of either.
+
+    X has over one value and isn't (nearly) unique, Y over one and no more than X.  A sample refutes most pairs; columns
+    that decide each other on all rows are one class, of which one stands for all; what is left is counted on all rows
+    in one grouped pass.  ``most`` determinants are tried, those of the fewest values (None: all).  The driver holds
+    column names and counts."""
+    facts = {r["column_name"]: r for r in long_counts(df, columns).groupBy("column_name").agg(F.count("value").alias("d"), F.count("*").alias("groups"), F.sum("n").alias("rows"), F.sum(F.when(F.col("value").isNotNull(), F.col("n"))).alias("filled")).collect()}
+    live = [c for c in columns if c in facts and facts[c]["d"] > 1]
+    able = sorted([c for c in live if facts[c]["d"] < 0.99 * facts[c]["filled"]], key=lambda c: (facts[c]["d"], columns.index(c)))[:most]
+    pair = lambda x, y: tuple(sorted((x, y), key=columns.index))
+    tried = [(x, y) for x in able for y in live if x != y and facts[y]["groups"] <= facts[x]["groups"]]
+    if not tried:
+        return []
+    small = settle(hashed_sample(df.select(*columns), sample), "sample")
+    seen = distinct_counts(small, [(c,) for c in able] + sorted({pair(*p) for p in tried}), nulls_apart=False)
+    tried = [(x, y) for x, y in tried if seen[pair(x, y)] == seen[x,]]
+    # one-to-one first: then a class is tried by its first column alone
+    equal = sorted({pair(x, y) for x, y in tried if facts[x]["groups"] == facts[y]["groups"]})
+    known = distinct_counts(df, equal, nulls_apart=False)
+    first = {c: c for c in live}
+    for x, y in equal:
+        if known[x, y] == facts[x]["groups"]:
+            first[y] = min(first[x], first[y], key=columns.index)
+    rest = sorted({pair(first[x], first[y]) for x, y in tried if first[x] != first[y]} - set(equal))
+    known |= distinct_counts(df, rest, nulls_apart=False)
+    holds = lambda x, y: first[x] == first[y] or known.get(pair(first[x], first[y])) == facts[first[x]]["groups"]
+    return [(x, y) for x, y in tried if holds(x, y)]
 
 
 def dependency_matrix(df: DataFrame, columns: Sequence[str]) -> list[tuple[str, str, float]]:
     """Scores of all ordered pairs; distinct counts of pairs come from one grouped pass, not from many distincts."""
-    text = df.select(*[F.col(c).cast("string").alias(c) for c in columns])
-    n = text.count()
-    combos = [(c,) for c in columns] + list(combinations(columns, 2))
-    long = text.select(F.inline(F.array(*[F.struct(F.lit(i).alias("combo"), F.array(*[F.col(c) for c in combo]).alias("v")) for i, combo in enumerate(combos)])))
-    d = {combos[r["combo"]]: r["d"] for r in long.groupBy("combo", "v").count().groupBy("combo").agg(F.count("*").alias("d")).collect()}
-    return [(x, y, dependency_score(n, d[x,], d[y,], d[tuple(sorted((x, y), key=list(columns).index))])) for x in columns for y in columns if x != y and n]
+    columns = list(columns)
+    n = df.count()
+    d = distinct_counts(df, [(c,) for c in columns] + list(combinations(columns, 2)), nulls_apart=False)
+    return [(x, y, score(d[x,], d[y,], d[tuple(sorted((x, y), key=columns.index))], n)) for x in columns for y in columns if x != y and n]
 
 
 def correlations(df: DataFrame, numbers: Sequence[str], least: float = 0.7) -> DataFrame:
@@ -79,7 +88,7 @@ def outliers(df: DataFrame, numbers: Sequence[str]) -> DataFrame:
     in ranges, so that no task holds a column."""
     long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("x")) for c in numbers]))).filter("x is not null")
     odd = F.isnan("x") | (F.abs("x") >= 1e150)
-    counts = long.groupBy("column_name", "x").agg(F.count("*").alias("n"))
+    counts = settle(long.groupBy("column_name", "x").agg(F.count("*").alias("n")), "counts")  # read several times
     fine = counts.filter(~odd)
     q = fine.groupBy("column_name").agg(
         F.sum("n").alias("filled"), F.min("x").alias("lowest"), F.max("x").alias("highest"),

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .match import size_estimate
+
 PLACEHOLDER_DAYS = ("1900-01-01", "1970-01-01", "9999-12-31", "0001-01-01")  # fixed values
 
 
@@ -169,14 +171,17 @@ def true_rates(df: DataFrame, flag: Column, group: Column) -> DataFrame:
     return out.withColumn("rate", F.round(F.try_divide(100.0 * F.col("true_n"), F.col("n")), 2))
 
 
-RANGES = 256
+RANGES, FEW = 256, 1_000_000
 
 
 def quantiles(counts: DataFrame, group: str, shares: Sequence[float]) -> DataFrame:
     """group, q: the exact quantiles of each group at ``shares``, between two values by the share of their distance.
 
-    ``counts`` holds each value x of a group once, with its n.  Values are dealt to ranges cut at approximate quantiles;
-    the totals of the ranges say which hold a wanted rank, and only those are sorted, a task each."""
+    ``counts`` holds each value x of a group once, with its n.  Up to ``FEW`` of them one aggregate keeps the values of a
+    group in order; more are dealt to ranges cut at approximate quantiles; the totals of the ranges say which hold a
+    wanted rank, and only those are sorted, a task each."""
+    if size_estimate(counts) <= FEW * 16:
+        return counts.groupBy(group).agg(F.percentile("x", F.array(*map(F.lit, shares)), F.col("n")).alias("q"))
     cuts = counts.groupBy(group).agg(F.array_distinct(F.percentile_approx("x", [i / RANGES for i in range(1, RANGES)])).alias("cuts"), F.sum("n").alias("total"))
     cuts = cuts.withColumn("coarse", F.filter("cuts", lambda _, i: i % 16 == 15))
     below = lambda places: F.size(F.filter(places, lambda c: c < F.col("x")))

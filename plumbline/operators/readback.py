@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.values import to_double
-from .diff import Options, with_differences
+from ..written import settle
+from .diff import Options, with_differences, within
 from .match import LEFT, OCC, RIGHT, occurrences
 from .profile import quantiles
 
@@ -16,11 +17,11 @@ BUCKETS = ("matched", "same", "differ", "left", "right")
 
 def bucket(matched: DataFrame, name: str, columns: Sequence[str], options: Options = Options()) -> DataFrame:
     """Rows of a bucket, with ``diffs``.  ``same`` and ``differ`` part ``matched``."""
-    d = with_differences(matched, columns, options)
+    if name not in BUCKETS:
+        raise ValueError(f"bucket {name!r} is none of {', '.join(BUCKETS)}")
+    d = with_differences(within(matched, *(("same", "differ") if name in ("matched", "same", "differ") else (name,))), columns, options)
     l, r = F.col(LEFT).isNotNull(), F.col(RIGHT).isNotNull()
     where = {"matched": l & r, "same": l & r & (F.size("diffs") == 0), "differ": F.size("diffs") > 0, "left": l & ~r, "right": r & ~l}
-    if name not in where:
-        raise ValueError(f"bucket {name!r} is none of {', '.join(BUCKETS)}")
     return d.filter(where[name])
 
 
@@ -73,8 +74,10 @@ def value_counts(matched: DataFrame, column: str, side: str = "both", filled_onl
 def ranked(rows: DataFrame, order: Sequence[str]) -> DataFrame:
     """Adds rank and running total by ``n``, the greatest first, ties by ``order`` with null last.
 
-    Values of one count are numbered by :func:`occurrences`, which splits large groups; where each count begins follows
-    from a table of counts, of which N rows have under 2 * sqrt(N) different ones."""
+    ``rows`` are written first, so that what they come from runs once.  Values of one count are numbered by
+    :func:`occurrences`, which splits large groups; where each count begins follows from a table of counts, of which N
+    rows have under 2 * sqrt(N) different ones."""
+    rows = settle(rows, "counts")
     nulls = [f"__null{i}" for i in range(len(order))]
     marked = rows.withColumns({m: F.col(c).isNull() for m, c in zip(nulls, order)})
     own = occurrences(marked, ["n"], [x for pair in zip(nulls, order) for x in pair], "__own")
@@ -108,13 +111,12 @@ def one_sided_columns(matched: DataFrame, side: str, columns: Sequence[str]) ->
     return counts.groupBy("column_name").agg(F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("n"))), F.lit(0)).alias("filled"), F.count("v").alias("distinct_values"), ((F.count("v") == 1) & (F.count("*") == 1)).alias("constant"))
 
 
-def ledger(cell_rows: DataFrame, matched_rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """For each compared column: matched, mismatched, match percent; the worst first."""
-    n = matched_rows.filter(F.col(LEFT).isNotNull() & F.col(RIGHT).isNotNull()).agg(F.count("*").alias("matched"))
-    every = matched_rows.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")
-    found = cell_rows.groupBy("column_name").agg(F.count("*").alias("mismatched"))
-    out = every.join(F.broadcast(found), "column_name", "left").select("column_name", F.coalesce("mismatched", F.lit(0)).alias("mismatched")).join(F.broadcast(n), how="cross")
-    return out.withColumn("match_percent", F.round(F.try_divide(100.0 * (F.col("matched") - F.col("mismatched")), F.col("matched")), 2))
+def ledger(matched: DataFrame, columns: Sequence[str], options: Options = Options()) -> DataFrame:
+    """For each compared column: matched, mismatched, match percent.  One aggregate over the pairs for all columns."""
+    pairs = with_differences(within(matched, "same", "differ"), columns, options).filter(F.col(LEFT).isNotNull() & F.col(RIGHT).isNotNull())
+    row = pairs.agg(F.count("*").alias("matched"), *[F.count_if(F.array_contains("diffs", c)).alias(f"n{i}") for i, c in enumerate(columns)])
+    out = row.select("matched", F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("mismatched")) for i, c in enumerate(columns)])))
+    return out.select("column_name", "mismatched", "matched", F.round(F.try_divide(100.0 * (F.col("matched") - F.col("mismatched")), F.col("matched")), 2).alias("match_percent"))
 
 
 def differing_rows(matched: DataFrame, columns: Sequence[str], options: Options = Options()) -> DataFrame:

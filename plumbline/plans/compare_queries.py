@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import predicates as P
@@ -86,10 +88,9 @@ def cmp_dup_summary(s, d):
     return diff.summary(line_pairs(s, d), D.LINE)
 
 
-@query(D.SIDES + """, ln AS (SELECT *, o_orderkey // 2 AS pos FROM l WHERE o_orderkey % 2 = 0), rn AS (SELECT *, o_orderkey // 2 AS pos FROM r WHERE o_orderkey % 2 = 0)
-SELECT coalesce(ln.pos, rn.pos) AS pos, ln.o_orderstatus AS left_status, rn.o_orderstatus AS right_status FROM ln FULL JOIN rn ON ln.pos = rn.pos WHERE ln.o_orderstatus IS DISTINCT FROM rn.o_orderstatus""")
+@query(D.SIDES + """ SELECT coalesce(l.o_orderkey, r.o_orderkey) AS pos, l.o_orderstatus AS left_status, r.o_orderstatus AS right_status FROM l FULL JOIN r USING (o_orderkey) WHERE l.o_orderstatus IS DISTINCT FROM r.o_orderstatus""")
 def cmp_position(s, d):
-    n = lambda df: df.filter("o_orderkey % 2 = 0").withColumn("pos", F.floor(F.col("o_orderkey") / 2))
+    n = lambda df: df.withColumn("pos", F.col("o_orderkey"))  # noqa: E731  # numbers that the rows bring along
     m = match.positional(n(D.left(s, d)), n(D.right(s, d)), "pos")
     out = m.select("pos", F.col("l.o_orderstatus").alias("left_status"), F.col("r.o_orderstatus").alias("right_status"))
     return out.filter(~F.col("left_status").eqNullSafe(F.col("right_status")))
@@ -225,7 +226,28 @@ def cmp_one_sided_columns(s, d):
 
 @query(_CELLS + ", n AS (SELECT count(*) AS matched FROM l JOIN r USING (o_orderkey)) SELECT c.column_name, count(x.column_name) AS mismatched, any_value(matched) AS matched, round(100.0::DOUBLE * (any_value(matched) - count(x.column_name)) / any_value(matched), 2) AS match_percent FROM (VALUES " + ", ".join(f"('{c}')" for c in C) + ") c(column_name) LEFT JOIN cells x USING (column_name), n GROUP BY 1")
 def cmp_ledger(s, d):
-    return readback.ledger(cmp_key_cells(s, d), pairs(s, d), C)
+    return readback.ledger(pairs(s, d), C)
+
+
+def _all_follow_ups(m: DataFrame) -> DataFrame:
+    """what, name, n: the counts that the follow-ups to one written match come to."""
+    row = lambda what, name, df: df.select(F.lit(what).alias("what"), name.alias("name")).groupBy("what", "name").agg(F.count("*").alias("n"))
+    cells = row("cell", F.col("column_name"), diff.cells(m, ["o_orderkey"], C))
+    sides = [row(side, F.col("o_orderstatus"), diff.one_sided(m, side)) for side in ("l", "r")]
+    paired = row("pair", F.col("a_o_orderpriority"), readback.paired_rows(m, ["o_orderkey"], C))
+    same = row("same", F.col("l.o_orderstatus"), readback.bucket(m, "same", C))
+    columns = readback.ledger(m, C).select(F.lit("column").alias("what"), F.col("column_name").alias("name"), F.col("mismatched").alias("n"))
+    values = readback.value_counts(m, "o_orderstatus").select(F.lit("value").alias("what"), F.col("value").alias("name"), "n")
+    return reduce(DataFrame.unionByName, [cells, *sides, paired, same, columns, values])
+
+
+@query(_CELLS + """, a AS (SELECT 'cell' AS what, column_name AS name, count(*) AS n FROM cells GROUP BY ALL UNION ALL SELECT 'l', o_orderstatus, count(*) FROM l ANTI JOIN r USING (o_orderkey) GROUP BY ALL
+UNION ALL SELECT 'r', o_orderstatus, count(*) FROM r ANTI JOIN l USING (o_orderkey) GROUP BY ALL UNION ALL SELECT 'pair', l.o_orderpriority, count(*) FROM l JOIN r USING (o_orderkey) GROUP BY ALL
+UNION ALL SELECT 'same', l.o_orderstatus, count(*) FROM l SEMI JOIN r USING (o_orderkey) WHERE o_orderkey NOT IN (SELECT o_orderkey FROM cells) GROUP BY ALL
+UNION ALL SELECT 'column', c, (SELECT count(*) FROM cells WHERE column_name = c) FROM (VALUES """ + ", ".join(f"('{c}')" for c in C) + """) v(c)
+UNION ALL SELECT 'value', s, count(*) FROM (SELECT o_orderstatus AS s FROM l UNION ALL SELECT o_orderstatus FROM r) GROUP BY ALL) SELECT * FROM a""")
+def cmp_snapshot(s, d):
+    return _all_follow_ups(diff.snapshot(pairs(s, d), C))
 
 
 @query(_CELLS + ", n AS (SELECT o_orderkey, count(*)::INTEGER AS n FROM cells GROUP BY 1) SELECT * FROM n ORDER BY n DESC, o_orderkey LIMIT 25")

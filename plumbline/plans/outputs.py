@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -60,6 +60,10 @@ class Result:
     only_left_columns: tuple[str, ...] = ()
     only_right_columns: tuple[str, ...] = ()
 
+    def settled(self) -> "Result":
+        """The same over a written match, which every follow-up then reads."""
+        return self if diff.BUCKET in self.matched.columns else replace(self, matched=diff.snapshot(self.matched, self.columns, self.options))
+
     def summary(self) -> dict:
         row = diff.summary(self.matched, self.columns, self.options).first().asDict()
         verdict = diff.verdict(row["matched"], row["only_left"], row["only_right"], row["diff_rows"], len(self.only_left_columns) + len(self.only_right_columns))
@@ -68,13 +72,16 @@ class Result:
     def ledger(self) -> DataFrame:
         """A row for each column: its role (compared, key, only_left, only_right), matched and mismatched pairs."""
         spark = self.matched.sparkSession
-        found = readback.ledger(diff.cells(self.matched, self.keys, self.columns, self.options), self.matched, self.columns)
+        found = readback.ledger(self.matched, self.columns, self.options)
         others = [(c, role) for role, cs in (("key", self.keys), ("only_left", self.only_left_columns), ("only_right", self.only_right_columns)) for c in cs]
         return found.withColumn("role", F.lit("compared")).unionByName(spark.createDataFrame(others, "column_name string, role string"), allowMissingColumns=True)
 
     def write(self, folder: str) -> dict:
-        """cells, left_only, right_only and columns as Parquet and CSV, and summary as JSON text; returns the summary."""
-        tables = {"cell_diffs": diff.cells(self.matched, self.keys, self.columns, self.options, occurrence=True), "left_only": diff.one_sided(self.matched, "l"), "right_only": diff.one_sided(self.matched, "r"), "columns": self.ledger()}
+        """cells, left_only, right_only, paired rows and columns as Parquet and CSV, and summary as JSON text; returns the
+        summary.  The sides are matched once: all of it is read from the written match."""
+        self, m = (done := self.settled()), done.matched
+        paired = readback.paired_rows(diff.within(m, "differ"), self.keys, self.columns)
+        tables = {"cell_diffs": diff.cells(m, self.keys, self.columns, self.options, occurrence=True), "left_only": diff.one_sided(m, "l"), "right_only": diff.one_sided(m, "r"), "paired_rows": paired, "columns": self.ledger()}
         for name, df in tables.items():
             write_table(df, f"{folder}/{name}")
         out = self.summary()

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import compare_queries, profile_queries
+from . import compare_queries, profile_queries, source_queries
 
-PARTS = (compare_queries, profile_queries)
+PARTS = (compare_queries, profile_queries, source_queries)
 
 
 def queries() -> dict:

@@ -9,7 +9,7 @@ from pathlib import PurePosixPath
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.match import numbered
-from .guard import read_only
+from .guard import dialect_of, read_only
 
 # Kinds by suffix.
 KINDS = {"csv": "csv", "txt": "csv", "tsv": "csv", "dat": "csv", "parquet": "parquet", "pq": "parquet", "json": "json", "jsonl": "jsonl", "ndjson": "jsonl"}
@@ -51,6 +51,7 @@ class Source:
     jdbc: dict = field(default_factory=dict)
     multi_line: bool = True
     query: str | None = None
+    dialect: str | None = None
 
     @classmethod
     def from_config(cls, block: dict) -> "Source":
@@ -62,7 +63,7 @@ class Source:
     def read(self, spark: SparkSession) -> DataFrame:
         if self.query is not None:
             options = {"fetchsize": "50000"} | self.jdbc
-            reader, query = spark.read.format("jdbc").options(**options), read_only(self.query)
+            reader, query = spark.read.format("jdbc").options(**options), read_only(self.query, self.dialect or dialect_of(options.get("url", "")))
             # Spark takes a query with a partition column only as a derived table
             return as_text((reader.option("dbtable", f"({query}) q") if "partitionColumn" in options else reader.option("query", query)).load())
         kind = self.kind or kind_of(self.path or "")

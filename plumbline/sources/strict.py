@@ -1,17 +1,22 @@
 """Strict reading of delimited text: rows wider than expected are set aside, shorter ones are filled up.
 
-Spark's CSV reader splits the rows and keeps the text of each whose number of fields isn't the header's; that text says
-how wide the row is, so rows of any width are counted and none loses a field."""
+A file is read by many tasks although quoted fields may hold line feeds.  Lines get their numbers once; whether a line
+begins a row follows from the parity of the quotes before it.  Chunks of ``CHUNK`` lines are counted on their own, for
+both parities that they may begin with; a running sum over the chunks, a row each, says which one it was.  Only lines of
+rows that span several are brought together."""
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..operators.match import numbered
 
+CHUNK = 50_000  # lines that are counted together
+LONGEST = 10_000  # lines of a row that are kept: more come from a quote that is never closed
+
 
 @dataclass
 class Strict:
@@ -21,19 +26,33 @@ class Strict:
     expected: int
 
     def page(self, offset: int = 0, n: int = 50) -> DataFrame:
-        """Set-aside rows by record number."""
-        return self.set_aside.orderBy("record").offset(offset).limit(n)
+        """Set-aside rows in file order."""
+        return self.set_aside.orderBy("file", "line").offset(offset).limit(n)
 
     def messages(self, most: int = 10) -> list[str]:
-        """What is wrong with the rows that aren't of the expected width, the most frequent widths first."""
+        """What is wrong with the rows that aren't of the expected width, the most frequent widths first, and what mostly
+        causes it: an unquoted decimal comma, or a comma before a time's fraction."""
         odd = self.widths.filter(F.col("width") != self.expected).orderBy(F.desc("n"), "width").limit(most).collect()
         fate = lambda w: "set aside" if w > self.expected else "filled up with nulls"
-        return [f"{r['n']} rows have {r['width']} fields, {self.expected} are expected: {fate(r['width'])}" for r in odd]
+        said = [f"{r['n']} rows have {r['width']} fields, {self.expected} are expected: {fate(r['width'])}" for r in odd]
+        if any(r["width"] > self.expected for r in odd):
+            n, times, numbers, open_at = self.set_aside.agg(F.count("*"), F.count_if(F.col("raw").rlike(r"\d\d:\d\d:\d\d,\d+(?:,|$)")), F.count_if(F.col("raw").rlike(r"(?:^|,)-?\d+,\d+(?:,|$)")), F.min(F.when(F.col("problem") == OPEN, F.col("line")))).first()
+            if times * 2 > n:
+                said.append("most of them have a time followed by a comma and digits: export fractions of a second with a point, or quote them")
+            elif numbers * 2 > n:
+                said.append("most of them have whole numbers side by side: a decimal comma, perhaps; export with another delimiter or with decimal points")
+            if open_at is not None:
+                said.append(f"line {open_at} opens a quote that never closes")
+        return said
+
+
+OPEN = "a quote is not closed"
 
 
 def _unquoted(raw: Column, quote: str) -> Column:
+    """What stands outside of quotes; every quote opens or closes."""
     q = re.escape(quote)
-    return F.regexp_replace(raw, f"{q}(?:[^{q}]|{q}{q})*+{q}", "")
+    return F.regexp_replace(raw, f"{q}[^{q}]*+(?:{q}|$)", "")
 
 
 def modal_width(widths: DataFrame) -> int | None:
@@ -42,23 +61,75 @@ def modal_width(widths: DataFrame) -> int | None:
     return row["width"] if row else None
 
 
-def read_strict(spark: SparkSession, path: str, delimiter: str = ",", quote: str = '"', multi_line: bool = True) -> Strict:
-    """rows: fitting rows under the header's names; set_aside: record (its number in file order, from 1), width, problem
-    and raw text of the others; widths: rows by width.
-
-    Empty and missing fields read as null and count towards the width where their delimiters are written.  A row with
-    an unclosed quote is set aside.  ``multi_line``: quoted fields may hold line feeds; a file is then one task."""
-    reader = spark.read.option("sep", delimiter).option("quote", quote).option("escape", quote).option("header", True)
-    head = reader.csv(path).columns
-    n = len(head)
-    schema = ", ".join(f"f{i} string" for i in range(n)) + ", raw string"
-    read = reader.schema(schema).option("multiLine", multi_line).option("enforceSchema", True).option("columnPruning", False).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "raw").csv(path)
-    bare = _unquoted(F.col("raw"), quote)
-    width = F.when(F.col("raw").isNull(), n).otherwise((F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit("")))) / len(delimiter) + 1)
-    width = F.coalesce(width.cast("int"), F.length("f0"))  # never the latter; Spark refuses to read ``raw`` alone
-    read = numbered(read, "record").withColumn("width", width).withColumn("open", F.coalesce(bare.contains(quote), F.lit(False)))
+def text_rows(spark: SparkSession, path: str | list[str], quote: str = '"', skip: int = 0) -> DataFrame:
+    """file, line (the row's first, from 1), record (0 for a file's first row, blank lines aside), lines, raw, open.
+
+    ``raw`` is the row's text with its line feeds; of a row of over ``LONGEST`` lines, whose quote is never closed
+    where it should be, the first ``LONGEST``.  ``skip`` leading lines of each file are left out."""
+    lines = numbered(spark.read.text(path).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("file")), "at", files=True)
+    begins = lines.groupBy("file").agg(F.min("at").alias("first"))  # a row a file
+    lines = lines.join(F.broadcast(begins), "file").select("file", (F.col("at") - F.col("first") + 1).alias("line"), "text").filter(F.col("line") > skip)
+    quotes = F.length("text") - F.length(F.replace("text", F.lit(quote), F.lit(""))) if quote else F.lit(0)
+    chunk = F.floor(F.col("line") / CHUNK).alias("chunk")
+    in_chunk = Window.partitionBy("file", "chunk").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    lines = lines.select("*", chunk, (quotes / (len(quote) or 1)).cast("long").alias("quotes")).withColumn("before", F.coalesce(F.sum("quotes").over(in_chunk), F.lit(0)) % 2)
+    filled = F.length("text") > 0
+
+    def of_parity(p: int) -> list[Column]:
+        mine = F.col("before") == p
+        return [F.max(F.when(mine, F.col("line"))).alias(f"last{p}"), F.count_if(mine & filled).alias(f"rows{p}")]
+
+    chunks = lines.groupBy("file", "chunk").agg((F.sum("quotes") % 2).alias("odd"), *of_parity(0), *of_parity(1))
+    earlier = Window.partitionBy("file").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.withColumn("inside", F.coalesce(F.sum("odd").over(earlier), F.lit(0)) % 2)
+    mine = lambda what: F.when(F.col("inside") == 0, F.col(f"{what}0")).otherwise(F.col(f"{what}1"))
+    chunks = chunks.withColumn("carried", F.max(mine("last")).over(earlier)).withColumn("done", F.coalesce(F.sum(mine("rows")).over(earlier), F.lit(0)))
+    both = lines.join(chunks.select("file", "chunk", "inside", "carried", "done"), ["file", "chunk"])
+    begins_row = (F.col("before") + F.col("inside")) % 2 == 0
+    up_to = Window.partitionBy("file", "chunk").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = both.withColumn("begins", begins_row).withColumn("start", F.coalesce(F.max(F.when(begins_row, F.col("line"))).over(up_to), F.col("carried")))
+    both = both.withColumn("record", F.count_if(begins_row & filled).over(up_to) + F.col("done") - 1)
+    whole = both.filter(F.col("begins") & (F.col("quotes") % 2 == 0) & filled)
+    whole = whole.select("file", "line", "record", F.lit(1).cast("long").alias("lines"), F.col("text").alias("raw"), F.lit(False).alias("open"))
+    pieces = both.filter(~(F.col("begins") & (F.col("quotes") % 2 == 0)))
+    kept = F.when(F.col("line") - F.col("start") < LONGEST, F.struct("line", "text"))
+    joined = pieces.groupBy("file", F.col("start").alias("line")).agg(
+        F.min("record").alias("record"), F.count("*").alias("lines"), F.array_join(F.transform(F.array_sort(F.collect_list(kept)), lambda x: x["text"]), "\n").alias("raw"), (F.sum("quotes") % 2 == 1).alias("open")
+    )
+    return whole.unionByName(joined)
+
+
+def read_strict(spark: SparkSession, path: str | list[str], delimiter: str = ",", quote: str = '"', skip: int = 0, expected: int | str | None = None, header_in: str | None = None) -> Strict:
+    """rows: fitting rows under the header's names; set_aside: file, line, record (its number, from 1), width, problem and
+    raw text of the others; widths: rows by width, those with an unclosed quote aside.
+
+    ``expected``: a width, ``"modal"`` for the most frequent one, or the header's.  Empty and missing fields read as null
+    and count towards the width where their delimiters are written.  A row with an unclosed quote is set aside.  Every
+    file has a header of its own, of which the first file's names count; with ``header_in``, a folder, its files alone have
+    one."""
+    found = text_rows(spark, path, quote, skip)
+    bare = _unquoted(F.col("raw"), quote) if quote else F.col("raw")
+    width = (F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit("")))) / len(delimiter) + 1
+    found = found.withColumn("width", width.cast("int"))
+    first = F.col("record") == 0
+    if header_in is not None:
+        first &= F.contains("file", F.lit(header_in.rstrip("/").split(":", 1)[-1].lstrip("/") + "/"))
+    head = found.filter(first).orderBy("file").select("raw", "width").first()
+    if head is None:
+        raise ValueError(f"{path}: no header")
+    # a quote that is never one: the option can't be empty
+    options = {"sep": delimiter, "quote": quote or "\u0000", "escape": quote or "\u0000", "mode": "PERMISSIVE", "maxCharsPerColumn": "-1"}
+    fields = lambda n: "struct<" + ", ".join(f"f{i}: string" for i in range(n)) + ">"
+    parsed = lambda n: F.from_csv("raw", F.lit(fields(n)), options)
+    names = spark.createDataFrame([(head["raw"],)], "raw string").select(parsed(head["width"]).alias("f")).first()["f"]
+    data = found.filter(~first)
+    widths = data.filter(~F.col("open")).groupBy("width").agg(F.count("*").alias("n"))
+    n = head["width"] if expected is None else (modal_width(widths) or head["width"]) if expected == "modal" else expected
+    names = [*names, *[None] * n][:n]
     fits = (F.col("width") <= n) & ~F.col("open")
-    rows = read.filter(fits).select(*[F.col(f"f{i}").alias(c) for i, c in enumerate(head)])
-    problem = F.when(F.col("open"), "a quote is not closed").otherwise("more fields than the header")
-    aside = read.filter(~fits).select("record", "width", problem.alias("problem"), "raw")
-    return Strict(rows, aside, read.groupBy("width").agg(F.count("*").alias("n")), n)
+    from .load import short_header
+
+    rows = data.filter(fits).select(parsed(n).alias("f")).select(*[F.col(f"f.f{i}").alias(c) for i, c in enumerate(short_header(names))])
+    problem = F.when(F.col("open"), OPEN).otherwise("more fields than expected" if expected else "more fields than the header")
+    aside = data.filter(~fits).select("file", "line", "record", "width", problem.alias("problem"), "raw")
+    return Strict(rows, aside, widths, n)

@@ -1,6 +1,7 @@
 """Planted small tables for what the registered queries don't reach."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,7 +103,29 @@ def test_dependencies_and_spelling(spark):
     scores = {(a, b): s for a, b, s in observe.dependency_matrix(df, ["dept", "cost"])}
     assert scores["dept", "cost"] == 100 and scores["cost", "dept"] < 60
     grams = spark.createDataFrame([("abcdef",)] * 5 + [("abcdeg",)] * 3 + [("abcdhg",)] * 2 + [("zzzz",)], "v string")
-    assert spelling.gram_groups(grams, "v") == [["abcdef", "abcdeg"]]
+    assert sorted((r["head"], r["value"]) for r in spelling.gram_groups(grams, "v").collect()) == [("abcdef", "abcdef"), ("abcdef", "abcdeg")]
+
+
+@pytest.mark.parametrize("block", [2, 256])
+def test_gram_groups_equal_one_loop(spark, monkeypatch, block):
+    monkeypatch.setattr(spelling, "BLOCK", block)
+    monkeypatch.setattr(spelling, "BLOCKS", 2)
+    rng = random.Random(9)
+    rows = [("".join(rng.choices("abAB", k=rng.randint(1, 7))),) for _ in range(150)] + [("",), (None,), ("x" * 61,)]
+    df = spark.createDataFrame(rows, "v string")
+    n = {}
+    for (v,) in rows:
+        if v is not None and len(v) <= 60:
+            n[v] = n.get(v, 0) + 1
+    grams = lambda t: {t[i : i + 3] for i in range(max(1, len(t) - 2))}
+    heads, led = [], {}
+    for v in sorted(n, key=lambda v: (-n[v], v)):
+        g = grams(v.lower())
+        led[v] = next((h for h in heads if len(grams(h.lower()) & g) * 2 >= len(grams(h.lower()) | g)), v)
+        if led[v] == v:
+            heads.append(v)
+    want = sorted((h, v) for v, h in led.items() if list(led.values()).count(h) > 1)
+    assert sorted((r["head"], r["value"]) for r in spelling.gram_groups(df, "v").collect()) == want
 
 
 def test_sniff_pair_auto(spark):
@@ -133,11 +156,50 @@ def test_sources(spark, tmp_path):
 
 def test_strict_keeps_every_field(spark, tmp_path):
     (tmp_path / "w.csv").write_text('a,b,c\n1,,3,4\n5,"x, ""y""",7\n8\n9,,\n1,2,3,,,\n"open,2,3\n')
-    s = strict.read_strict(spark, str(tmp_path / "w.csv"), multi_line=False)
+    s = strict.read_strict(spark, str(tmp_path / "w.csv"))
     assert sorted(tuple(r) for r in s.rows.collect()) == [("5", 'x, "y"', "7"), ("8", None, None), ("9", None, None)]
     assert [(r["record"], r["width"], r["raw"]) for r in s.page(0, 2).collect()] == [(1, 4, "1,,3,4"), (5, 6, "1,2,3,,,")]
     assert [r["problem"] for r in s.page(2, 5).collect()] == ["a quote is not closed"]
-    assert strict.modal_width(s.widths) == 3 and len(s.messages()) == 3
+    assert strict.modal_width(s.widths) == 3 and len(s.messages()) == 4 and s.messages()[-1] == "line 7 opens a quote that never closes"
+
+
+def test_strict_over_pieces_equals_one_reading(spark, tmp_path, monkeypatch):
+    """Quoted line feeds, quotes across chunks, blank lines, skipped lines and several files, against a plain loop."""
+    rng = random.Random(4)
+    monkeypatch.setattr(strict, "CHUNK", 7)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    want = []
+    try:
+        for k in range(3):
+            rows = ["a,b,c"]
+            for i in range(200):
+                cell = rng.choice(["x", '"p,q"', '"l\nm"', '"n\n\n,o"', '""', 'u"v,w"', ""])
+                rows.append(rng.choice(["", f"{i},{cell},z", f"{i},{cell}", f"{i},{cell},z,12,5"]))
+            text = "skipped\n" + "\n".join(rows) + "\n"
+            (tmp_path / f"f{k}.csv").write_text(text)
+            start, buf, record = 0, [], -1
+            for n, line in enumerate(text.split("\n")[:-1], 1):
+                if n == 1:
+                    continue
+                start = n if not buf else start
+                buf.append(line)
+                if "\n".join(buf).count('"') % 2 == 0:
+                    raw = "\n".join(buf)
+                    if raw:
+                        record += 1
+                        outside = "".join(raw.split('"')[::2])
+                        want.append((f"f{k}.csv", start, record, len(buf), raw, outside.count(",") + 1))
+                    buf = []
+        got = strict.text_rows(spark, str(tmp_path), skip=1).collect()
+        assert sorted((r["file"].rsplit("/", 1)[1], r["line"], r["record"], r["lines"], r["raw"]) for r in got) == sorted(w[:5] for w in want)
+        s = strict.read_strict(spark, str(tmp_path), skip=1)
+        assert sorted(r["line"] for r in s.set_aside.collect()) == sorted(w[1] for w in want if w[2] and w[5] > 3)
+        assert s.rows.count() == sum(w[2] > 0 and w[5] <= 3 for w in want) and any("decimal comma" in m for m in s.messages())
+        assert strict.read_strict(spark, str(tmp_path), skip=1, expected=5).set_aside.count() == sum(w[5] > 5 for w in want)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
 def test_unique_match_refuses_repeated_keys(spark):
@@ -183,8 +245,12 @@ def test_guard():
     for bad in ("drop table t", "select 1; select 2", "select * into x from t", "with a as (select 1) delete from t"):
         with pytest.raises(ValueError):
             guard.read_only(bad)
-    for fine in ("SELECT replace(a, 'x', 'y') FROM t", "select [drop], \"a;b\" from t where offset_set = 1"):
-        assert guard.read_only(fine) == fine
+    for fine, dialect in (("SELECT replace(a, 'x', 'y') FROM t", None), ("select [drop], \"a;b\" from t where offset_set = 1", "mssql"), ("SELECT 'it''s; drop'", None), ("SELECT $t$ ; drop $t$", "postgresql"), ("SELECT q'[it's; drop]' FROM dual", "oracle"), (r"SELECT 'a\' AS b", "postgresql"), ("SELECT `drop` FROM t", "databricks")):
+        assert guard.read_only(fine, dialect) == fine
+    for bad, dialect in (("SELECT $$ ' $$; DROP TABLE t; --'", None), ("SELECT $$ ' $$; DROP TABLE t; --'", "postgresql"), (r"SELECT '\''; DROP TABLE t; --'", None), (r"SELECT '\''; DROP TABLE t; --'", "databricks"), (r"SELECT E'\''; DROP TABLE t; --'", "postgresql"), ("SELECT q'[']'; DROP TABLE t --]'", "oracle"), ("/* /* */ DROP */ SELECT 1", "mysql"), ("SELECT 1 --1; DROP TABLE t", "mysql"), ("SELECT /*! 1; DROP */ 1", "mysql"), ("SELECT 'a", "duckdb"), ("select [drop] from t", None)):
+        with pytest.raises(ValueError):
+            guard.read_only(bad, dialect)
+    assert [guard.dialect_of(u) for u in ("jdbc:sqlserver://h", "jdbc:postgresql://h/d", "jdbc:other:x", "")] == ["mssql", "postgresql", None, None]
     assert guard.limited("WITH q AS (SELECT 1 a) SELECT * FROM q", 5, "mssql").startswith("WITH q")
     assert guard.limited("SELECT a FROM t", 5, "mssql") == "SELECT TOP 5 * FROM (SELECT a FROM t) q"
     assert guard.limited("select 1", 5, "oracle").endswith("FETCH FIRST 5 ROWS ONLY") and "***" in guard.redacted("jdbc:x://u:pw@h password=abc")
