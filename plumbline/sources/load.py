@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.match import numbered
 from .guard import dialect_of, read_only
+from .sheets import read_sheet
 
 # Kinds by suffix.
-KINDS = {"csv": "csv", "txt": "csv", "tsv": "csv", "dat": "csv", "parquet": "parquet", "pq": "parquet", "json": "json", "jsonl": "jsonl", "ndjson": "jsonl"}
+KINDS = {"csv": "csv", "txt": "csv", "tsv": "csv", "dat": "csv", "parquet": "parquet", "pq": "parquet", "json": "json", "jsonl": "jsonl", "ndjson": "jsonl", "xlsx": "sheet", "xlsm": "sheet", "xls": "sheet"}
 
 
 def kind_of(path: str) -> str:
@@ -52,6 +53,9 @@ class Source:
     multi_line: bool = True
     query: str | None = None
     dialect: str | None = None
+    sheet: str = ""
+    cells: str = ""
+    stop_at_blank: bool = False
 
     @classmethod
     def from_config(cls, block: dict) -> "Source":
@@ -73,6 +77,8 @@ class Source:
             return as_text(spark.read.parquet(self.path))
         if kind in ("json", "jsonl"):
             return as_text(spark.read.option("primitivesAsString", True).option("multiLine", kind == "json").json(self.path))
+        if kind == "sheet":
+            return read_sheet(spark, self.path, sheet=self.sheet, range=self.cells, header=self.header, stopatblank=self.stop_at_blank)
         reader = spark.read.option("header", self.header).option("sep", self.delimiter).option("quote", self.quote).option("escape", self.quote).option("encoding", self.encoding)
         df = reader.option("multiLine", self.multi_line).option("inferSchema", False).option("enforceSchema", True).csv(self.path)
         for c in df.columns if self.null_values else []:
@@ -98,7 +104,7 @@ class Source:
     def load(self, spark: SparkSession, number: bool = False) -> DataFrame:
         """``number``: add __rn__, the row's number in file order, before the cut."""
         df = self.read(spark)
-        return self.cut(numbered(df, files=self.query is None and (self.kind or kind_of(self.path or "")) != "table") if number else df)
+        return self.cut(numbered(df, files=self.query is None and (self.kind or kind_of(self.path or "")) not in ("table", "sheet")) if number else df)
 
     def with_cut(self, **changes) -> "Source":
         return replace(self, **changes)

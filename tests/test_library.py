@@ -393,3 +393,76 @@ def test_whole_profile(spark, tmp_path):
     assert table("outliers").filter("column_name = 'x'").first()["p50"] == 44.25 and table("correlations").first()["r"] == 1.0
     assert table("date_outliers").first()["future"] == 16
     assert set(profile_run.tables(df.select("k"))) == {"statistics", "most_frequent", "least_frequent", "shapes", "odd_shapes", "raw_checks"}
+
+
+def workbook(path, sheets, styles=""):
+    """A workbook with the standard library: sheet name to rows of (reference, type, style, text)."""
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    strings = []
+    with zipfile.ZipFile(path, "w") as z:
+        names = list(sheets)
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="{n}" sheetId="{i}" r:id="r{i}" state="{"hidden" if n == "Hidden" else "visible"}"/>' for i, n in enumerate(names)) + "</sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", "<Relationships>" + "".join(f'<Relationship Id="r{i}" Target="worksheets/s{i}.xml"/>' for i in range(len(names))) + "</Relationships>")
+        z.writestr("xl/styles.xml", f'<styleSheet xmlns="{main}"><numFmts><numFmt numFmtId="170" formatCode="dd/mm/yyyy"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="170"/><xf numFmtId="22"/></cellXfs></styleSheet>')
+        for i, n in enumerate(names):
+            rows = []
+            for r, cells in sheets[n]:
+                out = []
+                for ref, kind, style, text in cells:
+                    if kind == "s":
+                        strings.append(text)
+                        text = len(strings) - 1
+                    out.append(f'<c r="{ref}{r}" t="{kind}" s="{style}">' + (f"<is><t>{escape(str(text))}</t></is>" if kind == "inlineStr" else f"<v>{escape(str(text))}</v>") + "</c>")
+                rows.append(f'<row r="{r}">' + "".join(out) + "</row>")
+            z.writestr(f"xl/worksheets/s{i}.xml", f'<worksheet xmlns="{main}"><sheetData>' + "".join(rows) + "</sheetData></worksheet>")
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}">' + "".join(f"<si><t>{escape(t)}</t></si>" for t in strings) + "</sst>")
+
+
+def test_sheets(spark, tmp_path):
+    from plumbline.sources import sheets
+
+    head = (2, [("B", "s", 0, "id"), ("C", "s", 0, "when"), ("E", "s", 0, "id")])
+    body = [(r, [("B", "n", 0, r * 10), ("C", "n", 1, 45000 + r), ("D", "b", 0, 1), ("E", "inlineStr", 0, "a & b"), ("F", "e", 0, "#N/A")]) for r in range(3, 23) if r != 20]
+    path = str(tmp_path / "b.xlsx")
+    workbook(path, {"Hidden": [(1, [("A", "n", 0, 1)])], "Data": [head, *body], "Time": [(1, [("A", "n", 2, 45000.5), ("B", "n", 0, 1.25), ("C", "n", 1, 59)])]})
+    df = sheets.read_sheet(spark, path, range="B2:F", rows=4)
+    assert df.columns == ["id", "when", "column3", "id_2", "column5"] and df.rdd.getNumPartitions() > 3
+    rows = sorted(tuple(r) for r in df.collect())
+    assert len(rows) == 19 and ("30", "2023-03-18", "true", "a & b", None) in rows
+    assert sheets.read_sheet(spark, path, range="B2:C", stopatblank=True).count() == 17
+    assert sheets.read_sheet(spark, path, sheet="time", header=False).first()[:] == ("2023-03-15 12:00:00", "1.25", "1900-02-28")
+    assert load.Source(path, cells="B2:C5").load(spark, number=True).count() == 3 and load.kind_of("x.xlsx") == "sheet"
+    for bad in ({"sheet": "no"}, {"range": "F2:B1"}, {"range": "?"}, {"range": "X90"}):
+        with pytest.raises(Exception, match="sheet|range|before|no cells"):
+            sheets.read_sheet(spark, path, **bad).collect()
+    with pytest.raises(ValueError, match="xlsx"):
+        sheets.read_sheet(spark, "old.xls")
+
+
+def test_filter_rows(spark):
+    from plumbline.functions import filter_rows as R
+
+    reads = {"day": R.Read("date", "%d/%m/%Y", "%m/%d/%Y"), "n": R.Read("number"), "ok": R.Read("boolean"), "at": R.Read("timestamp")}
+    row = lambda c, o, v="", to="both", kind="auto": {"column": c, "operator": o, "value": v, "apply to": to, "type": kind}
+    make = lambda *rows: R.build(spark, rows, reads, ("old", "new"))
+    for rows, said in (
+        ([row("day", "=", "03/04/2024")], "spell it 2024-04-03 or 2024-03-04"), ([row("day", "=", "soon")], "not a date"), ([row("n", ">", "x")], "not a number"), ([row("n", ">", "inf")], "not a number"),
+        ([row("n", "between", "1")], "two values"), ([row("n", ">", "1"), row("n", "<", "a", kind="text")], "same type"), ([row("n", "near", "1")], "no operator"),
+    ):
+        with pytest.raises(R.Refused, match=said):
+            make(*rows)
+    got = make(row("day", ">=", "03/04/2024", "old"), row("n", "in", "1, 2.50"), row("ok", "=", "Yes"), row("at", "<", "2024-01-02 10:00:00"), row("day", "!=", "25/12/2024", "old"), row("", "="))
+    assert [(f.column, f.value, f.kind) for f in got.both] == [("n", ("1", "2.50"), "number"), ("ok", "true", "text"), ("at", "2024-01-02 10:00:00", "timestamp")]
+    assert [f.value for f in got.left] == ["2024-04-03", "2024-12-25"] and not got.right
+    assert make(row("day", "=", "25/12/2024")).both[0].value == "2024-12-25"  # one side alone can read it
+    same = R.build(spark, [row("x", "=", "1", "B · t")], {}, ("t", "t"))
+    assert same.right and not same.both
+    left = spark.createDataFrame([("02/04/2024", "1"), ("03/04/2024", "1"), (None, "1"), ("25/12/2024", "1"), ("04/04/2024", "2.5"), ("05/04/2024", "9")], "day string, n string")
+    some = make(row("day", ">=", "03/04/2024", "old"), row("n", "in", "1,2.50"))
+    assert sorted(r[0] for r in left.filter(some.of_side("left", reads)).collect()) == ["03/04/2024", "04/04/2024", "25/12/2024"]
+    m = match.keyed(spark.createDataFrame([(1, "a"), (2, None), (3, "b")], "id int, v string"), spark.createDataFrame([(1, "a"), (2, "b"), (4, None)], "id int, v string"), ["id"], [], "unique")
+    both, one = (R.build(spark, [row("v", "!=", "a", to)], {}, ("old", "new")) for to in ("both", "old"))
+    assert sorted(r["id"] for r in m.filter(both.of_match()).collect()) == [2, 3, 4] and sorted(r["id"] for r in m.filter(one.of_match()).collect()) == [3, 4]
