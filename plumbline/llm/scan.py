@@ -5,6 +5,7 @@ Texts are worked on in pieces that end between words, so that memory doesn't gro
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -99,5 +100,17 @@ def words(texts: pa.Array, kind: np.ndarray = WORD) -> tuple[np.ndarray, np.ndar
     return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
 
 
+def slices(batch: pa.RecordBatch, column: int = 0, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of up to ``most`` bytes of text, one text at least, so that what is worked out for its words is
+    small next to the batch."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64))
+    at = 0
+    while at < len(ends):
+        done = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, done + most, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def per_text(row: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(row, minlength=n)
