@@ -100,7 +100,7 @@ def words(texts: pa.Array, kind: np.ndarray = WORD) -> tuple[np.ndarray, np.ndar
     return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
 
 
-def slices(batch: pa.RecordBatch, column: int = 0, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int = 0, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """A batch in parts of up to ``most`` bytes of text, one text at least, so that what is worked out for its words is
     small next to the batch."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64))
