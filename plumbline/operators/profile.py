@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..written import settle
 from .match import size_estimate
 
 PLACEHOLDER_DAYS = ("1900-01-01", "1970-01-01", "9999-12-31", "0001-01-01")  # fixed values
@@ -105,14 +106,64 @@ def text_parts(df: DataFrame, value: Column, n: int = 2) -> DataFrame:
 
 
 def magnitude_bins(df: DataFrame, value: Column) -> DataFrame:
-    """Bins <0, 0, 0-1, then one for each number of digits; order, bin, n, distinct_values."""
+    """Bins <0, 0, 0-1, then one for each number of digits, empty ones between them too; place, bin, n, distinct_values."""
     v = df.select(value.cast("double").alias("x")).filter("x is not null").groupBy("x").agg(F.count("*").alias("n"))
     order = F.when(F.col("x") < 0, -1).when(F.col("x") == 0, 0).when(F.col("x") < 1, 1).otherwise(digits_before(F.col("x")) + 1)
-    out = v.groupBy(order.cast("int").alias("place")).agg(F.sum("n").alias("n"), F.count("*").alias("distinct_values"))
+    out = v.groupBy(order.cast("int").alias("place")).agg(F.sum("n").alias("n"), F.count("*").alias("distinct_values"))  # a row a bin
+    whole = F.when(F.col("place") >= 2, F.col("place"))
+    every = out.agg(F.min(whole).alias("a"), F.max(whole).alias("b")).filter("a is not null").select(F.explode(F.sequence("a", "b")).alias("place"))
+    out = out.join(F.broadcast(every), "place", "full").select("place", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("distinct_values", F.lit(0)).alias("distinct_values"))
     name = F.when(F.col("place") == -1, "<0").when(F.col("place") == 0, "0").when(F.col("place") == 1, "0-1").otherwise(F.concat(F.lit("1e"), (F.col("place") - 2).cast("string")))
     return out.withColumn("bin", name)
 
 
+def number_values(df: DataFrame, value: Column, n: int = 10) -> DataFrame:
+    """part, value, n, rank: ``top``, the n most frequent finite numbers, ties by value; ``lot``, those among them that are
+    whole multiples of 1000, or of 100 where none is; ``once``, the n least numbers that occur once.  Numbers are counted
+    once, written, and cut to n before anything is ranked in one place."""
+    x = df.select(value.cast("double").alias("value")).filter(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")))
+    counts = settle(x.groupBy("value").agg(F.count("*").alias("n")), "numbers")
+    by = lambda *order: F.row_number().over(Window.orderBy(*order))  # noqa: E731  # over n rows
+    top = counts.orderBy(F.desc("n"), "value").limit(n).withColumn("rank", by(F.desc("n"), "value"))
+    once = counts.filter("n = 1").orderBy("value").limit(n).withColumn("rank", by("value"))
+    step = lambda k: (F.col("value") != 0) & (F.col("value") % k == 0)
+    thousands = F.count_if(step(1000)).over(Window.partitionBy())
+    lots = top.withColumn("many", thousands).filter(F.when(F.col("many") > 0, step(1000)).otherwise(step(100))).drop("many").withColumn("rank", by("rank"))
+    tag = lambda part, d: d.select(F.lit(part).alias("part"), "value", "n", "rank")
+    return tag("top", top).union(tag("lot", lots)).union(tag("once", once))
+
+
+def time_repeats(df: DataFrame, value: Column, n: int = 10) -> DataFrame:
+    """value, n, weekday (from Monday = 1): the moments that most rows share, ties by time."""
+    v = df.select(value.cast("timestamp_ntz").alias("value")).filter("value is not null").groupBy("value").agg(F.count("*").alias("n")).filter("n > 1")
+    return v.orderBy(F.desc("n"), "value").limit(n).select(F.col("value").cast("string").alias("value"), "n", (F.weekday("value") + 1).alias("weekday"))
+
+
+def time_precision(df: DataFrame, value: Column) -> DataFrame:
+    """One row: filled, fraction_digits (the most that a second's fraction needs), whole_ms and whole_seconds (rows)."""
+    d = df.select(value.cast("timestamp_ntz").alias("d")).filter("d is not null").groupBy("d").agg(F.count("*").alias("n"))
+    micros = (F.extract(F.lit("SECOND"), "d") * 1_000_000).cast("long") % 1_000_000
+    d = d.withColumn("f", micros)
+    digits = F.when(F.col("f") == 0, 0).otherwise(6 - F.length(F.regexp_extract(F.lpad(F.col("f").cast("string"), 6, "0"), "0*$", 0)))
+    rows = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
+    return d.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("filled"), F.coalesce(F.max(digits), F.lit(0)).alias("fraction_digits"), rows(F.col("f") % 1000 == 0).alias("whole_ms"), rows(F.col("f") == 0).alias("whole_seconds"))
+
+
+def time_written(df: DataFrame, text: Column, n: int = 5) -> DataFrame:
+    """part, value, n, example: how dates and times are written.  ``shape``: the n most frequent shapes (digits 9, letters
+    A), ties by shape; ``fraction``: digits after the seconds' point; ``first_over_12`` and ``second_over_12``: rows whose
+    first or second number can't be a month."""
+    t = settle(df.select(F.btrim(text).alias("t")).filter("t <> ''").groupBy("t").agg(F.count("*").alias("n")), "texts")
+    shape = F.regexp_replace(F.regexp_replace("t", "[0-9]", "9"), "[A-Za-z]", "A")
+    shapes = t.groupBy(shape.alias("value")).agg(F.sum("n").alias("n"), F.min("t").alias("example")).orderBy(F.desc("n"), "value").limit(n).select(F.lit("shape").alias("part"), "value", "n", "example")
+    fraction = F.length(F.regexp_extract("t", r":[0-9]{2}[.]([0-9]+)", 1)).cast("string")
+    fractions = t.groupBy(fraction.alias("value")).agg(F.sum("n").alias("n"), F.min("t").alias("example")).select(F.lit("fraction").alias("part"), "value", "n", "example")
+    over = [("first_over_12", "^([0-9]{1,2})[/.-]"), ("second_over_12", "^[0-9]{1,2}[/.-]([0-9]{1,2})[/.-]")]
+    hits = F.array_compact(F.array(*[F.when(F.regexp_extract("t", p, 1).try_cast("int") > 12, F.lit(k)) for k, p in over]))
+    slots = t.select("t", "n", F.explode(hits).alias("part")).groupBy("part").agg(F.sum("n").alias("n"), F.min("t").alias("example")).select("part", F.lit(None).cast("string").alias("value"), "n", "example")
+    return shapes.union(fractions).union(slots)
+
+
 def decimal_fit(df: DataFrame, text: Column) -> DataFrame:
     """before, places and the DECIMAL that holds every number written in plain digits."""
     t = df.select(F.regexp_replace(F.btrim(text), "^[+-]?0*", "").alias("t")).filter(F.col("t").rlike(r"^\d*\.?\d*$"))
@@ -134,9 +185,10 @@ def time_facts(df: DataFrame, value: Column, today: str | None = None) -> DataFr
     )
 
 
-def time_bins(df: DataFrame, value: Column, unit: str | None = None, limit: int = 2000) -> DataFrame:
+def time_bins(df: DataFrame, value: Column, unit: str | None = None, limit: int | None = 2000) -> DataFrame:
     """bin, n, with empty bins between the first and the last.  Without ``unit``: year for dates without time, hour
-    within one day, day up to 90 days, else month; over ``limit`` bins gaps are not filled."""
+    within one day, day up to 90 days, else month; over ``limit`` bins gaps are not filled (None: always filled).  The
+    driver sees the first and the last moment."""
     d = df.select(value.cast("timestamp_ntz").alias("d")).filter("d is not null")
     lo, hi, n = d.agg(F.min("d"), F.max("d"), F.count("*")).first()
     if not n:
@@ -146,7 +198,7 @@ def time_bins(df: DataFrame, value: Column, unit: str | None = None, limit: int
         unit = "year" if dict(df.select(value.alias("v")).dtypes)["v"] == "date" else "hour" if days == 0 else "day" if days <= 90 else "month"
     counts = d.groupBy(F.date_trunc(unit, "d").cast("timestamp_ntz").alias("bin")).agg(F.count("*").alias("n"))
     size = {"hour": 3600, "day": 86400, "month": 28 * 86400, "year": 365 * 86400}[unit]
-    if (hi - lo).total_seconds() / size > limit:
+    if limit is not None and (hi - lo).total_seconds() / size > limit:
         return counts
     step = F.expr(f"INTERVAL 1 {unit.upper()}")
     every = counts.agg(F.min("bin").alias("a"), F.max("bin").alias("b")).select(F.explode(F.sequence("a", "b", step)).alias("bin"))

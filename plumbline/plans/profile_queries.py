@@ -65,7 +65,7 @@ def null_fold(s, d):
 
 
 @query("""WITH t AS (SELECT CASE WHEN o_orderkey % 10 = 0 THEN 'x' || o_orderkey ELSE o_totalprice::DECIMAL(18,2)::VARCHAR END AS v FROM orders)
-SELECT count(v) AS filled, count(*) FILTER (v NOT LIKE 'x%') AS converted, count(*) FILTER (v LIKE 'x%') AS failed, round(100.0::DOUBLE * count(*) FILTER (v LIKE 'x%') / count(v), 2) AS failed_percent, min(v) FILTER (v LIKE 'x%') AS first_failed, max(v) FILTER (v LIKE 'x%') AS last_failed FROM t""")
+SELECT count(v) AS filled, count(*) FILTER (v NOT LIKE 'x%') AS converted, count(*) FILTER (v LIKE 'x%') AS failed, round(100.0::DOUBLE * count(*) FILTER (v LIKE 'x%') / count(v), 2) AS failed_percent, min(v) FILTER (v LIKE 'x%') AS first_failed, max(v) FILTER (v LIKE 'x%') AS last_failed, min(v) AS before, rtrim(rtrim(min(v), '0'), '.') AS after FROM t""")
 def conversion_report(s, d):
     t = D.left(s, d).withColumn("v", F.when(F.col("o_orderkey") % 10 == 0, F.concat(F.lit("x"), F.col("o_orderkey").cast("string"))).otherwise(F.col("o_totalprice")))
     return V.conversion_report(t, "v", "number")
@@ -137,6 +137,41 @@ def prof_decimal_fit(s, d):
     return profile.decimal_fit(D.table(s, d, "customer"), F.col("c_acctbal").cast("decimal(18,2)").cast("string"))
 
 
+_NV = """v AS (SELECT round(o_totalprice / 10)::BIGINT * 10::DOUBLE AS value FROM orders), c AS (SELECT value, count(*) AS n FROM v GROUP BY 1), t AS (SELECT *, row_number() OVER (ORDER BY n DESC, value) AS rank FROM c QUALIFY rank <= 40),
+ k AS (SELECT *, count(*) FILTER (value <> 0 AND value % 1000 = 0) OVER () AS many FROM t), l AS (SELECT value, n, row_number() OVER (ORDER BY rank) AS rank FROM k WHERE value <> 0 AND value % CASE WHEN many > 0 THEN 1000 ELSE 100 END = 0), o AS (SELECT value, n, row_number() OVER (ORDER BY value) AS rank FROM c WHERE n = 1 QUALIFY rank <= 40)"""
+
+
+@query(f"WITH {_NV} SELECT 'top' AS part, value, n, rank FROM t UNION ALL SELECT 'lot', * FROM l UNION ALL SELECT 'once', * FROM o")
+def prof_number_values(s, d):
+    return profile.number_values(D.table(s, d, "orders"), F.round(F.col("o_totalprice") / 10) * 10, 40)
+
+
+@query("SELECT strftime(o_orderdate::TIMESTAMP, '%Y-%m-%d %H:%M:%S') AS value, count(*) AS n, isodow(o_orderdate)::INTEGER AS weekday FROM orders GROUP BY o_orderdate HAVING count(*) > 1 ORDER BY n DESC, value LIMIT 10")
+def prof_time_repeats(s, d):
+    return profile.time_repeats(D.table(s, d, "orders"), F.col("o_orderdate"))
+
+
+_TP = "t AS (SELECT o_orderdate::TIMESTAMP + to_microseconds((o_custkey % 4) * 250000 + CASE WHEN o_orderkey % 5 = 0 THEN 1250 ELSE 0 END) AS d FROM orders)"
+
+
+@query(f"WITH {_TP} SELECT count(*) AS filled, max(length(rtrim(lpad((epoch_us(d) % 1000000)::VARCHAR, 6, '0'), '0')))::INTEGER AS fraction_digits, count(*) FILTER (epoch_us(d) % 1000 = 0) AS whole_ms, count(*) FILTER (epoch_us(d) % 1000000 = 0) AS whole_seconds FROM t")
+def prof_time_precision(s, d):
+    micros = (F.col("o_custkey") % 4) * 250_000 + F.when(F.col("o_orderkey") % 5 == 0, 1250).otherwise(0)
+    at = F.timestamp_micros(F.unix_micros(F.col("o_orderdate").cast("timestamp")) + micros)
+    return profile.time_precision(D.table(s, d, "orders"), at)
+
+
+_TW = "t AS (SELECT CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%d/%m/%Y') WHEN 1 THEN strftime(o_orderdate, '%m-%d-%Y') ELSE strftime(o_orderdate, '%Y-%m-%d') || ' 10:11:12.' || (o_custkey % 100) END AS t FROM orders)"
+
+
+@query(f"WITH {_TW}, h AS (SELECT *, regexp_replace(t, '[0-9]', '9', 'g') AS shape, length(regexp_extract(t, ':[0-9]{{2}}[.]([0-9]+)', 1))::VARCHAR AS f, try_cast(regexp_extract(t, '^([0-9]{{1,2}})[/.-]', 1) AS INT) AS a, try_cast(regexp_extract(t, '^[0-9]{{1,2}}[/.-]([0-9]{{1,2}})[/.-]', 1) AS INT) AS b FROM t) "
+       "SELECT 'shape' AS part, shape AS value, count(*) AS n, min(t) AS example FROM h GROUP BY shape UNION ALL SELECT 'fraction', f, count(*), min(t) FROM h GROUP BY f UNION ALL SELECT 'first_over_12', NULL, count(*), min(t) FROM h WHERE a > 12 UNION ALL SELECT 'second_over_12', NULL, count(*), min(t) FROM h WHERE b > 12")
+def prof_time_written(s, d):
+    k, day = F.col("o_orderkey") % 3, F.col("o_orderdate")
+    late = F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit(" 10:11:12."), (F.col("o_custkey") % 100).cast("string"))
+    return profile.time_written(D.table(s, d, "orders"), F.when(k == 0, F.date_format(day, "dd/MM/yyyy")).when(k == 1, F.date_format(day, "MM-dd-yyyy")).otherwise(late))
+
+
 @query("""SELECT count(d) AS filled, count(DISTINCT d) AS distinct_values, strftime(min(d), '%Y-%m-%d %H:%M:%S') AS first, strftime(max(d), '%Y-%m-%d %H:%M:%S') AS last, date_diff('day', min(d)::DATE, max(d)::DATE)::INTEGER AS days, count(*) FILTER (strftime(d, '%H:%M:%S') = '00:00:00') AS midnight,
  count(*) FILTER (d::DATE::VARCHAR IN ('1900-01-01', '1970-01-01', '9999-12-31', '0001-01-01')) AS placeholders, count(*) FILTER (isodow(d) >= 6) AS weekend, count(*) FILTER (day(d) = 1) AS month_starts, count(*) FILTER (d > TIMESTAMP '1996-01-01') AS future, count(*) FILTER (year(d) < 1900) AS before_1900 FROM (SELECT o_orderdate::TIMESTAMP AS d FROM orders)""")
 def prof_when_facts(s, d):

@@ -9,6 +9,7 @@ from pathlib import PurePosixPath
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.match import numbered
+from . import strict
 from .guard import dialect_of, read_only
 from .sheets import read_sheet
 
@@ -28,12 +29,26 @@ def as_text(df: DataFrame) -> DataFrame:
     return df.select(*[(F.hex(c) if t == "binary" else F.to_json(c) if t.startswith(("struct", "array", "map")) else F.col(c).cast("string")).alias(c) for c, t in df.dtypes])
 
 
+PARITY_BYTES = 256 << 20
+
+
+def size_of(spark: SparkSession, path: str) -> int:
+    """The bytes of a file or of a folder's files, in any store that Spark reads."""
+    total = 0
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    for status in at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []:
+        total += status.getPath().getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(status.getPath()).getLength()
+    return total
+
+
 @dataclass(frozen=True)
 class Source:
     """A side: a path, table or query, read options, and the cut of rows (where, order, limit).
 
-    ``multi_line``: quoted fields of a CSV file may hold line feeds, which makes the file one task; a large file without
-    such fields is read in many with False.  ``jdbc`` takes Spark's own options; with ``partitionColumn``, its bounds and
+    ``multi_line``: quoted fields of a CSV file may hold line feeds.  Spark reads such a file in one task, so files of
+    ``PARITY_BYTES`` or more, and those with ``skip_rows`` or ``bad_rows``, are split by the parity of their quotes, in many
+    tasks.  ``bad_rows``: ``keep`` fills short rows and gives long ones more columns; ``set_aside`` leaves out rows that are
+    wider than the header (:func:`strict.read_strict` has them).  ``jdbc`` takes Spark's own options; with ``partitionColumn``, its bounds and
     ``numPartitions`` the query is read by several tasks."""
 
     path: str | None = None
@@ -53,6 +68,8 @@ class Source:
     multi_line: bool = True
     query: str | None = None
     dialect: str | None = None
+    skip_rows: int = 0
+    bad_rows: str | None = None
     sheet: str = ""
     cells: str = ""
     stop_at_blank: bool = False
@@ -64,6 +81,19 @@ class Source:
             raise ValueError(f"unknown source settings: {', '.join(sorted(unknown))}")
         return cls(**known)
 
+    def _by_parity(self, spark: SparkSession) -> bool:
+        if self.query is not None or (self.kind or kind_of(self.path or "")) != "csv":
+            return False
+        if self.bad_rows not in (None, "keep", "set_aside"):
+            raise ValueError(f"bad_rows={self.bad_rows!r} is neither keep nor set_aside")
+        plain = self.encoding.upper() in ("UTF-8", "UTF8")
+        return bool(self.skip_rows or self.bad_rows or self.multi_line and plain and size_of(spark, self.path) >= PARITY_BYTES)
+
+    def _split_by_parity(self, spark: SparkSession, number: str | None) -> DataFrame:
+        if self.bad_rows == "set_aside":
+            return self._folded(strict.read_strict(spark, self.path, self.delimiter, self.quote, self.skip_rows, number=number).rows)
+        return self._folded(strict.read_kept(spark, self.path, self.delimiter, self.quote, self.skip_rows, self.header, number))
+
     def read(self, spark: SparkSession) -> DataFrame:
         if self.query is not None:
             options = {"fetchsize": "50000"} | self.jdbc
@@ -79,11 +109,14 @@ class Source:
             return as_text(spark.read.option("primitivesAsString", True).option("multiLine", kind == "json").json(self.path))
         if kind == "sheet":
             return read_sheet(spark, self.path, sheet=self.sheet, range=self.cells, header=self.header, stopatblank=self.stop_at_blank)
+        if self._by_parity(spark):
+            return self._split_by_parity(spark, None)
         reader = spark.read.option("header", self.header).option("sep", self.delimiter).option("quote", self.quote).option("escape", self.quote).option("encoding", self.encoding)
         df = reader.option("multiLine", self.multi_line).option("inferSchema", False).option("enforceSchema", True).csv(self.path)
-        for c in df.columns if self.null_values else []:
-            df = df.withColumn(c, F.when(~F.col(c).isin(*self.null_values), F.col(c)))
-        return df
+        return self._folded(df)
+
+    def _folded(self, df: DataFrame) -> DataFrame:
+        return df.select(*[F.when(~F.col(c).isin(*self.null_values), F.col(c)).alias(c) for c in df.columns]) if self.null_values else df
 
     def cut(self, df: DataFrame) -> DataFrame:
         """Renamed and derived columns, then the row cut.  Expressions are Spark SQL; ``;`` is refused."""
@@ -103,6 +136,8 @@ class Source:
 
     def load(self, spark: SparkSession, number: bool = False) -> DataFrame:
         """``number``: add __rn__, the row's number in file order, before the cut."""
+        if number and self._by_parity(spark):
+            return self.cut(self._split_by_parity(spark, "__rn__"))
         df = self.read(spark)
         return self.cut(numbered(df, files=self.query is None and (self.kind or kind_of(self.path or "")) not in ("table", "sheet")) if number else df)
 

@@ -36,7 +36,8 @@ class Strict:
         fate = lambda w: "set aside" if w > self.expected else "filled up with nulls"
         said = [f"{r['n']} rows have {r['width']} fields, {self.expected} are expected: {fate(r['width'])}" for r in odd]
         if any(r["width"] > self.expected for r in odd):
-            n, times, numbers, open_at = self.set_aside.agg(F.count("*"), F.count_if(F.col("raw").rlike(r"\d\d:\d\d:\d\d,\d+(?:,|$)")), F.count_if(F.col("raw").rlike(r"(?:^|,)-?\d+,\d+(?:,|$)")), F.min(F.when(F.col("problem") == OPEN, F.col("line")))).first()
+            wide, reads = F.col("problem") != OPEN, lambda p: F.col("raw").rlike(p)
+            n, times, numbers, open_at = self.set_aside.agg(F.count_if(wide), F.count_if(wide & reads(r"\d\d:\d\d:\d\d,\d+(?:,|$)")), F.count_if(wide & reads(r"(?:^|,)-?\d+,\d+(?:,|$)")), F.min(F.when(~wide, F.col("line")))).first()
             if times * 2 > n:
                 said.append("most of them have a time followed by a comma and digits: export fractions of a second with a point, or quote them")
             elif numbers * 2 > n:
@@ -99,14 +100,14 @@ def text_rows(spark: SparkSession, path: str | list[str], quote: str = '"', skip
     return whole.unionByName(joined)
 
 
-def read_strict(spark: SparkSession, path: str | list[str], delimiter: str = ",", quote: str = '"', skip: int = 0, expected: int | str | None = None, header_in: str | None = None) -> Strict:
+def read_strict(spark: SparkSession, path: str | list[str], delimiter: str = ",", quote: str = '"', skip: int = 0, expected: int | str | None = None, header_in: str | None = None, number: str | None = None) -> Strict:
     """rows: fitting rows under the header's names; set_aside: file, line, record (its number, from 1), width, problem and
     raw text of the others; widths: rows by width, those with an unclosed quote aside.
 
     ``expected``: a width, ``"modal"`` for the most frequent one, or the header's.  Empty and missing fields read as null
     and count towards the width where their delimiters are written.  A row with an unclosed quote is set aside.  Every
     file has a header of its own, of which the first file's names count; with ``header_in``, a folder, its files alone have
-    one."""
+    one.  ``number``: a column of ``rows`` with the row's number in file order, set-aside rows counted."""
     found = text_rows(spark, path, quote, skip)
     bare = _unquoted(F.col("raw"), quote) if quote else F.col("raw")
     width = (F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit("")))) / len(delimiter) + 1
@@ -129,7 +130,40 @@ def read_strict(spark: SparkSession, path: str | list[str], delimiter: str = ","
     fits = (F.col("width") <= n) & ~F.col("open")
     from .load import short_header
 
-    rows = data.filter(fits).select(parsed(n).alias("f")).select(*[F.col(f"f.f{i}").alias(c) for i, c in enumerate(short_header(names))])
+    fitting, at = _numbers(data, True) if number else (data, F.lit(0))
+    rows = fitting.filter(fits).select(parsed(n).alias("f"), at.alias("at")).select(*[F.col(f"f.f{i}").alias(c) for i, c in enumerate(short_header(names))], *([F.col("at").alias(number)] if number else []))
     problem = F.when(F.col("open"), OPEN).otherwise("more fields than expected" if expected else "more fields than the header")
     aside = data.filter(~fits).select("file", "line", "record", "width", problem.alias("problem"), "raw")
     return Strict(rows, aside, widths, n)
+
+
+def _numbers(found: DataFrame, header: bool) -> tuple[DataFrame, Column]:
+    """The rows with where their file's records begin, and a row's number over all files, from 1, in the files' order."""
+    sizes = found.groupBy("file").agg((F.max("record") + (0 if header else 1)).alias("size"))  # a row a file
+    before = F.sum("size").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
+    begins = sizes.select("file", F.coalesce(before, F.lit(0)).alias("begins"))
+    return found.join(F.broadcast(begins), "file"), F.col("begins") + F.col("record") + (0 if header else 1)
+
+
+def read_kept(spark: SparkSession, path: str | list[str], delimiter: str = ",", quote: str = '"', skip: int = 0, header: bool = True, number: str | None = None) -> DataFrame:
+    """All rows, with their ``number`` in file order if one is asked for, by the same splitting: a short row is filled up with nulls, a long one gives the table more columns, named
+    by their number.  A row whose quote is never closed is refused, as rows behind it can't be told apart."""
+    from .load import short_header
+
+    found = text_rows(spark, path, quote, skip)
+    bare = _unquoted(F.col("raw"), quote) if quote else F.col("raw")
+    width = ((F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit("")))) / len(delimiter) + 1).cast("int")
+    seen = found.agg(F.max(width).alias("width"), F.min(F.when(F.col("open"), F.col("line"))).alias("open"), F.min_by("raw", F.when(F.col("record") == 0, F.col("file"))).alias("head")).first()
+    if seen["width"] is None:
+        raise ValueError(f"{path}: no rows")
+    if seen["open"] is not None:
+        raise ValueError(f"{path}: line {seen['open']} opens a quote that never closes, so the rows cannot be told apart")
+    n = seen["width"]
+    options = {"sep": delimiter, "quote": quote or "\u0000", "escape": quote or "\u0000", "mode": "PERMISSIVE", "maxCharsPerColumn": "-1"}
+    parsed = F.from_csv("raw", F.lit("struct<" + ", ".join(f"f{i}: string" for i in range(n)) + ">"), options)
+    names = [""] * n
+    if header:
+        names = [*spark.createDataFrame([(seen["head"],)], "raw string").select(parsed.alias("f")).first()["f"]]
+        found = found.filter("record > 0")
+    found, at = _numbers(found, header) if number else (found, F.lit(0))
+    return found.select(parsed.alias("f"), at.alias("at")).select(*[F.col(f"f.f{i}").alias(c) for i, c in enumerate(short_header(names))], *([F.col("at").alias(number)] if number else []))

@@ -160,7 +160,7 @@ def test_strict_keeps_every_field(spark, tmp_path):
     assert sorted(tuple(r) for r in s.rows.collect()) == [("5", 'x, "y"', "7"), ("8", None, None), ("9", None, None)]
     assert [(r["record"], r["width"], r["raw"]) for r in s.page(0, 2).collect()] == [(1, 4, "1,,3,4"), (5, 6, "1,2,3,,,")]
     assert [r["problem"] for r in s.page(2, 5).collect()] == ["a quote is not closed"]
-    assert strict.modal_width(s.widths) == 3 and len(s.messages()) == 4 and s.messages()[-1] == "line 7 opens a quote that never closes"
+    assert strict.modal_width(s.widths) == 3 and len(s.messages()) == 5 and "decimal comma" in s.messages()[-2] and s.messages()[-1] == "line 7 opens a quote that never closes"
 
 
 def test_strict_over_pieces_equals_one_reading(spark, tmp_path, monkeypatch):
@@ -202,6 +202,23 @@ def test_strict_over_pieces_equals_one_reading(spark, tmp_path, monkeypatch):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+def test_csv_rows_kept_or_set_aside(spark, tmp_path):
+    (tmp_path / "k.csv").write_text('made by hand\na,b\n1,"x\ny"\n2\n3,z,,w\nNA,q\n')
+    path = str(tmp_path / "k.csv")
+    kept = load.Source(path, skip_rows=1, bad_rows="keep", null_values=("NA",)).load(spark, number=True)
+    assert kept.columns == ["a", "b", "column3", "column4", "__rn__"]
+    assert sorted(kept.collect(), key=lambda r: r["__rn__"]) == [("1", "x\ny", None, None, 1), ("2", None, None, None, 2), ("3", "z", None, "w", 3), (None, "q", None, None, 4)]
+    aside = load.Source(path, skip_rows=1, bad_rows="set_aside").load(spark, number=True)
+    assert sorted(aside.collect(), key=lambda r: r["__rn__"]) == [("1", "x\ny", 1), ("2", None, 2), ("NA", "q", 4)]
+    assert load.Source(path, skip_rows=2, header=False).read(spark).columns == ["column1", "column2", "column3", "column4"]
+    (tmp_path / "o.csv").write_text('a,b\n1,"x\n2,y\n')
+    with pytest.raises(ValueError, match="line 2 opens a quote"):
+        load.Source(str(tmp_path / "o.csv"), bad_rows="keep").read(spark)
+    with pytest.raises(ValueError, match="neither"):
+        load.Source(path, bad_rows="drop").read(spark)
+    assert load.size_of(spark, str(tmp_path)) == sum(f.stat().st_size for f in tmp_path.iterdir())
+
+
 def test_unique_match_refuses_repeated_keys(spark):
     df = spark.createDataFrame([(1, "a"), (1, "b")], "id int, v string")
     with pytest.raises(Exception, match="more than once"):
