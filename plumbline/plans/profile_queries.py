@@ -210,10 +210,13 @@ def obs_fd(s, d):
     return observe.decides(D.table(s, d, "customer").withColumn("mod", F.col("c_nationkey") % 5), "c_nationkey", ["mod", "c_mktsegment"])
 
 
-@query("""SELECT 'l_extendedprice' AS a, 'double_price' AS b, round(corr(l_extendedprice, l_extendedprice * 2 + 1), 4) AS r FROM lineitem""")
+_CORR = ("l_extendedprice", "net", "l_quantity", "l_discount", "one")
+
+
+@query("WITH t AS (SELECT *, l_extendedprice * (1 - l_discount) - l_quantity AS net, 1.0::DOUBLE AS one FROM lineitem), p AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 4) AS r FROM t" for i, a in enumerate(_CORR) for b in _CORR[i + 1 :]) + ") SELECT * FROM p WHERE abs(r) >= 0.3 AND NOT isnan(r)")
 def obs_corr(s, d):
-    t = D.table(s, d, "lineitem").withColumn("double_price", F.col("l_extendedprice") * 2 + 1).withColumn("one", F.lit(1.0))
-    return observe.correlations(t, ["l_extendedprice", "double_price", "l_discount", "one"], 0.95)
+    t = D.table(s, d, "lineitem").withColumn("net", F.col("l_extendedprice") * (1 - F.col("l_discount")) - F.col("l_quantity")).withColumn("one", F.lit(1.0))
+    return observe.correlations(t, list(_CORR), 0.3)
 
 
 _Q = ", ".join(f"round(quantile_cont(x, {p / 100}), 6) AS p{p}" for p in observe.PERCENTS)
@@ -305,7 +308,7 @@ def keyformat_share(s, d):
     return keys.meet_share(a, D.table(s, d, "orders"), "k", "o_custkey", [("digits_only",), ("strip_leading_zeros",)])
 
 
-@query("SELECT 'c_custkey' AS columns, count(*) AS distinct_values FROM customer")
+@query("WITH c AS (" + " UNION ALL ".join(f"SELECT '{c}' AS columns, count(DISTINCT {c}) AS distinct_values, count(*) AS rows FROM customer" for c in ("c_custkey", "c_nationkey", "c_mktsegment")) + ") SELECT columns, distinct_values FROM c WHERE distinct_values = rows")
 def key_search(s, d):
     t = D.table(s, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     return s.createDataFrame([(",".join(c.columns), c.distinct) for c in keys.search(t)], "columns string, distinct_values long")
@@ -338,7 +341,9 @@ def placeholders(s, d):
     return spelling.placeholders(D.table(s, d, "part").withColumn("p_name", F.when(k == 0, " N/A").when(k == 1, "Unknown").otherwise(F.col("p_name"))), ["p_name", "p_brand"])
 
 
-@query("""SELECT 'day' AS column_name, count(*) AS filled, 0::BIGINT AS booleans, 0::BIGINT AS numbers, count(*) AS stamps, 0::BIGINT AS with_time FROM orders UNION ALL SELECT 'flag', count(*), count(*), 0, 0, 0 FROM orders UNION ALL SELECT 'price', count(*), 0, count(*), 0, 0 FROM orders UNION ALL SELECT 'word', count(*), 0, 0, 0, 0 FROM orders""")
+@query("""WITH t AS (SELECT strftime(o_orderdate, '%d/%m/%Y') AS day, CASE WHEN o_orderkey % 2 = 0 THEN 'Y' ELSE 'N' END AS flag, o_totalprice::DECIMAL(18,2)::VARCHAR AS price, o_orderpriority AS word FROM orders), l AS (UNPIVOT t ON COLUMNS(*) INTO NAME column_name VALUE v),
+r AS (SELECT column_name, v, coalesce(try_strptime(v, '%d/%m/%Y'), try_strptime(v, '%Y-%m-%d'), try_strptime(v, '%Y%m%d')) AS stamp FROM l)
+SELECT column_name, count(v) AS filled, count(*) FILTER (lower(trim(v)) IN ('true', 'false', 'yes', 'no', 'y', 'n', 't', 'f')) AS booleans, count(try_cast(v AS DOUBLE)) AS numbers, count(stamp) AS stamps, count(*) FILTER (strftime(stamp, '%H:%M:%S') <> '00:00:00') AS with_time FROM r GROUP BY 1""")
 def sniff_counts(s, d):
     t = D.table(s, d, "orders").select(F.date_format("o_orderdate", "dd/MM/yyyy").alias("day"), F.when(F.col("o_orderkey") % 2 == 0, "Y").otherwise("N").alias("flag"), F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("price"), F.col("o_orderpriority").alias("word"))
     return sniff.readings(t, ["day", "flag", "price", "word"])
@@ -411,7 +416,9 @@ def sniff_formats(s, d):
     return sniff.formats_that_read(t, "day")
 
 
-@query("SELECT 'text' AS kind, NULL::VARCHAR AS format UNION ALL SELECT 'timestamp', '%d/%m/%Y %H:%M'")
+@query("WITH t AS (SELECT strftime(o_orderdate, '%d/%m/%Y %H:%M') AS v FROM orders), f AS (" + " UNION ALL ".join(f"SELECT '{f}' AS format, count(try_strptime(v, '{f}'))::DOUBLE / count(*) AS share FROM t" for f in dates.PRESETS.values()) + """),
+g AS (SELECT format FROM f WHERE share >= 0.98 AND replace(format, '%Y', '%y') NOT IN (SELECT format FROM f WHERE share >= 0.98 AND format LIKE '%\%y%' ESCAPE '\')), n AS (SELECT count(try_cast(v AS DOUBLE))::DOUBLE / count(*) AS numbers, count(*) FILTER (lower(v) IN ('true', 'false', 'yes', 'no', 'y', 'n', 't', 'f'))::DOUBLE / count(*) AS booleans FROM t)
+SELECT 'text' AS kind, NULL::VARCHAR AS format UNION ALL SELECT 'number', NULL FROM n WHERE numbers >= 0.98 UNION ALL SELECT 'boolean', NULL FROM n WHERE booleans >= 0.98 UNION ALL SELECT CASE WHEN regexp_matches(format, '%[HI]') THEN 'timestamp' ELSE 'date' END, format FROM g""")
 def sniff_possible(s, d):
     return sniff.possible_kinds(D.table(s, d, "orders").select(F.date_format("o_orderdate", "dd/MM/yyyy HH:mm").alias("at")), "at")
 
