@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.values import to_double
 from ..written import settle
-from .diff import Options, with_differences, within
+from .diff import BUCKET, Options, with_differences, within
 from .match import LEFT, OCC, RIGHT, occurrences
 from .profile import quantiles
 
@@ -130,6 +130,13 @@ def paired_rows(matched: DataFrame, keys: Sequence[str], columns: Sequence[str])
     return both.select(*keys, OCC, *[F.col(f"{s}.{c}").alias(f"{p}{c}") for c in columns for s, p in ((LEFT, "a_"), (RIGHT, "b_"))])
 
 
+def report_rows(matched: DataFrame, order: Sequence, n: int | None = 1000) -> DataFrame:
+    """Differing pairs with both sides' whole rows and the names of the columns that differ, in ``order`` (columns of the
+    match, as l.__rn__ for file order), ``n`` of them: what a report lists.  None: all."""
+    rows = within(matched, "differ").filter(F.size("diffs") > 0).select(*[c for c in matched.columns if c not in (LEFT, RIGHT, "diffs", BUCKET)], LEFT, RIGHT, F.array_join(F.array_sort("diffs"), ",").alias("marks")).orderBy(*order)
+    return rows if n is None else rows.limit(n)
+
+
 def above_below(matched: DataFrame, keys: Sequence[str], columns: Sequence[str], options: Options = Options()) -> DataFrame:
     """Differing pairs as two rows, A above B: keys, occurrence, side, columns, and ``marks``, the columns that differ."""
     row = lambda tag, side: F.struct(F.lit(tag).alias("side"), *[F.col(f"{side}.{c}").alias(c) for c in columns])

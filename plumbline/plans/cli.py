@@ -21,7 +21,7 @@ from ..operators.diff import Options, Rule
 from ..session import build
 from ..sources.guard import redacted
 from ..sources.load import Source, pair_folders
-from .outputs import Counts, Result, exit_code, roll_up
+from .outputs import Counts, Result, exit_code, roll_up, write_table
 
 
 def compare(spark: SparkSession, block: dict) -> Result | Counts:
@@ -77,6 +77,9 @@ def run(spark: SparkSession, config: dict) -> int:
         try:
             result = compare(spark, block)
             summary = result.write(block["out"]) if block.get("out") else result.summary()
+            for side in ("left", "right"):
+                if block.get("out") and (aside := Source.from_config(block[side]).set_aside(spark)) is not None:
+                    write_table(aside, f"{block['out']}/set_aside_{side}")
             done.append({"left": block["left"].get("path"), "right": block["right"].get("path")} | summary)
             print(json.dumps(done[-1]))
         except Exception as e:  # one pair's failure is reported, the others go on

@@ -296,6 +296,12 @@ def cmp_above_below(s, d):
     return out.select("o_orderkey", "side", *C, F.array_join(F.array_sort("marks"), ",").alias("marks"))
 
 
+@query(_CELLS + ", d AS (SELECT o_orderkey, array_to_string(list_sort(list(column_name)), ',') AS marks FROM cells GROUP BY 1) SELECT o_orderkey, marks, l.o_totalprice AS left_price, r.o_totalprice AS right_price, l.o_orderdate AS day FROM d JOIN l USING (o_orderkey) JOIN r USING (o_orderkey) ORDER BY l.o_orderdate, o_orderkey LIMIT 200")
+def cmp_report_rows(s, d):
+    rows = readback.report_rows(diff.with_differences(pairs(s, d), C), ["l.o_orderdate", "o_orderkey"], 200)
+    return rows.select("o_orderkey", "marks", F.col("l.o_totalprice").alias("left_price"), F.col("r.o_totalprice").alias("right_price"), F.col("l.o_orderdate").alias("day"))
+
+
 _WRITTEN = D.SIDES + ", w AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN lpad(o_orderkey::VARCHAR, 10, '0') ELSE o_orderkey::VARCHAR END AS k FROM l)"
 
 

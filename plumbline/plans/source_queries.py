@@ -8,6 +8,7 @@ from ..operators import keys, observe, pairing, sniff, spelling
 from ..sources import strict
 from ..written import scratch
 from . import derive as D
+from .overview import overview
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -177,3 +178,27 @@ def sniff_casts(s, d):
         F.when(k % 4 == 0, F.format_number(F.round(price).cast("long"), 0)).when(k % 4 == 1, "").otherwise(price.cast("decimal(18,2)").cast("string")).alias("amount"),
     )
     return sniff.casts(t, ["day", "amount"]).na.fill(0, ["before", "after"])
+
+
+# ---- the overview
+
+_OV = """t AS (SELECT c_custkey + CASE WHEN c_custkey > 100 THEN 40 ELSE 0 END AS k, CASE WHEN c_custkey % 9 = 0 THEN 'N/A' WHEN c_custkey % 2 = 0 THEN lower(c_mktsegment) ELSE c_mktsegment END AS segment,
+ CASE WHEN c_custkey % 97 = 0 THEN c_acctbal * 50 ELSE c_acctbal END AS balance, c_nationkey AS nation, c_nationkey % 5 AS region FROM customer)"""
+_OVP = " UNION ALL ".join(f"SELECT '{x}' AS value, '{y}' AS column_name, count(*)::DOUBLE AS n, count(DISTINCT coalesce({x}::VARCHAR, '?'))::DOUBLE AS dx, count(DISTINCT coalesce({y}::VARCHAR, '?'))::DOUBLE AS dy, count(DISTINCT (coalesce({x}::VARCHAR, '?'), coalesce({y}::VARCHAR, '?')))::DOUBLE AS dxy FROM t" for x in ("segment", "balance", "nation", "region") for y in ("segment", "balance", "nation", "region") if x != y)
+
+
+@query(f"""WITH {_OV}, p AS ({_OVP}), c AS (SELECT *, 1 / (dy * (1 - pow(1 - 1 / dy, n / dx))) AS chance FROM p), s AS (SELECT value, column_name, CASE WHEN chance >= 1 THEN 0 ELSE round(greatest(0, (dx / dxy - chance) / (1 - chance)) * 100, 2) END AS score FROM c),
+q AS (SELECT quantile_cont(balance, 0.25) AS a, quantile_cont(balance, 0.75) AS b FROM t), r AS (SELECT quantile_cont(nation, 0.25) AS a, quantile_cont(nation, 0.75) AS b FROM t)
+SELECT 'placeholder' AS finding, 'segment' AS column_name, 'n/a' AS value, count(*)::DOUBLE AS n FROM t WHERE segment = 'N/A'
+UNION ALL SELECT 'spelled several ways', 'segment', arg_max(segment, (n, segment)), count(*)::DOUBLE FROM (SELECT segment, count(*) AS n FROM t GROUP BY 1) GROUP BY lower(segment) HAVING count(*) > 1
+UNION ALL SELECT 'gap', 'k', '101 - 140', 40
+UNION ALL SELECT 'outliers', 'balance', NULL, count(*)::DOUBLE FROM t, q WHERE balance < a - 1.5 * (b - a) OR balance > b + 1.5 * (b - a) HAVING count(*) > 0
+UNION ALL SELECT 'outliers', 'nation', NULL, count(*)::DOUBLE FROM t, r WHERE nation < a - 1.5 * (b - a) OR nation > b + 1.5 * (b - a) HAVING count(*) > 0
+UNION ALL SELECT * FROM (SELECT 'pair', column_name, value, score FROM s WHERE score > 0 ORDER BY score DESC, value, column_name LIMIT 5)""")
+def prof_overview(s, d):
+    k, m = F.col("c_custkey"), F.col("c_mktsegment")
+    t = D.table(s, d, "customer").select(
+        (k + F.when(k > 100, 40).otherwise(0)).alias("k"), F.when(k % 9 == 0, "N/A").when(k % 2 == 0, F.lower(m)).otherwise(m).alias("segment"),
+        F.when(k % 97 == 0, F.col("c_acctbal") * 50).otherwise(F.col("c_acctbal")).alias("balance"), F.col("c_nationkey").alias("nation"), (F.col("c_nationkey") % 5).alias("region"),
+    )
+    return overview(t, texts=["segment"], numbers=["balance", "nation", "region"], key="k")

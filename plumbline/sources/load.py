@@ -141,6 +141,10 @@ class Source:
         df = self.read(spark)
         return self.cut(numbered(df, files=self.query is None and (self.kind or kind_of(self.path or "")) not in ("table", "sheet")) if number else df)
 
+    def set_aside(self, spark: SparkSession) -> DataFrame | None:
+        """The rows that ``bad_rows="set_aside"`` leaves out: file, line, record, width, problem, raw; else None."""
+        return strict.read_strict(spark, self.path, self.delimiter, self.quote, self.skip_rows).set_aside if self.bad_rows == "set_aside" else None
+
     def with_cut(self, **changes) -> "Source":
         return replace(self, **changes)
 

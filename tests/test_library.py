@@ -483,3 +483,28 @@ def test_filter_rows(spark):
     m = match.keyed(spark.createDataFrame([(1, "a"), (2, None), (3, "b")], "id int, v string"), spark.createDataFrame([(1, "a"), (2, "b"), (4, None)], "id int, v string"), ["id"], [], "unique")
     both, one = (R.build(spark, [row("v", "!=", "a", to)], {}, ("old", "new")) for to in ("both", "old"))
     assert sorted(r["id"] for r in m.filter(both.of_match()).collect()) == [2, 3, 4] and sorted(r["id"] for r in m.filter(one.of_match()).collect()) == [3, 4]
+
+
+def test_databases(spark, tmp_path):
+    from plumbline.sources import databases
+
+    jdbc = {"url": f"jdbc:derby:{tmp_path}/db;create=true;user=app;password=hidden", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    spark.createDataFrame([(i, f"n{i}") for i in range(20)], "ID int, NAME string").write.format("jdbc").options(**jdbc).option("dbtable", "things").save()
+    got = databases.test_connection(spark, jdbc)
+    assert got.ok and got.who.lower() == "app" and got.error is None
+    assert [c.lower() for c, _ in databases.query_columns(spark, jdbc, "SELECT id, name FROM things")] == ["id", "name"]
+    parts = jdbc | {"partitionColumn": "ID", "lowerBound": "0", "upperBound": "20", "numPartitions": "4"}
+    df = load.Source(query="SELECT id, name FROM things WHERE id > 4", jdbc=parts).read(spark)
+    assert df.count() == 15 and {t for _, t in df.dtypes} == {"string"} and df.rdd.getNumPartitions() == 4
+    bad = databases.test_connection(spark, jdbc | {"url": "jdbc:derby:/nowhere/at/all;user=app;password=hidden"})
+    assert not bad.ok and bad.error and "hidden" not in bad.error
+    with pytest.raises(ValueError):
+        databases.query_columns(spark, jdbc, "DROP TABLE things")
+
+
+def test_set_aside_rows_go_beside_the_run(spark, tmp_path):
+    for side, wide in (("a", ""), ("b", "3,4,5\n")):
+        (tmp_path / f"{side}.csv").write_text("id,v\n1,x\n2,y\n" + wide)
+    block = {"left": {"path": f"{tmp_path}/a.csv"}, "right": {"path": f"{tmp_path}/b.csv", "bad_rows": "set_aside"}, "keys": ["id"], "out": f"{tmp_path}/out"}
+    assert cli.run(spark, block) == 0
+    assert [r["raw"] for r in spark.read.parquet(f"{tmp_path}/out/set_aside_right.parquet").collect()] == ["3,4,5"] and not (tmp_path / "out" / "set_aside_left.parquet").exists()
