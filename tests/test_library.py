@@ -508,3 +508,24 @@ def test_set_aside_rows_go_beside_the_run(spark, tmp_path):
     block = {"left": {"path": f"{tmp_path}/a.csv"}, "right": {"path": f"{tmp_path}/b.csv", "bad_rows": "set_aside"}, "keys": ["id"], "out": f"{tmp_path}/out"}
     assert cli.run(spark, block) == 0
     assert [r["raw"] for r in spark.read.parquet(f"{tmp_path}/out/set_aside_right.parquet").collect()] == ["3,4,5"] and not (tmp_path / "out" / "set_aside_left.parquet").exists()
+
+
+def test_mapping_round_trip(spark):
+    from plumbline.plans import mapping as M
+
+    pairs = [M.Pair("Emp No", "id", "id", left_steps=(("strip_leading_zeros",),), key=True), M.Pair("pay", "Salary", "salary", diff.Rule("number", tolerance=0.5))]
+    again, said = M.from_json(M.to_json(pairs), ["Emp No", "pay"], ["id", "Salary"])
+    assert again == pairs and not said and "formats" not in M.to_json(pairs)
+    some, said = M.from_json(M.to_json(pairs), ["Emp No"], ["id", "Salary"])
+    assert some == pairs[:1] and said == ["salary was left out: 'pay' is not on the left side"]
+    for old, new in (('"strip_leading_zeros"', '"burn"'), ('"tolerance"', '"slack"'), ('"version": 1', '"version": 2'), ('"name": "salary"', '"name": "ID"')):
+        with pytest.raises(ValueError):
+            M.from_json(M.to_json(pairs).replace(old, new), ["Emp No", "pay"], ["id", "Salary"])
+    left = spark.createDataFrame([("007", "10.2"), ("8", "5")], "`Emp No` string, pay string")
+    right = spark.createDataFrame([(7, 10.0), (8, 6.0)], "id int, Salary double")
+    l, r = M.apply(left, right, pairs)
+    m = match.keyed(l, r, ["id"], [], "unique")
+    got = diff.cells(m, ["id"], ["salary"], diff.Options(rules={p.name: p.rule for p in pairs}))
+    assert [(x["id"], x["left_value"]) for x in got.collect()] == [("8", "5")]
+    fixed = M.with_fix(pairs[1], ((("trim",),), ()))
+    assert fixed.left_steps == (("trim",),) and fixed.right_steps == ()
