@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import dates
 from ..functions.values import to_double
-from ..operators import observe, profile, sniff
+from ..operators import keys, observe, profile, sniff
 
 
 def tables(df: DataFrame, kinds: dict[str, str] | None = None, today: str | None = None) -> dict[str, DataFrame]:
@@ -28,9 +28,27 @@ def tables(df: DataFrame, kinds: dict[str, str] | None = None, today: str | None
     return out
 
 
-def write(df: DataFrame, folder: str, kinds: dict[str, str] | None = None, today: str | None = None) -> list[str]:
-    """Writes each table as Parquet and returns their names."""
-    made = tables(df, kinds, today)
+def findings(df: DataFrame, kinds: dict[str, str] | None = None, deepest: int = 3) -> dict[str, DataFrame]:
+    """keys (columns, distinct_values, unique, reasons), dependencies (a decides b), notes (sentences) and casts (text
+    columns that read as another kind).  Searches run here; the driver holds column names and counts."""
+    kinds = kinds or sniff.looks_like(df, df.columns)
+    spark, columns = df.sparkSession, df.columns
+    text = [c for c in columns if kinds.get(c) == "text"]
+    found = keys.search(df, columns, deepest)
+    rows = [(",".join(c.columns), c.distinct, c.unique, "; ".join(c.reasons())) for c in found]
+    stats = [r.asDict() for r in profile.statistics(df, columns).collect()]  # a row a column
+    out = {
+        "keys": spark.createDataFrame(rows, "columns string, distinct_values long, unique boolean, reasons string"),
+        "dependencies": spark.createDataFrame(observe.dependencies(df, columns), "a string, b string"),
+        "notes": spark.createDataFrame([(n,) for n in observe.notes(stats)], "note string"),
+    }
+    return out | ({"casts": sniff.casts(df, text)} if text else {})
+
+
+def write(df: DataFrame, folder: str, kinds: dict[str, str] | None = None, today: str | None = None, searches: bool = True) -> list[str]:
+    """Writes each table as Parquet, with ``searches`` the findings too, and returns their names."""
+    kinds = kinds or sniff.looks_like(df, df.columns)
+    made = tables(df, kinds, today) | (findings(df, kinds) if searches else {})
     for name, table in made.items():
         table.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
     return list(made)

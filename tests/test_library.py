@@ -404,11 +404,12 @@ def test_multiset_mode_ledger_and_roll_up(spark, tmp_path):
 def test_whole_profile(spark, tmp_path):
     df = spark.createDataFrame([(f"K{i:03d}", f"{i * 1.5}", str(3 * i), f"2024-01-{1 + i % 28:02d}") for i in range(60)], "k string, x string, y string, d string")
     names = profile_run.write(df, str(tmp_path / "p"), today="2024-01-20")
-    assert names == ["statistics", "most_frequent", "least_frequent", "shapes", "odd_shapes", "raw_checks", "outliers", "correlations", "date_outliers"]
+    assert names == ["statistics", "most_frequent", "least_frequent", "shapes", "odd_shapes", "raw_checks", "outliers", "correlations", "date_outliers", "keys", "dependencies", "notes", "casts"]
     table = lambda n: spark.read.parquet(f"{tmp_path}/p/{n}.parquet")
     assert {r["column_name"]: r["distinct_values"] for r in table("statistics").collect()} == {"k": 60, "x": 60, "y": 60, "d": 28}
     assert table("outliers").filter("column_name = 'x'").first()["p50"] == 44.25 and table("correlations").first()["r"] == 1.0
     assert table("date_outliers").first()["future"] == 16
+    assert "k" in {r["columns"] for r in table("keys").collect()} and "k is unique" in {r["note"] for r in table("notes").collect()} and table("dependencies").count() == 0
     assert set(profile_run.tables(df.select("k"))) == {"statistics", "most_frequent", "least_frequent", "shapes", "odd_shapes", "raw_checks"}
 
 
