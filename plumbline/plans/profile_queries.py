@@ -417,7 +417,7 @@ def sniff_formats(s, d):
 
 
 @query("WITH t AS (SELECT strftime(o_orderdate, '%d/%m/%Y %H:%M') AS v FROM orders), f AS (" + " UNION ALL ".join(f"SELECT '{f}' AS format, count(try_strptime(v, '{f}'))::DOUBLE / count(*) AS share FROM t" for f in dates.PRESETS.values()) + """),
-g AS (SELECT format FROM f WHERE share >= 0.98 AND replace(format, '%Y', '%y') NOT IN (SELECT format FROM f WHERE share >= 0.98 AND format LIKE '%\%y%' ESCAPE '\')), n AS (SELECT count(try_cast(v AS DOUBLE))::DOUBLE / count(*) AS numbers, count(*) FILTER (lower(v) IN ('true', 'false', 'yes', 'no', 'y', 'n', 't', 'f'))::DOUBLE / count(*) AS booleans FROM t)
+g AS (SELECT format FROM f WHERE share >= 0.98 AND replace(format, '%Y', '%y') NOT IN (SELECT format FROM f WHERE share >= 0.98 AND contains(format, '%y'))), n AS (SELECT count(try_cast(v AS DOUBLE))::DOUBLE / count(*) AS numbers, count(*) FILTER (lower(v) IN ('true', 'false', 'yes', 'no', 'y', 'n', 't', 'f'))::DOUBLE / count(*) AS booleans FROM t)
 SELECT 'text' AS kind, NULL::VARCHAR AS format UNION ALL SELECT 'number', NULL FROM n WHERE numbers >= 0.98 UNION ALL SELECT 'boolean', NULL FROM n WHERE booleans >= 0.98 UNION ALL SELECT CASE WHEN regexp_matches(format, '%[HI]') THEN 'timestamp' ELSE 'date' END, format FROM g""")
 def sniff_possible(s, d):
     return sniff.possible_kinds(D.table(s, d, "orders").select(F.date_format("o_orderdate", "dd/MM/yyyy HH:mm").alias("at")), "at")
