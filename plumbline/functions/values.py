@@ -178,7 +178,7 @@ def canonicalise(df: DataFrame, specs: Sequence[ColSpec], keep: Sequence[str] =
     return df.select(*keep, *[s.column() for s in specs])
 
 
-def canonical(text: Column, kind: str) -> Column:
+def as_read(text: Column, kind: str) -> Column:
     """How a text reads as a kind; as it is where it doesn't."""
     return {"number": lambda: canon_number(text), "date": lambda: canon_date(text), "timestamp": lambda: F.coalesce(dates.to_stamp(text).cast("string"), text), "boolean": lambda: F.coalesce(to_boolean(text).cast("string"), text)}.get(kind, lambda: text)()
 
@@ -195,4 +195,4 @@ def conversion_report(df: DataFrame, column: str, kind: str) -> DataFrame:
     bad = F.when(~F.col("ok"), F.col("x"))
     out = rows.agg(F.count("x").alias("filled"), F.count_if("ok").alias("converted"), F.min(bad).alias("first_failed"), F.max(bad).alias("last_failed"), F.min("x").alias("before"))
     failed = F.col("filled") - F.col("converted")
-    return out.select("filled", "converted", failed.alias("failed"), F.round(F.try_divide(100.0 * failed, F.col("filled")), 2).alias("failed_percent"), "first_failed", "last_failed", "before", canonical(F.col("before"), kind).alias("after"))
+    return out.select("filled", "converted", failed.alias("failed"), F.round(F.try_divide(100.0 * failed, F.col("filled")), 2).alias("failed_percent"), "first_failed", "last_failed", "before", as_read(F.col("before"), kind).alias("after"))

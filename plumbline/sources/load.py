@@ -116,7 +116,8 @@ class Source:
         return self._folded(df)
 
     def _folded(self, df: DataFrame) -> DataFrame:
-        return df.select(*[F.when(~F.col(c).isin(*self.null_values), F.col(c)).alias(c) for c in df.columns]) if self.null_values else df
+        fold = lambda c: F.when(~F.col(c).isin(*self.null_values), F.col(c)).alias(c)
+        return df.select(*[fold(c) if t == "string" else F.col(c) for c, t in df.dtypes]) if self.null_values else df
 
     def cut(self, df: DataFrame) -> DataFrame:
         """Renamed and derived columns, then the row cut.  Expressions are Spark SQL; ``;`` is refused."""
