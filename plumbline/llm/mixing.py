@@ -15,6 +15,7 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 WEIGHTS = (5, 2, 1)
 EPOCHS = 3
 BINS = 1000
+LOT = 65_536
 SEED = "mix-1:"
 
 
@@ -93,9 +94,10 @@ def mix(docs: DataFrame, epochs: int = EPOCHS, id_col: str = "doc_id", text_col:
     The order within a source is that of md5(seed, doc_id, text): reruns agree, rows of one identifier spread like any
     others, and rows equal in both are interchangeable.  Null and empty texts have size 0 and take nothing; a null source is a source of its own, the
     last; an empty input gives no row.  A source's rows are summed in buckets of the shuffled order, so a source with
-    a third of all rows is no single task."""
+    a third of all rows is no single task.  Rows equal in doc_id, text and ``keep`` are summed as one row with a count
+    for each lot of ``LOT`` rows of the input, and dealt out again once their place is known: neither are they."""
     order = F.md5(F.concat(F.lit(SEED), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.col(text_col), F.lit(""))))
-    rows = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("size"), F.when(F.col(source_col).isNull(), "n").otherwise(F.concat(F.lit("s"), source_col)).alias("key"), order.alias("h"), *keep)
+    rows = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("size"), F.when(F.col(source_col).isNull(), "n").otherwise(F.concat(F.lit("s"), source_col)).alias("key"), order.alias("h"), F.floor(F.monotonically_increasing_id() / LOT).alias("lot"), *keep)
     sized = settle(rows, "sized")
     n = sized.count()
     digits = next(d for d in range(1, 9) if d == 8 or 16**d * 500 >= n)
@@ -105,9 +107,11 @@ def mix(docs: DataFrame, epochs: int = EPOCHS, id_col: str = "doc_id", text_col:
     targets = settle(source_targets(totals, epochs), "targets")
     ahead = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("ahead", F.coalesce(F.sum("bucket_size").over(ahead), F.lit(0))).join(targets, "key").drop("bucket_size")
-    within = Window.partitionBy("key", "bucket").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    queue = sized.withColumn("bucket", bucket).withColumn("own", F.sum("size").over(within)).join(offsets, ["key", "bucket"])
-    queue = settle(queue.withColumn("sent", F.col("ahead") + F.col("own")).drop("key", "bucket", "own", "ahead"), "queue")
+    equal = sized.groupBy("key", "h", "size", "doc_id", *keep, "lot").agg(F.count("*").alias("n"))
+    within = Window.partitionBy("key", "bucket").orderBy("h", "size", *keep, "lot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    queue = equal.withColumn("bucket", bucket).withColumn("own", F.sum(F.col("size") * F.col("n")).over(within)).join(offsets, ["key", "bucket"])
+    queue = queue.withColumn("later", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))  # LOT rows at most
+    queue = settle(queue.withColumn("sent", F.col("ahead") + F.col("own") - F.col("later") * F.col("size")).drop("key", "bucket", "own", "ahead", "lot", "n", "later"), "queue")
     budget = totals.agg(F.sum("source_size")).first()[0] or 0
     cut = _cut(queue, budget, epochs)
     copies = F.lit(0)

@@ -115,6 +115,18 @@ def test_op2_edges(spark):
     assert mixing.mix(df.filter("size is null or doc_id in (2, 3)")).agg({"taken": "sum"}).first()[0] == 0
 
 
+def test_op2_equal_rows_are_summed_in_lots(spark, monkeypatch):
+    rows = [(1, "a b", "x")] * 900 + [(None, None, None)] * 700 + [(1, "a b", "y")] * 50 + [(i, f"w {i} " * (1 + i % 9), "xyz"[i % 3]) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    con = duckdb.connect()
+    con.register("documents", df.toPandas().astype({"doc_id": "Int64"}))
+    want = sorted(con.sql(mixing.oracle()).fetchall(), key=str)
+    for lot in (65_536, 40):
+        monkeypatch.setattr(mixing, "LOT", lot)
+        got = mixing.mix(df).select("doc_id", "size", "source_size", "target", "taken").collect()
+        assert sorted([tuple(r) for r in got], key=str) == want
+
+
 def brute_vectors(rows, score, k, every):
     out = []
     for i, (q, v) in enumerate(rows):
