@@ -196,3 +196,21 @@ def conversion_report(df: DataFrame, column: str, kind: str) -> DataFrame:
     out = rows.agg(F.count("x").alias("filled"), F.count_if("ok").alias("converted"), F.min(bad).alias("first_failed"), F.max(bad).alias("last_failed"), F.min("x").alias("before"))
     failed = F.col("filled") - F.col("converted")
     return out.select("filled", "converted", failed.alias("failed"), F.round(F.try_divide(100.0 * failed, F.col("filled")), 2).alias("failed_percent"), "first_failed", "last_failed", "before", as_read(F.col("before"), kind).alias("after"))
+
+
+# Ready-made columns from another one, by name: cells that don't read give null.
+DERIVED: dict[str, Callable[[Column], Column]] = {
+    "date": lambda x: dates.to_stamp(x).cast("date").cast("string"),
+    "hour": lambda x: F.date_format(F.date_trunc("hour", dates.to_stamp(x)), "yyyy-MM-dd HH:mm:ss"),
+    "minute": lambda x: F.date_format(F.date_trunc("minute", dates.to_stamp(x)), "yyyy-MM-dd HH:mm:ss"),
+    "month": lambda x: F.date_format(dates.to_stamp(x), "yyyy-MM"),
+    "year": lambda x: F.year(dates.to_stamp(x)).cast("string"),
+    "upper": lambda x: F.upper(F.trim(x)),
+    "round": lambda x: double_text(F.round(to_double(x), 2)),
+}
+
+
+def derived(name: str, value: Column) -> Column:
+    if name not in DERIVED:
+        raise ValueError(f"no ready-made column {name!r}; there are {', '.join(DERIVED)}")
+    return DERIVED[name](value.cast("string"))

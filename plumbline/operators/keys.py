@@ -36,14 +36,33 @@ def uniqueness(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return g.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count_if(~F.col("null")).alias("distinct_keys"), (n(~F.col("null")) - F.count_if(~F.col("null"))).alias("duplicate_rows"), n(F.col("null")).alias("null_keys"))
 
 
-def repeated(df: DataFrame, keys: Sequence[str], n: int = 10) -> DataFrame:
+def combo(df: DataFrame, keys: Sequence[str], nulls_same: bool = False) -> DataFrame:
+    """One row: rows, distinct_keys, duplicate_rows, null_keys, is_unique and nulls_by_column (columns that have some).
+
+    A row with a null in the key is a key of its own, or, with ``nulls_same``, equal to rows with the same nulls."""
+    g = df.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("null", F.greatest(*[F.col(k).isNull() for k in keys]) if len(keys) > 1 else F.col(keys[0]).isNull())
+    rows = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
+    distinct = F.count("*") if nulls_same else F.count_if(~F.col("null")) + rows(F.col("null"))
+    by_column = F.create_map(*[x for k in keys for x in (F.lit(k), rows(F.col(k).isNull()))])
+    out = g.agg(rows(F.lit(True)).alias("rows"), distinct.alias("distinct_keys"), rows(F.col("null")).alias("null_keys"), F.map_filter(by_column, lambda k, n: n > 0).alias("nulls_by_column"))
+    return out.select("rows", "distinct_keys", (F.col("rows") - F.col("distinct_keys")).alias("duplicate_rows"), "null_keys", (F.col("rows") == F.col("distinct_keys")).alias("is_unique"), "nulls_by_column")
+
+
+def repeated(df: DataFrame, keys: Sequence[str], n: int = 10, nulls_same: bool = True) -> DataFrame:
+    """The most repeated keys; without ``nulls_same`` no key with a null is one."""
+    if not nulls_same:
+        df = df.dropna(subset=list(keys))
     return df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").orderBy(F.desc("n"), *[F.asc_nulls_last(k) for k in keys]).limit(n)
 
 
+def words_of(name: str) -> list[str]:
+    return [w for w in re.split("[^a-z0-9]+", re.sub("([a-z0-9])([A-Z])", r"\1_\2", name).lower()) if w]
+
+
 def affinity(name: str, kind: str, digest: bool = False) -> int:
     """How far a column's name and type speak for a key.  A name's words end at signs and capitals; a word that merely ends
     in "id", as in paid, is none of them."""
-    words = [w for w in re.split("[^a-z0-9]+", re.sub("([a-z0-9])([A-Z])", r"\1_\2", name).lower()) if w]
+    words = words_of(name)
     score = 3 * any(w in ID_WORDS or w in KEY_WORDS for w in words) - 3 * any(w in MEASURE_WORDS for w in words)
     score -= 5 * (digest or any(w in HASH_WORDS for w in words))
     fraction = kind.startswith(("double", "float", "decimal"))
@@ -311,11 +330,15 @@ def beyond_largest_run(df: DataFrame, number: Column, columns: Sequence[str]) ->
     return values.groupBy("column_name").agg(F.sum("past").alias("rows_past"), F.count(F.when(F.col("past") > 0, F.col("v"))).alias("distinct_past"), F.count("v").alias("distinct_all"))
 
 
+def key_number(key: Column) -> Column:
+    """(number, v): the last run of digits and the key, in whose order keys are low and high; null where it has none."""
+    number = F.regexp_extract(key, "([0-9]+)[^0-9]*$", 1).try_cast("decimal(38,0)")
+    return F.when(number.isNotNull(), F.struct(number.alias("number"), key.alias("v")))
+
+
 def span(df: DataFrame, key: str) -> DataFrame:
     """rows, filled, lowest and highest key: by the last run of digits in it, else, where no key has one, as text."""
-    v = df.select(F.col(key).cast("string").alias("v"))
-    number = F.regexp_extract("v", "([0-9]+)[^0-9]*$", 1).try_cast("decimal(38,0)")
-    v = v.withColumn("x", F.when(number.isNotNull(), F.struct(number.alias("number"), F.col("v"))))
+    v = df.select(F.col(key).cast("string").alias("v")).withColumn("x", key_number(F.col("v")))
     return v.agg(F.count("*").alias("rows"), F.count("v").alias("filled"), F.coalesce(F.min("x")["v"], F.min("v")).alias("lowest"), F.coalesce(F.max("x")["v"], F.max("v")).alias("highest"))
 
 

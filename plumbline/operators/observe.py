@@ -170,25 +170,3 @@ def worst_case_group(df: DataFrame, column: str) -> DataFrame:
     v = df.select(F.col(column).cast("string").alias("v")).filter("v is not null").groupBy("v").agg(F.count("*").alias("n"))
     g = v.groupBy(F.lower("v").alias("low")).agg(F.count("*").alias("forms"), F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "v"))).alias("s"))
     return g.filter("forms > 1").orderBy(F.desc("forms"), F.desc("n"), "low").limit(1).select("low", "forms", "n", F.transform("s", lambda x: x["v"]).alias("spellings"))
-
-
-def notes(stats: list[dict]) -> list[str]:
-    """Plain sentences about statistics rows."""
-    out = []
-    for s in stats:
-        name, rows, nulls, distinct = s["column_name"], s["rows"], s["nulls"], s["distinct_values"]
-        filled = rows - nulls
-        if not filled:
-            out.append(f"{name} is always empty")
-            continue
-        if nulls and (nulls / rows >= 0.05 or "id" in name.lower().split("_")):
-            out.append(f"{name} is empty on {100 * nulls / rows:.2f} % of rows")
-        if distinct == 1:
-            out.append(f"{name} has one value")
-        elif distinct == filled:
-            out.append(f"{name} is unique")
-        elif distinct >= 0.99 * filled:
-            out.append(f"{name} is nearly unique")
-        elif distinct <= 20 and distinct * 2 <= filled:
-            out.append(f"{name} is a category of {distinct} values")
-    return out

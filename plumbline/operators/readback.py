@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.values import to_double
 from ..written import settle
 from .diff import BUCKET, Options, with_differences, within
+from .keys import key_number
 from .match import LEFT, OCC, RIGHT, occurrences
 from .profile import quantiles
 
@@ -25,6 +26,32 @@ def bucket(matched: DataFrame, name: str, columns: Sequence[str], options: Optio
     return d.filter(where[name])
 
 
+def bucket_rows(matched: DataFrame, name: str, keys: Sequence[str], columns: Sequence[str], options: Options = Options()) -> DataFrame:
+    """A bucket's rows laid out flat, for any measure of one table: keys once, a column of both sides as a_<column> and
+    b_<column>, a column that one side has as a_<column> or b_<column> alone; one-sided rows under their own names."""
+    fields = {side: matched.schema[side].dataType.fieldNames() for side in (LEFT, RIGHT)}
+    rows = bucket(matched, name, [c for c in columns if c in fields[LEFT] and c in fields[RIGHT]], options)
+    if name in ("left", "right"):
+        side = LEFT if name == "left" else RIGHT
+        return rows.select(*keys, *[F.col(f"{side}.{c}").alias(c) for c in columns if c not in keys and c in fields[side]])
+    return rows.select(*keys, *[F.col(f"{side}.{c}").alias(f"{prefix}_{c}") for c in columns if c not in keys for side, prefix in ((LEFT, "a"), (RIGHT, "b")) if c in fields[side]])
+
+
+def key_compare(matched: DataFrame, key: str) -> DataFrame:
+    """A row a side (A, B): its rows, those matched, those without a partner, of these the filled keys and the lowest and
+    highest key, by the last run of digits or, where no such key has one, as text.  One pass; an empty side gives zeros."""
+    v = F.col(key).cast("string")
+    rows = matched.select(F.col(LEFT).isNotNull().alias("l"), F.col(RIGHT).isNotNull().alias("r"), v.alias("v"), key_number(v).alias("x"))
+
+    def side(name: str, here: Column, there: Column) -> Column:
+        only = here & ~there
+        end = lambda f: F.coalesce(f(F.when(only, F.col("x")))["v"], f(F.when(only, F.col("v"))))
+        return F.struct(F.lit(name).alias("side"), F.count_if(here).alias("rows"), F.count_if(here & there).alias("matched"), F.count_if(only).alias("only"), F.count(F.when(only, F.col("v"))).alias("filled"), end(F.min).alias("lowest"), end(F.max).alias("highest"))
+
+    l, r = F.col("l"), F.col("r")
+    return rows.agg(F.array(side("A", l, r), side("B", r, l)).alias("sides")).select(F.inline("sides"))
+
+
 def frequencies(df: DataFrame, value: Column, n: int, least: bool = False) -> DataFrame:
     """value, n, percent of all rows: the n most (or least) frequent values; ties by value; null is a value."""
     counts = df.groupBy(value.alias("value")).agg(F.count("*").alias("n"))

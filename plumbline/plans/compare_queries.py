@@ -337,3 +337,30 @@ _SIDE = lambda t: " UNION ALL ".join(f"SELECT '{c}' AS column_name, round(100.0:
 @query(D.SIDES + f", a AS ({_SIDE('l')}), b AS ({_SIDE('r')}) SELECT a.column_name, {_BOTH}, round(abs(a.null_percent - b.null_percent), 2) AS null_gap FROM a JOIN b USING (column_name)")
 def cmp_both_sides(s, d):
     return profile.both_sides(D.left(s, d), D.right(s, d), C, ["o_totalprice"])
+
+
+_PAIR_COLUMNS = ", ".join(f"l.{c} AS a_{c}, r.{c} AS b_{c}" for c in C)
+_DIFFER = " OR ".join(f"l.{c} IS DISTINCT FROM r.{c}" for c in C)
+
+
+@query(D.SIDES + f" SELECT l.o_orderkey, {_PAIR_COLUMNS} FROM l JOIN r ON l.o_orderkey = r.o_orderkey WHERE {_DIFFER}")
+def cmp_bucket_rows(s, d):
+    return readback.bucket_rows(pairs(s, d), "differ", ["o_orderkey"], C)
+
+
+_BUCKET_TOP = " UNION ALL ".join(f"(SELECT '{c}' AS column_name, {c} AS value, count(*) AS n FROM b GROUP BY 2 ORDER BY n DESC, value NULLS LAST LIMIT 3)" for c in ("a_o_orderpriority", "b_o_orderpriority"))
+
+
+@query(D.SIDES + f""", b AS (SELECT l.o_orderkey, {_PAIR_COLUMNS} FROM l JOIN r ON l.o_orderkey = r.o_orderkey WHERE {_DIFFER})
+SELECT *, round(100.0::DOUBLE * n / (SELECT count(*) FROM b), 2) AS percent, (row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value NULLS LAST))::INTEGER AS rank FROM ({_BUCKET_TOP})""")
+def cmp_bucket_profile(s, d):
+    rows = readback.bucket_rows(pairs(s, d), "differ", ["o_orderkey"], C)
+    return profile.top_values(rows, ["a_o_orderpriority", "b_o_orderpriority"], 3)
+
+
+_ONE_SIDE = lambda name, own, other: f"SELECT '{name}' AS side, (SELECT count(*) FROM {own}) AS rows, (SELECT count(*) FROM l JOIN r USING (o_orderkey)) AS matched, count(*) AS only, count(*) AS filled, min(o_orderkey)::VARCHAR AS lowest, max(o_orderkey)::VARCHAR AS highest FROM {own} ANTI JOIN {other} USING (o_orderkey)"
+
+
+@query(D.SIDES + " " + _ONE_SIDE("A", "l", "r") + " UNION ALL " + _ONE_SIDE("B", "r", "l"))
+def cmp_key_compare(s, d):
+    return readback.key_compare(pairs(s, d), "o_orderkey")

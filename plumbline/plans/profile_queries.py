@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates, values as V
-from ..operators import keys, match, observe, profile, sniff, spelling
+from ..operators import keys, match, notes, observe, profile, sniff, spelling
 from . import derive as D
 
 QUERIES: dict = {}
@@ -448,3 +448,77 @@ def obs_odd_shapes(s, d):
     name = F.when(F.col("c_custkey") % 31 == 0, F.concat_ws("-", "c_name", "c_nationkey")).otherwise(F.col("c_name"))
     out = observe.odd_shapes(D.table(s, d, "customer").select(name.alias("name"), "c_mktsegment"), ["name", "c_mktsegment"])
     return out.withColumn("examples", F.array_join("examples", "|"))
+
+
+_COMBO = lambda same: f"""SELECT {same} AS nulls_same, sum(n)::BIGINT AS rows, {'count(*)' if same == 'true' else '(count(*) FILTER (NOT bad) + coalesce(sum(n) FILTER (bad), 0))::BIGINT'} AS distinct_keys, (sum(n) - {'count(*)' if same == 'true' else '(count(*) FILTER (NOT bad) + coalesce(sum(n) FILTER (bad), 0))'})::BIGINT AS duplicate_rows,
+ coalesce(sum(n) FILTER (bad), 0)::BIGINT AS null_keys, false AS is_unique, (sum(n) FILTER (k IS NULL))::BIGINT AS null_k, (sum(n) FILTER (o_orderstatus IS NULL))::BIGINT AS null_status FROM (SELECT k, o_orderstatus, count(*) AS n, k IS NULL OR o_orderstatus IS NULL AS bad FROM {_NK} GROUP BY 1, 2)"""
+
+
+@query(_COMBO("false") + " UNION ALL " + _COMBO("true"))
+def key_combo(s, d):
+    t = D.table(s, d, "orders").withColumn("k", F.when(F.col("o_orderkey") % 23 != 0, F.col("o_custkey")))
+    one = lambda same: keys.combo(t, ["k", "o_orderstatus"], same).select(F.lit(same).alias("nulls_same"), "*", F.col("nulls_by_column")["k"].alias("null_k"), F.try_element_at("nulls_by_column", F.lit("o_orderstatus")).alias("null_status")).drop("nulls_by_column")
+    return one(False).unionByName(one(True))
+
+
+@query("""SELECT o_orderkey, strftime(o_orderdate::TIMESTAMP, '%Y-%m-%d') AS date, strftime(o_orderdate::TIMESTAMP, '%Y-%m-%d 13:00:00') AS hour, strftime(o_orderdate::TIMESTAMP, '%Y-%m-%d 13:45:00') AS minute,
+ strftime(o_orderdate::TIMESTAMP, '%Y-%m') AS month, year(o_orderdate::TIMESTAMP)::VARCHAR AS year, upper(o_orderstatus) AS upper, round(o_totalprice::DOUBLE, 2) AS round FROM orders""")
+def derived_columns(s, d):
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    t = D.table(s, d, "orders").select("o_orderkey", F.concat(day, F.lit(" 13:45:10")).alias("at"), F.concat(F.lit(" "), F.lower("o_orderstatus")).alias("status"), F.col("o_totalprice").cast("string").alias("price"))
+    of = {"upper": "status", "round": "price"}
+    out = t.select("o_orderkey", *[V.derived(name, F.col(of.get(name, "at"))).alias(name) for name in V.DERIVED])
+    return out.withColumn("round", F.col("round").cast("double"))
+
+
+# ---- what stands out: customers with a planted case of each finding
+
+_NOTED = {
+    "number_id": ("text", "(c_custkey // 2)::VARCHAR", lambda k: (k / 2).cast("long").cast("string")),
+    "segment": ("text", "CASE WHEN c_custkey % 9 = 0 THEN lower(c_mktsegment) WHEN c_custkey % 10 = 0 THEN ' ' || c_mktsegment ELSE c_mktsegment END", lambda k: F.when(k % 9 == 0, F.lower("c_mktsegment")).when(k % 10 == 0, F.concat(F.lit(" "), F.col("c_mktsegment"))).otherwise(F.col("c_mktsegment"))),
+    "nothing": ("text", "CASE WHEN c_custkey < 0 THEN 'x' END", lambda k: F.when(k < 0, "x")),
+    "one": ("text", "CASE WHEN c_custkey > 5 THEN 'x' END", lambda k: F.when(k > 5, "x")),
+    "flag": ("text", "CASE WHEN c_custkey % 40 = 0 THEN 'b' ELSE 'a' END", lambda k: F.when(k % 40 == 0, "b").otherwise("a")),
+    "name": ("text", "CASE WHEN c_custkey % 31 = 0 THEN c_name || '-' || c_nationkey ELSE c_name END", lambda k: F.when(k % 31 == 0, F.concat_ws("-", "c_name", "c_nationkey")).otherwise(F.col("c_name"))),
+    "lot": ("number", "CASE WHEN c_custkey % 45 > 2 THEN lpad((c_custkey % 45)::VARCHAR, 3, '0') ELSE '1' || c_custkey END", lambda k: F.when(k % 45 > 2, F.lpad((k % 45).cast("string"), 3, "0")).otherwise(F.concat(F.lit("1"), k.cast("string")))),
+    "worth": ("number", "CASE WHEN c_custkey % 11 = 0 THEN NULL WHEN c_custkey % 37 = 0 THEN '90000' WHEN c_custkey % 41 = 0 THEN '0.0' ELSE (c_custkey % 100 - 20)::VARCHAR END", lambda k: F.when(k % 11 == 0, None).when(k % 37 == 0, "90000").when(k % 41 == 0, "0.0").otherwise((k % 100 - 20).cast("string"))),
+    "day": ("date", "CASE WHEN c_custkey % 60 = 0 THEN '2031-05-05' WHEN c_custkey % 70 = 1 THEN '1850-01-01' ELSE '1995-03-' || lpad((c_custkey % 28 + 1)::VARCHAR, 2, '0') END", lambda k: F.when(k % 60 == 0, "2031-05-05").when(k % 70 == 1, "1850-01-01").otherwise(F.concat(F.lit("1995-03-"), F.lpad((k % 28 + 1).cast("string"), 2, "0")))),
+}
+
+
+def _noted_sql() -> str:
+    out = []
+    for c, (kind, _, _) in _NOTED.items():
+        by = f"(SELECT {c} AS v, count(*) AS n FROM t WHERE {c} IS NOT NULL GROUP BY 1)"
+        base = f"(SELECT count(*) AS rows, count({c}) AS filled, count(DISTINCT {c}) AS vals, (SELECT v FROM {by} ORDER BY n DESC, v LIMIT 1) AS top, (SELECT max(n) FROM {by}) AS top_n, {'true' if c.endswith('id') else 'false'} AS named FROM t)"
+        listed = lambda n, sep: f"(SELECT string_agg(v, '{sep}' ORDER BY n DESC, v) FROM (SELECT v, n FROM {by} ORDER BY n DESC, v LIMIT {n}))"  # noqa: B023, E731
+        rules = {
+            "empty": ("rows", "filled = 0", None), "constant": ("filled", "vals = 1", "top"), "nulls": ("rows - filled", "filled > 0 AND filled < rows AND (100 * (rows - filled) >= 5 * rows OR named)", None),
+            "unique": ("rows", "vals = rows AND rows > 1", None), "nearly_unique": ("filled - vals", "100 * vals >= 99 * filled AND filled > vals", None), "identifier_repeats": ("filled - vals", "100 * vals < 99 * filled AND filled > vals AND named", None),
+            "category": ("vals", "vals BETWEEN 2 AND 20 AND 100 * vals <= 50 * rows", listed(12, ", ") + " || CASE WHEN vals > 12 THEN ', …' ELSE '' END"), "dominant": ("top_n", "vals > 1 AND 100 * top_n >= 95 * rows", "top"),
+        }
+        count = lambda test: f"(SELECT count(*) FROM t WHERE {test})"
+        if kind == "text":
+            forms = f"(SELECT lower(v) AS low, count(*) AS forms, sum(n) AS n FROM {by} GROUP BY 1 HAVING count(*) > 1)"
+            worst = f"(SELECT string_agg(v, ' / ' ORDER BY n DESC, v) FROM (SELECT v, n FROM {by} WHERE lower(v) = (SELECT low FROM {forms} ORDER BY forms DESC, n DESC, low LIMIT 1) ORDER BY n DESC, v LIMIT 3))"
+            shape = "regexp_replace(regexp_replace(v, '\\p{L}', 'A', 'g'), '[0-9]', '9', 'g')"
+            top = f"(SELECT {shape} AS s, sum(n) AS k FROM {by} GROUP BY 1 ORDER BY k DESC, s LIMIT 1)"
+            odd = f"(SELECT v FROM {by} WHERE {shape} <> (SELECT s FROM {top}))"
+            rules |= {
+                "padded": (count(f"{c} <> trim({c})"), count(f"{c} <> trim({c})") + " > 0", None), "case": (f"(SELECT sum(forms) FROM {forms})", f"(SELECT count(*) FROM {forms}) > 0", worst),
+                "odd_shapes": (f"filled - (SELECT k FROM {top})", f"filled > (SELECT k FROM {top}) AND 100 * (SELECT k FROM {top}) >= 90 * filled", f"(SELECT string_agg(v, ', ' ORDER BY v) FROM (SELECT v FROM {odd} ORDER BY v LIMIT 3)) || CASE WHEN (SELECT count(*) FROM {odd}) > 3 THEN ', …' ELSE '' END"),
+            }
+        else:
+            x = f"{c}::DOUBLE" if kind == "number" else f"epoch({c}::TIMESTAMP)"
+            fence = f"(SELECT quantile_cont({x}, 0.25) AS p, quantile_cont({x}, 0.75) AS q FROM t)"
+            outside = f"(SELECT count(*) FROM t, {fence} WHERE {x} < p - 1.5 * (q - p) OR {x} > q + 1.5 * (q - p))"
+            found = {"outliers": outside} | ({"negatives": count(f"{x} < 0"), "zeros": count(f"{x} = 0"), "leading_zeros": count(f"regexp_matches({c}, '^0[0-9]')")} if kind == "number" else {"future": count(f"{c}::DATE > DATE '2020-01-01'"), "before_1900": count(f"year({c}::DATE) < 1900")})
+            rules |= {name: (n, f"{n} > 0", None) for name, n in found.items()}
+        out += [f"SELECT '{c}' AS column_name, '{note}' AS note, ({n})::BIGINT AS n, round(100.0::DOUBLE * ({n}) / rows, 2) AS percent, ({example or 'NULL'})::VARCHAR AS example FROM {base} WHERE {when}" for note, (n, when, example) in rules.items()]
+    return "WITH t AS (SELECT " + ", ".join(f"{e} AS {c}" for c, (_, e, _) in _NOTED.items()) + " FROM customer) " + " UNION ALL ".join(out)
+
+
+@query(_noted_sql())
+def obs_notes(s, d):
+    t = D.table(s, d, "customer").select(*[make(F.col("c_custkey")).alias(c) for c, (_, _, make) in _NOTED.items()])
+    return notes.column_notes(t, {c: kind for c, (kind, _, _) in _NOTED.items()}, "2020-01-01")

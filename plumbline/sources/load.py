@@ -8,6 +8,7 @@ from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.values import derived
 from ..operators.match import numbered
 from . import strict
 from .guard import dialect_of, read_only
@@ -120,10 +121,14 @@ class Source:
         return df.select(*[fold(c) if t == "string" else F.col(c) for c, t in df.dtypes]) if self.null_values else df
 
     def cut(self, df: DataFrame) -> DataFrame:
-        """Renamed and derived columns, then the row cut.  Expressions are Spark SQL; ``;`` is refused."""
+        """Renamed and derived columns, then the row cut.  A derived column is a Spark SQL expression, in which ``;`` is
+        refused, or a pair of a ready-made name (``values.DERIVED``) and a column."""
         for old, new in self.names.items():
             df = df.withColumnRenamed(old, new)
         for name, expression in self.derived.items():
+            if not isinstance(expression, str):
+                df = df.withColumn(name, derived(expression[0], F.col(expression[1])))
+                continue
             if ";" in expression:
                 raise ValueError("an expression can't hold ';'")
             df = df.withColumn(name, F.expr(expression).cast("string"))

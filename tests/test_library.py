@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import dates, predicates as P, values as V
-from plumbline.operators import auto, diff, keys, match, observe, pairing, profile, readback, sniff, spelling
+from plumbline.operators import auto, diff, keys, match, notes, observe, pairing, profile, readback, sniff, spelling
 from plumbline.plans import cli, outputs, profile_run
 from plumbline.sources import guard, load, strict
+from plumbline.sources.load import Source
 
 
 def one(spark, column):
@@ -530,3 +531,50 @@ def test_mapping_round_trip(spark):
     assert [(x["id"], x["left_value"]) for x in got.collect()] == [("8", "5")]
     fixed = M.with_fix(pairs[1], ((("trim",),), ()))
     assert fixed.left_steps == (("trim",),) and fixed.right_steps == ()
+
+
+def test_notes_of_columns(spark):
+    rows = [(f"{i}", "A" if i % 2 else "a", None, "x", "007" if i == 3 else str(i % 5), "nan" if i == 4 else str(10 + i % 3), "2031-01-01" if i == 5 else "2020-01-02") for i in range(100)]
+    df = spark.createDataFrame(rows, "user_id string, letter string, gone string, same string, lot string, size string, day string")
+    kinds = {"user_id": "text", "letter": "text", "gone": "text", "same": "text", "lot": "number", "size": "number", "day": "date"}
+    found = {(r["column_name"], r["note"]): (r["n"], r["percent"], r["example"]) for r in notes.column_notes(df, kinds, "2025-01-01").collect()}
+    assert found["user_id", "unique"] == (100, 100.0, None) and found["gone", "empty"] == (100, 100.0, None) and found["same", "constant"] == (100, 100.0, "x")
+    assert found["letter", "category"] == (2, 2.0, "A, a") and found["letter", "case"] == (2, 2.0, "A / a") and found["lot", "leading_zeros"][0] == 1
+    assert found["day", "future"] == (1, 1.0, None) and found["day", "dominant"] == (99, 99.0, "2020-01-02") and found["day", "outliers"][0] == 1
+    assert ("letter", "dominant") not in found and ("gone", "nulls") not in found
+    assert notes.column_notes(df.limit(0), kinds).count() == 0
+    odd = spark.createDataFrame([("a", None), ("a", None)], "`a.b c` string, `values` string")
+    assert {(r["column_name"], r["note"]) for r in notes.column_notes(odd.toDF("a_b c", "values"), {}).collect()} == {("a_b c", "constant"), ("values", "empty")}
+    with pytest.raises(ValueError):
+        notes.column_notes(df.select(), {})
+
+
+def test_sentences_and_headline(spark, tmp_path):
+    df = spark.createDataFrame([(f"K{i:02d}", "x", "pq"[i % 2], "QP"[i % 2]) for i in range(40)], "k string, one string, p string, q string")
+    out = profile_run.findings(df, {c: "text" for c in df.columns})
+    said = [r["note"] for r in out["notes"].collect()]
+    assert said[0] == "40 rows x 4 columns · key: k · 0 repeated rows · 1 constant column"
+    assert "one has one value: x" in said and "p is a category of 2 values: p, q" in said and said[-1] == "p and q are one-to-one"
+    assert out["notes"].filter("finding = 'category' and column_name = 'q'").first()["n"] == 2
+
+
+def test_key_combination_and_bucket_rows(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (1, None), (1, None), (None, None)], "x int, y string")
+    assert tuple(keys.combo(df, ["x", "y"]).first()) == (5, 4, 1, 3, False, {"x": 1, "y": 3})
+    assert tuple(keys.combo(df, ["x", "y"], True).first()) == (5, 3, 2, 3, False, {"x": 1, "y": 3})
+    assert tuple(keys.combo(df.limit(0), ["x"]).first()) == (0, 0, 0, 0, True, {})
+    assert [tuple(r) for r in keys.repeated(df, ["x", "y"], nulls_same=False).collect()] == [(1, "a", 2)]
+    left = spark.createDataFrame([("A9", 1, "l"), ("A10", 2, "l"), ("B", 3, "l")], "k string, v int, mine string")
+    right = spark.createDataFrame([("B", 4, "r")], "k string, v int, yours string")
+    m = match.keyed(left, right, ["k"], [], "unique")
+    assert [r.asDict() for r in readback.bucket_rows(m, "differ", ["k"], ["v", "mine", "yours"]).collect()] == [{"k": "B", "a_v": 3, "b_v": 4, "a_mine": "l", "b_yours": "r"}]
+    assert {tuple(r) for r in readback.bucket_rows(m, "left", ["k"], ["v", "yours"]).select("k", "v").collect()} == {("A9", 1), ("A10", 2)}
+    assert [tuple(r) for r in readback.key_compare(m, "k").collect()] == [("A", 3, 1, 2, 2, "A9", "A10"), ("B", 1, 1, 0, 0, None, None)]
+
+
+def test_ready_made_columns(spark):
+    df = spark.createDataFrame([("2024-03-09 07:08:09", " ab ", "1.005"), ("no date", None, "x")], "t string, u string, n string")
+    out = Source(derived={"m": ["minute", "t"], "y": ["year", "t"], "u2": ["upper", "u"], "r": ["round", "n"], "s": "concat(u, '!')"}).cut(df).collect()
+    assert [tuple(r)[3:6] for r in out] == [("2024-03-09 07:08:00", "2024", "AB"), (None, None, None)] and out[0]["s"] == " ab !" and out[1]["r"] is None
+    with pytest.raises(ValueError):
+        Source(derived={"m": ["week", "t"]}).cut(df)
