@@ -178,6 +178,17 @@ def canonicalise(df: DataFrame, specs: Sequence[ColSpec], keep: Sequence[str] =
     return df.select(*keep, *[s.column() for s in specs])
 
 
+def stages(df: DataFrame, spec: ColSpec, keep: Sequence[str] = ()) -> DataFrame:
+    """What becomes of each value of a column: in_file, after_steps, compared_as, and whether it converts to its kind
+    (null where it is text or null)."""
+    after = apply_steps(F.col("in_file"), spec.steps)
+    rows = df.select(*keep, F.col(spec.source or spec.name).cast("string").alias("in_file")).withColumn("after_steps", after)
+    folded = null_fold(F.col("after_steps")) if spec.fold else F.col("after_steps")
+    rows = rows.withColumn("folded", folded).withColumn("compared_as", canonical(F.col("folded"), spec.kind, list(spec.formats) or None, spec.trim))
+    converts = F.lit(None).cast("boolean") if spec.kind == "text" else F.when(F.col("folded").isNotNull(), readable(F.col("folded"), spec.kind))
+    return rows.withColumn("converts", converts).drop("folded")
+
+
 def as_read(text: Column, kind: str) -> Column:
     """How a text reads as a kind; as it is where it doesn't."""
     return {"number": lambda: canon_number(text), "date": lambda: canon_date(text), "timestamp": lambda: F.coalesce(dates.to_stamp(text).cast("string"), text), "boolean": lambda: F.coalesce(to_boolean(text).cast("string"), text)}.get(kind, lambda: text)()

@@ -64,6 +64,16 @@ def both_sides(left: DataFrame, right: DataFrame, columns: Sequence[str], number
     return both.withColumn("null_gap", F.round(F.abs(F.col("left_null_percent") - F.col("right_null_percent")), 2))
 
 
+def side_notes(both: DataFrame) -> DataFrame:
+    """What stands out between the sides of :func:`both_sides`: column_name, note, left_n and right_n (distinct values).
+
+    empty: null throughout on both; constant: one value at most on either, no key; unlike: one side has over twice the
+    distinct values of the other, so that it may be spelled differently or be another field."""
+    l, r = F.col("left_distinct_values"), F.col("right_distinct_values")
+    found = F.when((l == 0) & (r == 0), "empty").when((l <= 1) & (r <= 1), "constant").when(F.greatest(l, r) > 2 * F.greatest(F.least(l, r), F.lit(1)), "unlike")
+    return both.select("column_name", found.alias("note"), l.alias("left_n"), r.alias("right_n")).filter("note is not null")
+
+
 def histogram(df: DataFrame, value: Column, bins: int = 20) -> DataFrame:
     """bin, low, high, n over equal widths, the last bin closed; values that aren't finite are left out."""
     x = df.select(value.cast("double").alias("x")).filter(F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") != float("inf")))

@@ -12,6 +12,7 @@ from ..written import settle
 from .profile import long_counts
 
 SHARE, CAST_SHARE = 0.98, 0.90
+DAY_FIRST, MONTH_FIRST = "%d/%m/%Y", "%m/%d/%Y"
 BOOLEAN_WORDS = ("true", "false", "yes", "no", "y", "n", "t", "f")  # fixed values; 1 and 0 are numbers
 
 
@@ -30,6 +31,21 @@ def readings(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def spellings(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """By column, how many filled values read as a number, as one once its commas go (grouped), as a boolean, as an ISO
+    date, as day/month/year, as month/day/year, as any date (stamps) and with a time of day; an empty table gives no row.
+
+    Distinct values are read once, as in :func:`readings`."""
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), null_fold(F.col(c).cast("string")).alias("v")) for c in columns])))
+    v = long.groupBy("column_name", "v").agg(F.count("*").alias("n")).withColumn("stamp", F.when(F.length("v") <= 40, dates.to_stamp(F.col("v"))))
+    text = F.col("v")
+    tests = {
+        "filled": text.isNotNull(), "numbers": is_number(text), "grouped": is_number(F.replace(text, F.lit(","), F.lit(""))), "booleans": F.lower(F.trim(text)).isin(*BOOLEAN_WORDS), "iso": dates.cast_date(text).isNotNull(),
+        "day_first": dates.parse(text, DAY_FIRST).isNotNull(), "month_first": dates.parse(text, MONTH_FIRST).isNotNull(), "stamps": F.col("stamp").isNotNull(), "with_time": F.date_format("stamp", "HH:mm:ss") != "00:00:00",
+    }
+    return v.groupBy("column_name").agg(*[F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0)).cast("long").alias(name) for name, test in tests.items()])
+
+
 def looks_like(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
     """boolean before number before date or timestamp; booleans must be all, the others 98 % of filled values."""
     out = {}

@@ -47,7 +47,7 @@ def compare(spark: SparkSession, block: dict) -> Result | Counts:
     apart = [tuple(c for c in own if c not in other) for own, other in (names, names[::-1])]
     options = Options(**block.get("options", {}), rules={c: Rule(**r) for c, r in block.get("columns", {}).items()})
     # duplicates pair in file order
-    return Result(match.keyed(*sides, keys, ["__rn__"], "unique" if position else block.get("duplicates", "index")), keys, common, options, *apart)
+    return Result(match.keyed(*sides, keys, ["__rn__"], "unique" if position else block.get("duplicates", "index")), keys, common, options, *apart, profiled=block.get("profile", False))
 
 
 def files(spark: SparkSession, folder: str, recursive: bool) -> list[str]:

@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import diff, readback
+from ..operators import diff, profile, readback
 
 
 def percent_text(part: int, whole: int) -> str:
@@ -59,6 +59,7 @@ class Result:
     options: diff.Options = diff.Options()
     only_left_columns: tuple[str, ...] = ()
     only_right_columns: tuple[str, ...] = ()
+    profiled: bool = False
 
     def settled(self) -> "Result":
         """The same over a written match, which every follow-up then reads."""
@@ -76,12 +77,19 @@ class Result:
         others = [(c, role) for role, cs in (("key", self.keys), ("only_left", self.only_left_columns), ("only_right", self.only_right_columns)) for c in cs]
         return found.withColumn("role", F.lit("compared")).unionByName(spark.createDataFrame(others, "column_name string, role string"), allowMissingColumns=True)
 
+    def profile(self) -> DataFrame:
+        """Statistics of the compared columns, a row a column and side (l, r), of all rows that the match holds."""
+        sides = [profile.statistics(self.matched.filter(F.col(s).isNotNull()).select(f"{s}.*").select(*self.columns), self.columns).select(F.lit(s).alias("side"), "*") for s in ("l", "r")]
+        return sides[0].unionByName(sides[1])
+
     def write(self, folder: str) -> dict:
-        """cells, left_only, right_only, paired rows and columns as Parquet and CSV, and summary as JSON text; returns the
-        summary.  The sides are matched once: all of it is read from the written match."""
+        """cells, left_only, right_only, paired rows, columns and, with ``profiled``, profile as Parquet and CSV, and summary
+        as JSON text; returns the summary.  The sides are matched once: all of it is read from the written match."""
         self, m = (done := self.settled()), done.matched
         paired = readback.paired_rows(diff.within(m, "differ"), self.keys, self.columns)
         tables = {"cell_diffs": diff.cells(m, self.keys, self.columns, self.options, occurrence=True), "left_only": diff.one_sided(m, "l"), "right_only": diff.one_sided(m, "r"), "paired_rows": paired, "columns": self.ledger()}
+        if self.profiled and self.columns:
+            tables["profile"] = self.profile()
         for name, df in tables.items():
             write_table(df, f"{folder}/{name}")
         out = self.summary()

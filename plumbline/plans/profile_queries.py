@@ -471,6 +471,39 @@ def derived_columns(s, d):
     return out.withColumn("round", F.col("round").cast("double"))
 
 
+_SPELLED = "SELECT strftime(o_orderdate::TIMESTAMP, '%m/%d/%Y') AS us, CASE WHEN day(o_orderdate::DATE) <= 12 THEN strftime(o_orderdate::TIMESTAMP, '%d/%m/%Y') ELSE strftime(o_orderdate::TIMESTAMP, '%Y-%m-%d') END AS mixed, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE format('{:,}', (o_totalprice * 10)::BIGINT) END AS price, CASE WHEN o_orderkey % 2 = 0 THEN 'Y' ELSE 'N' END AS flag FROM orders"
+
+
+@query(f"""WITH t AS ({_SPELLED}), l AS (SELECT 'us' AS column_name, us AS v FROM t UNION ALL SELECT 'mixed', mixed FROM t UNION ALL SELECT 'price', price FROM t UNION ALL SELECT 'flag', flag FROM t),
+r AS (SELECT *, try_strptime(v, '%Y-%m-%d') AS iso, try_strptime(v, '%d/%m/%Y') AS dmy, try_strptime(v, '%m/%d/%Y') AS mdy FROM l)
+SELECT column_name, count(v) AS filled, count(try_cast(v AS DOUBLE)) AS numbers, count(try_cast(replace(v, ',', '') AS DOUBLE)) AS grouped, count(*) FILTER (v IN ('Y', 'N')) AS booleans, count(iso) AS iso, count(dmy) AS day_first, count(mdy) AS month_first, count(coalesce(iso, dmy, mdy)) AS stamps, 0::BIGINT AS with_time FROM r GROUP BY 1""")
+def sniff_spellings(s, d):
+    x, k = F.col("o_orderdate"), F.col("o_orderkey")
+    t = D.table(s, d, "orders").select(
+        F.date_format(x, "MM/dd/yyyy").alias("us"), F.when(F.dayofmonth(x) <= 12, F.date_format(x, "dd/MM/yyyy")).otherwise(F.date_format(x, "yyyy-MM-dd")).alias("mixed"),
+        F.when(k % 3 != 0, F.format_number(F.round(F.col("o_totalprice") * 10).cast("long"), 0)).alias("price"), F.when(k % 2 == 0, "Y").otherwise("N").alias("flag"),
+    )
+    return sniff.spellings(t, ["us", "mixed", "price", "flag"])
+
+
+@query("""SELECT o_orderkey, in_file, after_steps, CASE WHEN after_steps = 'N/A' THEN NULL WHEN x IS NULL THEN after_steps ELSE rtrim(rtrim(x::DECIMAL(18,8)::VARCHAR, '0'), '.') END AS compared_as, CASE WHEN after_steps <> 'N/A' THEN CASE WHEN x IS NOT NULL THEN 'yes' ELSE 'no' END END AS converts
+FROM (SELECT *, try_cast(after_steps AS DOUBLE) AS x FROM (SELECT *, replace(in_file, ',', '') AS after_steps FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'N/A' WHEN o_orderkey % 7 = 0 THEN 'about ' || o_orderkey ELSE format('{:,}', o_orderkey) || '.50' END AS in_file FROM orders)))""")
+def steps_stages(s, d):
+    k = F.col("o_orderkey")
+    v = F.when(k % 5 == 0, "N/A").when(k % 7 == 0, F.concat(F.lit("about "), k.cast("string"))).otherwise(F.concat(F.format_number(k, 0), F.lit(".50")))
+    out = V.stages(D.table(s, d, "orders").select("o_orderkey", v.alias("v")), V.ColSpec("v", kind="number", steps=(("remove_thousands",),)), ["o_orderkey"])
+    return out.withColumn("converts", F.when(F.col("converts"), "yes").when(~F.col("converts"), "no"))
+
+
+_SIDE_COLUMNS = {"few": ("o_orderkey % 3", "o_orderkey % 10"), "gone": ("NULL", "NULL"), "same": ("1", "2"), "key": ("o_orderkey", "o_orderkey + 1")}
+
+
+@query("WITH " + ", ".join(f"{t} AS (SELECT " + ", ".join(f"({e[i]})::VARCHAR AS {c}" for c, e in _SIDE_COLUMNS.items()) + " FROM orders)" for i, t in enumerate("ab")) + " SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, CASE WHEN x = 0 AND y = 0 THEN 'empty' WHEN x <= 1 AND y <= 1 THEN 'constant' WHEN greatest(x, y) > 2 * greatest(least(x, y), 1) THEN 'unlike' END AS note, x AS left_n, y AS right_n FROM (SELECT (SELECT count(DISTINCT {c}) FROM a) AS x, (SELECT count(DISTINCT {c}) FROM b) AS y)" for c in _SIDE_COLUMNS) + ") WHERE note IS NOT NULL")
+def prof_side_notes(s, d):
+    a, b = (D.table(s, d, "orders").select(*[F.expr(e[i]).cast("string").alias(c) for c, e in _SIDE_COLUMNS.items()]) for i in (0, 1))
+    return profile.side_notes(profile.both_sides(a, b, list(_SIDE_COLUMNS)))
+
+
 # ---- what stands out: customers with a planted case of each finding
 
 _NOTED = {

@@ -578,3 +578,36 @@ def test_ready_made_columns(spark):
     assert [tuple(r)[3:6] for r in out] == [("2024-03-09 07:08:00", "2024", "AB"), (None, None, None)] and out[0]["s"] == " ab !" and out[1]["r"] is None
     with pytest.raises(ValueError):
         Source(derived={"m": ["week", "t"]}).cut(df)
+
+
+def test_readings_of_both_sides(spark):
+    left = spark.createDataFrame([(f"k{i}", f"{i % 12 + 1:02d}/{i % 28 + 1:02d}/2024", f"{1000 + i:,}", "yn"[i % 2], f"{i % 12 + 1:02d}/{i % 11 + 1:02d}/2023", "1" if i else "x") for i in range(60)], "k string, sold string, price string, flag string, seen string, odd string")
+    right = spark.createDataFrame([(f"k{i}", f"2024-{i % 12 + 1:02d}-{i % 28 + 1:02d}", f"{1000 + i}", "YN"[i % 2], f"2023-{i % 11 + 1:02d}-{i % 12 + 1:02d}", "abc"[i % 3]) for i in range(60)], "k string, sold string, price string, flag string, seen string, odd string")
+    of = lambda df: {r["column_name"]: r for r in sniff.spellings(df, df.columns).collect()}
+    a, b = of(left), of(right)
+    got = {c: auto.decide(c, a[c], b[c]) for c in left.columns}
+    assert (got["sold"].kind, got["sold"].formats) == ("date", (("%m/%d/%Y",), ())) and "day or month" not in got["sold"].note
+    assert got["price"].kind == "number" and got["price"].steps == ((("remove_thousands",),), ()) and got["flag"].kind == "boolean"
+    assert got["seen"].formats == (("%d/%m/%Y",), ()) and "left: day or month may come first" in got["seen"].note
+    assert got["odd"].kind == "text" and got["odd"].note == "odd is text: only the left side converts" and got["k"] == auto.Reading()
+    pairs = [(c, c, 1.0) for c in left.columns]
+    l, r = auto.sides(left, right, pairs, {c: x.kind for c, x in got.items()}, got)
+    same = match.keyed(l, r, ["k"], [], "unique")
+    assert diff.cells(same, ["k"], ["sold", "price", "flag", "seen"]).count() == 0
+    empty = left.limit(0)
+    assert auto.decide("sold", of(empty).get("sold"), b["sold"]).kind == "text"
+
+
+def test_stages_of_a_value(spark):
+    df = spark.createDataFrame([(" 1,5 ",), ("n/a",), (None,), ("x",)], "v string")
+    spec = V.ColSpec("w", "v", "number", (("remove_thousands",), ("trim",)))
+    assert [tuple(r) for r in V.stages(df, spec).collect()] == [(" 1,5 ", "15", "15", True), ("n/a", "n/a", None, None), (None, None, None, None), ("x", "x", "x", False)]
+    assert {r["converts"] for r in V.stages(df, V.ColSpec("v")).collect()} == {None}
+
+
+def test_profile_of_a_run(spark, tmp_path):
+    (tmp_path / "l.csv").write_text("id,v\n1,a\n2,b\n3,\n")
+    (tmp_path / "r.csv").write_text("id,v\n1,a\n2,c\n9,c\n")
+    cli.run(spark, {"left": {"path": f"{tmp_path}/l.csv"}, "right": {"path": f"{tmp_path}/r.csv"}, "out": f"{tmp_path}/o", "keys": ["id"], "profile": True})
+    rows = {r["side"]: (r["column_name"], r["rows"], r["nulls"], r["distinct_values"]) for r in spark.read.parquet(f"{tmp_path}/o/profile.parquet").collect()}
+    assert rows == {"l": ("v", 3, 1, 2), "r": ("v", 3, 0, 2)}
