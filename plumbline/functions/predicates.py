@@ -5,6 +5,7 @@ A filter on both sides keeps null rows under !=, not in and not like; a filter o
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Any
 
@@ -59,17 +60,25 @@ def parse(text: str) -> Filter:
     raise ValueError(f"no operator: {text!r}")
 
 
-def _typed(x: Column, kind: str) -> Column:
+def _typed(x: Column, kind: str, formats: Sequence[str] = ()) -> Column:
     if kind == "number":
         return to_double(x)
     if kind in ("date", "timestamp"):
-        stamp = dates.to_stamp(x)
+        stamp = dates.to_stamp(x, list(formats) or None)
         return stamp.cast("date") if kind == "date" else stamp
     return x
 
 
-def compile(f: Filter, null_keeping: bool = True) -> Column:
-    """The filter as a column.  ``null_keeping``: whether null rows pass the negative operators."""
+def _number(text: str, column: str) -> Column:
+    if not re.fullmatch(r"\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*", text):
+        raise ValueError(f"the filter on {column} needs a number, and {text!r} is none")
+    return to_double(F.lit(text.strip()))
+
+
+def compile(f: Filter, null_keeping: bool = True, formats: dict[str, Sequence[str]] | None = None) -> Column:
+    """The filter as a column.  ``null_keeping``: whether null rows pass the negative operators.  ``formats``: by column,
+    the formats in which its dates are written; those of the filter's values are read as any date is.  A value that
+    is no number is refused where the filter's kind is number."""
     x = F.col(f.column).cast("string")
     if f.op == "is_null":
         return x.isNull()
@@ -79,8 +88,8 @@ def compile(f: Filter, null_keeping: bool = True) -> Column:
         hit = {"like": x.like, "not_like": x.like, "ilike": x.ilike, "regex": x.rlike}[f.op](f.value)
         got = ~hit if f.op == "not_like" else hit
     else:
-        left = _typed(x, f.kind)
-        value = lambda v: _typed(F.lit(str(v)), f.kind)
+        left = _typed(x, f.kind, (formats or {}).get(f.column, ()))
+        value = lambda v: _number(str(v), f.column) if f.kind == "number" else _typed(F.lit(str(v)), f.kind)
         if f.op in ("in", "not_in"):
             hit = left.isin(*[value(v) for v in f.value])
             got = ~hit if f.op == "not_in" else hit
@@ -92,10 +101,10 @@ def compile(f: Filter, null_keeping: bool = True) -> Column:
     return got | x.isNull() if f.op in NEGATIVE and null_keeping else got
 
 
-def every(filters: list[Filter], null_keeping: bool = True) -> Column:
+def every(filters: list[Filter], null_keeping: bool = True, formats: dict[str, Sequence[str]] | None = None) -> Column:
     out = F.lit(True)
     for f in filters:
-        out = out & compile(f, null_keeping)
+        out = out & compile(f, null_keeping, formats)
     return out
 
 

@@ -109,9 +109,14 @@ class Candidate:
 
     def reasons(self) -> list[str]:
         out = ["unique on every row" if self.unique else f"{self.rows - self.distinct} rows share a key with another"]
+        said = lambda words: [c for c in self.columns if any(w in words for w in words_of(c))]
+        named, measures, hashes = said(ID_WORDS), said(MEASURE_WORDS), said(HASH_WORDS)
+        out += [f"{', '.join(hashes)}: a checksum, unique by construction"] if hashes else []
+        out += [f"{', '.join(measures)}: a measure"] if measures else []
+        out += [f"the name {named[0]} says identifier" if len(named) == 1 else f"the names {', '.join(named)} say identifier"] if named else []
         if self.overlap is not None:
-            out.append(f"{self.overlap:g} % of its values are on the other side")
-        return out
+            out.append(f"{self.overlap:g} % of its values are on the other side" if self.overlap else "none of its values is on the other side")
+        return out if self.minimal else [*out, "holds a smaller key"]
 
 
 def hashed_sample(df: DataFrame, n: int) -> DataFrame:

@@ -31,7 +31,8 @@ def compare(spark: SparkSession, block: dict) -> Result | Counts:
         filters, df = block.get("filters", {}), Source.from_config(block[side]).load(spark, number=True)
         own = [predicates.parse(t) for t in filters.get(side, [])]
         both = [f for f in map(predicates.parse, filters.get("both", [])) if f.column not in {o.column for o in own}]
-        df = df.filter(predicates.every(both)).filter(predicates.every(own, null_keeping=False))
+        formats = {c: r.get(f"{side}_formats") or r.get("formats", ()) for c, r in block.get("columns", {}).items()}
+        df = df.filter(predicates.every(both, formats=formats)).filter(predicates.every(own, null_keeping=False, formats=formats))
         for which in ("both", side):
             if raw := filters.get("sql", {}).get(which):
                 if ";" in raw:

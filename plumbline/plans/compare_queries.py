@@ -364,3 +364,10 @@ _ONE_SIDE = lambda name, own, other: f"SELECT '{name}' AS side, (SELECT count(*)
 @query(D.SIDES + " " + _ONE_SIDE("A", "l", "r") + " UNION ALL " + _ONE_SIDE("B", "r", "l"))
 def cmp_key_compare(s, d):
     return readback.key_compare(pairs(s, d), "o_orderkey")
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate::TIMESTAMP, '%m/%d/%Y') AS day FROM orders WHERE o_orderdate::DATE BETWEEN DATE '1995-02-03' AND DATE '1996-11-04' AND o_totalprice > 1500.5")
+def filter_side_format(s, d):
+    t = D.table(s, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "MM/dd/yyyy").alias("day"), F.col("o_totalprice").cast("string").alias("price"))
+    asked = [P.parse(x) for x in ("day:date between 1995-02-03..1996-11-04", "price:number > 1500.5")]
+    return t.filter(P.every(asked, formats={"day": ["%m/%d/%Y"]})).select("o_orderkey", "day")

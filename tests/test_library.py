@@ -611,3 +611,18 @@ def test_profile_of_a_run(spark, tmp_path):
     cli.run(spark, {"left": {"path": f"{tmp_path}/l.csv"}, "right": {"path": f"{tmp_path}/r.csv"}, "out": f"{tmp_path}/o", "keys": ["id"], "profile": True})
     rows = {r["side"]: (r["column_name"], r["rows"], r["nulls"], r["distinct_values"]) for r in spark.read.parquet(f"{tmp_path}/o/profile.parquet").collect()}
     assert rows == {"l": ("v", 3, 1, 2), "r": ("v", 3, 0, 2)}
+
+
+def test_filter_formats_and_refusals(spark):
+    df = spark.createDataFrame([("03/04/2024",), ("04/03/2024",), (None,)], "d string")
+    asked = P.parse("d:date > 2024-03-10")
+    assert [r["d"] for r in df.filter(P.compile(asked, formats={"d": ["%m/%d/%Y"]})).collect()] == ["04/03/2024"]
+    assert [r["d"] for r in df.filter(P.compile(asked)).collect()] == ["03/04/2024"]
+    for bad in ("n:number > abc", "n:number in (1, 2, x)", "n:number between 1..1_0"):
+        with pytest.raises(ValueError):
+            P.compile(P.parse(bad))
+
+
+def test_reasons_of_keys():
+    assert keys.Candidate(("order_id",), 5, 5, 0.0).reasons() == ["unique on every row", "the name order_id says identifier", "none of its values is on the other side"]
+    assert keys.Candidate(("amount", "row_hash"), 4, 5, 50.0, minimal=False).reasons() == ["1 rows share a key with another", "row_hash: a checksum, unique by construction", "amount: a measure", "the name row_hash says identifier", "50 % of its values are on the other side", "holds a smaller key"]
