@@ -1,27 +1,29 @@
 """Operator 13: language-model scoring with a hierarchical Pitman-Yor model.
 
-Contexts are the ``SINGLES`` most frequent words and the ``DOUBLES`` most frequent pairs of such words; each has a
-restaurant, and a token is a customer of the restaurant of the longest context that stands before it, or of the root
-where there is none.  A pair's restaurant has its last word's as parent, a word's the root, and the root a uniform base
-over all known words and one for the unknown: every table is a customer of the parent, so contexts share what they know.
+Every word is a context with a restaurant of its own, the end of a text too, and a token is a customer of the restaurant
+of the token before it; a text follows an end.  All restaurants have the root as parent, and the root a uniform base over
+all known words and one for the unknown: every table is a customer of the parent, so contexts share what they know.
 
 Seating is sampled by Gibbs: a sweep draws, from the leaves to the root, the number of tables of every (context, word)
 from its distribution given all else, a^t times a generalised Stirling number, with the word's own tables taken out of
 the parent first.  Up to ``STIRLING`` customers the draw is exact; above, the number of tables is that of a compound
 Poisson sum given its total, drawn by its saddle point (mean and variance within 2 % of exact at 128 customers, closer
-beyond).  All contexts of a word lie in one block, so a sweep needs nothing from other blocks but each restaurant's
-customers and tables, ``CONTEXTS`` rows that are summed between sweeps; within a sweep they stand still, as is usual where
-blocks are sampled side by side.  After ``BURN`` sweeps each of ``SAMPLES`` sweeps is a sample, and a token's probability is
-the mean of its predictive probabilities over the samples.  Discounts follow from the seats held once and twice, by
-level; ``STRENGTH`` is fixed.
-
-The tokens of the most frequent words, ``HEAD`` at most, are scored where their text is, by a table of ``HEAD`` x ``CONTEXTS`` values,
-whatever the corpus' size; the others meet their word's block as (context, document, times) rows and are added up by
-document.
+beyond).  A pair seen once has one table for good.  All contexts of a word lie in one block, so a sweep needs nothing from
+other blocks but each restaurant's customers and tables, which are summed between sweeps; within a sweep they stand
+still, as is usual where blocks are sampled side by side.  A word with more than a ``HOT``-th of a block's tokens is dealt
+to blocks by its pairs, and its tables at the root are drawn by the driver.  After ``BURN`` sweeps each of ``SAMPLES``
+sweeps is a sample, and a token's probability is the mean of its predictive probabilities over the samples.  Discounts
+follow from the seats held once and twice, by level; ``STRENGTH`` is fixed.
+
+Texts are read once more after the words are counted, in slices of about ``SLICE`` bytes: a slice's different pairs go to
+their blocks with their counts, and which of them a text holds stays with the slice; at the end each slice gets back a value a
+pair.  The totals of the ``HEAD`` most frequent words as contexts are shared as arrays,
+whatever the corpus' size; those of all others are exchanged as rows, between the blocks that hold them.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,12 +32,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import scan
-from .common import open_store, scratch, settle
+from .common import open_store, scratch, tidy
 
-SINGLES, DOUBLES, HEAD = 96, 31, 65_536
-CONTEXTS = 1 + SINGLES + DOUBLES  # 0: the root
+SINGLES, CONTEXTS, HEAD = 96, 128, 65_536  # the first two: contexts of a small model in the tests of ``Block``
 BURN, SAMPLES, STRENGTH, STIRLING = 3, 3, 1.0, 128
-BLOCK = 2_000_000  # tokens for each block
+BLOCK, HOT = 1_000_000, 8  # tokens for each block
+SLICE = 8_000_000  # bytes of text
+PARTS = 4  # of the blocks, whose values are worked out one part after the other, for less disk at once
 SEED = 13
 END = np.int64(-0x123456789ABCDEF)  # the name of the token that ends a text; others are hashes
 NORMAL = 20.0  # variance from which a number of tables is drawn from the normal distribution
@@ -56,41 +59,25 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Vocabulary:
-    """The head's words, sorted, and the contexts: ``single`` by the place in the head, ``double`` by two singles."""
+    """The head's words, sorted, with their training counts; words of the head are written by their places in it."""
 
-    def __init__(self, head: list[tuple[int, int]]):
+    def __init__(self, head: list[tuple[int, int]], hot: int):
         rows = np.array(sorted(head), np.int64).reshape(-1, 2)
         self.names, self.counts = rows[:, 0].copy(), rows[:, 1].copy()
-        often = np.lexsort((self.names, -self.counts))[:SINGLES]
-        self.single = np.zeros(len(rows) + 1, np.int64)
-        self.single[often] = 1 + np.arange(len(often))
-        self.double = np.zeros((SINGLES + 1, SINGLES + 1), np.int64)
-        self.parent = np.zeros(CONTEXTS, np.int64)
-        self.parent[0] = -1
-
-    def add_doubles(self, pairs: list[int]) -> None:
-        for i, pair in enumerate(pairs):
-            before, last = divmod(pair, SINGLES + 1)
-            self.double[before, last] = 1 + SINGLES + i
-            self.parent[1 + SINGLES + i] = last
+        self.hot = np.concatenate([self.counts > hot, [False]])
 
     def find(self, names: np.ndarray) -> np.ndarray:
         """Places in the head; its length where a word is none of it."""
         at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
         return np.where(self.names[at] == names, at, len(self.names))
 
-    def singles(self, at: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The single contexts of the token before each and of the one before that; a text follows an end."""
-        own, end = self.single[at], self.single[self.find(np.array([END]))[0]]
-        first = np.concatenate([[True], row[1:] != row[:-1]])[: len(row)]
-        one = np.concatenate([[end], own[:-1]])[: len(row)]
-        two = np.concatenate([[0], one[:-1]])[: len(row)]
-        return one, np.where(first, 0, two)
+    def coded(self, names: np.ndarray) -> np.ndarray:
+        at = self.find(names)
+        return np.where(at < len(self.names), at, names)
 
-    def contexts(self, at: np.ndarray, row: np.ndarray) -> np.ndarray:
-        one, two = self.singles(at, row)
-        double = self.double[two, one]
-        return np.where(double > 0, double, one)
+    def named(self, code: np.ndarray) -> np.ndarray:
+        known = (code >= 0) & (code < len(self.names))
+        return np.where(known, self.names[np.where(known, code, 0)], code)
 
 
 # ---- counts
@@ -115,46 +102,58 @@ def _added(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return some, *(np.bincount(at, x, len(some)).astype(np.int64) for x in values)
 
 
-def _pairs(v: Vocabulary):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros((SINGLES + 1) ** 2, np.int64)
-        for batch in batches:
-            for part in scan.slices(batch):
-                names, row = tokens(part.column(0))
-                one, two = v.singles(v.find(names), row)
-                good = part.column(1).to_numpy(zero_copy_only=False)[row] & (one > 0) & (two > 0)
-                n += np.bincount(two[good] * (SINGLES + 1) + one[good], minlength=len(n))
-        some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["pair", "n"])
+def pair_names(context: np.ndarray, names: np.ndarray) -> np.ndarray:
+    return scan.mixed((context.view(np.uint64) * np.uint64(0x9FB21C651E98DF25)) ^ names.view(np.uint64))
+
+
+def pack(x: np.ndarray) -> bytes:
+    raw = x.tobytes()
+    return len(raw).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
+
+
+def unpack(x, kind=np.int64) -> np.ndarray:
+    raw = x.as_py() if isinstance(x, pa.Scalar) else x
+    n = int.from_bytes(raw[:8], "little")
+    return np.frombuffer(pa.decompress(raw[8:], decompressed_size=n, codec="zstd", asbytes=True) if n else b"", kind)
+
+
+def _unpacked(column: pa.ChunkedArray, kind=np.int64) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(unpack(x, kind) for x in column)])
+
+
+def _list(x: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
 
-    return run
 
+def _structs(**columns) -> pa.ListArray:
+    return _list(pa.StructArray.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()], list(columns)))
 
-def _customers(v: Vocabulary):
-    """Rows name, doc, packed (times, context, training): by batch for words of the head, by document for others."""
 
-    names_of = ["name", "doc", "packed"]
+def _slices(v: Vocabulary, blocks: int):
+    """A row a slice: its texts, the pairs each holds by their places, and all different pairs by block, word and context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            head = []
-            for part in scan.slices(batch):
-                names, row = tokens(part.column(0))
-                of_text = part.column(1).to_numpy(zero_copy_only=False)
-                at = v.find(names)
-                context = v.contexts(at, row)
-                in_head = at < len(v.names)
-                head.append(_added(at[in_head] * CONTEXTS + context[in_head], of_text[row[in_head]]))
-                tail = np.flatnonzero(~in_head)
-                tail = tail[np.lexsort((context[tail], names[tail], row[tail]))]
-                a, b, c = names[tail], context[tail], row[tail]
-                new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])])[: len(a)])
-                times = np.diff(np.concatenate([new, [len(a)]]))
-                packed = (times << 9) | (b[new] << 1) | of_text[c[new]]
-                yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(part.column(2).to_numpy()[c[new]]), pa.array(packed)], names_of)
-            if head:
-                code, n = _added(*(np.concatenate(x) for x in zip(*head)))
-                yield pa.RecordBatch.from_arrays([pa.array(v.names[code // CONTEXTS]), pa.nulls(len(code), pa.int64()), pa.array((n << 9) | (code % CONTEXTS) << 1 | 1)], names_of)
+        for part in (x for batch in batches for x in scan.slices(batch, most=SLICE)):
+            names, row = tokens(part.column(0))
+            train = part.column(1).to_numpy(zero_copy_only=False)
+            before = np.concatenate([[END], names[:-1]])
+            before[np.flatnonzero(row[1:] != row[:-1]) + 1] = END
+            key = pair_names(before, names)
+            _, first, of = np.unique(key, return_index=True, return_inverse=True)
+            n = np.bincount(of, train[row], len(first)).astype(np.int32)
+            key, name, context = key[first], names[first], before[first]
+            place = np.where(v.hot[v.find(name)], key, name) % blocks
+            order = np.lexsort((context, name, place))
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            events = np.sort(row << 32 | rank[of]) & 0xFFFFFFFF
+            name, context, n, place = v.coded(name[order]), v.coded(context[order]), n[order], place[order]
+            at = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+            cut = list(zip(at.tolist(), [*at[1:].tolist(), len(place)]))
+            parts = _structs(block=place[at], w=[pack(name[a:b]) for a, b in cut], v=[pack(context[a:b]) for a, b in cut], n=[pack(n[a:b]) for a, b in cut])
+            texts = _structs(doc_id=part.column(2), held_out=part.column(3), n_tokens=scan.per_text(row, part.num_rows))
+            values = [pa.array([uuid.uuid4().int >> 65]), texts, pa.array([pack(np.diff(events, prepend=0).astype(np.int32))]), parts]
+            yield pa.RecordBatch.from_arrays(values, ["slice", "texts", "events", "parts"])
 
     return run
 
@@ -214,31 +213,33 @@ def draw_tables(c: np.ndarray, a: np.ndarray, d: float, rng: np.random.Generator
 
 
 class Block:
-    """The dishes of some words: ``code`` (word * CONTEXTS + context, ascending), customers seen, the parents' places."""
+    """The dishes of some words: ``code`` (word * contexts + context, ascending), customers seen, the parents' places.
+
+    ``parent`` gives each context's, -1 for the root, which is context 0."""
 
     def __init__(self, code: np.ndarray, seen: np.ndarray, parent: np.ndarray):
-        self.code, self.seen, self.context = code, seen, code % CONTEXTS
+        self.code, self.seen, self.context, self.n = code, seen, code % len(parent), len(parent)
         above = parent[self.context]
         self.up = np.where(above < 0, -1, np.searchsorted(code, code - self.context + above))
-        self.level = np.where(self.context == 0, 0, np.where(self.context <= SINGLES, 1, 2))
-        self.rows = [np.flatnonzero(self.level == x) for x in range(3)]
+        self.level = np.where(above < 0, 0, np.where(above == 0, 1, 2))
+        self.rows = [np.flatnonzero(self.level == x) for x in range(1 + self.level.max(initial=0))]
 
     def customers(self, tables: np.ndarray) -> np.ndarray:
         c = self.seen.copy()
-        for x in (2, 1):
+        for x in range(len(self.rows) - 1, 0, -1):
             c += np.bincount(self.up[self.rows[x]], tables[self.rows[x]], len(c)).astype(np.int64)
         return c
 
     def first(self) -> np.ndarray:
         """One table for each dish that is eaten; a level's customers follow from those below."""
         t = np.minimum(self.seen, 1)
-        for x in (1, 0):
+        for x in range(len(self.rows) - 2, -1, -1):
             t[self.rows[x]] = np.minimum(self.customers(t)[self.rows[x]], 1)
         return t
 
     def totals(self, tables: np.ndarray) -> np.ndarray:
         """[customers, tables] of each context's restaurant."""
-        return np.stack([np.bincount(self.context, x, CONTEXTS) for x in (self.customers(tables), tables)])
+        return np.stack([np.bincount(self.context, x, self.n) for x in (self.customers(tables), tables)])
 
     def predictive(self, tables: np.ndarray, m: "Model") -> np.ndarray:
         c = self.customers(tables)
@@ -249,7 +250,7 @@ class Block:
 
     def sweep(self, tables: np.ndarray, m: "Model", rng: np.random.Generator) -> np.ndarray:
         p, t = self.predictive(tables, m), tables.copy()
-        for x in (2, 1, 0):
+        for x in range(len(self.rows) - 1, -1, -1):
             rows = self.rows[x]
             if x:  # the parent's prediction without this dish's tables
                 c, up = self.customers(t), self.up[rows]
@@ -279,140 +280,207 @@ class Model:
         return old + self.new(level, context) * above
 
 
+class Shared:
+    """What the driver knows: the root's customers and tables, tables of the head's contexts, both of hot words at the root."""
+
+    def __init__(self, discount: list[float], n_words: int, sums: np.ndarray, fixed: np.ndarray, v: Vocabulary, old: "Shared | None", number: int):
+        h = len(v.names)
+        self.discount, self.n_words = discount, n_words
+        self.tables, self.hot_customers = fixed[:h] + sums[:h], sums[h : 2 * h]
+        self.hot_tables = np.minimum(self.hot_customers, 1)
+        hot = np.flatnonzero(self.hot_customers)
+        if old and len(hot):
+            t = np.minimum(old.hot_tables, self.hot_customers)
+            weight = (STRENGTH + discount[0] * (old.totals[1] - t[hot])) / (n_words + 1)
+            self.hot_tables[hot] = draw_tables(self.hot_customers[hot], weight, discount[0], np.random.default_rng([SEED, number]))
+        self.totals = float(sums[2 * h]), float(sums[2 * h + 1] + self.hot_tables.sum())
+
+    def model(self, customers: np.ndarray, tables: np.ndarray) -> Model:
+        """For a block, with the totals of its contexts after the root."""
+        return Model(self.discount, self.n_words, np.array([[self.totals[0], *customers], [self.totals[1], *tables]], float))
+
+
+_OWN = "own array<struct<place: long, n: long>>"
+_BUILT = f"block long, w binary, v binary, c binary, asked array<struct<slice: long, at: binary>>, far array<struct<v: long, c: long, f: long, drawn: boolean>>, {_OWN}"
+_FOUND = "slice long, block long, log_p binary, count binary"
+_STATE = f"block long, words binary, contexts binary, customers binary, fixed binary, code binary, seen binary, tables binary, kept binary, far array<struct<v: long, t: array<long>>>, {_OWN}"
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different values of a sorted array, and for each element the place of its own."""
+    new = np.concatenate([[True], x[1:] != x[:-1]])[: len(x)]
+    return x[new], np.cumsum(new) - 1
+
+
 def _build(v: Vocabulary):
+    """All pairs of a block by word and context, with their training counts; which of them each slice asks for, what its
+    contexts hold."""
+
     def run(key, table):
-        name, packed = table["name"].to_numpy(), table["packed"].to_numpy()
-        doc, none = table["doc"].fill_null(0).to_numpy(), table["doc"].is_null().to_numpy()
-        names, word = np.unique(name, return_inverse=True)
-        context, n = packed >> 1 & 255, packed >> 9
-        own = word * CONTEXTS + context
-        above = word * CONTEXTS + np.maximum(v.parent[context], 0)
-        code = np.unique(np.concatenate([own, above, np.arange(len(names)) * CONTEXTS]))
-        at = np.searchsorted(code, own)
-        seen = np.bincount(at, n * (packed & 1), len(code)).astype(np.int64)
-        tail = np.flatnonzero(~none)
-        tail = tail[np.lexsort((doc[tail], at[tail]))]
-        a, b = at[tail], doc[tail]
-        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)]  # rows of one document and text count once here
-        tail, block = tail[new], Block(code, seen, v.parent)
-        t = block.first()
-        c, seats = block.customers(t), [0] * 6
-        for x, rows in enumerate(block.rows):
-            seats[2 * x : 2 * x + 2] = [int((c[rows] == k).sum()) for k in (1, 2)]
-        blob = lambda x: pa.array([x.tobytes()], pa.binary())
-        values = [pa.array([key[0].as_py()], pa.int64()), blob(names), blob(code), blob(seen), blob(t), blob(doc[tail]), blob(at[tail]), blob(n[tail]), pa.array([block.totals(t).ravel().tolist()], pa.list_(pa.float64())), pa.array([seats], pa.list_(pa.int64()))]
-        return pa.Table.from_arrays(values, names=_BUILT)
+        w, context, n = v.named(_unpacked(table["w"])), v.named(_unpacked(table["v"])), _unpacked(table["n"], np.int32)
+        _, first, of = np.unique(pair_names(context, w), return_index=True, return_inverse=True)
+        c, w, context = np.bincount(of, n, len(first)).astype(np.int64), w[first], context[first]
+        order = np.lexsort((context, w))
+        c, w, context = c[order], w[order], context[order]
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        ends = np.cumsum([len(unpack(x, np.int32)) for x in table["n"]])
+        asked = [pack(np.diff(x, prepend=0).astype(np.int32)) for x in np.split(rank[of], ends[:-1])]
+        some, at = np.unique(context, return_inverse=True)
+        all_of, once, drawn = (np.bincount(at, x, len(some)).astype(np.int64) for x in (c, c == 1, c > 1))
+        place, h = v.find(some), len(v.names)
+        far = np.flatnonzero(place == h)
+        own = np.bincount(place[place < h], once[place < h], 2 * h + 6).astype(np.int64)
+        own[2 * h + 4 :] = (c == 1).sum(), (c == 2).sum()
+        values = [pa.array([key[0].as_py()], pa.int64()), *[pa.array([pack(x)]) for x in (v.coded(w), v.coded(context), c)], _structs(slice=table["slice"].combine_chunks(), at=asked), _structs(v=some[far], c=all_of[far], f=once[far], drawn=drawn[far] > 0), _own(own)]
+        return pa.Table.from_arrays(values, names=["block", "w", "v", "c", "asked", "far", "own"])
 
     return run
 
 
-_BUILT = ["block", "names", "code", "seen", "tables", "docs", "at", "n", "totals", "seats"]
-_BUILT_KINDS = "block long, names binary, code binary, seen binary, tables binary, docs binary, at binary, n binary, totals array<double>, seats array<long>"
-_SEATS_KINDS = "block long, code binary, seen binary, tables binary, kept binary, totals array<double>"
+def _own(x: np.ndarray) -> pa.ListArray:
+    return _structs(place=np.flatnonzero(x), n=x[x != 0])
+
+
+def _state(v: Vocabulary, key: int, words, contexts, customers, fixed, block: Block, tables, kept: bytes) -> pa.Table:
+    """A block's seats as a row, with the tables of its contexts for the sums over all blocks."""
+    h, c, place = len(v.names), block.customers(tables), v.find(contexts)
+    per = np.bincount(block.context, tables, block.n)[1:].astype(np.int64)
+    root, here = block.rows[0], v.find(words)
+    hot, near, far = v.hot[here], place < h, np.flatnonzero(place == h)
+    own = np.zeros(2 * h + 6, np.int64)
+    own[place[near]] = per[near]
+    own[h + here[hot]] = c[root[hot]]
+    cool = root[~hot]
+    own[2 * h :] = c[root].sum(), tables[cool].sum(), (c[cool] == 1).sum(), (c[cool] == 2).sum(), 0, 0
+    samples = np.frombuffer(kept, np.int64).reshape(-1, len(tables)) if len(kept) else tables[None, :0].reshape(0, 0)
+    sent = np.stack([per, *(np.bincount(block.context, x, block.n)[1:].astype(np.int64) for x in samples)], 1)[far]
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(far) + 1, dtype=np.int32) * sent.shape[1]), pa.array(sent.ravel()))
+    arrays = (v.coded(words), v.coded(contexts), customers, fixed, block.code, block.seen, tables, np.frombuffer(kept, np.int64))
+    values = [pa.array([key]), *[pa.array([pack(x)]) for x in arrays], _structs(v=contexts[far], t=lists), _own(own)]
+    return pa.Table.from_arrays(values, names=["block", "words", "contexts", "customers", "fixed", "code", "seen", "tables", "kept", "far", "own"])
+
+
+def _first(v: Vocabulary):
+    """The first seating of a block, given its pairs and the totals of contexts out of the head."""
+
+    def run(key, table, back):
+        w, context, c = v.named(unpack(table["w"][0])), v.named(unpack(table["v"][0])), unpack(table["c"][0])
+        words, at = _runs(w[c > 0])
+        some, of = np.unique(context, return_inverse=True)
+        drawn = np.bincount(of, c > 1, len(some)) > 0
+        contexts, n = some[drawn], 1 + int(drawn.sum())
+        totals = _context_totals(v, contexts, back, c=np.bincount(of, c, len(some))[drawn], f=np.bincount(of, c == 1, len(some))[drawn])
+        of = (np.cumsum(drawn) - 1)[of[c > 1]]
+        once = np.bincount(at[c[c > 0] == 1], minlength=len(words))
+        code = np.concatenate([np.arange(len(words)) * n, at[c[c > 0] > 1] * n + 1 + of])
+        seen = np.concatenate([once, c[c > 1]]).astype(np.int64)
+        order = np.argsort(code)
+        block = Block(code[order], seen[order], np.concatenate([[-1], np.zeros(n - 1, np.int64)]).astype(np.int64))
+        return _state(v, key[0].as_py(), words, contexts, *totals, block, block.first(), b"")
 
+    return run
 
-def _longs(x: pa.Scalar) -> np.ndarray:
-    return np.frombuffer(x.as_py() or b"", np.int64)
 
+def _context_totals(v: Vocabulary, contexts: np.ndarray, back: pa.Table, **own: np.ndarray) -> list[np.ndarray]:
+    """By context: ``own`` is all there is where no other block has it, else the row from all of them counts; customers of
+    the head's contexts are its words' counts."""
+    name, place = back["v"].to_numpy(), v.find(contexts)
+    order = np.argsort(name)
+    at = np.minimum(np.searchsorted(name[order], contexts), max(len(name) - 1, 0))
+    met = np.flatnonzero(name[order][at] == contexts) if len(name) else np.zeros(0, np.int64)
+    out = []
+    for column, x in own.items():
+        x = x.astype(np.int64)
+        x[met] = back[column].to_numpy()[order][at[met]]
+        if column == "c":
+            x[place < len(v.names)] = v.counts[place[place < len(v.names)]]
+        out.append(x)
+    return out
 
-def _sweep(v: Vocabulary, m: Model, number: int, keep: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for key, code, seen, tables, kept in zip(*batch.columns):
-                block = Block(_longs(code), _longs(seen).copy(), v.parent)
-                t = block.sweep(_longs(tables), m, np.random.default_rng([SEED, number, key.as_py()]))
-                kept = (kept.as_py() or b"") + (t.tobytes() if keep else b"")
-                values = [pa.array([key.as_py()]), *[pa.array([x], pa.binary()) for x in (code.as_py(), seen.as_py(), t.tobytes(), kept)], pa.array([block.totals(t).ravel().tolist()], pa.list_(pa.float64()))]
-                yield pa.RecordBatch.from_arrays(values, ["block", "code", "seen", "tables", "kept", "totals"])
+
+def _sweep(v: Vocabulary, m: Shared, number: int, keep: bool):
+    def run(key, table, back):
+        words, contexts = (v.named(unpack(table[x][0])) for x in ("words", "contexts"))
+        customers, fixed, code, seen, tables, kept = (unpack(table[x][0]) for x in ("customers", "fixed", "code", "seen", "tables", "kept"))
+        parent = np.concatenate([[-1], np.zeros(len(contexts), np.int64)]).astype(np.int64)
+        block, tables, place = Block(code, seen.copy(), parent), tables.copy(), v.find(contexts)
+        near = place < len(v.names)
+        full = fixed + _context_totals(v, contexts, back, t=np.bincount(block.context, tables, block.n)[1:])[0]
+        full[near] = m.tables[place[near]]
+        here = v.find(words)
+        hot = block.rows[0][v.hot[here]]
+        here = here[v.hot[here]]
+        block.seen[hot] += m.hot_customers[here] - block.customers(tables)[hot]  # other blocks' pairs of these words
+        tables[hot] = m.hot_tables[here]
+        t = block.sweep(tables, m.model(customers, full), np.random.default_rng([SEED, number, key[0].as_py()]))
+        t[hot], block.seen = 0, seen
+        return _state(v, key[0].as_py(), words, contexts, customers, fixed, block, t, kept.tobytes() + (t.tobytes() if keep else b""))
 
     return run
 
 
-def _sums(df: DataFrame, column: str) -> np.ndarray:
-    """The sums of an array column, place by place."""
-    rows = df.select(F.posexplode(column).alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).collect()  # a row for each place
-    out = np.zeros(max((r["at"] for r in rows), default=-1) + 1)
-    for r in rows:
-        out[r["at"]] = r["x"]
+def _sums(df: DataFrame, v: Vocabulary) -> np.ndarray:
+    """Sums over blocks: tables by place in the head, then root customers of hot words by place, then six counts."""
+    out = np.zeros(2 * len(v.names) + 6, np.int64)
+    rows = df.select(F.explode("own").alias("x")).groupBy("x.place").agg(F.sum("x.n").alias("n")).toPandas()  # at most twice HEAD
+    out[rows["place"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return out
 
 
 def _drop(path: str) -> None:
-    """A sweep's table, once the next sweep's is written: nothing is worked out from it any more."""
+    """A table from which nothing is worked out any more, since all that follows from it is written."""
     store, folder = open_store(path)
     store.delete_dir(folder)
 
 
-def _finish(v: Vocabulary, samples: list[Model], n_train: int, n_words: int):
-    """Rows of the head, name and its values by context, and rows of documents: the tail's score, known tokens and base."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for names, docs, at, n, code, seen, kept in zip(*batch.columns):
-                names, docs, at, n, seen = map(_longs, (names, docs, at, n, seen))
-                block, drawn = Block(_longs(code), seen, v.parent), _longs(kept).reshape(len(samples), -1)
-                word = block.code // CONTEXTS
-                p = np.mean([block.predictive(t, m) for t, m in zip(drawn, samples)], 0)
-                c = np.bincount(word, seen, len(names))[word[at]]
-                docs, of = np.unique(docs, return_inverse=True)
-                sums = [np.bincount(of, n * x, len(docs)) for x in (np.log10(p[at]), c > 0, np.log10((c + 1) / (n_train + n_words + 1)))]
-                in_head = np.flatnonzero(v.find(names) < len(v.names))
-                dense = []
-                for t, m in zip(drawn, samples):
-                    full, have, c = np.zeros((len(in_head), CONTEXTS)), np.isin(word, in_head), block.customers(t)
-                    i, j = np.searchsorted(in_head, word[have]), block.context[have]
-                    cs, ts = full.copy(), full.copy()
-                    cs[i, j], ts[i, j] = c[have], t[have]
-                    for j, above in enumerate(v.parent):
-                        context = np.full(len(in_head), j)
-                        full[:, j] = m.seated(0 if j == 0 else 1 if j <= SINGLES else 2, context, cs[:, j], ts[:, j], m.base if above < 0 else full[:, above])
-                    dense.append(full)
-                dense = np.log10(np.mean(dense, 0)).astype(np.float32)
-                k, h = len(docs), len(in_head)
-                values = [
-                    pa.array(np.concatenate([np.zeros(k, np.int64), names[in_head]]), mask=np.arange(k + h) < k),
-                    pa.array([None] * k + [x.tobytes() for x in dense], pa.binary()),
-                    pa.array(np.concatenate([docs, np.zeros(h, np.int64)])),
-                    *[pa.array(np.concatenate([x, np.zeros(h)])) for x in sums],
-                ]
-                yield pa.RecordBatch.from_arrays(values, ["name", "values", "doc", "score", "known", "base"])
+def _values(v: Vocabulary, samples: list[Shared]):
+    """For each slice, of the pairs of a block it asks for: the logarithm of the probability, and the word's training count."""
+
+    def run(key, table, back):
+        w, context, c = v.named(unpack(table["w"][0])), v.named(unpack(table["v"][0])), unpack(table["c"][0])
+        drawn, code = unpack(table["kept"][0]).reshape(len(samples), -1), unpack(table["code"][0])
+        state_words, state_contexts, seen = v.named(unpack(table["words"][0])), v.named(unpack(table["contexts"][0])), unpack(table["seen"][0])
+        block = Block(code, seen, np.concatenate([[-1], np.zeros(len(state_contexts), np.int64)]).astype(np.int64))
+        contexts, of = np.unique(context, return_inverse=True)
+        words, at = _runs(w)
+        place, here = v.find(contexts), v.find(words)
+        near, hot, known = place < len(v.names), v.hot[here], np.searchsorted(words, state_words)
+        own = {f"t{i}": np.bincount(of, c == 1, len(contexts)) + np.bincount(of[c > 1], t[block.context > 0], len(contexts)) for i, t in enumerate(drawn)}
+        customers, *full = _context_totals(v, contexts, back, c=np.bincount(of, c, len(contexts)), **own)
+        total = np.zeros(len(w))
+        for t, m, tables in zip(drawn, samples, full):
+            tables[near] = m.tables[place[near]]
+            model = m.model(customers, tables)
+            root = np.zeros((2, len(words)), np.int64)
+            root[:, known] = block.customers(t)[block.rows[0]], t[block.rows[0]]
+            root[:, hot] = m.hot_customers[here[hot]], m.hot_tables[here[hot]]
+            p = model.seated(0, np.zeros(len(words), np.int64), *root, model.base)
+            pair = np.minimum(c, 1)
+            pair[c > 1] = t[block.context > 0]
+            total += model.seated(1, 1 + of, c, pair, p[at])
+        log_p = np.log10(total / len(samples)).astype(np.float32)
+        count = np.bincount(at, c, len(words)).astype(np.int64)
+        count[here < len(v.names)] = v.counts[here[here < len(v.names)]]
+        asked, rows = table["asked"].combine_chunks().flatten(), []
+        for x in asked.field("at"):
+            i = np.cumsum(unpack(x, np.int32), dtype=np.int64)
+            rows.append((pack(log_p[i]), pack(count[at[i]])))
+        values = [asked.field("slice"), pa.array([key[0].as_py()] * len(rows), pa.int64()), *[pa.array([x[i] for x in rows], pa.binary()) for i in (0, 1)]]
+        return pa.Table.from_arrays(values, names=["slice", "block", "log_p", "count"])
 
     return run
 
 
-_DENSE: dict[str, np.ndarray] = {}
-
-
-def _dense(path: str, names: np.ndarray) -> np.ndarray:
-    """The values of the head's words, read once by each worker from the shared folder, a part at a time."""
-    import pyarrow.dataset as ds
-
-    if path not in _DENSE:
-        store, folder = open_store(path)
-        out = np.full((len(names), CONTEXTS), np.nan, np.float32)
-        for b in ds.dataset(folder, filesystem=store, format="parquet").to_batches(batch_size=512, batch_readahead=1, fragment_readahead=1):
-            for name, value in zip(np.searchsorted(names, b.column("name").to_numpy()).tolist(), b.column("values")):
-                out[name] = np.frombuffer(value.as_buffer(), np.float32)
-            del b
-        pa.default_memory_pool().release_unused()
-        assert not np.isnan(out).any()
-        _DENSE.clear()
-        _DENSE[path] = out
-    return _DENSE[path]
-
-
-def _score(v: Vocabulary, path: str, n_train: int, n_words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, values = np.log10((v.counts + 1) / (n_train + n_words + 1)), _dense(path, v.names)
-        for part in (x for batch in batches for x in scan.slices(batch)):
-            names, row = tokens(part.column(0))
-            at = v.find(names)
-            context, head = v.contexts(at, row), at < len(v.names)
-            n_tokens, n = scan.per_text(row, part.num_rows), part.num_rows
-            at, context, of = at[head], context[head], row[head]
-            sums = [np.bincount(of, x, n) for x in (values[at, context].astype(float), v.counts[at] > 0, base[at])]
-            out = [part.column(1), part.column(2), part.column(3), pa.array(n_tokens), *map(pa.array, sums)]
-            yield pa.RecordBatch.from_arrays(out, ["doc_id", "held_out", "doc", "n_tokens", "score", "known", "base"])
+def _score(n_train: int, n_words: int):
+    def run(key, table, found):
+        found = found.sort_by("block")
+        texts, events = table["texts"].combine_chunks().flatten(), np.cumsum(unpack(table["events"][0], np.int32), dtype=np.int64)
+        doc_id, held_out, n_tokens = texts.flatten()
+        log_p, count = _unpacked(found["log_p"], np.float32)[events].astype(float), _unpacked(found["count"])[events]
+        row = np.repeat(np.arange(len(texts)), n_tokens.to_numpy())
+        known, base, score = (np.bincount(row, x, len(texts)) for x in (count > 0, np.log10((count + 1) / (n_train + n_words + 1)), log_p))
+        return pa.Table.from_arrays([doc_id, held_out, n_tokens, pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
@@ -441,43 +509,68 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     null identifier trains; an empty input gives no row.  Texts of any length are read in pieces, a batch of texts at a
     time.  Words are told apart by 64 bits.  Without training text every token is unknown.  Reruns agree: draws follow
     from a seed, the sweep and the block."""
-    spark = docs.sparkSession
+    with tidy(docs.sparkSession):
+        return _fit(docs, id_col, text_col)
+
+
+def _fit(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
+
+    def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+        path = scratch(spark, label)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path), path
+
     text, train = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), (~held_out(id_col)).alias("train")
-    doc = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("doc")
     counts = docs.select(text, train).mapInArrow(_count, "name long, train long, n long").groupBy("name").agg(F.sum("train").alias("train"), F.sum("n").alias("n"))
-    counts = settle(counts, "counts")
+    counts, counts_path = written(counts, "counts")
     n_all, n_train, n_words = counts.agg(F.sum("n"), F.sum("train"), F.count_if(F.col("train") > 0)).first()
     if not n_all:
-        return spark.createDataFrame([], "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    v = Vocabulary(_head(counts))
-    pairs = docs.select(text, train).mapInArrow(_pairs(v), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    v.add_doubles([r["pair"] for r in pairs.orderBy(F.desc("n"), "pair").limit(DOUBLES).collect()])
-
-    customers = docs.select(text, train, doc).mapInArrow(_customers(v), "name long, doc long, packed long")
-    blocks = max(16, n_all // BLOCK)
-    built = settle(customers.groupBy(F.pmod("name", F.lit(blocks)).alias("block")).applyInArrow(_build(v), _BUILT_KINDS), "built")
-    seats = _sums(built, "seats")
-    discount = [float(np.clip(a / (a + 2 * b), 0.05, 0.95)) if a else 0.5 for a, b in seats.reshape(3, 2)]
-    model = Model(discount, n_words, _sums(built, "totals").reshape(2, CONTEXTS))
-    state, samples, old = built.withColumn("kept", F.lit(None).cast("binary")), [], None
+        return spark.createDataFrame([], f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    v, blocks = Vocabulary(_head(counts), BLOCK // HOT), max(16, n_all // BLOCK)
+    _drop(counts_path)
+
+    texts = docs.select(text, train, F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"))
+    cut = f"slice long, texts array<struct<doc_id: {kind}, held_out: boolean, n_tokens: long>>, events binary, parts array<struct<block: long, w: binary, v: binary, n: binary>>"
+    slices, slices_path = written(texts.mapInArrow(_slices(v, blocks), cut), "slices")
+    pairs = slices.select("slice", F.explode("parts").alias("p")).select("slice", "p.*")
+    built, built_path = written(pairs.groupBy("block").applyInArrow(_build(v), _BUILT), "built")
+    events, _ = written(slices.drop("parts"), "events")
+    _drop(slices_path)
+    fixed = _sums(built, v)
+    # contexts out of the head and in several blocks: customers, pairs seen once, blocks that hold them or draw their tables
+    far = built.select("block", F.explode("far").alias("x")).select("block", "x.*").groupBy("v")
+    far = far.agg(F.sum("c").alias("c"), F.sum("f").alias("f"), F.collect_list("block").alias("blocks"), F.collect_list(F.when(F.col("drawn"), F.col("block"))).alias("drawn"))
+    far, far_path = written(far.filter(F.size("blocks") > 1), "contexts")
+    own = built.select("block", "w", "v", "c")
+    back = far.select("v", "c", "f", F.explode("drawn").alias("block"))
+    step = own.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_first(v), _STATE)
+    state, path = written(step, "seats")
+    sums, h = _sums(state, v), len(v.names)
+    seats = [(sums[-4] + (sums[h : 2 * h] == 1).sum(), sums[-3] + (sums[h : 2 * h] == 2).sum()), (fixed[-2], fixed[-1])]
+    discount = [float(np.clip(a / (a + 2 * b), 0.05, 0.95)) if a else 0.5 for a, b in seats]
+    shared, samples = Shared(discount, n_words, sums, fixed, v, None, 0), []
     for number in range(BURN + SAMPLES):
-        path = scratch(spark, "seats")
-        state.select("block", "code", "seen", "tables", "kept").mapInArrow(_sweep(v, model, number, number >= BURN), _SEATS_KINDS).write.parquet(path)
-        state = spark.read.schema(_SEATS_KINDS).parquet(path)
-        model = Model(discount, n_words, _sums(state, "totals").reshape(2, CONTEXTS))
+        sent = state.select("block", F.explode("far").alias("x")).select("block", "x.v", F.col("x.t")[0].alias("t"))
+        back = sent.groupBy("v").agg(F.sum("t").alias("t"), F.collect_list("block").alias("blocks")).filter(F.size("blocks") > 1).select("v", "t", F.explode("blocks").alias("block"))
+        step = state.drop("far", "own").groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_sweep(v, shared, number, number >= BURN), _STATE)
+        old, (state, path) = path, written(step, "seats")
+        _drop(old)
+        shared = Shared(discount, n_words, _sums(state, v), fixed, v, shared, number + 1)
         if number >= BURN:
-            samples.append(model)
-        if old:
-            _drop(old)
-        old = path
-    last = built.select("block", "names", "docs", "at", "n").join(state.select("block", "code", "seen", "kept"), "block").drop("block")
-    found = settle(last.mapInArrow(_finish(v, samples, n_train, n_words), "name long, values binary, doc long, score double, known double, base double"), "found")
-    path = scratch(spark, "head")
-    found.filter("name is not null").select("name", "values").write.parquet(path)
-    rest = found.filter("name is null").groupBy("doc").agg(*[F.sum(c).alias(f"tail_{c}") for c in ("score", "known", "base")])
-    scanned = docs.select(text, F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), doc)
-    kind = docs.schema[id_col].dataType.simpleString()
-    heads = scanned.mapInArrow(_score(v, path, n_train, n_words), f"doc_id {kind}, held_out boolean, doc long, n_tokens long, score double, known double, base double")
-    both = heads.join(rest, "doc", "left")
-    total = lambda c: F.col(c) + F.coalesce(f"tail_{c}", F.lit(0.0))
-    return both.select("doc_id", "held_out", "n_tokens", total("known").cast("long").alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), total("base").alias("base_score"), total("score").alias("score"))
+            samples.append(shared)
+    sent = state.select(F.explode("far").alias("x")).groupBy("x.v").agg(*[F.sum(F.col("x.t")[i + 1]).alias(f"s{i}") for i in range(SAMPLES)])
+    tables = [(F.col("f") + F.coalesce(f"s{i}", F.lit(0))).alias(f"t{i}") for i in range(SAMPLES)]
+    back = far.join(sent, "v", "left").select(F.explode("blocks").alias("block"), "v", "c", *tables)
+    seated = built.select("block", "w", "v", "c", "asked").join(state.select("block", "words", "contexts", "code", "seen", "kept"), "block")
+    found_paths = []
+    for i in range(PARTS):
+        seats, totals = (x.filter(F.col("block") % PARTS == i).groupBy("block") for x in (seated, back))
+        found = seats.cogroup(totals).applyInArrow(_values(v, samples), _FOUND)
+        found_paths.append(written(found, "found")[1])
+    found = spark.read.schema(_FOUND).parquet(*found_paths)
+    for x in (built_path, far_path, path):
+        _drop(x)
+    scored = events.groupBy("slice").cogroup(found.groupBy("slice"))
+    scored = scored.applyInArrow(_score(n_train, n_words), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")

@@ -239,6 +239,23 @@ def test_op13_probabilities_sum_to_one():
         assert ((t >= 1) == (c >= 1)).all() and (t <= c).all()
 
 
+def test_op13_every_word_is_a_context(spark, monkeypatch):
+    """However many there are: each of 400 words is followed by a word of its own, which all of them foretell.  Blocks and
+    slices are small, words are dealt by pairs, and most are out of the head."""
+    rng = random.Random(4)
+    docs = [(i, " ".join(f"a{k} b{k}" for k in rng.choices(range(400), k=60))) for i in range(400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    whole = {r["doc_id"]: r["score"] for r in pitmanyor.score(df).collect()}
+    for name, value in (("HEAD", 50), ("BLOCK", 3000), ("SLICE", 4000), ("HOT", 100)):
+        monkeypatch.setattr(pitmanyor, name, value)
+    rows = pitmanyor.score(df).collect()
+    checked(rows, docs)
+    for scores in (whole, {r["doc_id"]: r["score"] for r in rows}):
+        # 60 words of 400, and 60 that follow from them; with 127 contexts three quarters of those would cost 2.9 each
+        assert min(scores.values()) > -60 * math.log10(400) - 60, (min(scores.values()), max(scores.values()))
+    assert all(math.isclose(r["score"], whole[r["doc_id"]], rel_tol=0.02) for r in rows)
+
+
 # ---- hard cases of 5 and 10
 
 
