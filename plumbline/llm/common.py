@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -53,15 +56,44 @@ def settle(df: DataFrame, label: str) -> DataFrame:
 
 
 @contextmanager
-def tidy(spark: SparkSession) -> Iterator[None]:
-    """Files of the exchanges of a table that is written in here are deleted once it is."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
+def tidy(spark: SparkSession, batch: int) -> Iterator[None]:
+    """Files of the exchanges of a table that is written in here are deleted once it is; Arrow batches end at about
+    ``batch`` bytes, a row at least."""
+    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(batch)}
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
+def give_back() -> None:
+    """Memory that is free goes back to the system, since a worker is kept for later tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(f: Callable) -> Callable:
+    """``f`` for ``applyInArrow``; each group's memory goes back once its result is made."""
+
+    def one(key, table):
+        out = f(key, table)
+        give_back()
+        return out
+
+    def two(key, table, back):
+        out = f(key, table, back)
+        give_back()
+        return out
+
+    return one if f.__code__.co_argcount == 2 else two
 
 
 def open_store(uri: str):

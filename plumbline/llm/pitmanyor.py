@@ -17,7 +17,7 @@ follow from the seats held once and twice, by level; ``STRENGTH`` is fixed.
 
 Texts are read once more after the words are counted, in slices of about ``SLICE`` bytes: a slice's different pairs go to
 their blocks with their counts, and which of them a text holds stays with the slice; at the end each slice gets back a value a
-pair.  The totals of the ``HEAD`` most frequent words as contexts are shared as arrays,
+pair.  A worker holds one slice's arrays, or one block's, at a time, and gives memory back after each.  The totals of the ``HEAD`` most frequent words as contexts are shared as arrays,
 whatever the corpus' size; those of all others are exchanged as rows, between the blocks that hold them.
 """
 
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import scan
-from .common import open_store, scratch, tidy
+from .common import give_back, lean, open_store, scratch, tidy
 
 SINGLES, CONTEXTS, HEAD = 96, 128, 65_536  # the first two: contexts of a small model in the tests of ``Block``
 BURN, SAMPLES, STRENGTH, STIRLING = 3, 3, 1.0, 128
@@ -83,17 +83,20 @@ class Vocabulary:
 # ---- counts
 
 
+def _counted(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    names, row = tokens(part.column(0))
+    train = part.column(1).to_numpy(zero_copy_only=False)[row]
+    some, at = np.unique(names, return_inverse=True)
+    return some, np.bincount(at[train], minlength=len(some)), np.bincount(at, minlength=len(some))
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = []
-        for part in scan.slices(batch):
-            names, row = tokens(part.column(0))
-            train = part.column(1).to_numpy(zero_copy_only=False)[row]
-            some, at = np.unique(names, return_inverse=True)
-            found.append((some, np.bincount(at[train], minlength=len(some)), np.bincount(at, minlength=len(some))))
+        found = [_counted(part) for part in scan.slices(batch)]
         if found:
-            some, of, n = _added(*(np.concatenate(x) for x in zip(*found)))
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(of), pa.array(n)], ["name", "train", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _added(*(np.concatenate(x) for x in zip(*found)))], ["name", "train", "n"])
+            del found
+            give_back()
 
 
 def _added(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -129,31 +132,54 @@ def _structs(**columns) -> pa.ListArray:
     return _list(pa.StructArray.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()], list(columns)))
 
 
+def _different(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each different key, in ascending order of keys, and for each key the number of its own."""
+    order = np.argsort(keys)
+    some = keys[order]
+    new = np.concatenate([[True], some[1:] != some[:-1]])[: len(some)]
+    del some
+    of = np.empty(len(keys), np.int32)
+    of[order] = np.cumsum(new, dtype=np.int32) - 1
+    return order[new], of
+
+
+def _slice(v: Vocabulary, blocks: int, part: pa.RecordBatch) -> pa.RecordBatch:
+    """What is no longer needed is let go at once: a slice's arrays are several times its texts."""
+    names, row = tokens(part.column(0))
+    row, train = row.astype(np.int32), part.column(1).to_numpy(zero_copy_only=False)
+    texts = _structs(doc_id=part.column(2), held_out=part.column(3), n_tokens=scan.per_text(row, part.num_rows))
+    before = np.concatenate([[END], names[:-1]])
+    before[np.flatnonzero(row[1:] != row[:-1]) + 1] = END
+    key = pair_names(before, names)
+    first, of = _different(key)
+    key, name, context = key[first], names[first], before[first]
+    del names, before, first
+    n = np.bincount(of, train[row], len(key)).astype(np.int32)
+    place = np.where(v.hot[v.find(name)], key, name) % blocks
+    del key
+    order = np.lexsort((context, name, place))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    events = rank[of]
+    del rank, of
+    events |= row.astype(np.int64) << 32
+    del row
+    events.sort()
+    events = pack(np.diff(events & 0xFFFFFFFF, prepend=0).astype(np.int32))
+    name, context, n, place = v.coded(name[order]), v.coded(context[order]), n[order], place[order]
+    at = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    cut = list(zip(at.tolist(), [*at[1:].tolist(), len(place)]))
+    parts = _structs(block=place[at], w=[pack(name[a:b]) for a, b in cut], v=[pack(context[a:b]) for a, b in cut], n=[pack(n[a:b]) for a, b in cut])
+    return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65]), texts, pa.array([events]), parts], ["slice", "texts", "events", "parts"])
+
+
 def _slices(v: Vocabulary, blocks: int):
     """A row a slice: its texts, the pairs each holds by their places, and all different pairs by block, word and context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (x for batch in batches for x in scan.slices(batch, most=SLICE)):
-            names, row = tokens(part.column(0))
-            train = part.column(1).to_numpy(zero_copy_only=False)
-            before = np.concatenate([[END], names[:-1]])
-            before[np.flatnonzero(row[1:] != row[:-1]) + 1] = END
-            key = pair_names(before, names)
-            _, first, of = np.unique(key, return_index=True, return_inverse=True)
-            n = np.bincount(of, train[row], len(first)).astype(np.int32)
-            key, name, context = key[first], names[first], before[first]
-            place = np.where(v.hot[v.find(name)], key, name) % blocks
-            order = np.lexsort((context, name, place))
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
-            events = np.sort(row << 32 | rank[of]) & 0xFFFFFFFF
-            name, context, n, place = v.coded(name[order]), v.coded(context[order]), n[order], place[order]
-            at = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-            cut = list(zip(at.tolist(), [*at[1:].tolist(), len(place)]))
-            parts = _structs(block=place[at], w=[pack(name[a:b]) for a, b in cut], v=[pack(context[a:b]) for a, b in cut], n=[pack(n[a:b]) for a, b in cut])
-            texts = _structs(doc_id=part.column(2), held_out=part.column(3), n_tokens=scan.per_text(row, part.num_rows))
-            values = [pa.array([uuid.uuid4().int >> 65]), texts, pa.array([pack(np.diff(events, prepend=0).astype(np.int32))]), parts]
-            yield pa.RecordBatch.from_arrays(values, ["slice", "texts", "events", "parts"])
+            yield _slice(v, blocks, part)
+            give_back()
 
     return run
 
@@ -195,7 +221,7 @@ def draw_tables(c: np.ndarray, a: np.ndarray, d: float, rng: np.random.Generator
     at = 0
     while at < len(some):
         n = int(c[some[at]])
-        end = min(int(np.searchsorted(c[some], n, "right")), at + max(1, 1_000_000 // n))
+        end = min(int(np.searchsorted(c[some], n, "right")), at + max(1, 250_000 // n))
         rows = some[at:end]
         w = s[n, 1 : n + 1] + np.log(a[rows])[:, None] * np.arange(1, n + 1)
         w = np.cumsum(np.exp(w - w.max(1, keepdims=True)), 1)
@@ -318,14 +344,16 @@ def _build(v: Vocabulary):
 
     def run(key, table):
         w, context, n = v.named(_unpacked(table["w"])), v.named(_unpacked(table["v"])), _unpacked(table["n"], np.int32)
-        _, first, of = np.unique(pair_names(context, w), return_index=True, return_inverse=True)
+        first, of = _different(pair_names(context, w))
         c, w, context = np.bincount(of, n, len(first)).astype(np.int64), w[first], context[first]
         order = np.lexsort((context, w))
         c, w, context = c[order], w[order], context[order]
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
+        of = rank[of]
         ends = np.cumsum([len(unpack(x, np.int32)) for x in table["n"]])
-        asked = [pack(np.diff(x, prepend=0).astype(np.int32)) for x in np.split(rank[of], ends[:-1])]
+        asked = [pack(np.diff(x, prepend=0).astype(np.int32)) for x in np.split(of, ends[:-1])]
+        del rank, of
         some, at = np.unique(context, return_inverse=True)
         all_of, once, drawn = (np.bincount(at, x, len(some)).astype(np.int64) for x in (c, c == 1, c > 1))
         place, h = v.find(some), len(v.names)
@@ -509,7 +537,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     null identifier trains; an empty input gives no row.  Texts of any length are read in pieces, a batch of texts at a
     time.  Words are told apart by 64 bits.  Without training text every token is unknown.  Reruns agree: draws follow
     from a seed, the sweep and the block."""
-    with tidy(docs.sparkSession):
+    with tidy(docs.sparkSession, SLICE):
         return _fit(docs, id_col, text_col)
 
 
@@ -534,7 +562,7 @@ def _fit(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     cut = f"slice long, texts array<struct<doc_id: {kind}, held_out: boolean, n_tokens: long>>, events binary, parts array<struct<block: long, w: binary, v: binary, n: binary>>"
     slices, slices_path = written(texts.mapInArrow(_slices(v, blocks), cut), "slices")
     pairs = slices.select("slice", F.explode("parts").alias("p")).select("slice", "p.*")
-    built, built_path = written(pairs.groupBy("block").applyInArrow(_build(v), _BUILT), "built")
+    built, built_path = written(pairs.groupBy("block").applyInArrow(lean(_build(v)), _BUILT), "built")
     events, _ = written(slices.drop("parts"), "events")
     _drop(slices_path)
     fixed = _sums(built, v)
@@ -544,7 +572,7 @@ def _fit(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     far, far_path = written(far.filter(F.size("blocks") > 1), "contexts")
     own = built.select("block", "w", "v", "c")
     back = far.select("v", "c", "f", F.explode("drawn").alias("block"))
-    step = own.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_first(v), _STATE)
+    step = own.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(lean(_first(v)), _STATE)
     state, path = written(step, "seats")
     sums, h = _sums(state, v), len(v.names)
     seats = [(sums[-4] + (sums[h : 2 * h] == 1).sum(), sums[-3] + (sums[h : 2 * h] == 2).sum()), (fixed[-2], fixed[-1])]
@@ -553,7 +581,7 @@ def _fit(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     for number in range(BURN + SAMPLES):
         sent = state.select("block", F.explode("far").alias("x")).select("block", "x.v", F.col("x.t")[0].alias("t"))
         back = sent.groupBy("v").agg(F.sum("t").alias("t"), F.collect_list("block").alias("blocks")).filter(F.size("blocks") > 1).select("v", "t", F.explode("blocks").alias("block"))
-        step = state.drop("far", "own").groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_sweep(v, shared, number, number >= BURN), _STATE)
+        step = state.drop("far", "own").groupBy("block").cogroup(back.groupBy("block")).applyInArrow(lean(_sweep(v, shared, number, number >= BURN)), _STATE)
         old, (state, path) = path, written(step, "seats")
         _drop(old)
         shared = Shared(discount, n_words, _sums(state, v), fixed, v, shared, number + 1)
@@ -566,11 +594,11 @@ def _fit(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     found_paths = []
     for i in range(PARTS):
         seats, totals = (x.filter(F.col("block") % PARTS == i).groupBy("block") for x in (seated, back))
-        found = seats.cogroup(totals).applyInArrow(_values(v, samples), _FOUND)
+        found = seats.cogroup(totals).applyInArrow(lean(_values(v, samples)), _FOUND)
         found_paths.append(written(found, "found")[1])
     found = spark.read.schema(_FOUND).parquet(*found_paths)
     for x in (built_path, far_path, path):
         _drop(x)
     scored = events.groupBy("slice").cogroup(found.groupBy("slice"))
-    scored = scored.applyInArrow(_score(n_train, n_words), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    scored = scored.applyInArrow(lean(_score(n_train, n_words)), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")
