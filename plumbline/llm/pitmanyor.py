@@ -96,7 +96,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in _added(*(np.concatenate(x) for x in zip(*found)))], ["name", "train", "n"])
             del found
-            give_back()
+    give_back()
 
 
 def _added(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -155,9 +155,12 @@ def _slice(v: Vocabulary, blocks: int, part: pa.RecordBatch) -> pa.RecordBatch:
     key, name, context = key[first], names[first], before[first]
     del names, before, first
     n = np.bincount(of, train[row], len(key)).astype(np.int32)
-    place = np.where(v.hot[v.find(name)], key, name) % blocks
-    del key
-    order = np.lexsort((context, name, place))
+    words, w = np.unique(name, return_inverse=True)
+    contexts, c = np.unique(context, return_inverse=True)
+    place = (np.where(v.hot[v.find(words)][w], key, name) % blocks).astype(np.min_scalar_type(blocks))
+    del key, name, context
+    order = np.argsort(w * len(contexts) + c)
+    order = order[np.argsort(place[order], kind="stable")]
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     events = rank[of]
@@ -166,7 +169,7 @@ def _slice(v: Vocabulary, blocks: int, part: pa.RecordBatch) -> pa.RecordBatch:
     del row
     events.sort()
     events = pack(np.diff(events & 0xFFFFFFFF, prepend=0).astype(np.int32))
-    name, context, n, place = v.coded(name[order]), v.coded(context[order]), n[order], place[order]
+    name, context, n, place = v.coded(words)[w[order]], v.coded(contexts)[c[order]], n[order], place[order].astype(np.int64)
     at = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
     cut = list(zip(at.tolist(), [*at[1:].tolist(), len(place)]))
     parts = _structs(block=place[at], w=[pack(name[a:b]) for a, b in cut], v=[pack(context[a:b]) for a, b in cut], n=[pack(n[a:b]) for a, b in cut])
@@ -179,7 +182,7 @@ def _slices(v: Vocabulary, blocks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (x for batch in batches for x in scan.slices(batch, most=SLICE)):
             yield _slice(v, blocks, part)
-            give_back()
+        give_back()
 
     return run
 
@@ -346,15 +349,15 @@ def _build(v: Vocabulary):
         w, context, n = v.named(_unpacked(table["w"])), v.named(_unpacked(table["v"])), _unpacked(table["n"], np.int32)
         first, of = _different(pair_names(context, w))
         c, w, context = np.bincount(of, n, len(first)).astype(np.int64), w[first], context[first]
-        order = np.lexsort((context, w))
-        c, w, context = c[order], w[order], context[order]
+        some, at = np.unique(context, return_inverse=True)
+        order = np.argsort(np.unique(w, return_inverse=True)[1] * len(some) + at)
+        c, w, context, at = c[order], w[order], context[order], at[order]
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         of = rank[of]
         ends = np.cumsum([len(unpack(x, np.int32)) for x in table["n"]])
         asked = [pack(np.diff(x, prepend=0).astype(np.int32)) for x in np.split(of, ends[:-1])]
         del rank, of
-        some, at = np.unique(context, return_inverse=True)
         all_of, once, drawn = (np.bincount(at, x, len(some)).astype(np.int64) for x in (c, c == 1, c > 1))
         place, h = v.find(some), len(v.names)
         far = np.flatnonzero(place == h)
@@ -370,8 +373,11 @@ def _own(x: np.ndarray) -> pa.ListArray:
     return _structs(place=np.flatnonzero(x), n=x[x != 0])
 
 
-def _state(v: Vocabulary, key: int, words, contexts, customers, fixed, block: Block, tables, kept: bytes) -> pa.Table:
-    """A block's seats as a row, with the tables of its contexts for the sums over all blocks."""
+_STILL = ["words", "contexts", "customers", "fixed", "code", "seen"]
+
+
+def _state(v: Vocabulary, key: int, words, contexts, still: list[bytes], block: Block, tables, kept: bytes) -> pa.Table:
+    """A block's seats as a row, with the tables of its contexts for the sums over all blocks; no sweep changes ``still``."""
     h, c, place = len(v.names), block.customers(tables), v.find(contexts)
     per = np.bincount(block.context, tables, block.n)[1:].astype(np.int64)
     root, here = block.rows[0], v.find(words)
@@ -384,9 +390,9 @@ def _state(v: Vocabulary, key: int, words, contexts, customers, fixed, block: Bl
     samples = np.frombuffer(kept, np.int64).reshape(-1, len(tables)) if len(kept) else tables[None, :0].reshape(0, 0)
     sent = np.stack([per, *(np.bincount(block.context, x, block.n)[1:].astype(np.int64) for x in samples)], 1)[far]
     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(far) + 1, dtype=np.int32) * sent.shape[1]), pa.array(sent.ravel()))
-    arrays = (v.coded(words), v.coded(contexts), customers, fixed, block.code, block.seen, tables, np.frombuffer(kept, np.int64))
-    values = [pa.array([key]), *[pa.array([pack(x)]) for x in arrays], _structs(v=contexts[far], t=lists), _own(own)]
-    return pa.Table.from_arrays(values, names=["block", "words", "contexts", "customers", "fixed", "code", "seen", "tables", "kept", "far", "own"])
+    packed = [*still, pack(tables), pack(np.frombuffer(kept, np.int64))]
+    values = [pa.array([key]), *[pa.array([x], pa.binary()) for x in packed], _structs(v=contexts[far], t=lists), _own(own)]
+    return pa.Table.from_arrays(values, names=["block", *_STILL, "tables", "kept", "far", "own"])
 
 
 def _first(v: Vocabulary):
@@ -405,7 +411,8 @@ def _first(v: Vocabulary):
         seen = np.concatenate([once, c[c > 1]]).astype(np.int64)
         order = np.argsort(code)
         block = Block(code[order], seen[order], np.concatenate([[-1], np.zeros(n - 1, np.int64)]).astype(np.int64))
-        return _state(v, key[0].as_py(), words, contexts, *totals, block, block.first(), b"")
+        still = [pack(x) for x in (v.coded(words), v.coded(contexts), *totals, block.code, block.seen)]
+        return _state(v, key[0].as_py(), words, contexts, still, block, block.first(), b"")
 
     return run
 
@@ -443,7 +450,8 @@ def _sweep(v: Vocabulary, m: Shared, number: int, keep: bool):
         tables[hot] = m.hot_tables[here]
         t = block.sweep(tables, m.model(customers, full), np.random.default_rng([SEED, number, key[0].as_py()]))
         t[hot], block.seen = 0, seen
-        return _state(v, key[0].as_py(), words, contexts, customers, fixed, block, t, kept.tobytes() + (t.tobytes() if keep else b""))
+        still = [table[x][0].as_py() for x in _STILL]
+        return _state(v, key[0].as_py(), words, contexts, still, block, t, kept.tobytes() + (t.tobytes() if keep else b""))
 
     return run
 
@@ -568,10 +576,10 @@ def _fit(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     fixed = _sums(built, v)
     # contexts out of the head and in several blocks: customers, pairs seen once, blocks that hold them or draw their tables
     far = built.select("block", F.explode("far").alias("x")).select("block", "x.*").groupBy("v")
-    far = far.agg(F.sum("c").alias("c"), F.sum("f").alias("f"), F.collect_list("block").alias("blocks"), F.collect_list(F.when(F.col("drawn"), F.col("block"))).alias("drawn"))
-    far, far_path = written(far.filter(F.size("blocks") > 1), "contexts")
+    far = far.agg(F.sum("c").alias("c"), F.sum("f").alias("f"), F.collect_list(F.struct("block", "drawn")).alias("at"))
+    far, far_path = written(far.filter(F.size("at") > 1), "contexts")
     own = built.select("block", "w", "v", "c")
-    back = far.select("v", "c", "f", F.explode("drawn").alias("block"))
+    back = far.select("v", "c", "f", F.explode("at").alias("at")).filter("at.drawn").select("v", "c", "f", "at.block")
     step = own.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(lean(_first(v)), _STATE)
     state, path = written(step, "seats")
     sums, h = _sums(state, v), len(v.names)
@@ -589,7 +597,7 @@ def _fit(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             samples.append(shared)
     sent = state.select(F.explode("far").alias("x")).groupBy("x.v").agg(*[F.sum(F.col("x.t")[i + 1]).alias(f"s{i}") for i in range(SAMPLES)])
     tables = [(F.col("f") + F.coalesce(f"s{i}", F.lit(0))).alias(f"t{i}") for i in range(SAMPLES)]
-    back = far.join(sent, "v", "left").select(F.explode("blocks").alias("block"), "v", "c", *tables)
+    back = far.join(sent, "v", "left").select(F.explode("at.block").alias("block"), "v", "c", *tables)
     seated = built.select("block", "w", "v", "c", "asked").join(state.select("block", "words", "contexts", "code", "seen", "kept"), "block")
     found_paths = []
     for i in range(PARTS):
