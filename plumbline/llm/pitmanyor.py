@@ -17,7 +17,7 @@ follow from the seats held once and twice, by level; ``STRENGTH`` is fixed.
 
 Texts are read once more after the words are counted, in slices of about ``SLICE`` bytes: a slice's different pairs go to
 their blocks with their counts, and which of them a text holds stays with the slice; at the end each slice gets back a value a
-pair.  A worker holds one slice's arrays, or one block's, at a time, and gives memory back after each.  The totals of the ``HEAD`` most frequent words as contexts are shared as arrays,
+pair.  A worker holds one slice's arrays, or one block's, at a time, and gives memory back after a task or block.  The totals of the ``HEAD`` most frequent words as contexts are shared as arrays,
 whatever the corpus' size; those of all others are exchanged as rows, between the blocks that hold them.
 """
 
